@@ -104,7 +104,7 @@ def group_supplement(spark) -> DataFrame:
     )
 
 
-def group_records(groups: DataFrame, supplement: DataFrame, limit: int = 1200) -> DataFrame:
+def group_records(groups: DataFrame, supplement: DataFrame, limit: int = 1200, keep=()) -> DataFrame:
     """Record fields of a group; curated facts win over inferred ones."""
     c = F.col
     base = groups.withColumn("mitre_id", external_id(c("external_references"), r"G\d{4}"))
@@ -113,6 +113,7 @@ def group_records(groups: DataFrame, supplement: DataFrame, limit: int = 1200) -
         F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a) != F.lower(c("name"))
     )
     return out.select(
+        *keep,
         c("name").alias("actor_name"),
         "mitre_id",
         others.alias("aliases"),

@@ -83,7 +83,7 @@ def corpus_ids(corpus: DataFrame, field: str = "content", mode: str = "exact") -
     and any character may stand for the dot.
     """
     if mode == "exact":
-        pattern = r"(?<![0-9A-Za-z_.])(t\d{4}(?:\.\d{3})?)(?![0-9A-Za-z_])"
+        pattern = r"(?<![0-9A-Za-z_])(t\d{4}(?:\.\d{3})?)(?![0-9A-Za-z_])"
         found = F.regexp_extract_all(field, F.lit(pattern), F.lit(1))
         ids = F.transform(found, F.upper)
     elif mode == "mention":
