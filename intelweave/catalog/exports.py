@@ -1 +1,316 @@
-"""To come."""
+"""Exports: indicator list, graph, matrix layer, report, playbook, profiles.
+
+Those that write also read their files back, so the files are what is compared.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import labels
+from ..operators import families as fam
+from ..operators import merge as m
+from ..operators import profile as prof
+from ..operators import rules as rul
+from ..plans import indicators as ind
+from ..plans import layers, profiles, reports, stix
+from ..session import scratch_path
+from . import common as k
+from .aggregates import COVERED_SQL, FEED_USES, PARSED_FEED, RULES_SQL, feed, flagged, matched_rules
+from .registry import query
+
+c = F.col
+_FI = "fi AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY actor, type, lower(value) ORDER BY family_pos, pos) = 1)"
+
+
+def family_indicators(t):
+    rows = fam.family_iocs(t.families_used, feed(t))
+    return rows.withColumns({"first_at": F.struct("family_pos", "pos"), "sources": F.array(F.lit("threatfox"), F.lit(""), F.lit("x"))})
+
+
+@query(
+    "ioc_csv",
+    f""", {PARSED_FEED}, {_FI}
+    SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, type, value, CAST(confidence_score AS VARCHAR) AS confidence, threat_type, family AS malware_family, first_seen, 'threatfox|x' AS sources FROM fi""",
+    uses=FEED_USES,
+)
+def _(t):
+    listed = ind.ioc_list(family_indicators(t)).withColumn("actor_slug", labels.file_slug(c("actor")))
+    path = scratch_path(t.spark, "ioc-csv")
+    ind.write_ioc_csv(listed, path)
+    schema = ", ".join(f"{n} string" for n in [*ind.COLUMNS, "actor_slug"])
+    return t.spark.read.schema(schema).option("header", True).csv(path)
+
+
+@query(
+    "ioc_list",
+    f""", {k.MERGED_INDICATORS}
+    SELECT actor, type, value, confidence, '' AS threat_type, '' AS malware_family, first_seen, array_to_string(sources, '|') AS sources FROM merged_i""",
+    uses=["indicators"],
+)
+def _(t):
+    return ind.ioc_list(k.merged_indicators(t))
+
+
+def _actors(t):
+    return m.merge_scalars(t.records, ["actor_name", "mitre_group_id", "origin", "first_seen", "description", "motivations"])
+
+
+def _stix(t):
+    actors = _actors(t)
+    nodes = stix.stix_nodes(
+        actors, k.merged_techniques(t), k.merged_malware(t), family_indicators(t), k.merged_campaigns(t), k.NOW
+    )
+    edges = stix.stix_edges(
+        k.merged_techniques(t), k.merged_malware(t), family_indicators(t), k.merged_campaigns(t)
+    )
+    return nodes, edges
+
+
+_SID = lambda kind, *keys: (
+    "(SELECT '" + kind + "--' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] FROM (SELECT sha256('" + kind + "'"
+    + "".join(f" || chr(1) || {x}" for x in keys) + ") AS h) q)"
+)
+_PAT = (
+    "CASE type WHEN 'ip' THEN '[ipv4-addr:value = ''' WHEN 'domain' THEN '[domain-name:value = ''' WHEN 'url' THEN '[url:value = ''' "
+    "WHEN 'hash_md5' THEN '[file:hashes.''MD5'' = ''' END || value || ''']'"
+)
+STIX_USES = ["techniques", "malware", "campaigns", *FEED_USES, "records"]
+
+
+@query(
+    "stix_nodes",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {PARSED_FEED}, {_FI},
+    a AS (SELECT actor, first(actor_name ORDER BY source_rank, pos) FILTER (WHERE actor_name <> '') AS nm FROM records GROUP BY actor)
+    SELECT actor, 'identity' AS type, {_SID('identity', "'intelweave'")} AS id, 'intelweave' AS name FROM a
+    UNION ALL SELECT actor, 'intrusion-set', {_SID('intrusion-set', 'actor')}, nm FROM a
+    UNION ALL SELECT actor, 'attack-pattern', {_SID('attack-pattern', 'actor', 'technique_id')}, coalesce(name, technique_id) FROM merged_t
+    UNION ALL SELECT actor, 'malware', {_SID('malware', 'actor', 'name_key')}, trim(name) FROM merged_m
+    UNION ALL SELECT actor, 'indicator', {_SID('indicator', 'actor', _PAT)}, type || ': ' || value FROM fi
+    UNION ALL SELECT actor, 'campaign', {_SID('campaign', 'actor', 'name')}, name FROM merged_c""",
+    uses=STIX_USES,
+)
+def _(t):
+    return _stix(t)[0].select("actor", "type", "id", "name")
+
+
+@query(
+    "stix_edges",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {PARSED_FEED}, {_FI}
+    SELECT actor, 'uses' AS relationship_type, {_SID('intrusion-set', 'actor')} AS source_ref, {_SID('attack-pattern', 'actor', 'technique_id')} AS target_ref FROM merged_t
+    UNION ALL SELECT actor, 'uses', {_SID('intrusion-set', 'actor')}, {_SID('malware', 'actor', 'name_key')} FROM merged_m
+    UNION ALL SELECT actor, 'indicates', {_SID('indicator', 'actor', _PAT)}, {_SID('intrusion-set', 'actor')} FROM fi
+    UNION ALL SELECT actor, 'attributed-to', {_SID('campaign', 'actor', 'name')}, {_SID('intrusion-set', 'actor')} FROM merged_c""",
+    uses=STIX_USES,
+)
+def _(t):
+    return _stix(t)[1].select("actor", "relationship_type", "source_ref", "target_ref")
+
+
+@query(
+    "report_refs",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {PARSED_FEED}, {_FI},
+    n AS (SELECT actor, 2 * count(*) AS n FROM merged_t GROUP BY actor UNION ALL SELECT actor, 2 * count(*) FROM merged_m GROUP BY actor
+          UNION ALL SELECT actor, 2 * count(*) FROM merged_c GROUP BY actor UNION ALL SELECT actor, 2 * count(*) FROM fi GROUP BY actor UNION ALL SELECT DISTINCT actor, 2 FROM records)
+    SELECT actor, CAST(sum(n) AS BIGINT) AS refs FROM n GROUP BY actor""",
+    uses=STIX_USES,
+)
+def _(t):
+    return stix.report_refs(*_stix(t)).groupBy("actor").agg(F.count("*").alias("refs"))
+
+
+@query("stix_bundle")
+def _(t):
+    nodes, edges = _stix(t)
+    bundles = stix.stix_bundles(nodes, edges, k.settings().with_(profile_part_items=500))
+    path = scratch_path(t.spark, "stix")
+    stix.write_bundles(bundles.withColumn("actor_slug", labels.file_slug(c("actor"))), path)
+    files = t.spark.read.schema("value string, actor_slug string").text(path)
+    objects = F.from_json("value", "objects array<struct<type:string,id:string,object_refs:array<string>>>")
+    return files.select("actor_slug", F.explode(objects["objects"]).alias("o")).groupBy("actor_slug", "o.type").agg(
+        F.count("*").alias("objects"), F.sum(F.coalesce(F.size("o.object_refs"), F.lit(0))).alias("refs")
+    )
+
+
+_LEAD = "lead AS (SELECT actor, technique_id, count(*) AS n, first(title ORDER BY rule_rank) AS title FROM hit GROUP BY actor, technique_id)"
+
+
+@query(
+    "matrix_layer",
+    f""", {k.MERGED_TECHNIQUES}, {RULES_SQL}, {_LEAD}
+    SELECT actor, technique_id, coalesce(replace(lower(tactic), ' ', '-'), '') AS tactic, CASE confidence WHEN 'HIGH' THEN '#ff6666' WHEN 'MEDIUM' THEN '#ffaa00' ELSE '#ffe680' END AS color,
+       CASE confidence WHEN 'HIGH' THEN 100 WHEN 'MEDIUM' THEN 60 ELSE 30 END AS score,
+       'Confidence: ' || confidence || CASE WHEN n IS NOT NULL THEN ' | Sigma: ' || n || CASE WHEN n = 1 THEN ' rule — ' ELSE ' rules — ' END || title WHEN detection IS NOT NULL THEN ' | Detection: ' || detection[1:120] ELSE '' END AS comment,
+       true AS enabled, CASE WHEN n IS NOT NULL AND NOT contains(technique_id, '.') THEN true END AS show_subtechniques
+    FROM merged_t LEFT JOIN lead USING (actor, technique_id)""",
+    uses=["techniques", "rules"],
+)
+def _(t):
+    return layers.matrix_layer(k.merged_techniques(t), rul.lead_rules(matched_rules(t)))
+
+
+@query(
+    "layer_entries",
+    f""", {k.MERGED_TECHNIQUES}
+    SELECT actor, technique_id, coalesce(replace(lower(tactic), ' ', '-'), 'none') AS tactic FROM merged_t""",
+    uses=["techniques"],
+)
+def _(t):
+    lead = rul.lead_rules(matched_rules(t)).limit(0)
+    entries = layers.layer_entries(layers.matrix_layer(k.merged_techniques(t), lead))
+    get = lambda p: F.get_json_object("entry", p)
+    return entries.select("actor", get("$.techniqueID").alias("technique_id"), F.coalesce(get("$.tactic"), F.lit("none")).alias("tactic"))
+
+
+@query(
+    "report_rows",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_CAMPAIGNS}, {k.MERGED_MALWARE}, {RULES_SQL}, {PARSED_FEED}, {_FI},
+    hd AS (SELECT actor, first(origin ORDER BY source_rank, pos) FILTER (WHERE origin <> '') AS origin, first(first_seen ORDER BY source_rank, pos) FILTER (WHERE first_seen <> '') AS seen FROM records GROUP BY actor)
+    SELECT actor, 0 AS section_no, 'overview' AS section, '1' AS key, 'Origin' AS c1, coalesce(origin, 'Unknown') AS c2, '' AS c3 FROM hd
+    UNION ALL SELECT actor, 0, 'overview', '2', 'First Seen', coalesce(seen, 'Unknown'), '' FROM hd
+    UNION ALL SELECT actor, 0, 'overview', '3', 'Motivations', 'Unknown', '' FROM hd
+    UNION ALL SELECT actor, 0, 'overview', '4', 'Also Known As', '—', '' FROM hd
+    UNION ALL SELECT actor, 1, 'techniques', technique_id, technique_id, coalesce(tactic, ''), coalesce(name, '') FROM merged_t
+    UNION ALL SELECT actor, 2, 'detection', technique_id || '|' || lpad(rule_rank::VARCHAR, 3, '0'), technique_id, title, upper(level) FROM hit
+    UNION ALL SELECT actor, 2, 'detection', technique_id, technique_id, detection, '' FROM merged_t WHERE detection IS NOT NULL AND (actor, technique_id) NOT IN (SELECT (actor, technique_id) FROM hit)
+    UNION ALL SELECT actor, 3, 'indicators', type || '|' || value, {k.defang_sql('type', 'value')}, CASE WHEN confidence_score = 100 THEN 'HIGH' WHEN confidence_score >= 75 THEN 'MED' WHEN confidence_score <> 0 THEN 'LOW' ELSE '' END, threat_label FROM fi
+    UNION ALL SELECT actor, 4, 'families', lpad(r::VARCHAR, 3, '0'), family, hits::VARCHAR, '' FROM (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY hits DESC, family_pos) AS r FROM hits QUALIFY r <= 8) f
+    UNION ALL SELECT actor, 7, 'cves', cve_id, cve_id, first(product ORDER BY source_rank, pos), first(vendor ORDER BY source_rank, pos) FROM cves WHERE cve_id <> '' GROUP BY actor, cve_id
+    UNION ALL SELECT actor, 9, 'malware', lower(name), name, coalesce(type, ''), coalesce(trim(regexp_replace(description, '\\s+', ' ', 'g')), '') FROM merged_m
+    UNION ALL SELECT actor, 11, 'campaigns', name, name, CASE WHEN first_seen IS NULL AND last_seen IS NULL THEN '' ELSE coalesce(first_seen, '?') || ' – ' || coalesce(last_seen, '?') END, coalesce(description, '') FROM merged_c""",
+    uses=["techniques", "campaigns", "malware", "rules", *FEED_USES, "records", "cves"],
+)
+def _(t):
+    header = m.merge_scalars(t.records, ["origin", "first_seen"]).withColumns({"motivations": F.lit(""), "aliases": F.lit("")})
+    rows = reports.report_rows(
+        {
+            "overview": header, "techniques": k.merged_techniques(t), "detection": matched_rules(t), "indicators": family_indicators(t),
+            "families": fam.family_hits(t.families_used, feed(t)), "cves": m.merge_cves(t.cves), "malware": k.merged_malware(t),
+            "campaigns": k.merged_campaigns(t),
+        }
+    )
+    return rows.select("actor", "section_no", "section", "key", "c1", "c2", "c3")
+
+
+@query(
+    "report_lists",
+    """SELECT actor, 'sectors' AS section, c1, '' AS c2 FROM (SELECT actor, first(v ORDER BY source_rank, pos, i) AS c1 FROM (SELECT actor, source_rank, pos, unnest(sectors) AS v, generate_subscripts(sectors, 1) AS i FROM records) x GROUP BY actor, lower(trim(v))) s
+       UNION ALL SELECT actor, 'advisories', first(date ORDER BY source_rank, pos), first(title ORDER BY source_rank, pos) FROM advisories GROUP BY actor, coalesce(nullif(url, ''), title)
+       UNION ALL SELECT 'NATION_' || (pos % 25), 'articles', source, date FROM articles""",
+    uses=["records", "advisories", "articles"],
+)
+def _(t):
+    from .mapping import actor_articles, sectors_long
+
+    rows = reports.report_rows(
+        {"sectors": sectors_long(t), "advisories": m.merge_advisories(t.advisories), "articles": actor_articles(t)}
+    )
+    return rows.select("actor", "section", "c1", "c2")
+
+
+@query(
+    "report_repositories",
+    """SELECT actor, name AS c1, upper(platform[1]) || platform[2:] AS c2, CASE WHEN tier = 1 THEN 'Official' ELSE 'Community' END AS c3 FROM (
+         SELECT actor, unnest(['repo']) AS x FROM (SELECT DISTINCT actor FROM records) a) y, (SELECT * FROM repos WHERE tier = 1 ORDER BY pos LIMIT 6) r""",
+    uses=["records", "repos"],
+)
+def _(t):
+    from ..operators import repos as rep
+
+    # tags no repository carries: what is left is the tier
+    tags = t.records.select("actor").distinct().withColumn("tag", F.lit("nothing"))
+    return reports.repo_rows(rep.match_repos(tags, t.repos)).select("actor", "c1", "c2", "c3")
+
+
+@query(
+    "playbook_rows",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {RULES_SQL}, {_LEAD}
+    SELECT actor, 'confidence' AS section, (count(*) FILTER (WHERE confidence = 'HIGH'))::VARCHAR AS c1, (count(*) FILTER (WHERE confidence = 'MEDIUM'))::VARCHAR AS c2 FROM merged_t GROUP BY actor
+    UNION ALL SELECT actor, 'checklist', coalesce(tactic, 'Unknown'), technique_id FROM merged_t
+    UNION ALL SELECT actor, 'malware', name, coalesce(type, '') FROM merged_m
+    UNION ALL SELECT actor, 'references', coalesce(nullif(source_citation, ''), source_id), coalesce(source_url, '') FROM records WHERE source_id <> ''
+    UNION ALL SELECT actor, 'references', name, url FROM merged_c WHERE url IS NOT NULL
+    UNION ALL SELECT actor, 'block', bucket, type FROM (SELECT actor, CASE WHEN date '2024-05-01' - d <= 30 THEN 'FRESH' ELSE 'AGING' END AS bucket, type FROM (
+        SELECT 'NATION_' || (doc % 25) AS actor, doc, item, type, value, CAST(nullif(coalesce(nullif(last_seen, ''), first_seen), '') AS DATE) AS d FROM indicators) i WHERE date '2024-05-01' - d <= 90
+        QUALIFY row_number() OVER (PARTITION BY actor, CASE WHEN date '2024-05-01' - d <= 30 THEN 'FRESH' ELSE 'AGING' END ORDER BY CASE type WHEN 'domain' THEN 0 WHEN 'ip' THEN 1 WHEN 'url' THEN 2 WHEN 'email' THEN 9 ELSE 3 END, value) <= 50) b""",
+    uses=["techniques", "malware", "campaigns", "rules", "records", "indicators"],
+)
+def _(t):
+    rows = t.indicators.withColumn("actor", F.concat(F.lit("NATION_"), (c("pos.doc") % 25).cast("string")))
+    out = reports.playbook_rows(
+        k.merged_techniques(t), rul.lead_rules(matched_rules(t)), rows, k.merged_malware(t), m.source_ledger(t.records),
+        k.merged_campaigns(t), k.NOW,
+    )
+    return out.select("actor", "section", "c1", "c2")
+
+
+@query(
+    "freshness_rows",
+    f""", {k.MERGED_INDICATORS}
+    SELECT actor, bucket, row_no, type, {k.defang_sql('type', 'value')} AS value FROM (
+      SELECT *, row_number() OVER (PARTITION BY actor, bucket ORDER BY CASE type WHEN 'domain' THEN 0 WHEN 'ip' THEN 1 WHEN 'url' THEN 2 ELSE 9 END, value) AS row_no FROM (
+        SELECT actor, type, value, CASE WHEN date '2024-05-01' - d <= 30 THEN 'FRESH' WHEN date '2024-05-01' - d <= 90 THEN 'AGING' ELSE 'STALE' END AS bucket FROM (
+          SELECT *, CAST(nullif(coalesce(nullif(last_seen, ''), first_seen), '') AS DATE) AS d FROM merged_i) x) y) z WHERE row_no <= 100""",
+    uses=["indicators"],
+)
+def _(t):
+    return reports.freshness_rows(k.merged_indicators(t), k.NOW).drop("seen")
+
+
+@query(
+    "coverage_report",
+    f""", {COVERED_SQL}, p AS (SELECT actor, CAST(round_even(100.0 * count(*) FILTER (WHERE covered) / count(*), 0) AS INT) AS pct, count(*) AS total FROM flagged GROUP BY actor)
+    SELECT actor, CASE WHEN covered THEN 'covered' ELSE 'gap' END AS status, CASE WHEN covered THEN 9 ELSE CASE confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END END AS gap_rank, technique_id, name, tactic, confidence, pct, total FROM flagged JOIN p USING (actor)""",
+    uses=["techniques", "rules"],
+)
+def _(t):
+    return reports.coverage_report(flagged(t))
+
+
+def _items(t):
+    tech = k.merged_techniques(t)
+    camp = k.merged_campaigns(t)
+    return prof.section_items(tech, "techniques", ["technique_id", "name", "confidence"], c("technique_id")).unionByName(
+        prof.section_items(camp, "campaigns", ["name", "description"], c("name"))
+    )
+
+
+@query(
+    "assemble_profile",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_CAMPAIGNS},
+    items AS (SELECT actor, 'techniques' AS section, technique_id AS key FROM merged_t UNION ALL SELECT actor, 'campaigns', name FROM merged_c),
+    sizes AS (SELECT actor, CAST(ceil(count(*) / 400.0) AS INT) AS n_parts FROM items GROUP BY actor),
+    placed AS (SELECT actor, section, key, n_parts, ('0x' || md5(section || chr(1) || key)[1:8])::BIGINT % n_parts AS part FROM items JOIN sizes USING (actor))
+    SELECT actor, CAST(part AS BIGINT) AS part, n_parts, string_agg(key, '|' ORDER BY key) FILTER (WHERE section = 'techniques') AS technique_ids, count(*) FILTER (WHERE section = 'campaigns') AS campaigns FROM placed GROUP BY actor, part, n_parts""",
+    uses=["techniques", "campaigns"],
+)
+def _(t):
+    header = m.merge_scalars(t.records, ["origin"])
+    out = prof.assemble_profiles(header, _items(t), k.settings().with_(profile_part_items=400))
+    ids = F.transform("techniques", lambda j: F.get_json_object(j, "$.technique_id"))
+    return out.select(
+        "actor", c("part").cast("bigint").alias("part"), "n_parts", k.joined(ids).alias("technique_ids"),
+        F.size("campaigns").cast("bigint").alias("campaigns"),
+    )
+
+
+@query(
+    "profiles_json",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_CAMPAIGNS},
+    hd AS (SELECT actor, first(origin ORDER BY source_rank, pos) FILTER (WHERE origin <> '') AS origin FROM records GROUP BY actor)
+    SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, origin, (SELECT count(*) FROM merged_t t WHERE t.actor = hd.actor) AS techniques, (SELECT count(*) FROM merged_c x WHERE x.actor = hd.actor) AS campaigns FROM hd""",
+    uses=["techniques", "campaigns", "records"],
+)
+def _(t):
+    header = m.merge_scalars(t.records, ["origin"])
+    nested = prof.assemble_profiles(header, _items(t), k.settings()).withColumn("actor_slug", labels.file_slug(c("actor")))
+    path = scratch_path(t.spark, "profiles")
+    profiles.write_profiles_json(nested, path)
+    back = t.spark.read.schema(
+        "actor string, origin string, techniques array<struct<technique_id:string>>, campaigns array<struct<name:string>>, actor_slug string"
+    ).json(path)
+    return back.select(
+        "actor_slug", "origin", F.size("techniques").cast("bigint").alias("techniques"), F.size("campaigns").cast("bigint").alias("campaigns")
+    )
+
+

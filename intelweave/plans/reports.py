@@ -204,7 +204,7 @@ def playbook_rows(
     mal = malware_rows(malware, 100, by=by, section="malware", names=PLAYBOOK_SECTIONS)
     cite = F.coalesce(text.non_blank(c("source_citation")), c("source_id"))
     refs = row(
-        ledger.filter((F.coalesce("source_url", F.lit("")) != "") | (F.coalesce(cite, F.lit("")) != "")).distinct(),
+        ledger.filter((F.coalesce("source_url", F.lit("")) != "") | (F.coalesce(cite, F.lit("")) != "")),
         "references", F.concat_ws("|", F.lit("0"), cite, "source_url"), [cite, c("source_url")],
     )
     links = row(

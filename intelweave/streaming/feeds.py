@@ -84,10 +84,10 @@ def stream_confidence(df: DataFrame, keys, source: str = "source_id", settings:
     )
 
 
-def stream_new(df: DataFrame, known: DataFrame, keys, ts: str, ttl: str) -> DataFrame:
-    """Rows whose key is not in the known table, each once within the time to live."""
-    seen = known.select(*keys).distinct().withColumn("_known", F.lit(True))
-    fresh = df.join(seen, list(keys), "left").filter("_known is null").drop("_known")
+def stream_new(df: DataFrame, known: DataFrame, on, keys, ts: str, ttl: str) -> DataFrame:
+    """Rows that the known table does not have (by ``on``), each key once within the time to live."""
+    seen = known.select(*on).distinct().withColumn("_known", F.lit(True))
+    fresh = df.join(seen, list(on), "left").filter("_known is null").drop("_known")
     return stream_keep_first(fresh, keys, ts, ttl)
 
 
