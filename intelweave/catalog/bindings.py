@@ -20,6 +20,11 @@ BASE = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+# tables with per-row work worth spreading, and the key to spread them by
+SPREAD_KEYS = {
+    "documents": "doc_id", "pages": "page_id", "lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id",
+}
+
 AS_OF = "2024-05-01T00:00:00"
 
 
@@ -309,13 +314,23 @@ class Tables:
 
     def _build(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self._spread(name, self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         if name == "indicators":
             return self._indicators()
         text = SQL[name]
         deps = {d: getattr(self, d) for d in dict.fromkeys(re.findall(r"\{([a-z_]+)\}", text))}
         return self.spark.sql(text.replace("ARRAY(", "array(").replace("ROW(", "struct("), **deps)
 
+    def _spread(self, name: str, df: DataFrame) -> DataFrame:
+        """Use all cores on a table that fits a few splits; larger ones are left as they are.
+
+        Filters and column pruning still reach the scan below the exchange.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if name not in SPREAD_KEYS or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores, SPREAD_KEYS[name])
+
     def _indicators(self) -> DataFrame:
         c = F.col
         day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (c(n) % 150).cast("int")).cast("string")

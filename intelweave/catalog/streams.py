@@ -14,7 +14,7 @@ c = F.col
 def landed(t):
     """The events table as a file stream; a glob also matches a folder of files."""
     schema = t.events.schema
-    stream = st.read_landed(t.spark, f"{t.sf_dir}/events.parquet*", schema, ts="ts")
+    stream = st.read_landed(t.spark, f"{t.sf_dir}/events.parquet*", schema, ts="ts", max_files=1000)
     return stream.withColumn("source_id", F.when(c("event_type") == "click", "mitre_attack").otherwise(c("event_type")))
 
 

@@ -1,28 +1,41 @@
 """Which texts mention which terms.
 
 Substring search of many terms in many texts is a theta join; neither a cross
-join nor a nested loop is used for it.  Two exact strategies:
-
-* ``scan``: while the term list is small (checked by a bounded count) it
-  becomes one prefix-tree pattern.  One pass over a text yields, for every
-  position, the longest term that starts there; the shorter terms that start at
-  the same place are its prefixes.  No shuffle, no join with the text.
+join nor a nested loop is used for it.  Exact strategies:
+
+* ``automaton``: while the term list is small (checked by a bounded count) it is
+  sent to the tasks, which scan Arrow batches of texts once for all terms.  No
+  shuffle and no join with the text.
+* ``pattern``: the same inside the JVM, where the automaton library is missing:
+  one prefix-tree pattern yields, for every position, the longest term that
+  starts there; the shorter terms that start there are its prefixes.
 * ``grams``: for any number of terms.  Texts are cut into their distinct
-  character grams, terms are keyed by their least common gram, an equi-join
-  brings both together and ``contains`` decides.
+  character grams, terms are filed under the gram that the fewest terms share,
+  an equi-join brings both together and ``contains`` decides.
 
-``token`` matching (word boundaries) is a third, linear mode.
+Matching on whole words (:func:`token_mentions`) is an equi-join on word grams.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+try:
+    import ahocorasick
+except ImportError:  # the pattern strategy takes over
+    ahocorasick = None
 
 from ..functions.text import occurrences
 from .ordering import top_n
 
-SCAN_TERMS = 5_000
+# more terms than this are not sent to the tasks
+SMALL_TERMS = 20_000
+SMALL_CHARS = 4_000_000
 GRAM = 3
 
 
@@ -74,13 +87,50 @@ def terms_in(text: Column, terms: list[str]) -> Column:
     )
 
 
-def small_term_list(terms: DataFrame, term: str = "term", limit: int = SCAN_TERMS) -> list[str] | None:
-    """The distinct terms if there are at most ``limit`` of them, else None."""
-    rows = terms.select(F.lower(term).alias("t")).filter("t <> ''").distinct().limit(limit + 1).collect()
-    return sorted(r.t for r in rows) if len(rows) <= limit else None
+def small_term_list(terms: DataFrame, term: str = "term", limit: int = SMALL_TERMS, size: int = SMALL_CHARS) -> list[str] | None:
+    """The distinct terms, if both their number and their total length are small; else None."""
+    rows = terms.select(F.lower(term).alias("t")).filter("t <> ''").distinct()
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    if n > limit or chars > size:
+        return None
+    return sorted(r.t for r in rows.collect())
+
+
+def _automaton(texts: DataFrame, key, field: str, terms: list[str]) -> DataFrame:
+    """(key..., term, n): occurrences of every mentioned term, one pass per text."""
+    low = texts.select(*key, F.lower(field).alias("_t")).filter(F.col("_t") != "")
+    if not terms:
+        return low.select(*key, F.lit("").alias("term"), F.lit(0).alias("n")).limit(0)
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def scan(batches):
+        known = shared.value
+        machine = ahocorasick.Automaton()
+        for i, term in enumerate(known):
+            machine.add_word(term, (i, len(term)))
+        machine.make_automaton()
+        for batch in batches:
+            rows, found, counts = [], [], []
+            for row, value in enumerate(batch.column(len(key)).to_pylist()):
+                n, free = Counter(), {}
+                for end, (i, size) in machine.iter(value):
+                    if end - size >= free.get(i, -1):  # occurrences of a term do not overlap
+                        n[i] += 1
+                        free[i] = end
+                rows.extend([row] * len(n))
+                found.extend(known[i] for i in n)
+                counts.extend(n.values())
+            taken = batch.select(list(range(len(key)))).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(found, pa.string()), pa.array(counts, pa.int32())],
+                names=[*taken.schema.names, "term", "n"],
+            )
+
+    fields = [low.schema[k] for k in key] + [T.StructField("term", T.StringType()), T.StructField("n", T.IntegerType())]
+    return low.mapInArrow(scan, T.StructType(fields))
 
 
-def _scan(texts: DataFrame, key, field: str, terms: list[str]) -> DataFrame:
+def _pattern(texts: DataFrame, key, field: str, terms: list[str]) -> DataFrame:
     """(key..., term, n): occurrences of every mentioned term."""
     low = texts.select(*key, F.lower(field).alias("_t"))
     hits = low.select(
@@ -124,9 +174,11 @@ def term_hits(
     """
     key = [key] if isinstance(key, str) else list(key)
     small = small_term_list(terms, term) if strategy != "grams" else None
-    if small is not None:
-        return _scan(texts, key, field, small)
-    return _grams(texts, key, field, terms, term)
+    if small is None:
+        return _grams(texts, key, field, terms, term)
+    if strategy == "pattern" or ahocorasick is None:
+        return _pattern(texts, key, field, small)
+    return _automaton(texts, key, field, small)
 
 
 def text_mentions(

@@ -22,8 +22,13 @@ def profile_tags(sectors: DataFrame, techniques: DataFrame, malware: DataFrame,
         techniques.select(*by, tactic_slug(F.col("tactic")).alias("tag")),
         malware.select(*by, F.lower("type").alias("tag")),
     ]
-    tags = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.coalesce("tag", F.lit("")) != "").distinct()
-    return tags.unionByName(tags.select(*by).distinct().withColumn("tag", F.lit("universal"))).distinct()
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _with_tag(rows, "universal", by).filter(F.coalesce("tag", F.lit("")) != "").distinct()
+
+
+def _with_tag(rows: DataFrame, tag: str, by) -> DataFrame:
+    """Give every group one more tag, in the same pass over the rows."""
+    return rows.select(*by, F.explode(F.array("tag", F.lit(tag))).alias("tag"))
 
 
 def tag_overlap(a, b):
@@ -47,9 +52,9 @@ def match_repos(tags: DataFrame, repos: DataFrame, k: int = DEFAULTS.repos_per_a
     by_tier = leaders.select(
         "name", "url", "platform", "tier", "pos", F.lit(_ANY).alias("tag"), F.lit(0).alias("w")
     )
-    groups = tags.select(*by).distinct().withColumn("tag", F.lit(_ANY))
     scored = (
-        tags.unionByName(groups)
+        _with_tag(tags, _ANY, by)
+        .distinct()
         .join(by_tag.unionByName(by_tier), "tag")
         .groupBy(*by, "name", "url", "platform", "tier", "pos")
         .agg(F.sum("w").alias("shared"))

@@ -19,9 +19,17 @@ from ..functions.labels import confidence_label
 from ..session import scratch_path
 
 
-def read_landed(spark: SparkSession, path: str, schema, fmt: str = "parquet", ts: str | None = None) -> DataFrame:
-    """File stream over landed data; ``ts`` is cast to TIMESTAMP for watermarks."""
-    df = spark.readStream.format(fmt).schema(schema).load(path)
+def read_landed(
+    spark: SparkSession, path: str, schema, fmt: str = "parquet", ts: str | None = None, max_files: int | None = None
+) -> DataFrame:
+    """File stream over landed data; ``ts`` is cast to TIMESTAMP for watermarks.
+
+    ``max_files`` bounds a micro-batch, and with it what one key can bring at once.
+    """
+    reader = spark.readStream.format(fmt).schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    df = reader.load(path)
     return df.withColumn(ts, F.col(ts).cast("timestamp")) if ts else df
 
 
@@ -39,7 +47,8 @@ def stream_readmit(df: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFr
     """(key, ts) rows admitted: the first of a key, then the next one after the time to live.
 
     State is one timestamp per key, dropped when the watermark has passed its
-    time to live.
+    time to live.  A task holds the event times one key has in a micro-batch
+    (eight bytes each); bound the batch with ``max_files`` of :func:`read_landed`.
     """
     ttl = pd.Timedelta(seconds=ttl_seconds)
 
