@@ -19,10 +19,8 @@ EMPTY_STRINGS = "array<string>"
 
 def _payloads(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     """(path, content) of whole small files."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def _text(c) -> Column:
