@@ -14,7 +14,7 @@ from ..operators import profile as prof
 from ..operators import rules as rul
 from ..plans import indicators as ind
 from ..plans import layers, profiles, reports, stix
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from . import common as k
 from .aggregates import COVERED_SQL, FEED_USES, PARSED_FEED, RULES_SQL, feed, flagged, matched_rules
 from .registry import query
@@ -25,13 +25,13 @@ _FI = "fi AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY acto
 
 def family_indicators(t):
     rows = fam.family_iocs(t.families_used, feed(t))
-    return rows.withColumns({"first_at": F.struct("family_pos", "pos"), "sources": F.array(F.lit("threatfox"), F.lit(""), F.lit("x"))})
+    return rows.withColumns({"first_at": F.struct("family_pos", "pos"), "sources": F.array(F.lit("family_feed"), F.lit(""), F.lit("x"))})
 
 
 @query(
     "ioc_csv",
     f""", {PARSED_FEED}, {_FI}
-    SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, type, value, CAST(confidence_score AS VARCHAR) AS confidence, threat_type, family AS malware_family, first_seen, 'threatfox|x' AS sources FROM fi""",
+    SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, type, value, CAST(confidence_score AS VARCHAR) AS confidence, threat_type, family AS malware_family, first_seen, 'family_feed|x' AS sources FROM fi""",
     uses=FEED_USES,
 )
 def _(t):
@@ -57,14 +57,11 @@ def _actors(t):
 
 
 def _stix(t):
-    actors = _actors(t)
-    nodes = stix.stix_nodes(
-        actors, k.merged_techniques(t), k.merged_malware(t), family_indicators(t), k.merged_campaigns(t), k.NOW
-    )
-    edges = stix.stix_edges(
-        k.merged_techniques(t), k.merged_malware(t), family_indicators(t), k.merged_campaigns(t)
-    )
-    return nodes, edges
+    # nodes, edges and reports all read the merged tables
+    tech, mal = materialize(k.merged_techniques(t), "techniques"), materialize(k.merged_malware(t), "malware")
+    iocs, camp = materialize(family_indicators(t), "indicators"), materialize(k.merged_campaigns(t), "campaigns")
+    nodes = stix.stix_nodes(_actors(t), tech, mal, iocs, camp, k.NOW)
+    return nodes, stix.stix_edges(tech, mal, iocs, camp)
 
 
 _SID = lambda kind, *keys: (
@@ -182,9 +179,10 @@ def _(t):
 )
 def _(t):
     header = m.merge_scalars(t.records, ["origin", "first_seen"]).withColumns({"motivations": F.lit(""), "aliases": F.lit("")})
+    tech, rules = materialize(k.merged_techniques(t), "techniques"), materialize(matched_rules(t), "rules")
     rows = reports.report_rows(
         {
-            "overview": header, "techniques": k.merged_techniques(t), "detection": matched_rules(t), "indicators": family_indicators(t),
+            "overview": header, "techniques": tech, "detection": rules, "indicators": family_indicators(t),
             "families": fam.family_hits(t.families_used, feed(t)), "cves": m.merge_cves(t.cves), "malware": k.merged_malware(t),
             "campaigns": k.merged_campaigns(t),
         }
@@ -238,7 +236,7 @@ def _(t):
 def _(t):
     rows = t.indicators.withColumn("actor", F.concat(F.lit("NATION_"), (c("pos.doc") % 25).cast("string")))
     out = reports.playbook_rows(
-        k.merged_techniques(t), rul.lead_rules(matched_rules(t)), rows, k.merged_malware(t), m.source_ledger(t.records),
+        materialize(k.merged_techniques(t), "techniques"), rul.lead_rules(matched_rules(t)), rows, k.merged_malware(t), m.source_ledger(t.records),
         k.merged_campaigns(t), k.NOW,
     )
     return out.select("actor", "section", "c1", "c2")
@@ -264,7 +262,7 @@ def _(t):
     uses=["techniques", "rules"],
 )
 def _(t):
-    return reports.coverage_report(flagged(t))
+    return reports.coverage_report(materialize(flagged(t), "coverage"))
 
 
 def _items(t):
@@ -286,7 +284,7 @@ def _items(t):
 )
 def _(t):
     header = m.merge_scalars(t.records, ["origin"])
-    out = prof.assemble_profiles(header, _items(t), k.settings().with_(profile_part_items=400))
+    out = prof.assemble_profiles(header, materialize(_items(t), "items"), k.settings().with_(profile_part_items=400))
     ids = F.transform("techniques", lambda j: F.get_json_object(j, "$.technique_id"))
     return out.select(
         "actor", c("part").cast("bigint").alias("part"), "n_parts", k.joined(ids).alias("technique_ids"),
@@ -303,7 +301,7 @@ def _(t):
 )
 def _(t):
     header = m.merge_scalars(t.records, ["origin"])
-    nested = prof.assemble_profiles(header, _items(t), k.settings()).withColumn("actor_slug", labels.file_slug(c("actor")))
+    nested = prof.assemble_profiles(header, materialize(_items(t), "items"), k.settings()).withColumn("actor_slug", labels.file_slug(c("actor")))
     path = scratch_path(t.spark, "profiles")
     profiles.write_profiles_json(nested, path)
     back = t.spark.read.schema(

@@ -107,7 +107,7 @@ def freshness(
 
 def within_lookback(c: Column, as_of, days: int) -> Column:
     """True for articles inside the window; undated or unreadable ones stay."""
-    ts = F.when(strip(c).rlike(r"^\d{4}-"), strip(c).try_cast("timestamp"))
+    ts = F.when(strip(c).rlike(r"^\d{4}-\d{2}-\d{2}"), strip(c).try_cast("timestamp"))
     cutoff = as_ts(as_of) - F.make_dt_interval(F.lit(days))
     return ts.isNull() | (ts >= cutoff)
 

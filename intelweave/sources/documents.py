@@ -92,9 +92,17 @@ def _feed(df: DataFrame) -> DataFrame:
 
 
 def _items() -> Column:
-    none = F.lit(None)
     inside, beside = F.col("_doc.channel.item"), F.col("_doc.item")
-    return F.coalesce(F.concat(inside, beside), inside, beside, none)
+    return F.coalesce(F.concat(inside, beside), inside, beside)
+
+
+def _either(a: Column, b: Column) -> Column:
+    return F.coalesce(F.nullif(_text(a), F.lit("")), _text(b))
+
+
+def _link(entry: Column) -> Column:
+    """Address of the first link of an Atom entry."""
+    return F.coalesce(F.try_element_at(entry["link"], F.lit(1))["_href"], F.lit(""))
 
 
 def parse_articles(df: DataFrame, keep=("feed",), summary_chars: int | None = None) -> DataFrame:
@@ -104,32 +112,31 @@ def parse_articles(df: DataFrame, keep=("feed",), summary_chars: int | None = No
     before the tags go; by default whole bodies are kept.
     """
     cut = (lambda c: F.left(c, F.lit(summary_chars))) if summary_chars else (lambda c: c)
-    either = lambda a, b: F.coalesce(F.nullif(_text(a), F.lit("")), _text(b))
-    doc = _feed(df)
-    rss = doc.select(*keep, F.posexplode(_items()).alias("item_pos", "i")).select(
-        *keep, F.lit(0).alias("kind"), "item_pos",
-        _text("i.title").alias("title"),
-        either("i.link", "i.guid").alias("url"),
-        either("i.pubDate", "i.`dc:date`").alias("date"),
-        either("i.`content:encoded`", "i.description").alias("summary"),
+    row = lambda kind, title, url, date, summary: F.struct(
+        F.lit(kind).alias("kind"), title.alias("title"), url.alias("url"), date.alias("date"), summary.alias("summary")
     )
-    atom = doc.select(*keep, F.posexplode("_doc.entry").alias("item_pos", "i")).select(
-        *keep, F.lit(1).alias("kind"), "item_pos",
-        _text("i.title").alias("title"),
-        F.coalesce(F.try_element_at("i.link", F.lit(1))["_href"], F.lit("")).alias("url"),
-        either("i.published", "i.updated").alias("date"),
-        either("i.content", "i.summary").alias("summary"),
+    rss = F.transform(
+        _items(),
+        lambda i: row(
+            "rss", _text(i["title"]), _either(i["link"], i["guid"]), _either(i["pubDate"], i["dc:date"]),
+            _either(i["content:encoded"], i["description"]),
+        ),
     )
-    return (
-        rss.unionByName(atom)
-        .filter("title <> '' or url <> ''")
-        .withColumns(
-            {
-                "title": text.strip_html(F.col("title")),
-                "date": dates.article_date(F.col("date")),
-                "summary": text.strip_html(cut(F.col("summary"))),
-            }
-        )
+    atom = F.transform(
+        "_doc.entry",
+        lambda e: row(
+            "atom", _text(e["title"]), _link(e), _either(e["published"], e["updated"]), _either(e["content"], e["summary"])
+        ),
+    )
+    # one pass over the parsed document for both forms
+    entries = F.coalesce(F.concat(rss, atom), rss, atom)
+    rows = _feed(df).select(*keep, F.posexplode(entries).alias("item_pos", "a")).select(*keep, "item_pos", "a.*")
+    return rows.filter("title <> '' or url <> ''").withColumns(
+        {
+            "title": text.strip_html(F.col("title")),
+            "date": dates.article_date(F.col("date")),
+            "summary": text.strip_html(cut(F.col("summary"))),
+        }
     )
 
 
@@ -141,23 +148,23 @@ def read_articles(spark: SparkSession, path, **opts) -> DataFrame:
 
 def parse_advisories(df: DataFrame, keep=("feed",)) -> DataFrame:
     """Advisories of RSS items; of Atom entries only where there is no item."""
-    doc = _feed(df).withColumn("_items", _items())
-    rss = doc.select(*keep, F.posexplode("_items").alias("item_pos", "i")).select(
-        *keep, "item_pos",
-        _text("i.title").alias("title"), _text("i.link").alias("url"), _text("i.pubDate").alias("date"),
-        _text("i.description").alias("summary"), _text("i.description").alias("description"),
-        _text("i.description").alias("body"),
-        _text(F.try_element_at("i.category", F.lit(1))).alias("tags"),
+    row = lambda title, url, date, summary, body, tags: F.struct(
+        title.alias("title"), url.alias("url"), date.alias("date"), summary.alias("summary"),
+        summary.alias("description"), body.alias("body"), tags.alias("tags"),
+    )
+    rss = F.transform(
+        _items(),
+        lambda i: row(
+            _text(i["title"]), _text(i["link"]), _text(i["pubDate"]), _text(i["description"]), _text(i["description"]),
+            _text(F.try_element_at(i["category"], F.lit(1))),
+        ),
     )
-    no_items = F.coalesce(F.size("_items"), F.lit(0)) <= 0
-    atom = doc.filter(no_items).select(*keep, F.posexplode("_doc.entry").alias("item_pos", "i")).select(
-        *keep, "item_pos",
-        _text("i.title").alias("title"),
-        F.coalesce(F.try_element_at("i.link", F.lit(1))["_href"], F.lit("")).alias("url"),
-        _text("i.updated").alias("date"), _text("i.summary").alias("summary"),
-        _text("i.summary").alias("description"), _text("i.content").alias("body"), F.lit("").alias("tags"),
+    atom = F.transform(
+        "_doc.entry",
+        lambda e: row(_text(e["title"]), _link(e), _text(e["updated"]), _text(e["summary"]), _text(e["content"]), F.lit("")),
     )
-    return rss.unionByName(atom)
+    entries = F.when(F.coalesce(F.size(rss), F.lit(0)) > 0, rss).otherwise(atom)
+    return _feed(df).select(*keep, F.posexplode(entries).alias("item_pos", "a")).select(*keep, "item_pos", "a.*")
 
 
 def read_advisory_feed(spark: SparkSession, path) -> DataFrame:
