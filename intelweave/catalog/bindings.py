@@ -302,6 +302,8 @@ class Tables:
     """The given tables and the bindings as DataFrames, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        # naive timestamps in the payloads are UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 

@@ -2,6 +2,8 @@
 
 import csv
 import json
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -135,6 +137,12 @@ def test_contract(spark):
     assert contract.entry(spark).limit(5).count() > 0
 
 
+def test_sql_needs_no_session():
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; assert len(e.oracle_sql()) > 150 and len(e.queries()) > 150"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
 # one query per module; tools/check.py runs all of them
 SAMPLE = [
     "actor_indicators", "merge_techniques", "merge_malware", "pulse_iocs", "resolve_canonical", "text_mentions", "match_repos",
