@@ -222,9 +222,16 @@ def parse_family_feed(df: DataFrame, keep=("family",)) -> DataFrame:
 # --- rules -------------------------------------------------------------------------
 
 
+def _plain(raw: Column) -> Column:
+    """Value of a one-line scalar: quotes dropped, or the comment behind a bare value."""
+    v = text.strip(raw)
+    quoted = F.regexp_extract(v, r"^(['\"])(.*?)\1(?:[ \t]+#.*)?$", 2)
+    bare = text.strip(F.regexp_replace(v, r"(^|[ \t]+)#.*$", ""))
+    return F.when(v.rlike("^['\"]"), quoted).otherwise(bare)
+
+
 def _scalar(content: Column, key: str) -> Column:
-    raw = F.regexp_extract(content, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1)
-    return F.btrim(text.strip(raw), F.lit("'\""))
+    return _plain(F.regexp_extract(content, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1))
 
 
 def _block(content: Column, key: str) -> Column:
@@ -232,23 +239,38 @@ def _block(content: Column, key: str) -> Column:
     return F.regexp_extract(content, rf"(?m)^{key}:[ \t]*\n((?:[ \t]+.*\n?|-.*\n?|[ \t]*\n)*)", 1)
 
 
+def _tags(content: Column) -> Column:
+    """Tags as a dashed list or as a bracketed one."""
+    dashed = F.regexp_extract_all(_block(content, "tags"), F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1))
+    inline = F.split(F.regexp_extract(content, r"(?m)^tags:[ \t]*\[([^\]]*)\]", 1), ",")
+    listed = F.when(F.size(dashed) > 0, dashed).otherwise(inline)
+    return F.filter(F.transform(listed, lambda t: F.lower(_plain(t))), lambda t: t != "")
+
+
+def _condition(content: Column) -> Column:
+    """Detection condition, on its own line or as an indented block below it."""
+    block = _block(content, "detection")
+    below = F.regexp_extract(
+        block, r"(?m)^([ \t]+)condition:[ \t]*[|>][+-]?[ \t]*\n((?:\1[ \t]+.*\n?|[ \t]*\n)+)", 2
+    )
+    inline = _plain(F.regexp_extract(block, r"(?m)^[ \t]+condition:[ \t]*(.*?)[ \t]*$", 1))
+    return F.when(below != "", below).otherwise(inline)
+
+
 def parse_rules(df: DataFrame, base_url: str = "") -> DataFrame:
     """Rule rows from (path, content) of rule files; files without a title are dropped."""
     content = F.concat(F.regexp_replace("content", "\r\n?", "\n"), F.lit("\n"))
-    tags = F.regexp_extract_all(_block(content, "tags"), F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1))
     logsource = F.regexp_extract_all(
         _block(content, "logsource"), F.lit(r"(?m)^[ \t]+(?:category|product|service):[ \t]*(\S.*?)[ \t]*$"), F.lit(1)
     )
-    unquoted = lambda c: F.btrim(c, F.lit("'\""))
-    condition = F.regexp_extract(_block(content, "detection"), r"(?m)^[ \t]+condition:[ \t]*(.*?)[ \t]*$", 1)
     out = df.select(
         "path",
         _scalar(content, "title").alias("title"),
         F.lower(_scalar(content, "level")).alias("level"),
         F.lower(_scalar(content, "status")).alias("status"),
-        F.transform(tags, lambda t: F.lower(unquoted(t))).alias("tags"),
-        logsource_text(F.transform(logsource, unquoted)).alias("logsource"),
-        text.condition_summary(unquoted(condition)).alias("condition_summary"),
+        _tags(content).alias("tags"),
+        logsource_text(F.transform(logsource, _plain)).alias("logsource"),
+        text.condition_summary(_condition(content)).alias("condition_summary"),
         F.concat(F.lit(base_url), F.col("path")).alias("url"),
     )
     return out.filter("title <> ''")

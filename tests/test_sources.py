@@ -112,6 +112,16 @@ def test_rules_and_corpus(spark, tmp_path):
     assert doc.read_rule_corpus(spark, str(root)).count() == 3
 
 
+def test_rule_spellings(spark):
+    body = (
+        "title: It's \"odd\"  # note\r\nlevel: 'High' # c\ntags: [attack.T1003, \"x.y\", ]\nlogsource:\n    service: sysmon # s\n"
+        "detection:\n    a: 1\n    condition: |\n        one of a*\n        and not b\n    timeframe: 5m\n"
+    )
+    r = doc.parse_rules(spark.createDataFrame([("p.yml", body)], "path string, content string")).first()
+    assert (r.title, r.level, r.tags, r.logsource) == ("It's \"odd\"", "high", ["attack.t1003", "x.y"], "sysmon")
+    assert r.condition_summary == "one of a* and not b"
+
+
 def test_campaign_reports(spark, tmp_path):
     (tmp_path / "Grey Heron").mkdir()
     (tmp_path / "Grey Heron" / "first_look-1.md").write_text("no heading\n" * 6 + "# late heading\n")
