@@ -1,8 +1,8 @@
 """Merging entities across sources, with provenance-based confidence.
 
-All merges run in two aggregation levels: per (key, source), then per key.  The
-first level collapses on the map side, so what reaches a key in the second is
-at most one row per source, however often the item was reported.
+A merge is one aggregation per key.  Everything it keeps per key is bounded (one
+row, one value per field, one entry per source), so each map task sends at most
+one small buffer per key, however often an item was reported.
 """
 
 from __future__ import annotations
@@ -24,30 +24,26 @@ def merge_entities(
 
     ``keep`` columns come from the first row as a whole, each ``fill`` column
     from the first row where it carries something.  Adds ``first_at`` (merge
-    order) and ``sources`` (source ids by first appearance).
+    order) and ``sources`` (source ids by first appearance).  The first order
+    column ranks the sources, so the order of their ranks is that of their
+    first appearance.
     """
     keyed = df.withColumns(keys)
     first = order_key(order)
-    at = F.col("first_at")
-    per_source = keyed.groupBy(*keys, source).agg(
-        F.min(first).alias("first_at"),
-        F.min_by(F.struct(*keep), first).alias("_keep") if keep else F.lit(None).alias("_keep"),
+    merged = keyed.groupBy(*keys).agg(
+        F.min(first).alias("_first"),
+        *([F.min_by(F.struct(*keep), first).alias("_keep")] if keep else []),
         *[
             F.min(F.when(present(keyed, f), F.struct(first.alias("o"), F.col(f).alias("v")))).alias(f"_f_{f}")
             for f in fill
         ],
-    )
-    merged = per_source.groupBy(*keys).agg(
-        F.min("first_at").alias("_first"),
-        F.min_by("_keep", at).alias("_keep"),
-        *[F.min(f"_f_{f}").alias(f"_f_{f}") for f in fill],
-        F.array_sort(F.collect_list(F.struct(at.alias("o"), F.col(source).alias("s")))).alias("_src"),
+        F.array_sort(F.collect_set(F.struct(F.col(order[0]).alias("o"), F.col(source).alias("s")))).alias("_src"),
     )
     return merged.select(
         *keys,
         *[F.col(f"_keep.{c}").alias(c) for c in keep],
         *[F.col(f"_f_{f}.v").alias(f) for f in fill],
-        F.transform("_src", lambda e: e["s"]).alias("sources"),
+        F.array_distinct(F.transform("_src", lambda e: e["s"])).alias("sources"),
         F.col("_first").alias("first_at"),
     )
 
