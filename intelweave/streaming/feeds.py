@@ -73,7 +73,6 @@ def stream_readmit(df: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFr
     return (
         df.select(key, ts)
         .withWatermark(ts, "0 seconds")
-        .dropDuplicates([key, ts])
         .groupBy(key)
         .applyInPandasWithState(
             admit, f"{key} {kind}, {ts} timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
