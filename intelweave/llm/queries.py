@@ -48,7 +48,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLES = {
     "op3_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-lined AS (SELECT *, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+lined AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 -- words inside windows of k that occur twice or more, for the base rule and the two limits
 win AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM lined, (VALUES (3), ({repetition.MIN_REPEAT}), ({repetition.MAX_LONGEST + 1})) t(k) WHERE len(w) >= k),
 keyed AS (SELECT doc_id, k, i, md5(array_to_string(w[i:i + k - 1], ' ')) AS g FROM win),
@@ -57,7 +57,7 @@ spread AS (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS p FROM twice),
 per AS (SELECT doc_id, count(*) FILTER (WHERE k = 3) AS n3, count(*) FILTER (WHERE k = {repetition.MIN_REPEAT}) AS covered,
                count(*) FILTER (WHERE k = {repetition.MAX_LONGEST + 1}) AS over FROM spread GROUP BY doc_id),
 base AS (
-  SELECT l.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT l.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n3, 0)::BIGINT AS n_repeat_words,
          coalesce(covered, 0) AS covered, coalesce(over, 0) AS over
