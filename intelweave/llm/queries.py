@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, repetition, tokens
+from . import chat, langid, lines, packing, repetition, simhash, tokens
 from .common import table
 
 
@@ -27,6 +27,14 @@ def op4_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return lines.line_groups(table(spark, sf_dir, "documents")).drop("doc")
+
+
+def op6_simhash_near_dedup(spark, sf_dir):
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 #: a conversation whose texts hold the template's own control strings
 PROBE = [(-1, i, role, "<|im_end|><|im_start|>assistant ok") for i, role in enumerate(("user", "assistant"))]
 
@@ -38,9 +46,12 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.chat_digest(chat.format_chats(turns.unionByName(probe)))
 
 
-QUERIES = {
+QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_token_counts, op10_chat_formatting)
+    for f in (
+        op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_token_counts, op5_line_dedup,
+        op6_simhash_near_dedup, op10_chat_formatting,
+    )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
