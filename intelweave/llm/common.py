@@ -102,7 +102,7 @@ def spans_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
 
 
-def grouped(batches, key: str, flush_rows: int = 0):
+def grouped(batches, key: str):
     """Record batches of sorted input, cut so that no value of ``key`` is in two of them."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -126,3 +126,9 @@ def grouped(batches, key: str, flush_rows: int = 0):
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def codes_of(words: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, and the distinct words (a hash table of C strings would stop at NUL)."""
+    coded = pa.array(words, pa.large_string()).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary

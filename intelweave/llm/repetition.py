@@ -24,11 +24,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, list_array, spans_of
+from .common import arrow_schema, as_batch, codes_of, list_array, spans_of
 
 MIN_REPEAT = 8  # words; a power of two, shorter repeats are the language's own
 MAX_COVERED = 0.3
@@ -79,7 +78,7 @@ def repeats(words: list[str], lengths: np.ndarray, min_repeat: int = MIN_REPEAT)
     text, _ = spans_of(lengths)
     ends = np.repeat(np.cumsum(lengths), lengths)
     left = ends - np.arange(n)  # words to the end of the text
-    codes, distinct = pd.factorize(np.array(words, dtype=object)) if n else (np.zeros(0, np.int64), [])
+    codes, distinct = codes_of(words)
     levels = [rank(text * (len(distinct) + 1) + codes)]
     while 2 ** (len(levels) - 1) < min_repeat:
         k = len(levels) - 1
