@@ -132,3 +132,15 @@ def codes_of(words: list[str]) -> tuple[np.ndarray, pa.Array]:
     """A number for each word, and the distinct words (a hash table of C strings would stop at NUL)."""
     coded = pa.array(words, pa.large_string()).dictionary_encode()
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def bounded_sample(rows: DataFrame, key, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest hash of ``key`` (fewer if there are fewer).
+
+    Rows whose hash is beyond what n rows can be expected to need are left out
+    first, so that tasks send a few times n rows in all, however many they are.
+    """
+    total = rows.count()
+    share = min(1.0, 4 * (n + 100) / max(total, 1))
+    low = F.col("__h") <= int((share - 0.5) * 2**64) if share < 1 else F.lit(True)
+    return rows.withColumn("__h", F.xxhash64(key)).filter(low).orderBy("__h", *rows.columns).limit(n).drop("__h")

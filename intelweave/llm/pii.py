@@ -10,8 +10,8 @@ single outside tokens and entities.  Entities of the best cut whose marginal
 probability is ``MIN_MARGIN`` or more and that touch no base span are added.
 
 It is trained by the exact gradient (forward-backward over
-segments) on a bounded sample: TRAIN_CLUSTERS clusters, those with the smallest
-hash, labelled by the base patterns, and once more with each base span written
+segments) on a bounded sample: TRAIN_CLUSTERS documents with a digit or an @,
+those with the smallest hash, and as many clusters of theirs, labelled by the base patterns, and once more with each base span written
 the ways people hide them (no country code, "at" and "dot", bracketed dots),
 which is what the patterns alone miss.
 
@@ -31,7 +31,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch
+from .common import arrow_schema, as_batch, bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 18
@@ -296,19 +296,20 @@ def hidden_example(text: str, base) -> tuple | None:
 
 def training_pieces(docs: DataFrame, clusters_wanted: int = TRAIN_CLUSTERS) -> list[str]:
     """Pieces of text, one for each sampled cluster: a bounded number of bounded length."""
+    with_digits = bounded_sample(docs.select("text").filter(F.col("text").rlike("[0-9@]")), "text", clusters_wanted)
 
     def run(batches):
         schema = arrow_schema("piece string, h long")
         for batch in batches:
             pieces = []
             for t in batch.column("text").to_pylist():
-                for c in clusters(t or "")[:20]:
+                for c in clusters(t)[:20]:
                     if len(c) <= 60:
                         pieces.append(t[c[0][0] : c[-1][1]])
             h = [int.from_bytes(hashlib.md5(p.encode("utf-8", "replace")).digest()[:7], "big") for p in pieces]
             yield as_batch({"piece": pieces, "h": h}, schema)
 
-    sample = docs.select("text").mapInArrow(run, "piece string, h long")
+    sample = with_digits.mapInArrow(run, "piece string, h long")
     return [r.piece for r in sample.distinct().orderBy("h", "piece").limit(clusters_wanted).collect()]
 
 

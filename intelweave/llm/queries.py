@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, lines, packing, repetition, simhash, tokens
+from . import chat, langid, lines, packing, pages, pii, repetition, simhash, tiling, tokens
 from .common import table
 
 
@@ -35,6 +35,18 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark, sf_dir):
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc")
+
+
+def op8_html_extraction(spark, sf_dir):
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 #: a conversation whose texts hold the template's own control strings
 PROBE = [(-1, i, role, "<|im_end|><|im_start|>assistant ok") for i, role in enumerate(("user", "assistant"))]
 
@@ -46,11 +58,18 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.chat_digest(chat.format_chats(turns.unionByName(probe)))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_token_counts, op5_line_dedup,
-        op6_simhash_near_dedup, op10_chat_formatting,
+        op6_simhash_near_dedup, op7_benchmark_decontamination, op8_html_extraction, op9_personal_data,
+        op10_chat_formatting, pipeline,
     )
 }
 

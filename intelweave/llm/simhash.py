@@ -237,3 +237,19 @@ def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     named = named.join(names, "root").select("print", "component_id")
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return marked.join(named, "print").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id, then the smallest hash of the row.
+
+    Rows that repeat a document (same doc_id and text) are one document; one row of it stays.
+    """
+    row = F.xxhash64("doc_id", "text")
+    groups = simhash_groups(docs.select(row.alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("__row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    marked = docs.withColumn("__row", row)
+    first = (
+        groups.distinct().join(marked.select("__row", "doc_id").distinct(), "__row")
+        .groupBy("component_id").agg(F.min(place)["__row"].alias("__row")).select("__row")
+    )
+    return marked.join(first, "__row", "leftsemi").dropDuplicates(["__row"]).select(*docs.columns)
