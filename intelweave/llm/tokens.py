@@ -27,22 +27,69 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, flat_list, grouped, list_array, spans_of
+from .common import arrow_schema, as_batch, codes_of, spans_of
 
 MODEL = "piece_bpe_32k.model"
 #: sums held per task before they are sent on
 HELD_SUMS = 4_000_000
 
 PRE_TOKEN = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-INDEX = "token string, block long, docs array<int>, counts array<int>, ids array<long>, sizes array<long>"
-SUMS = "block long, docs array<int>, counts array<long>, ids array<long>, sizes array<long>"
+#: documents of a block, at most; their numbers fit two bytes
+BLOCK_DOCS = 32_768
+#: token null: the block's side row, with its ids and sizes
+INDEX = "token string, block long, posts binary"
+SUMS = "block long, side boolean, posts binary"
+COUNTED = np.uint16(0xFFFF)
+
+
+def binary_column(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Rows of ``lengths`` items of a flat array, as binary."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths * flat.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())])
+
+
+def binary_items(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all rows end to end, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy()
+    return data.view(dtype), np.diff(offsets) // np.dtype(dtype).itemsize
+
+
+def write_posts(docs: np.ndarray, counts: np.ndarray, per_row: np.ndarray) -> pa.Array:
+    """Postings, two bytes a number: documents alone where all counts are one, else a mark, documents, counts."""
+    starts = np.cumsum(per_row) - per_row
+    counted = np.maximum.reduceat(counts, starts) > 1
+    lengths = np.where(counted, 2 * per_row + 1, per_row)
+    first = np.cumsum(lengths) - lengths
+    flat = np.empty(int(lengths.sum()), np.uint16)
+    owner, place = spans_of(per_row)
+    at = first[owner] + place + counted[owner]
+    flat[first[counted]] = COUNTED
+    flat[at] = docs
+    also = counted[owner]
+    flat[at[also] + per_row[owner[also]]] = counts[also]
+    return binary_column(flat, lengths)
+
+
+def read_posts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, counts and the postings of each row."""
+    flat, lengths = binary_items(column, np.uint16)
+    first = np.cumsum(lengths) - lengths
+    counted = flat[first] == COUNTED
+    per_row = np.where(counted, (lengths - 1) // 2, lengths)
+    owner, place = spans_of(per_row)
+    at = first[owner] + place + counted[owner]
+    also = counted[owner]
+    counts = np.ones(len(owner), np.int64)
+    counts[also] = flat[at[also] + per_row[owner[also]]]
+    return flat[at].astype(np.int64), counts, per_row
 
 
 @lru_cache(maxsize=2)
@@ -86,46 +133,56 @@ def count_pieces(tokens: list[str], path: str) -> np.ndarray:
     return np.array([(len(x) if t != " " else 1) if s else len(x) - 2 for x, s, t in zip(ids, spaced, tokens)], np.int64)
 
 
+def _numbered(column, at_once: int = 500):
+    """A number for each pre-token of all texts, its text, and the distinct pre-tokens; strings of few texts at a time."""
+    codes, owners, tables, known = [], [], [], 0
+    for a in range(0, len(column), at_once):
+        words, lengths = [], []
+        for t in column.slice(a, at_once).to_pylist():
+            w = pre_tokens(t) if t else []
+            lengths.append(len(w))
+            words += w
+        some, table = codes_of(words)
+        codes.append((some + known).astype(np.int32))
+        owners.append(np.repeat(np.arange(a, a + len(lengths), dtype=np.int32), lengths))
+        tables.append(table)
+        known += len(table)
+    if not known:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    merged = pa.concat_arrays(tables).dictionary_encode()
+    codes = merged.indices.to_numpy().astype(np.int64)[np.concatenate(codes)]
+    return codes, np.concatenate(owners), merged.dictionary
+
+
 def _index(batches):
     schema = arrow_schema(INDEX)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    for number, batch in enumerate(batches):
-        n = batch.num_rows
-        if not n:
-            continue
-        block = (part << 32) + number
-        texts = batch.column("text").to_pylist()
-        words, lengths = [], np.zeros(n, np.int64)
-        for i, t in enumerate(texts):
-            w = pre_tokens(t) if t else []
-            lengths[i] = len(w)
-            words += w
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
-        side = {
-            "token": pa.nulls(1, pa.string()), "block": [block], "docs": [[]], "counts": [[]],
-            "ids": list_array(np.zeros(0, np.int64), np.zeros(1, int)),
-            "sizes": pa.ListArray.from_arrays([0, n], sizes),
-        }
-        side["ids"] = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column("doc_id").cast(pa.int64()))
-        yield as_batch(side, schema)
-        if not words:
-            continue
-        codes, distinct = pd.factorize(np.array(words, dtype=object))
-        owner = np.repeat(np.arange(n), lengths)
-        cells, counts = np.unique(codes.astype(np.int64) * n + owner, return_counts=True)
-        per_token = np.bincount(cells // n, minlength=len(distinct))
-        empty = np.zeros(len(distinct), int)
-        yield as_batch(
-            {
-                "token": pa.array(distinct, pa.string()),
-                "block": np.full(len(distinct), block),
-                "docs": list_array((cells % n).astype(np.int32), per_token),
-                "counts": list_array(counts.astype(np.int32), per_token),
-                "ids": list_array(np.zeros(0, np.int64), empty),
-                "sizes": list_array(np.zeros(0, np.int64), empty),
-            },
-            schema,
-        )
+    number = 0
+    for whole in batches:
+        for cut in range(0, whole.num_rows, BLOCK_DOCS):
+            batch = whole.slice(cut, BLOCK_DOCS)
+            n, block, number = batch.num_rows, (part << 32) + number, number + 1
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0)
+            ids = batch.column("doc_id")
+            side = np.concatenate([ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(False), sizes.to_numpy()]).astype(np.int64)
+            yield as_batch({"token": pa.nulls(1, pa.string()), "block": [block], "posts": [side.tobytes()]}, schema)
+            codes, owner, distinct = _numbered(batch.column("text"))
+            if not len(codes):
+                continue
+            cells, counts = np.unique(codes * n + owner, return_counts=True)
+            del codes, owner
+            # a count beyond two bytes is several postings
+            more = -(-counts // 65535)
+            cells, nth = np.repeat(cells, more), spans_of(more)[1]
+            counts = np.minimum(np.repeat(counts, more) - 65535 * nth, 65535)
+            per_token = np.bincount(cells // n, minlength=len(distinct))
+            yield as_batch(
+                {
+                    "token": distinct, "block": np.full(len(distinct), block),
+                    "posts": write_posts(cells % n, counts, per_token),
+                },
+                schema,
+            )
 
 
 def _count(path: str):
@@ -137,20 +194,15 @@ def _count(path: str):
         def sums():
             for block, totals in held.items():
                 docs = np.flatnonzero(totals)
-                yield as_batch(
-                    {
-                        "block": [block], "docs": list_array(docs.astype(np.int32), np.array([len(docs)])),
-                        "counts": list_array(totals[docs], np.array([len(docs)])), "ids": [[]], "sizes": [[]],
-                    },
-                    schema,
-                )
+                posts = docs.astype(np.uint16).tobytes() + totals[docs].astype(np.uint64).tobytes()
+                yield as_batch({"block": [block], "side": [False], "posts": [posts]}, schema)
 
         last, last_n = None, 0
         for batch in batches:
             tokens = batch.column("token")
             sides = batch.filter(pc.is_null(tokens))
             if sides.num_rows:
-                yield as_batch({k: sides.column(k) for k in schema.names}, schema)
+                yield as_batch({"block": sides.column("block"), "side": [True] * sides.num_rows, "posts": sides.column("posts")}, schema)
             batch = batch.filter(pc.is_valid(tokens))
             if not batch.num_rows:
                 continue
@@ -164,8 +216,7 @@ def _count(path: str):
                 pieces = np.concatenate([[last_n], pieces])
             last, last_n = runs[-1], pieces[-1]
             per_row = np.repeat(pieces, np.diff(ends, prepend=0))
-            docs, lengths = flat_list(batch.column("docs"))
-            counts, _ = flat_list(batch.column("counts"))
+            docs, counts, lengths = read_posts(batch.column("posts"))
             weighted = counts * np.repeat(per_row, lengths)
             blocks = np.repeat(batch.column("block").to_numpy(), lengths)
             order = np.argsort(blocks, kind="stable")
@@ -190,30 +241,32 @@ def _count(path: str):
 
 
 def _gather(limit: int, columns: str):
+    def block_rows(side: bytes, parts: list[bytes], schema):
+        n = len(side) // 24
+        ids, null, sizes = np.frombuffer(side, np.int64).reshape(3, n)
+        totals = np.zeros(n, np.int64)
+        for x in parts:
+            k = len(x) // 10
+            docs = np.frombuffer(x, np.uint16, k)
+            totals[docs] += np.frombuffer(x[2 * k :], np.uint64, k).astype(np.int64)
+        out = {"doc_id": pa.array(ids, mask=null.astype(bool)), "n_bytes": sizes, "n_tokens": totals}
+        return as_batch(out | {"over_limit": totals > limit}, schema)
+
     def run(batches):
         schema = arrow_schema(columns)
-        for rows in grouped(batches, "block"):
-            blocks = rows.column("block").combine_chunks().to_numpy()
-            ids, sizes = rows.column("ids").combine_chunks(), rows.column("sizes").combine_chunks()
-            docs, n_docs = flat_list(rows.column("docs").combine_chunks())
-            counts, _ = flat_list(rows.column("counts").combine_chunks())
-            _, block = np.unique(blocks, return_inverse=True)
-            per_row = ids.value_lengths().to_numpy(zero_copy_only=False)
-            room = np.bincount(block, weights=per_row).astype(np.int64)
-            starts = np.cumsum(room) - room
-            totals = np.bincount(np.repeat(starts[block], n_docs) + docs, weights=counts, minlength=int(room.sum())).astype(np.int64)
-            # side rows, in the order of their blocks
-            side = np.flatnonzero(per_row)
-            side = side[np.argsort(block[side], kind="stable")]
-            yield as_batch(
-                {
-                    "doc_id": ids.take(pa.array(side)).flatten(),
-                    "n_bytes": sizes.take(pa.array(side)).flatten(),
-                    "n_tokens": totals,
-                    "over_limit": totals > limit,
-                },
-                schema,
-            )
+        block, side, parts = None, None, []
+        for batch in batches:
+            for b, is_side, posts in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "posts"))):
+                if b != block:
+                    if block is not None:
+                        yield block_rows(side, parts, schema)
+                    block, side, parts = b, None, []
+                if is_side:
+                    side = posts
+                else:
+                    parts.append(posts)
+        if block is not None:
+            yield block_rows(side, parts, schema)
 
     return run
 
