@@ -26,6 +26,7 @@ columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from functools import lru_cache
 
@@ -43,6 +44,9 @@ LARGE = (0.25, 0.45)  # of the capacity: shorter pieces are packed by best fit;
 SALTS = 1024
 CACHE = 1_000_000  # distinct strings a worker keeps the ids of
 MARK = "\ue000"  # stands between strings that are encoded together; one that holds it is encoded alone
+#: letters that stay one letter in NFC and lower case
+PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+").fullmatch
+APART = re.compile("(?<=[a-zA-ZÀ-ÖØ-öø-ÿ])([.,])(?=[ \n]|$(?!\n))")
 _KNOWN: dict[str, bytes] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
@@ -68,31 +72,48 @@ def encoder(path: str):
 
     No token and no normalisation of this tokenizer reaches across a space or a
     line feed, so a text's ids are those of the strings between them; each
-    distinct one is encoded once while the cache holds it.
+    distinct one is encoded once while the cache holds it.  To have fewer
+    distinct ones, ASCII texts are put in lower case, as the tokenizer does,
+    and a full stop or comma between a Latin letter and a space is set apart:
+    the tokenizer splits there as well.
     """
     tok = tokenizer(path)
     mark = np.array(tok.encode(MARK, add_special_tokens=False).ids, "<u4")
-    between = f" {MARK} "
+    ends_word = np.zeros(tok.get_vocab_size(), bool)
+    ends_word[[i for piece, i in tok.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def cut(flat: bytes, strings, starts, stops) -> None:
+        for c, x, y in zip(strings, starts, stops, strict=True):
+            _KNOWN[c] = flat[4 * x : 4 * y]
+
+    def learn(new: list[str]) -> None:
+        # one run of letters is one word of the tokenizer, and its last token says so
+        plain, marked = [], []
+        for c in new:
+            if MARK in c:
+                _KNOWN[c] = np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                (plain if c.isalpha() and (c.isascii() or PLAIN(c)) else marked).append(c)
+        for a in range(0, len(plain), 2000):
+            some = plain[a : a + 2000]
+            ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(ends_word[ids]) + 1
+            cut(ids.tobytes(), some, [0, *stops[:-1]], stops)
+        for a in range(0, len(marked), 2000):
+            some = marked[a : a + 2000]
+            ids = np.array(tok.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, "<u4")
+            hit = np.ones(max(len(ids) - len(mark) + 1, 0), bool)
+            for k, m in enumerate(mark):
+                hit &= ids[k : k + len(hit)] == m
+            at = np.flatnonzero(hit)
+            cut(ids.tobytes(), some, [0, *(at + len(mark))], [*at, len(ids)])
 
     def encode(texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        chunks = [APART.sub(r" \1", t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         wanted = set().union(*chunks)
         if len(_KNOWN) + len(wanted) > CACHE:
             _KNOWN.clear()
-        new = [c for c in wanted if c not in _KNOWN]
-        alone = [c for c in new if MARK in c]
-        for c, got in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False)):
-            _KNOWN[c] = np.array(got.ids, "<u4").tobytes()
-        new = [c for c in new if MARK not in c]
-        for a in range(0, len(new), 2000):
-            some = new[a : a + 2000]
-            ids = np.array(tok.encode(between.join(some), add_special_tokens=False).ids, "<u4")
-            hit = np.ones(max(len(ids) - len(mark) + 1, 0), bool)
-            for k, m in enumerate(mark):
-                hit &= ids[k : k + len(hit)] == m
-            flat, at = ids.tobytes(), np.flatnonzero(hit)
-            for c, x, y in zip(some, [0, *(at + len(mark))], [*at, len(ids)], strict=True):
-                _KNOWN[c] = flat[4 * x : 4 * y]
+        learn([c for c in wanted if c not in _KNOWN])
         return [b"".join([_KNOWN[c] for c in cs]) for cs in chunks]
 
     return encode
