@@ -204,8 +204,7 @@ parsed AS (
     coalesce(nullif(malware, ''), nullif(malware_printable, ''), '') AS malware
   FROM family_feed_raw),
 feed AS (SELECT *, threat_label || CASE WHEN malware <> '' THEN ' — ' || malware ELSE '' END AS description FROM parsed WHERE type IS NOT NULL AND value IS NOT NULL),
-capped AS (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY family ORDER BY pos) <= 45),
-matched AS (SELECT u.actor, u.pos AS family_pos, c.* FROM families_used u JOIN capped c ON u.name = c.family),
+matched AS (SELECT u.actor, u.pos AS family_pos, c.* FROM families_used u JOIN feed c ON u.name = c.family),
 hits AS (SELECT actor, family, count(*) AS hits, min(family_pos) AS family_pos FROM matched GROUP BY actor, family)"""
 FEED_USES = ["family_feed_raw", "families_used"]
 
@@ -221,7 +220,7 @@ def _(t):
 
 RULES_SQL = """
 tagged AS (SELECT upper(tag_id) AS technique_id, path, title, level, CASE level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'informational' THEN 4 ELSE 99 END AS lr FROM rules WHERE title <> ''),
-best AS (SELECT *, row_number() OVER (PARTITION BY technique_id ORDER BY lr, title, path) AS rule_rank FROM tagged QUALIFY rule_rank <= 10),
+best AS (SELECT *, row_number() OVER (PARTITION BY technique_id ORDER BY lr, title, path) AS rule_rank, count(*) OVER (PARTITION BY technique_id) AS technique_rules FROM tagged QUALIFY rule_rank <= 10),
 wanted AS (SELECT DISTINCT actor, technique_id FROM techniques),
 hit AS (SELECT w.actor, b.* FROM wanted w JOIN best b USING (technique_id))"""
 
@@ -234,7 +233,7 @@ def matched_rules(t):
 
 @query(
     "rule_counts",
-    f""", {RULES_SQL} SELECT actor, technique_id, count(*) AS rule_count FROM hit GROUP BY actor, technique_id""",
+    f""", {RULES_SQL} SELECT actor, technique_id, max(technique_rules) AS rule_count FROM hit GROUP BY actor, technique_id""",
     uses=["techniques", "rules"],
 )
 def _(t):
@@ -243,7 +242,7 @@ def _(t):
 
 @query(
     "rule_total",
-    f""", {RULES_SQL} SELECT actor, count(*) AS rule_count FROM hit GROUP BY actor""",
+    f""", {RULES_SQL} SELECT actor, CAST(sum(technique_rules) AS BIGINT) AS rule_count FROM hit WHERE rule_rank = 1 GROUP BY actor""",
     uses=["techniques", "rules"],
 )
 def _(t):
@@ -330,8 +329,7 @@ def _(t):
 
 @query(
     "best_description",
-    """SELECT actor, CASE WHEN length(d) > 800 THEN regexp_replace(d[1:800], '\\s+$', '') || '…' ELSE d END AS description FROM (
-         SELECT actor, first(description ORDER BY subscriber_count DESC, pulse_pos) AS d FROM pulses GROUP BY actor) x""",
+    "SELECT actor, first(description ORDER BY subscriber_count DESC, pulse_pos) AS description FROM pulses GROUP BY actor",
     uses=["pulses"],
 )
 def _(t):
@@ -379,7 +377,7 @@ uniq AS (SELECT actor, value, first(type ORDER BY doc, item) AS type, min(row(do
 @query(
     "pulse_iocs",
     f""", {_UNIQUE_PULSE_IOCS}
-    SELECT actor, type, value FROM uniq QUALIFY row_number() OVER (PARTITION BY actor, type ORDER BY o) <= 10""",
+    SELECT actor, type, value FROM uniq""",
     uses=["indicators"],
 )
 def _(t):

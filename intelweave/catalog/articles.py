@@ -25,10 +25,14 @@ scored AS (SELECT a.*, c.actor, c.tt, c.bh, least(100, CASE WHEN tt >= 2 THEN 55
 relevant AS (SELECT * FROM scored WHERE relevance >= 15)"""
 
 
+def relevant_ids(t):
+    """Article and actor with what ranks them; no texts."""
+    rows = art.relevant_ids(t.articles, t.feeds, t.terms, NOW)
+    return rows.join(t.feeds.select(c("name").alias("source"), "feed_pos"), "source")
+
+
 def relevant(t):
-    feeds = t.feeds
-    rows = art.relevant_articles(t.articles, feeds, t.terms, NOW)
-    return rows.join(feeds.select(c("name").alias("source"), "feed_pos"), "source")
+    return art.with_texts(relevant_ids(t), t.articles)
 
 
 @query(
@@ -50,7 +54,7 @@ def _(t):
     uses=USES,
 )
 def _(t):
-    return relevant(t).select("article_id", "actor", "relevance", "source_tier")
+    return art.relevant_articles(t.articles, t.feeds, t.terms, NOW).select("article_id", "actor", "relevance", "source_tier")
 
 
 @query(
@@ -59,7 +63,7 @@ def _(t):
     uses=USES,
 )
 def _(t):
-    return art.top_per_feed(relevant(t)).select("actor", "source", "article_id")
+    return art.top_per_feed(relevant_ids(t), 8).select("actor", "source", "article_id")
 
 
 @query(
@@ -68,18 +72,18 @@ def _(t):
     uses=USES,
 )
 def _(t):
-    return art.unique_articles(relevant(t)).select("actor", "article_id")
+    return art.unique_articles(relevant_ids(t)).select("actor", "article_id")
 
 
 @query(
     "article_order",
-    f""", {SCORED} SELECT actor, article_id, row_number() OVER (PARTITION BY actor ORDER BY relevance DESC, date, article_id) AS place FROM relevant QUALIFY place <= 40""",
+    f""", {SCORED} SELECT actor, article_id, row_number() OVER (PARTITION BY actor ORDER BY relevance DESC, date, article_id) AS place FROM relevant""",
     uses=USES,
 )
 def _(t):
     from ..operators.ordering import top_n
 
-    return top_n(relevant(t), 40, ["actor"], [*art.article_order(), c("article_id")], rank="place").select(
+    return top_n(relevant_ids(t), None, ["actor"], [*art.article_order(), c("article_id")], rank="place").select(
         "actor", "article_id", "place"
     )
 
@@ -90,7 +94,7 @@ def _(t):
     uses=USES,
 )
 def _(t):
-    return art.evidence_queue(relevant(t)).select("actor", "article_id")
+    return art.evidence_queue(relevant_ids(t)).select("actor", "article_id")
 
 
 @query(
@@ -99,7 +103,7 @@ def _(t):
     uses=USES,
 )
 def _(t):
-    return art.article_count(relevant(t))
+    return art.article_count(relevant_ids(t))
 
 
 @query(
@@ -111,30 +115,30 @@ def _(t):
 )
 def _(t):
     reports = t.documents.select(c("lang").alias("actor"), c("text").alias("summary"))
-    rows = art.with_history(relevant(t).select("actor", "relevance", "summary"), reports)
+    rows = art.with_history(relevant_ids(t).select("actor", "relevance"), reports.drop("summary"))
     return rows.groupBy("actor", "historical", "relevance").agg(F.count("*").alias("n"))
 
 
 @query(
     "feed_health",
-    f""", {SCORED}, kept AS (SELECT source, count(*) AS n FROM relevant GROUP BY source)
+    f""", {SCORED}, kept AS (SELECT source, count(DISTINCT article_id) AS n FROM relevant GROUP BY source)
     SELECT l.name, coalesce(k.n, 0) AS articles, CASE WHEN l.name LIKE '%7' THEN 'failed' WHEN coalesce(k.n, 0) > 0 THEN 'hits' ELSE 'zero' END AS status FROM live l LEFT JOIN kept k ON l.name = k.source""",
     uses=USES,
 )
 def _(t):
-    return art.feed_health(t.feeds, relevant(t), t.feeds.filter("name like '%7'"))
+    return art.feed_health(t.feeds, relevant_ids(t), t.feeds.filter("name like '%7'"))
 
 
 @query(
     "feed_health_totals",
-    f""", {SCORED}, kept AS (SELECT source, count(*) AS n FROM relevant GROUP BY source),
+    f""", {SCORED}, kept AS (SELECT source, count(DISTINCT article_id) AS n FROM relevant GROUP BY source),
     h AS (SELECT l.name, coalesce(k.n, 0) AS articles, CASE WHEN l.name LIKE '%7' THEN 'failed' WHEN coalesce(k.n, 0) > 0 THEN 'hits' ELSE 'zero' END AS status FROM live l LEFT JOIN kept k ON l.name = k.source)
     SELECT count(*) AS feeds, count(*) FILTER (WHERE status = 'hits') AS hits, count(*) FILTER (WHERE status = 'zero') AS zero, count(*) FILTER (WHERE status = 'failed') AS failed,
        CAST(coalesce(sum(articles) FILTER (WHERE status = 'hits'), 0) AS BIGINT) AS articles FROM h""",
     uses=USES,
 )
 def _(t):
-    return art.feed_health_totals(art.feed_health(t.feeds, relevant(t), t.feeds.filter("name like '%7'")))
+    return art.feed_health_totals(art.feed_health(t.feeds, relevant_ids(t), t.feeds.filter("name like '%7'")))
 
 
 @query(

@@ -5,6 +5,7 @@ Those that write also read their files back, so the files are what is compared.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -14,9 +15,10 @@ from ..operators import profile as prof
 from ..operators import rules as rul
 from ..plans import indicators as ind
 from ..plans import layers, profiles, reports, stix
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 from . import common as k
 from .aggregates import COVERED_SQL, FEED_USES, PARSED_FEED, RULES_SQL, feed, flagged, matched_rules
+from .joins import _REPO, matched_repos
 from .registry import query
 
 c = F.col
@@ -53,15 +55,20 @@ def _(t):
 
 
 def _actors(t):
-    return m.merge_scalars(t.records, ["actor_name", "mitre_group_id", "origin", "first_seen", "description", "motivations"])
+    from ..operators.ordering import gathered
+    from .mapping import aliases_long
+
+    facts = m.merge_scalars(t.records, ["actor_name", "mitre_group_id", "origin", "first_seen", "description", "motivations"])
+    # an object carries its aliases, so one actor's names are gathered here
+    names = aliases_long(t).groupBy("actor").agg(gathered(c("value"), c("first_at")).alias("aliases"))
+    return facts.join(names, "actor", "left").join(m.sources_cited(t.records), "actor", "left")
 
 
 def _stix(t):
-    # nodes, edges and reports all read the merged tables
-    tech, mal = materialize(k.merged_techniques(t), "techniques"), materialize(k.merged_malware(t), "malware")
-    iocs, camp = materialize(family_indicators(t), "indicators"), materialize(k.merged_campaigns(t), "campaigns")
+    tech, mal = k.merged_techniques(t), k.merged_malware(t)
+    iocs, camp = family_indicators(t), k.merged_campaigns(t)
     nodes = stix.stix_nodes(_actors(t), tech, mal, iocs, camp, k.NOW)
-    return nodes, stix.stix_edges(tech, mal, iocs, camp)
+    return nodes, stix.stix_edges(tech, mal, iocs, camp, k.NOW)
 
 
 _SID = lambda kind, *keys: (
@@ -75,20 +82,45 @@ _PAT = (
 STIX_USES = ["techniques", "malware", "campaigns", *FEED_USES, "records"]
 
 
+_STAMP = lambda x: f"coalesce(CASE WHEN length({x}) = 4 THEN {x} || '-01-01T00:00:00.000Z' ELSE {x} || 'T00:00:00.000Z' END, '')"
+_ACTORS = """
+nm AS (SELECT actor, string_agg(v, '|' ORDER BY o) AS aliases FROM (
+    SELECT actor, first(v ORDER BY source_rank, pos, i) AS v, min(row(source_rank, pos, i)) AS o FROM (SELECT actor, source_rank, pos, unnest(aliases) AS v, generate_subscripts(aliases, 1) AS i FROM records) x
+    WHERE trim(v) <> '' GROUP BY actor, lower(trim(v))) y GROUP BY actor),
+a AS (SELECT actor, first(actor_name ORDER BY source_rank, pos) FILTER (WHERE actor_name <> '') AS nm, first(mitre_group_id ORDER BY source_rank, pos) FILTER (WHERE mitre_group_id <> '') AS gid,
+    first(first_seen ORDER BY source_rank, pos) FILTER (WHERE first_seen <> '') AS seen, first(description ORDER BY source_rank, pos) FILTER (WHERE description <> '') AS said FROM records GROUP BY actor)"""
+
+
 @query(
     "stix_nodes",
-    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {PARSED_FEED}, {_FI},
-    a AS (SELECT actor, first(actor_name ORDER BY source_rank, pos) FILTER (WHERE actor_name <> '') AS nm FROM records GROUP BY actor)
-    SELECT actor, 'identity' AS type, {_SID('identity', "'intelweave'")} AS id, 'intelweave' AS name FROM a
-    UNION ALL SELECT actor, 'intrusion-set', {_SID('intrusion-set', 'actor')}, nm FROM a
-    UNION ALL SELECT actor, 'attack-pattern', {_SID('attack-pattern', 'actor', 'technique_id')}, coalesce(name, technique_id) FROM merged_t
-    UNION ALL SELECT actor, 'malware', {_SID('malware', 'actor', 'name_key')}, trim(name) FROM merged_m
-    UNION ALL SELECT actor, 'indicator', {_SID('indicator', 'actor', _PAT)}, type || ': ' || value FROM fi
-    UNION ALL SELECT actor, 'campaign', {_SID('campaign', 'actor', 'name')}, name FROM merged_c""",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {PARSED_FEED}, {_FI}, {_ACTORS}
+    SELECT actor, 'identity' AS type, {_SID('identity', "'intelweave'")} AS id, 'intelweave' AS name, '' AS description, '' AS ref, '' AS extra, '' AS more, true AS made FROM a
+    UNION ALL SELECT actor, 'intrusion-set', {_SID('intrusion-set', 'actor')}, nm, coalesce(said, 'Threat actor ' || nm || '.'), coalesce(gid, ''), coalesce(substr(seen, 1, 4) || '-01-01T00:00:00.000Z', ''), coalesce(aliases, ''), true FROM a LEFT JOIN nm USING (actor)
+    UNION ALL SELECT actor, 'attack-pattern', {_SID('attack-pattern', 'actor', 'technique_id')}, coalesce(name, technique_id), coalesce(description, ''), technique_id, coalesce(replace(lower(tactic), ' ', '-'), ''), coalesce(detection, ''), true FROM merged_t
+    UNION ALL SELECT actor, 'malware', {_SID('malware', 'actor', 'name_key')}, trim(name), coalesce(description, ''), '', 'true', coalesce(array_to_string(list_filter(aliases, lambda x: x <> '' AND x <> trim(name)), '|'), ''), true FROM merged_m
+    UNION ALL SELECT actor, 'indicator', {_SID('indicator', 'actor', _PAT)}, type || ': ' || value, description, {_PAT}, first_seen || 'T00:00:00.000Z', CASE WHEN confidence_score > 0 THEN least(confidence_score, 100)::VARCHAR ELSE '' END || '|' || family, true FROM fi
+    UNION ALL SELECT actor, 'campaign', {_SID('campaign', 'actor', 'name')}, name, coalesce(description, ''), '', {_STAMP('first_seen')}, {_STAMP('last_seen')}, true FROM merged_c""",
     uses=STIX_USES,
 )
 def _(t):
-    return _stix(t)[0].select("actor", "type", "id", "name")
+    get = lambda p: F.coalesce(F.get_json_object("body", p), F.lit(""))
+    listed = lambda p: F.coalesce(F.array_join(F.from_json(F.get_json_object("body", p), "array<string>"), "|"), F.lit(""))
+    kind = lambda **by: F.coalesce(*[F.when(c("type") == n.replace("_", "-"), e) for n, e in by.items()], F.lit(""))
+    nodes = _stix(t)[0]
+    made = (get("$.created") == "2024-05-01T00:00:00.000Z") & (get("$.created") == get("$.modified"))
+    return nodes.select(
+        "actor", "type", "id", "name", get("$.description").alias("description"),
+        kind(intrusion_set=get("$.external_references[0].external_id"), attack_pattern=get("$.external_references[0].external_id"), indicator=get("$.pattern")).alias("ref"),
+        kind(
+            intrusion_set=get("$.first_seen"), attack_pattern=get("$.kill_chain_phases[0].phase_name"), malware=get("$.is_family"),
+            indicator=get("$.valid_from"), campaign=get("$.first_seen"),
+        ).alias("extra"),
+        kind(
+            intrusion_set=listed("$.aliases"), attack_pattern=get("$.x_mitre_detection"), malware=listed("$.aliases"),
+            indicator=F.concat(get("$.confidence"), F.lit("|"), get("$.x_malware_family")), campaign=get("$.last_seen"),
+        ).alias("more"),
+        (made & ((get("$.created_by_ref") != "") | (c("type") == "identity"))).alias("made"),
+    )
 
 
 @query(
@@ -116,20 +148,28 @@ def _(t):
     return stix.report_refs(*_stix(t)).groupBy("actor").agg(F.count("*").alias("refs"))
 
 
-@query("stix_bundle")
+@query(
+    "stix_bundle",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {PARSED_FEED}, {_FI},
+    a AS (SELECT DISTINCT actor FROM records),
+    n AS (SELECT actor, 'attack-pattern' AS type FROM merged_t UNION ALL SELECT actor, 'malware' FROM merged_m UNION ALL SELECT actor, 'campaign' FROM merged_c UNION ALL SELECT actor, 'indicator' FROM fi),
+    o AS (SELECT * FROM n UNION ALL SELECT actor, 'relationship' FROM n UNION ALL SELECT actor, unnest(['bundle', 'identity', 'intrusion-set', 'report']) FROM a)
+    SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, type, count(*) AS objects, count(*) FILTER (WHERE type NOT IN ('bundle', 'identity')) AS owned FROM o GROUP BY 1, 2""",
+    uses=STIX_USES,
+)
 def _(t):
     nodes, edges = _stix(t)
-    bundles = stix.stix_bundles(nodes, edges, k.settings().with_(profile_part_items=500))
+    lines = stix.stix_objects(nodes, edges, stix.report_nodes(_actors(t), k.NOW))
     path = scratch_path(t.spark, "stix")
-    stix.write_bundles(bundles.withColumn("actor_slug", labels.file_slug(c("actor"))), path)
-    files = t.spark.read.schema("value string, actor_slug string").text(path)
-    objects = F.from_json("value", "objects array<struct<type:string,id:string,object_refs:array<string>>>")
-    return files.select("actor_slug", F.explode(objects["objects"]).alias("o")).groupBy("actor_slug", "o.type").agg(
-        F.count("*").alias("objects"), F.sum(F.coalesce(F.size("o.object_refs"), F.lit(0))).alias("refs")
+    stix.write_objects(lines.withColumn("actor_slug", labels.file_slug(c("actor"))), path)
+    files = t.spark.read.schema("body string, actor_slug string").json(path)
+    get = lambda p: F.get_json_object("body", p)
+    return files.groupBy("actor_slug", get("$.type").alias("type")).agg(
+        F.count("*").alias("objects"), F.count(get("$.created_by_ref")).alias("owned")
     )
 
 
-_LEAD = "lead AS (SELECT actor, technique_id, count(*) AS n, first(title ORDER BY rule_rank) AS title FROM hit GROUP BY actor, technique_id)"
+_LEAD = "lead AS (SELECT actor, technique_id, max(technique_rules) AS n, first(title ORDER BY rule_rank) AS title FROM hit GROUP BY actor, technique_id)"
 
 
 @query(
@@ -148,46 +188,80 @@ def _(t):
 
 @query(
     "layer_entries",
-    f""", {k.MERGED_TECHNIQUES}
-    SELECT actor, technique_id, coalesce(replace(lower(tactic), ' ', '-'), 'none') AS tactic FROM merged_t""",
-    uses=["techniques"],
+    f""", {k.MERGED_TECHNIQUES}, {RULES_SQL}, {_LEAD}
+    SELECT actor, technique_id, coalesce(replace(lower(tactic), ' ', '-'), 'none') AS tactic, CASE WHEN n IS NOT NULL AND NOT contains(technique_id, '.') THEN 'true' ELSE '' END AS subs
+    FROM merged_t LEFT JOIN lead USING (actor, technique_id)""",
+    uses=["techniques", "rules"],
 )
 def _(t):
-    lead = rul.lead_rules(matched_rules(t)).limit(0)
-    entries = layers.layer_entries(layers.matrix_layer(k.merged_techniques(t), lead))
+    entries = layers.layer_entries(layers.matrix_layer(k.merged_techniques(t), rul.lead_rules(matched_rules(t))))
     get = lambda p: F.get_json_object("entry", p)
-    return entries.select("actor", get("$.techniqueID").alias("technique_id"), F.coalesce(get("$.tactic"), F.lit("none")).alias("tactic"))
+    return entries.select(
+        "actor", get("$.techniqueID").alias("technique_id"), F.coalesce(get("$.tactic"), F.lit("none")).alias("tactic"),
+        F.coalesce(get("$.showSubtechniques"), F.lit("")).alias("subs"),
+    )
+
+
+_DISTINCT = lambda table, field: f"""(SELECT actor, first(v ORDER BY source_rank, pos, i) AS v, min(row(source_rank, pos, i)) AS o FROM (
+    SELECT actor, source_rank, pos, unnest({field}) AS v, generate_subscripts({field}, 1) AS i FROM {table}) x WHERE trim(v) <> '' GROUP BY actor, lower(trim(v)))"""
+_COND = k.squash_sql("condition")
+_PLACE = lambda order: f"row_number() OVER (PARTITION BY actor ORDER BY {order})"
 
 
 @query(
     "report_rows",
-    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_CAMPAIGNS}, {k.MERGED_MALWARE}, {RULES_SQL}, {PARSED_FEED}, {_FI},
-    hd AS (SELECT actor, first(origin ORDER BY source_rank, pos) FILTER (WHERE origin <> '') AS origin, first(first_seen ORDER BY source_rank, pos) FILTER (WHERE first_seen <> '') AS seen FROM records GROUP BY actor)
-    SELECT actor, 0 AS section_no, 'overview' AS section, '1' AS key, 'Origin' AS c1, coalesce(origin, 'Unknown') AS c2, '' AS c3 FROM hd
-    UNION ALL SELECT actor, 0, 'overview', '2', 'First Seen', coalesce(seen, 'Unknown'), '' FROM hd
-    UNION ALL SELECT actor, 0, 'overview', '3', 'Motivations', 'Unknown', '' FROM hd
-    UNION ALL SELECT actor, 0, 'overview', '4', 'Also Known As', '—', '' FROM hd
-    UNION ALL SELECT actor, 1, 'techniques', technique_id, technique_id, coalesce(tactic, ''), coalesce(name, '') FROM merged_t
-    UNION ALL SELECT actor, 2, 'detection', technique_id || '|' || lpad(rule_rank::VARCHAR, 3, '0'), technique_id, title, upper(level) FROM hit
-    UNION ALL SELECT actor, 2, 'detection', technique_id, technique_id, detection, '' FROM merged_t WHERE detection IS NOT NULL AND (actor, technique_id) NOT IN (SELECT (actor, technique_id) FROM hit)
-    UNION ALL SELECT actor, 3, 'indicators', type || '|' || value, {k.defang_sql('type', 'value')}, CASE WHEN confidence_score = 100 THEN 'HIGH' WHEN confidence_score >= 75 THEN 'MED' WHEN confidence_score <> 0 THEN 'LOW' ELSE '' END, threat_label FROM fi
-    UNION ALL SELECT actor, 4, 'families', lpad(r::VARCHAR, 3, '0'), family, hits::VARCHAR, '' FROM (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY hits DESC, family_pos) AS r FROM hits QUALIFY r <= 8) f
-    UNION ALL SELECT actor, 7, 'cves', cve_id, cve_id, first(product ORDER BY source_rank, pos), first(vendor ORDER BY source_rank, pos) FROM cves WHERE cve_id <> '' GROUP BY actor, cve_id
-    UNION ALL SELECT actor, 9, 'malware', lower(name), name, coalesce(type, ''), coalesce(trim(regexp_replace(description, '\\s+', ' ', 'g')), '') FROM merged_m
-    UNION ALL SELECT actor, 11, 'campaigns', name, name, CASE WHEN first_seen IS NULL AND last_seen IS NULL THEN '' ELSE coalesce(first_seen, '?') || ' – ' || coalesce(last_seen, '?') END, coalesce(description, '') FROM merged_c""",
-    uses=["techniques", "campaigns", "malware", "rules", *FEED_USES, "records", "cves"],
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_CAMPAIGNS}, {k.MERGED_MALWARE}, {RULES_SQL}, {PARSED_FEED}, {_FI}, {_REPO},
+    hd AS (SELECT actor, first(origin ORDER BY source_rank, pos) FILTER (WHERE origin <> '') AS origin, first(first_seen ORDER BY source_rank, pos) FILTER (WHERE first_seen <> '') AS seen,
+           first(mitre_group_id ORDER BY source_rank, pos) FILTER (WHERE mitre_group_id <> '') AS gid, first(description ORDER BY source_rank, pos) FILTER (WHERE description <> '') AS said FROM records GROUP BY actor),
+    ov AS (SELECT actor, 0 AS major, NULL AS minor, 'Group ID' AS n, gid AS v FROM hd WHERE gid IS NOT NULL
+      UNION ALL SELECT actor, 1, NULL, 'Origin', coalesce(origin, 'Unknown') FROM hd
+      UNION ALL SELECT actor, 2, NULL, 'First Seen', coalesce(seen, 'Unknown') FROM hd
+      UNION ALL SELECT actor, 3, o, 'Motivations', v FROM {_DISTINCT('records', 'motivations')} x
+      UNION ALL SELECT actor, 4, o, 'Also Known As', v FROM {_DISTINCT('records', 'aliases')} x
+      UNION ALL SELECT actor, 5, NULL, 'Description', said FROM hd WHERE said IS NOT NULL
+      UNION ALL SELECT actor, 6, row(0, 0, dense_rank() OVER (ORDER BY source_id)), 'Sources', source_id FROM (SELECT DISTINCT actor, source_id FROM records WHERE source_id <> '') s),
+    rl AS (SELECT path, CASE WHEN category <> '' AND product <> '' THEN category || ' / ' || product WHEN category <> '' THEN category WHEN product <> '' THEN product ELSE 'unknown' END AS logsource,
+             CASE WHEN length({_COND}) > 80 THEN ({_COND})[1:77] || '...' ELSE {_COND} END AS cond FROM rules),
+    det AS (SELECT actor, technique_id, rule_rank, title, upper(level) AS level, logsource, cond FROM hit JOIN rl USING (path)
+      UNION ALL SELECT actor, technique_id, 0, detection, '', '', '' FROM merged_t WHERE detection IS NOT NULL AND (actor, technique_id) NOT IN (SELECT (actor, technique_id) FROM hit)),
+    fam AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY hits DESC, family_pos) AS r FROM hits QUALIFY r <= 8),
+    rep AS (SELECT s.actor, s.name, r.platform, r.tier, r.url, s.score, s.pos FROM scored s JOIN repos r USING (pos) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY s.actor ORDER BY s.score DESC, s.pos) <= 6),
+    cv AS (SELECT actor, cve_id, first(product ORDER BY source_rank, pos) AS product, first(vendor ORDER BY source_rank, pos) AS vendor, first(date_added ORDER BY source_rank, pos) AS added, min(row(source_rank, pos)) AS o FROM cves WHERE cve_id <> '' GROUP BY actor, cve_id),
+    ad AS (SELECT actor, first(date ORDER BY source_rank, pos) AS date, first(title ORDER BY source_rank, pos) AS title, first(url ORDER BY source_rank, pos) AS url, min(row(source_rank, pos)) AS o FROM advisories GROUP BY actor, coalesce(nullif(url, ''), title))
+    SELECT actor, 'overview' AS section, {_PLACE('major, minor')} AS place, n AS c1, v AS c2, '' AS c3, '' AS c4, '' AS c5 FROM ov
+    UNION ALL SELECT actor, 'overview', 100000, 'Indicators', 'family feed', count(*)::VARCHAR, '', '' FROM fi GROUP BY actor
+    UNION ALL SELECT actor, 'techniques', {_PLACE('technique_id')}, technique_id, coalesce(tactic, ''), coalesce(name, ''), confidence, '' FROM merged_t
+    UNION ALL SELECT actor, 'detection', {_PLACE('technique_id, rule_rank')}, technique_id, title, level, logsource, cond FROM det
+    UNION ALL SELECT actor, 'indicators', {_PLACE('type, family_pos, pos')}, {k.defang_sql('type', 'value')}, CASE WHEN confidence_score = 100 THEN 'HIGH' WHEN confidence_score >= 75 THEN 'MED' WHEN confidence_score <> 0 THEN 'LOW' ELSE '' END, threat_label, family, first_seen FROM fi
+    UNION ALL SELECT actor, 'families', r, family, hits::VARCHAR, '', '', '' FROM fam
+    UNION ALL SELECT actor, 'repositories', {_PLACE('score DESC, pos')}, name, upper(platform[1]) || platform[2:], CASE WHEN tier = 1 THEN 'Official' ELSE 'Community' END, url, '' FROM rep
+    UNION ALL SELECT actor, 'sectors', {_PLACE('o')}, v, '', '', '', '' FROM {_DISTINCT('records', 'sectors')} x
+    UNION ALL SELECT actor, 'cves', {_PLACE('o')}, cve_id, product, vendor, added, '' FROM cv
+    UNION ALL SELECT actor, 'advisories', {_PLACE('o')}, date, title, url, '', '' FROM ad
+    UNION ALL SELECT actor, 'malware', {_PLACE('first_at')}, name, coalesce(type, ''), coalesce(trim(regexp_replace(description, '\\s+', ' ', 'g')), ''), '', '' FROM merged_m
+    UNION ALL SELECT 'NATION_' || (pos % 25), 'articles', row_number() OVER (PARTITION BY pos % 25 ORDER BY pos * 7 % 100 DESC, pos), source, date, CASE WHEN pos * 7 % 100 >= 70 THEN 'HIGH' WHEN pos * 7 % 100 >= 40 THEN 'MEDIUM' ELSE 'LOW' END, title, url FROM articles
+    UNION ALL SELECT actor, 'campaigns', {_PLACE('first_at')}, name, CASE WHEN first_seen IS NULL AND last_seen IS NULL THEN '' ELSE coalesce(first_seen, '?') || ' – ' || coalesce(last_seen, '?') END, coalesce(description, ''), coalesce(url, ''), '' FROM merged_c""",
+    uses=["techniques", "campaigns", "malware", "rules", *FEED_USES, "records", "cves", "advisories", "articles", "repos"],
 )
 def _(t):
-    header = m.merge_scalars(t.records, ["origin", "first_seen"]).withColumns({"motivations": F.lit(""), "aliases": F.lit("")})
-    tech, rules = materialize(k.merged_techniques(t), "techniques"), materialize(matched_rules(t), "rules")
+    from .mapping import actor_articles, aliases_long, sectors_long
+
+    header = m.merge_scalars(t.records, ["origin", "first_seen", "mitre_group_id", "description"])
+    iocs = family_indicators(t)
+    sources = t.records.filter("source_id <> ''").select("actor", c("source_id").alias("value"), c("source_id").alias("first_at")).distinct()
     rows = reports.report_rows(
         {
-            "overview": header, "techniques": tech, "detection": rules, "indicators": family_indicators(t),
-            "families": fam.family_hits(t.families_used, feed(t)), "cves": m.merge_cves(t.cves), "malware": k.merged_malware(t),
-            "campaigns": k.merged_campaigns(t),
+            "overview": header, "motivations": m.merge_string_fields(t.records, ["motivations"]), "aliases": aliases_long(t), "sources": sources,
+            "origins": iocs.groupBy("actor").agg(F.count("*").alias("indicators")).withColumn("source", F.lit("family feed")),
+            "techniques": k.merged_techniques(t), "detection": matched_rules(t), "indicators": iocs,
+            "families": fam.family_hits(t.families_used, feed(t)), "repositories": matched_repos(t), "sectors": sectors_long(t),
+            "cves": m.merge_cves(t.cves), "advisories": m.merge_advisories(t.advisories), "malware": k.merged_malware(t),
+            "articles": actor_articles(t), "campaigns": k.merged_campaigns(t),
         }
     )
-    return rows.select("actor", "section_no", "section", "key", "c1", "c2", "c3")
+    order = Window.partitionBy("actor", "section").orderBy("key")
+    place = F.when(c("c1") == "Indicators", F.lit(100000)).otherwise(F.row_number().over(order))
+    return rows.withColumn("place", place).select("actor", "section", "place", "c1", "c2", "c3", "c4", "c5")
 
 
 @query(
@@ -208,38 +282,40 @@ def _(t):
 
 @query(
     "report_repositories",
-    """SELECT actor, name AS c1, upper(platform[1]) || platform[2:] AS c2, CASE WHEN tier = 1 THEN 'Official' ELSE 'Community' END AS c3 FROM (
-         SELECT actor, unnest(['repo']) AS x FROM (SELECT DISTINCT actor FROM records) a) y, (SELECT * FROM repos WHERE tier = 1 ORDER BY pos LIMIT 6) r""",
-    uses=["records", "repos"],
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {_REPO}
+    SELECT s.actor, s.name AS c1, upper(r.platform[1]) || r.platform[2:] AS c2, CASE WHEN r.tier = 1 THEN 'Official' ELSE 'Community' END AS c3
+    FROM scored s JOIN repos r USING (pos) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY s.actor ORDER BY s.score DESC, s.pos) <= 6""",
+    uses=["records", "techniques", "malware", "repos"],
 )
 def _(t):
-    from ..operators import repos as rep
+    return reports.repo_rows(matched_repos(t)).select("actor", "c1", "c2", "c3")
+
 
-    # tags no repository carries: what is left is the tier
-    tags = t.records.select("actor").distinct().withColumn("tag", F.lit("nothing"))
-    return reports.repo_rows(rep.match_repos(tags, t.repos)).select("actor", "c1", "c2", "c3")
+_AGE_RANK = "CASE type WHEN 'domain' THEN 0 WHEN 'ip' THEN 1 WHEN 'url' THEN 2 WHEN 'email' THEN 9 ELSE 3 END"
 
 
 @query(
     "playbook_rows",
-    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {RULES_SQL}, {_LEAD}
-    SELECT actor, 'confidence' AS section, (count(*) FILTER (WHERE confidence = 'HIGH'))::VARCHAR AS c1, (count(*) FILTER (WHERE confidence = 'MEDIUM'))::VARCHAR AS c2 FROM merged_t GROUP BY actor
-    UNION ALL SELECT actor, 'checklist', coalesce(tactic, 'Unknown'), technique_id FROM merged_t
-    UNION ALL SELECT actor, 'malware', name, coalesce(type, '') FROM merged_m
-    UNION ALL SELECT actor, 'references', coalesce(nullif(source_citation, ''), source_id), coalesce(source_url, '') FROM records WHERE source_id <> ''
-    UNION ALL SELECT actor, 'references', name, url FROM merged_c WHERE url IS NOT NULL
-    UNION ALL SELECT actor, 'block', bucket, type FROM (SELECT actor, CASE WHEN date '2024-05-01' - d <= 30 THEN 'FRESH' ELSE 'AGING' END AS bucket, type FROM (
-        SELECT 'NATION_' || (doc % 25) AS actor, doc, item, type, value, CAST(nullif(coalesce(nullif(last_seen, ''), first_seen), '') AS DATE) AS d FROM indicators) i WHERE date '2024-05-01' - d <= 90
-        QUALIFY row_number() OVER (PARTITION BY actor, CASE WHEN date '2024-05-01' - d <= 30 THEN 'FRESH' ELSE 'AGING' END ORDER BY CASE type WHEN 'domain' THEN 0 WHEN 'ip' THEN 1 WHEN 'url' THEN 2 WHEN 'email' THEN 9 ELSE 3 END, value) <= 50) b""",
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {RULES_SQL}, {_LEAD},
+    bl AS (SELECT actor, CASE WHEN date '2024-05-01' - d <= 30 THEN 'FRESH' ELSE 'AGING' END AS bucket, type, value, coalesce(nullif(last_seen, ''), nullif(first_seen, ''), '') AS seen FROM (
+        SELECT 'NATION_' || (doc % 25) AS actor, type, value, first_seen, last_seen, CAST(nullif(coalesce(nullif(last_seen, ''), first_seen), '') AS DATE) AS d FROM indicators) i WHERE date '2024-05-01' - d <= 90)
+    SELECT actor, 'confidence' AS section, (count(*) FILTER (WHERE confidence = 'HIGH'))::VARCHAR AS c1, (count(*) FILTER (WHERE confidence = 'MEDIUM'))::VARCHAR AS c2, (count(*) FILTER (WHERE confidence = 'LOW'))::VARCHAR AS c3, '' AS c4, '' AS c5 FROM merged_t GROUP BY actor
+    UNION ALL SELECT actor, 'checklist', coalesce(nullif(m.tactic, ''), 'Unknown'), technique_id, coalesce(m.name, ''), confidence, coalesce(l.title || CASE WHEN n > 1 THEN ' (+' || (n - 1) || ' more)' ELSE '' END, detection, '') FROM merged_t m LEFT JOIN lead l USING (actor, technique_id)
+    UNION ALL SELECT actor, 'malware', name, coalesce(type, ''), coalesce(trim(regexp_replace(description, '\\s+', ' ', 'g')), ''), '', '' FROM merged_m
+    UNION ALL SELECT actor, 'references', coalesce(nullif(source_citation, ''), source_id), coalesce(source_url, ''), '', '', '' FROM records WHERE source_id <> ''
+    UNION ALL SELECT actor, 'references', name, url, '', '', '' FROM merged_c WHERE url IS NOT NULL
+    UNION ALL SELECT actor, 'block', bucket, type, {k.defang_sql('type', 'value')}, '', '' FROM (SELECT * FROM bl QUALIFY row_number() OVER (PARTITION BY actor, bucket ORDER BY {_AGE_RANK}, value) <= 50) b""",
     uses=["techniques", "malware", "campaigns", "rules", "records", "indicators"],
 )
 def _(t):
     rows = t.indicators.withColumn("actor", F.concat(F.lit("NATION_"), (c("pos.doc") % 25).cast("string")))
     out = reports.playbook_rows(
-        materialize(k.merged_techniques(t), "techniques"), rul.lead_rules(matched_rules(t)), rows, k.merged_malware(t), m.source_ledger(t.records),
+        k.merged_techniques(t), rul.lead_rules(matched_rules(t)), rows, k.merged_malware(t), m.source_ledger(t.records),
         k.merged_campaigns(t), k.NOW,
     )
-    return out.select("actor", "section", "c1", "c2")
+    # equal values of several texts tie for a block's last place, so when it was seen is not compared
+    last = F.when(c("section") == "block", F.lit("")).otherwise(c("c5"))
+    return out.select("actor", "section", "c1", "c2", "c3", "c4", last.alias("c5"))
 
 
 @query(
@@ -262,53 +338,76 @@ def _(t):
     uses=["techniques", "rules"],
 )
 def _(t):
-    return reports.coverage_report(materialize(flagged(t), "coverage"))
+    return reports.coverage_report(flagged(t))
 
 
 def _items(t):
-    tech = k.merged_techniques(t)
-    camp = k.merged_campaigns(t)
-    return prof.section_items(tech, "techniques", ["technique_id", "name", "confidence"], c("technique_id")).unionByName(
-        prof.section_items(camp, "campaigns", ["name", "description"], c("name"))
-    )
-
-
-@query(
-    "assemble_profile",
-    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_CAMPAIGNS},
-    items AS (SELECT actor, 'techniques' AS section, technique_id AS key FROM merged_t UNION ALL SELECT actor, 'campaigns', name FROM merged_c),
-    sizes AS (SELECT actor, CAST(ceil(count(*) / 400.0) AS INT) AS n_parts FROM items GROUP BY actor),
-    placed AS (SELECT actor, section, key, n_parts, ('0x' || md5(section || chr(1) || key)[1:8])::BIGINT % n_parts AS part FROM items JOIN sizes USING (actor))
-    SELECT actor, CAST(part AS BIGINT) AS part, n_parts, string_agg(key, '|' ORDER BY key) FILTER (WHERE section = 'techniques') AS technique_ids, count(*) FILTER (WHERE section = 'campaigns') AS campaigns FROM placed GROUP BY actor, part, n_parts""",
-    uses=["techniques", "campaigns"],
-)
+    """The nine sections of a profile as items; advisories and articles belong to actors of their own."""
+    from ..operators.ordering import order_text
+    from .mapping import actor_articles, aliases_long, sectors_long
+
+    at = lambda df, n="first_at": order_text(df, n)
+    tech, mal, camp, iocs = k.merged_techniques(t), k.merged_malware(t), k.merged_campaigns(t), family_indicators(t)
+    cves, adv, arts = m.merge_cves(t.cves), m.merge_advisories(t.advisories), actor_articles(t)
+    names, sectors = aliases_long(t), sectors_long(t)
+    parts = [
+        prof.section_items(tech, "techniques", ["technique_id", "name", "confidence"], at(tech)),
+        prof.section_items(mal, "malware", ["name", "type", "description"], at(mal)),
+        prof.section_items(iocs, "indicators", ["type", "value", "confidence_score", "malware_family"], F.concat_ws("\u0001", at(iocs), "type", "value")),
+        prof.section_items(camp, "campaigns", ["name", "description"], at(camp)),
+        prof.section_items(cves, "cves", ["cve_id", "product"], at(cves, "pos")),
+        prof.section_items(adv, "advisories", ["title", "date"], at(adv, "pos")),
+        prof.section_items(arts, "articles", ["title", "relevance"], at(arts, "pos")),
+        prof.section_items(names, "aliases", ["value"], at(names)),
+        prof.section_items(sectors, "sectors", ["value"], at(sectors)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_ITEMS = f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {PARSED_FEED}, {_FI},
+    hd AS (SELECT actor, first(origin ORDER BY source_rank, pos) FILTER (WHERE origin <> '') AS origin FROM records GROUP BY actor),
+    items AS (
+      SELECT actor, 'header' AS section, coalesce(origin, '') AS shown FROM hd
+      UNION ALL SELECT actor, 'techniques', technique_id || confidence FROM merged_t
+      UNION ALL SELECT actor, 'malware', name || coalesce(description, '') FROM merged_m
+      UNION ALL SELECT actor, 'indicators', value || confidence_score || family FROM fi
+      UNION ALL SELECT actor, 'campaigns', name || coalesce(description, '') FROM merged_c
+      UNION ALL SELECT actor, 'cves', cve_id || first(product ORDER BY source_rank, pos) FROM cves WHERE cve_id <> '' GROUP BY actor, cve_id
+      UNION ALL SELECT actor, 'advisories', first(title || date ORDER BY source_rank, pos) FROM advisories GROUP BY actor, coalesce(nullif(url, ''), title)
+      UNION ALL SELECT 'NATION_' || (pos % 25), 'articles', title || (pos * 7 % 100) FROM articles
+      UNION ALL SELECT actor, 'aliases', v FROM {_DISTINCT('records', 'aliases')} x
+      UNION ALL SELECT actor, 'sectors', v FROM {_DISTINCT('records', 'sectors')} x)"""
+_ITEM_USES = ["techniques", "malware", "campaigns", *FEED_USES, "records", "cves", "advisories", "articles"]
+
+
+def _shown(item):
+    get = lambda *names: F.concat(*[F.coalesce(F.get_json_object(item, f"$.{n}"), F.lit("")) for n in names])
+    fields = {
+        "header": ("origin",), "techniques": ("technique_id", "confidence"), "malware": ("name", "description"),
+        "indicators": ("value", "confidence_score", "malware_family"), "campaigns": ("name", "description"), "cves": ("cve_id", "product"),
+        "advisories": ("title", "date"), "articles": ("title", "relevance"), "aliases": ("value",), "sectors": ("value",),
+    }
+    return F.coalesce(*[F.when(c("section") == s, get(*names)) for s, names in fields.items()])
+
+
+@query("assemble_profile", f"{_ITEMS} SELECT actor, section, md5(shown) AS shown FROM items", uses=_ITEM_USES)
 def _(t):
-    header = m.merge_scalars(t.records, ["origin"])
-    out = prof.assemble_profiles(header, materialize(_items(t), "items"), k.settings().with_(profile_part_items=400))
-    ids = F.transform("techniques", lambda j: F.get_json_object(j, "$.technique_id"))
-    return out.select(
-        "actor", c("part").cast("bigint").alias("part"), "n_parts", k.joined(ids).alias("technique_ids"),
-        F.size("campaigns").cast("bigint").alias("campaigns"),
-    )
+    out = prof.assemble_profiles(m.merge_scalars(t.records, ["origin"]), _items(t))
+    return out.select("actor", "section", F.md5(_shown("item")).alias("shown"))
 
 
 @query(
     "profiles_json",
-    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_CAMPAIGNS},
-    hd AS (SELECT actor, first(origin ORDER BY source_rank, pos) FILTER (WHERE origin <> '') AS origin FROM records GROUP BY actor)
-    SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, origin, (SELECT count(*) FROM merged_t t WHERE t.actor = hd.actor) AS techniques, (SELECT count(*) FROM merged_c x WHERE x.actor = hd.actor) AS campaigns FROM hd""",
-    uses=["techniques", "campaigns", "records"],
+    f"{_ITEMS} SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, section, count(*) AS items, sum(length(shown))::BIGINT AS chars FROM items GROUP BY ALL",
+    uses=_ITEM_USES,
 )
 def _(t):
-    header = m.merge_scalars(t.records, ["origin"])
-    nested = prof.assemble_profiles(header, materialize(_items(t), "items"), k.settings()).withColumn("actor_slug", labels.file_slug(c("actor")))
+    lines = prof.assemble_profiles(m.merge_scalars(t.records, ["origin"]), _items(t)).withColumn("actor_slug", labels.file_slug(c("actor")))
     path = scratch_path(t.spark, "profiles")
-    profiles.write_profiles_json(nested, path)
-    back = t.spark.read.schema(
-        "actor string, origin string, techniques array<struct<technique_id:string>>, campaigns array<struct<name:string>>, actor_slug string"
-    ).json(path)
-    return back.select(
-        "actor_slug", "origin", F.size("techniques").cast("bigint").alias("techniques"), F.size("campaigns").cast("bigint").alias("campaigns")
-    )
-
-
+    profiles.write_profiles_json(lines, path)
+    back = t.spark.read.schema("value string, actor_slug string").text(path)
+    back = back.select("actor_slug", F.get_json_object("value", "$.section").alias("section"), F.get_json_object("value", "$.item").alias("item"))
+    return back.groupBy("actor_slug", "section").agg(F.count("*").alias("items"), F.sum(F.length(_shown("item"))).alias("chars"))

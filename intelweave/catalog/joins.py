@@ -272,13 +272,12 @@ def _(t):
 
 @query(
     "malware_meta",
-    f""", {k.MERGED_MALWARE}, meta AS (SELECT actor, lower(name) AS name_key, arg_max(description, row(source_rank, pos)) AS d, arg_max(yara_count, row(source_rank, pos)) AS y FROM (
-        SELECT *, 1 AS one FROM malware WHERE source_id = 'malpedia') x GROUP BY actor, lower(name))
+    f""", {k.MERGED_MALWARE}, meta AS (SELECT actor, lower(name) AS name_key, arg_max(description, row(source_rank, pos)) AS d, arg_max(yara_count, row(source_rank, pos)) AS y FROM malware GROUP BY actor, lower(name))
     SELECT m.actor, m.name_key, coalesce(m.description, x.d) AS description, coalesce(m.yara_count, x.y) AS yara_count FROM merged_m m LEFT JOIN meta x USING (actor, name_key)""",
     uses=["malware"],
 )
 def _(t):
-    meta = m.malware_meta(t.malware.filter("source_id = 'malpedia'"))
+    meta = m.malware_meta(t.malware)
     out = m.fill_from(k.merged_malware(t), meta, ["actor", "name_key"], ["description", "yara_count"])
     return out.select("actor", "name_key", "description", "yara_count")
 
@@ -297,12 +296,14 @@ def _(t):
 @query(
     "ioc_to_malware",
     f""", {PARSED_FEED}, fi AS (SELECT actor, type, value, family FROM matched QUALIFY row_number() OVER (PARTITION BY actor, type, lower(value) ORDER BY family_pos, pos) = 1)
-    SELECT f.actor, f.value, lower(f.family) AS malware_key FROM fi f JOIN families_used u ON f.actor = u.actor AND f.family = u.name WHERE u.name NOT LIKE '%1'""",
+    SELECT f.actor, f.value, lower(f.family) AS malware_key FROM fi f JOIN families_used u ON f.actor = u.actor AND f.family = u.name""",
     uses=FEED_USES,
 )
 def _(t):
     iocs = fam.family_iocs(t.families_used, feed(t))
-    known = t.families_used.filter("name not like '%1'").withColumn("name", F.concat(F.lit(" "), F.upper("name")))
+    known = t.families_used.withColumn("name", F.concat(F.lit(" "), F.upper("name")))
+    # indicators of families that nobody knows stay unlinked
+    iocs = iocs.unionByName(iocs.withColumn("malware_family", F.concat(F.lit("no "), "malware_family")))
     return stix.ioc_to_malware(iocs, known).select("actor", "value", "malware_key")
 
 
@@ -346,42 +347,44 @@ def _(t):
 
 @query(
     "pulse_details",
-    """, stubs AS (SELECT actor, pulse_id, 0 AS search_pos, pulse_pos FROM pulses WHERE pulse_pos % 2 = 0 UNION ALL SELECT actor, pulse_id, 1, pulse_pos FROM pulses WHERE pulse_pos % 3 = 0),
-    uniq AS (SELECT actor, pulse_id, min(row(search_pos, pulse_pos)) AS o FROM stubs GROUP BY actor, pulse_id),
-    kept AS (SELECT * FROM uniq QUALIFY row_number() OVER (PARTITION BY actor ORDER BY o) <= 15)
-    SELECT k.actor, k.pulse_id, p.name FROM kept k JOIN pulses p USING (pulse_id) WHERE p.pulse_pos % 5 <> 0""",
+    """, stubs AS (SELECT actor, pulse_id, 0 AS search_pos, pulse_pos FROM pulses UNION ALL SELECT actor, pulse_id, 1, pulse_pos FROM pulses UNION ALL SELECT actor, 'gone ' || pulse_id, 1, pulse_pos FROM pulses),
+    uniq AS (SELECT actor, pulse_id, min(row(search_pos, pulse_pos)) AS o FROM stubs GROUP BY actor, pulse_id)
+    SELECT u.actor, u.pulse_id, p.name FROM uniq u JOIN pulses p USING (pulse_id)""",
     uses=["pulses"],
 )
 def _(t):
     p = t.pulses
-    stubs = p.filter("pulse_pos % 2 = 0").select("actor", "pulse_id", F.lit(0).alias("search_pos"), "pulse_pos").unionByName(
-        p.filter("pulse_pos % 3 = 0").select("actor", "pulse_id", F.lit(1).alias("search_pos"), "pulse_pos")
-    )
-    details = p.filter("pulse_pos % 5 <> 0").select("pulse_id", "name")
+    # two searches find every pulse; the second also finds ids that have no details
+    stubs = p.select("actor", "pulse_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("search_pos"), "pulse_pos")
+    gone = p.select("actor", F.concat(F.lit("gone "), "pulse_id").alias("pulse_id"), F.lit(1).alias("search_pos"), "pulse_pos")
+    stubs, details = stubs.unionByName(gone), p.select("pulse_id", "name")
     return pul.pulse_details(stubs, details).select("actor", "pulse_id", "name")
 
 
 @query(
     "pulse_fallback",
-    """SELECT actor, pulse_id, 'adversary' AS via FROM pulses WHERE actor IN ('en', 'fr') AND tags[1] = 'src3'
-       UNION ALL SELECT actor, pulse_id, 'search' FROM pulses WHERE tags[1] = 'src5' AND actor NOT IN (SELECT actor FROM pulses WHERE actor IN ('en', 'fr') AND tags[1] = 'src3')""",
+    """SELECT actor, pulse_id, 'adversary' AS via FROM pulses
+       UNION ALL SELECT 'other ' || actor, pulse_id, 'search' FROM pulses""",
     uses=["pulses"],
 )
 def _(t):
-    rows = t.pulses.select("actor", "pulse_id", c("tags")[0].alias("tag"))
-    primary = rows.filter("actor in ('en', 'fr') and tag = 'src3'").select("actor", "pulse_id", F.lit("adversary").alias("via"))
-    fallback = rows.filter("tag = 'src5'").select("actor", "pulse_id", F.lit("search").alias("via"))
+    primary = t.pulses.select("actor", "pulse_id", F.lit("adversary").alias("via"))
+    # the fallback knows the same actors, and others that the first search does not know
+    both = F.explode(F.array("actor", F.concat(F.lit("other "), "actor"))).alias("actor")
+    fallback = t.pulses.select(both, "pulse_id", F.lit("search").alias("via"))
     return pul.with_fallback(primary, fallback)
 
 
 @query(
     "family_details",
-    """SELECT u.actor, u.name, p.p_partkey FROM families_used u JOIN part p ON p.p_brand = u.name WHERE p.p_size > 10""",
+    """SELECT u.actor, u.name, p.p_partkey FROM families_used u JOIN part p ON p.p_brand = u.name""",
     uses=["families_used"],
 )
 def _(t):
-    details = t.part.filter("p_size > 10").select(c("p_brand").alias("slug"), "p_partkey")
-    return fam.family_details(t.families_used.withColumnRenamed("name", "slug"), details).select(
+    details = t.part.select(c("p_brand").alias("slug"), "p_partkey")
+    used = t.families_used.withColumnRenamed("name", "slug")
+    missing = used.withColumn("slug", F.concat(F.lit("gone "), "slug"))  # families without a detail row
+    return fam.family_details(used.unionByName(missing), details).select(
         "actor", c("slug").alias("name"), "p_partkey"
     )
 
@@ -399,13 +402,13 @@ def _(t):
 
 @query(
     "distinct_technique_ids",
-    "SELECT actor, string_agg(technique_id, '|' ORDER BY o) AS ids FROM (SELECT actor, technique_id, min(row(source_rank, pos)) AS o FROM techniques WHERE technique_id LIKE 'T10%' GROUP BY actor, technique_id) x GROUP BY actor",
+    "SELECT actor, string_agg(technique_id, '|' ORDER BY o) AS ids FROM (SELECT actor, technique_id, min(row(source_rank, pos)) AS o FROM techniques GROUP BY actor, technique_id) x GROUP BY actor",
     uses=["techniques"],
 )
 def _(t):
     from ..operators.ordering import distinct_values, gathered
 
-    ids = distinct_values(t.techniques.filter("technique_id like 'T10%'"), c("technique_id"), fold=False)
+    ids = distinct_values(t.techniques, c("technique_id"), fold=False)
     # ids are a bounded vocabulary, so the list of one actor is small
     return ids.groupBy("actor").agg(k.joined(gathered(c("value"), c("first_at"))).alias("ids"))
 

@@ -130,7 +130,7 @@ def family_details(t):
 
 @query(
     "normalize_family",
-    f"""SELECT pos, slug, name, type, CASE WHEN length(d) > 400 THEN regexp_replace(d[1:400], '\\s+$', '') || '…' ELSE d END AS description, aliases, yara_count FROM (
+    f"""SELECT pos, slug, name, type, d AS description, aliases, yara_count FROM (
          SELECT p_partkey AS pos, 'win.' || replace(p_name, ' ', '_') || '_' || p_partkey AS slug,
            CASE WHEN p_size % 3 = 0 THEN {k.title_sql("p_name || ' ' || p_partkey")} ELSE p_name END AS name,
            CASE p_size % 4 WHEN 0 THEN 'loader' WHEN 1 THEN 'wiper' ELSE 'malware' END AS type,
@@ -163,7 +163,7 @@ def _(t):
 @query(
     "technique_from_graph",
     f"""SELECT id, tid AS technique_id, name, CASE WHEN phase = '' THEN 'Impact' ELSE {k.title_sql("replace(phase, '-', ' ')")} END AS tactic,
-          CASE WHEN length(description) > 800 THEN regexp_replace(description[1:800], '\\s+$', '') || '…' ELSE description END AS description,
+          trim(description) AS description,
           CASE WHEN x_mitre_detection = '' THEN detection ELSE x_mitre_detection END AS detection
         FROM arsenal WHERE tid IS NOT NULL AND type = 'attack-pattern'""",
     uses=["arsenal"],

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import rules as rul
+from ..operators.aliases import search_terms
+from ..operators.articles import historical_reports
+from ..session import scratch_path
 from ..sources import documents as doc
 from ..sources import tables
+from ..sources.registry import Registry
 from . import common as k
 from .registry import query
 
@@ -173,7 +178,7 @@ def _(t):
 @query(
     "read_reports",
     f"""SELECT lang AS folder, CASE WHEN doc_id % 2 = 0 THEN 'Report on ' || source ELSE 'rep ' || doc_id || ' x' END AS title,
-          trim(regexp_replace((CASE WHEN doc_id % 2 = 0 THEN 'intro' || chr(10) || '## Report on ' || source || chr(10) ELSE '' END || replace(text, '#', ' '))[1:800], '^{k.WS}+|{k.WS}+$', '', 'g')) AS summary FROM documents""",
+          trim(regexp_replace((CASE WHEN doc_id % 2 = 0 THEN 'intro' || chr(10) || '## Report on ' || source || chr(10) ELSE '' END || replace(text, '#', ' ')), '^{k.WS}+|{k.WS}+$', '', 'g')) AS summary FROM documents""",
 )
 def _(t):
     body = F.replace("text", F.lit("#"), F.lit(" "))
@@ -201,3 +206,88 @@ def _(t):
 def _(t):
     return tables.newest_snapshot(t.snapshots, "key", tie=("event_id",)).select("key", "event_id")
 
+
+
+# --- readers over files that Spark wrote from the given tables ---------------------------
+
+
+@query(
+    "read_pulses",
+    """SELECT pulse_id, name, created, subscriber_count, array_to_string(tags, '|') AS tags, attack_id, family_name FROM pulses""",
+    uses=["pulses"],
+)
+def _(t):
+    from .aggregates import pulses
+
+    path = scratch_path(t.spark, "pulse-files")
+    pulses(t).drop("actor", "pulse_pos").write.json(path)
+    return doc.read_pulses(t.spark, path).select(
+        "pulse_id", "name", "created", "subscriber_count", k.joined("tags").alias("tags"),
+        c("attack_ids")[0]["external_id"].alias("attack_id"), c("malware_families")[0]["display_name"].alias("family_name"),
+    )
+
+
+@query(
+    "read_detection_repos",
+    "SELECT pos, name, url, platform, array_to_string(tags, '|') AS tags, tier FROM repos",
+    uses=["repos"],
+)
+def _(t):
+    path = scratch_path(t.spark, "repo-files")
+    t.repos.write.json(path)
+    return tables.read_detection_repos(t.spark, path).withColumn("tags", k.joined("tags"))
+
+
+@query(
+    "read_rule_corpus",
+    "SELECT DISTINCT upper(tag_id) AS technique_id FROM rules",
+    uses=["rules"],
+)
+def _(t):
+    path = scratch_path(t.spark, "rule-files")
+    t.rule_files.select("content").write.text(path)
+    corpus = doc.read_rule_corpus(t.spark, path, "*.txt")
+    return rul.corpus_ids(corpus.withColumn("content", F.lower("content")))
+
+
+@query(
+    "unread_rules",
+    "SELECT 'bad ' || path AS path, 'yaml' AS reason FROM rules UNION ALL SELECT path, 'title' FROM rules WHERE title = ''",
+    uses=["rules"],
+)
+def _(t):
+    # each file once more with a merge key, which the reader does not follow
+    odd = t.rule_files.select(_concat("bad ", c("path")).alias("path"), _concat(c("content"), "<<: *base\n").alias("content"))
+    return doc.unread_rules(t.rule_files.unionByName(odd))
+
+
+@query(
+    "folder_reports",
+    """SELECT DISTINCT n.actor, r.path FROM (SELECT 'ops of ' || lower(n_name) || ' and others' AS folder, 'reports/ops of ' || lower(n_name) || ' and others/rep_' || doc_id || '-x.md' AS path
+         FROM documents JOIN nation ON n_nationkey = doc_id % 25) r
+       JOIN (SELECT canonical AS actor, lower(canonical) AS term FROM actors
+             UNION SELECT canonical, trim(lower(a)) FROM (SELECT canonical, unnest(aliases) AS a FROM actors) x WHERE length(trim(a)) > 4) n ON contains(r.folder, n.term)""",
+    uses=["actors"],
+)
+def _(t):
+    named = t.documents.join(t.nation, c("doc_id") % 25 == c("n_nationkey"))
+    folder = _concat("ops of ", F.lower("n_name"), " and others")
+    files = named.select(_concat("reports/", folder, "/rep_", c("doc_id").cast("string"), "-x.md").alias("path"), c("text").alias("content"))
+    terms = search_terms(t.actors.select(c("canonical").alias("actor"), "aliases"), "folder")
+    return historical_reports(doc.parse_reports(files), terms).select("actor", "path")
+
+
+@query(
+    "registry_records",
+    """SELECT actor_name, source_id, 1 AS source_rank FROM records UNION ALL SELECT s_name, 'supplier', 0 FROM supplier""",
+    uses=["records"],
+)
+def _(t):
+    sources = Registry()
+    sources.register("records", 0, lambda s: t.records.select("actor_name", "source_id"))
+    # a plug-in: its own reader, and a mapper to the common columns
+    sources.register(
+        "supplier", 1, lambda s: t.supplier, lambda df: df.select(c("s_name").alias("actor_name"), F.lit("supplier").alias("source_id"))
+    )
+    sources.register("vendor", 2, lambda s: t.part, enrich_only=True)
+    return sources.records(t.spark, ["supplier", "vendor", "records"]).select("actor_name", "source_id", "source_rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..streaming import feeds as st
 from . import common as k
 from .registry import query
@@ -18,13 +19,20 @@ def landed(t):
     return stream.withColumn("source_id", F.when(c("event_type") == "click", "mitre_attack").otherwise(c("event_type")))
 
 
+def refreshed(t, stream, label, write=st.append_to):
+    """A refresh into a target of this call's own; returns its path."""
+    base = scratch_path(t.spark, label)
+    st.refresh_job(stream, f"{base}/data", f"{base}/checkpoint", write)
+    return f"{base}/data"
+
+
 @query(
     "stream_keep_first",
     "SELECT DISTINCT user_id, event_type FROM events",
 )
 def _(t):
     kept = st.stream_keep_first(landed(t), ["user_id", "event_type"], "ts", "40 days").select("user_id", "event_type")
-    return t.spark.read.parquet(st.refresh_job(t.spark, kept, "keep-first"))
+    return t.spark.read.parquet(refreshed(t, kept, "keep-first"))
 
 
 @query(
@@ -33,7 +41,7 @@ def _(t):
 )
 def _(t):
     rows = landed(t).select("event_id", "user_id", "event_type", "value")
-    return t.spark.read.parquet(st.refresh_job(t.spark, rows, "refresh"))
+    return t.spark.read.parquet(refreshed(t, rows, "refresh"))
 
 
 @query(
@@ -43,9 +51,11 @@ def _(t):
 )
 def _(t):
     rows = landed(t).withColumn("value_key", c("event_id") % 40)
-    labelled = st.stream_confidence(rows, ["user_id", "value_key"])
-    path = st.refresh_job(t.spark, labelled, "confidence", st.upsert_to)
-    return st.current(t.spark, path, ["user_id", "value_key"]).withColumn("sources", k.joined("sources"))
+    keys = ["user_id", "value_key"]
+    path = refreshed(t, st.stream_confidence(rows, keys, "ts", "40 days"), "confidence", st.upsert_to)
+    st.compact(t.spark, path, [*keys, "source_id"])
+    sightings = st.current(t.spark, path, [*keys, "source_id"])
+    return st.confidence_of(sightings, keys).withColumn("sources", k.joined("sources"))
 
 
 @query(
@@ -55,7 +65,7 @@ def _(t):
 def _(t):
     known = t.supplier.filter("s_suppkey % 2 = 0").select(c("s_suppkey").alias("user_id"))
     new = st.stream_new(landed(t), known, ["user_id"], ["user_id", "event_type"], "ts", "40 days")
-    return t.spark.read.parquet(st.refresh_job(t.spark, new.select("user_id", "event_type"), "new-iocs"))
+    return t.spark.read.parquet(refreshed(t, new.select("user_id", "event_type"), "new-iocs"))
 
 
 @query(
@@ -66,7 +76,7 @@ def _(t):
        SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM kept WHERE ts IS NOT NULL""",
 )
 def _(t):
-    kept = st.stream_readmit(landed(t), "user_id", "ts", 5 * 86400)
-    path = st.refresh_job(t.spark, kept, "readmit")
+    kept = st.stream_readmit(landed(t), "user_id", "ts", 5 * 86400, delay="40 days")
+    path = refreshed(t, kept, "readmit")
     return t.spark.read.parquet(path).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 

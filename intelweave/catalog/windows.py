@@ -50,7 +50,7 @@ def _(t):
     from ..operators.articles import reports_per_folder
 
     name = F.concat(F.lit("r"), F.lpad(c("doc_id").cast("string"), 9, "0"), F.lit(".md"))
-    return reports_per_folder(t.documents.select(c("lang").alias("folder"), name.alias("path")))
+    return reports_per_folder(t.documents.select(c("lang").alias("folder"), name.alias("path")), 10)
 
 
 @query(
@@ -76,11 +76,11 @@ def _(t):
 
 @query(
     "cap_per_family",
-    f", {PARSED_FEED} SELECT family, type, value FROM capped",
+    f", {PARSED_FEED} SELECT family, type, value FROM feed QUALIFY row_number() OVER (PARTITION BY family ORDER BY pos) <= 45",
     uses=FEED_USES,
 )
 def _(t):
-    return fam.cap_per_family(feed(t)).select("family", "type", "value")
+    return fam.cap_per_family(feed(t), 45).select("family", "type", "value")
 
 
 _AGE = """
@@ -125,7 +125,7 @@ def _(t):
     uses=["pulses"],
 )
 def _(t):
-    return pul.cap_pulses(t.pulses).select("actor", "pulse_id")
+    return pul.cap_pulses(t.pulses, 15).select("actor", "pulse_id")
 
 
 @query(
@@ -139,7 +139,7 @@ def _(t):
 
 @query(
     "checklist",
-    f""", {k.MERGED_TECHNIQUES}, {RULES_SQL}, lead AS (SELECT actor, technique_id, count(*) AS n, first(title ORDER BY rule_rank) AS title FROM hit GROUP BY actor, technique_id)
+    f""", {k.MERGED_TECHNIQUES}, {RULES_SQL}, lead AS (SELECT actor, technique_id, max(technique_rules) AS n, first(title ORDER BY rule_rank) AS title FROM hit GROUP BY actor, technique_id)
     SELECT actor, coalesce(nullif(tactic, ''), 'Unknown') AS tactic, technique_id, coalesce(m.name, '') AS name, confidence,
            coalesce(l.title || CASE WHEN n > 1 THEN ' (+' || (n - 1) || ' more)' ELSE '' END, detection, '') AS hint
     FROM merged_t m LEFT JOIN lead l USING (actor, technique_id)""",
@@ -152,7 +152,7 @@ def _(t):
 
 @query(
     "lead_rules",
-    f""", {RULES_SQL} SELECT actor, technique_id, count(*) AS rule_count, first(title ORDER BY rule_rank) || CASE WHEN count(*) > 1 THEN ' (+' || (count(*) - 1) || ' more)' ELSE '' END AS summary FROM hit GROUP BY actor, technique_id""",
+    f""", {RULES_SQL} SELECT actor, technique_id, max(technique_rules) AS rule_count, first(title ORDER BY rule_rank) || CASE WHEN max(technique_rules) > 1 THEN ' (+' || (max(technique_rules) - 1) || ' more)' ELSE '' END AS summary FROM hit GROUP BY actor, technique_id""",
     uses=["techniques", "rules"],
 )
 def _(t):
@@ -177,11 +177,11 @@ def _(t):
 @query(
     "family_ioc_order",
     f""", {PARSED_FEED} SELECT family, type, value, row_number() OVER (PARTITION BY family ORDER BY confidence_score DESC, CASE threat_type WHEN 'botnet_cc' THEN 0 WHEN 'payload' THEN 1 ELSE 99 END, first_seen, type, value, pos) AS place
-    FROM feed QUALIFY place <= 100""",
+    FROM feed""",
     uses=FEED_USES,
 )
 def _(t):
-    rows = od.top_n(feed(t), 100, ["family"], [*fam.family_ioc_order(), c("type"), c("value"), c("pos")], rank="place")
+    rows = od.top_n(feed(t), None, ["family"], [*fam.family_ioc_order(), c("type"), c("value"), c("pos")], rank="place")
     return rows.select("family", "type", "value", "place")
 
 
@@ -190,21 +190,21 @@ _EXPORT_RANK = k.case_sql("type", {t: i for i, t in enumerate(vocab.EXPORT_TYPE_
 
 @query(
     "export_order",
-    f""", {k.MERGED_INDICATORS} SELECT actor, type, value, row_number() OVER (PARTITION BY actor ORDER BY {_EXPORT_RANK}, value) AS place FROM merged_i QUALIFY place <= 200""",
+    f""", {k.MERGED_INDICATORS} SELECT actor, type, value, row_number() OVER (PARTITION BY actor ORDER BY {_EXPORT_RANK}, value) AS place FROM merged_i""",
     uses=["indicators"],
 )
 def _(t):
-    return od.top_n(k.merged_indicators(t), 200, ["actor"], ind.export_order(), rank="place").select("actor", "type", "value", "place")
+    return od.top_n(k.merged_indicators(t), None, ["actor"], ind.export_order(), rank="place").select("actor", "type", "value", "place")
 
 
 @query(
     "gap_order",
-    f""", {COVERED_SQL} SELECT actor, technique_id, confidence, row_number() OVER (PARTITION BY actor ORDER BY CASE confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END, technique_id) AS place FROM flagged WHERE NOT covered QUALIFY place <= 300""",
+    f""", {COVERED_SQL} SELECT actor, technique_id, confidence, row_number() OVER (PARTITION BY actor ORDER BY CASE confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END, technique_id) AS place FROM flagged WHERE NOT covered""",
     uses=["techniques", "rules"],
 )
 def _(t):
     rows = flagged(t).filter("not covered")
-    return od.top_n(rows, 300, ["actor"], rul.gap_order(), rank="place").select("actor", "technique_id", "confidence", "place")
+    return od.top_n(rows, None, ["actor"], rul.gap_order(), rank="place").select("actor", "technique_id", "confidence", "place")
 
 
 @query(
@@ -253,11 +253,13 @@ def _(t):
 
 @query(
     "high_confidence",
-    f""", {k.MERGED_TECHNIQUES}, low AS (SELECT * FROM merged_t WHERE actor LIKE '%2' AND confidence <> 'HIGH' UNION ALL SELECT * FROM merged_t WHERE actor NOT LIKE '%2')
-    SELECT actor, technique_id FROM low WHERE confidence = 'HIGH' QUALIFY row_number() OVER (PARTITION BY actor ORDER BY first_at) <= 10
-    UNION ALL SELECT actor, technique_id FROM low WHERE actor LIKE '%2' QUALIFY row_number() OVER (PARTITION BY actor ORDER BY first_at) <= 5""",
+    f""", {k.MERGED_TECHNIQUES}, twice AS (SELECT actor, technique_id, confidence, first_at FROM merged_t UNION ALL SELECT 'low ' || actor, technique_id, 'LOW', first_at FROM merged_t)
+    SELECT actor, technique_id FROM twice WHERE confidence = 'HIGH' QUALIFY row_number() OVER (PARTITION BY actor ORDER BY first_at) <= 10
+    UNION ALL SELECT actor, technique_id FROM twice WHERE actor NOT IN (SELECT actor FROM twice WHERE confidence = 'HIGH') QUALIFY row_number() OVER (PARTITION BY actor ORDER BY first_at) <= 5""",
     uses=["techniques"],
 )
 def _(t):
-    rows = k.merged_techniques(t).filter("not (actor like '%2' and confidence = 'HIGH')")
-    return prof.high_confidence(rows, 10, 5).select("actor", "technique_id")
+    rows = k.merged_techniques(t)
+    # the same techniques once more for actors that have no HIGH one
+    low = rows.withColumns({"actor": F.concat(F.lit("low "), "actor"), "confidence": F.lit("LOW")})
+    return prof.high_confidence(rows.unionByName(low), 10, 5).select("actor", "technique_id")

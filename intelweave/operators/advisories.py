@@ -34,9 +34,9 @@ def advisory_text(df: DataFrame) -> DataFrame:
 
 
 def mentioned(texts: DataFrame, terms: DataFrame, key: str, field: str = "search_text", strategy=None) -> DataFrame:
-    """Rows per actor one of whose names occurs in the text."""
+    """Rows per actor one of whose names occurs in the text; the searched text is not copied to them."""
     found = text_mentions(texts, key, field, terms, strategy=strategy)
-    return found.join(texts.drop("actor") if "actor" in texts.columns else texts, key)
+    return found.join(texts.drop(field, "actor"), key)
 
 
 def advisory_techniques(advisories: DataFrame, *, by=BY, order=ORDER) -> DataFrame:

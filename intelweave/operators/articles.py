@@ -10,7 +10,7 @@ from ..functions import dates
 from ..functions.labels import article_key
 from . import BY
 from .merge import article_identity
-from .mentions import term_hits
+from .mentions import term_hits, text_mentions
 from .ordering import keep_first, top_n
 
 
@@ -59,12 +59,16 @@ def score_articles(
     )
 
 
-def relevant_articles(
+#: columns that no ranking needs
+TEXTS = ("title", "summary", "content", "body")
+
+
+def relevant_ids(
     articles: DataFrame, feeds: DataFrame, terms: DataFrame, as_of, settings: Settings = DEFAULTS, key="article_id"
 ) -> DataFrame:
-    """Articles of enabled feeds inside the window that are relevant to an actor.
+    """Articles of enabled feeds inside the window that are relevant to an actor, without their texts.
 
-    Adds actor, relevance, source_tier and tags; not yet capped.
+    Adds actor, relevance, source_tier, tags and a hash of the article's identity; not yet capped.
     """
     dims = enabled_feeds(feeds).select(
         F.col("name").alias("source"), F.coalesce("tier", F.lit(3)).alias("source_tier"), "apt_focus", "tags"
@@ -72,21 +76,36 @@ def relevant_articles(
     recent = articles.filter(dates.within_lookback(F.col("date"), as_of, settings.lookback_days))
     recent = recent.join(dims, "source")
     scored = score_articles(recent, terms, key, settings)
+    # what ranks and identifies an article, not its text, is copied to the actors it concerns
+    light = recent.withColumn("identity", F.md5(article_identity())).drop(*TEXTS)
     return (
-        scored.join(recent, key)
+        scored.join(light.drop(*[x for x in ("actor",) if x in light.columns]), key)
         .withColumn("relevance", relevance_score(F.col("title_terms"), F.col("body_hits"), F.col("apt_focus")))
         .filter(F.col("relevance") >= settings.min_relevance)
     )
 
 
-def top_per_feed(articles: DataFrame, n: int = DEFAULTS.articles_per_feed, *, by=BY) -> DataFrame:
+def with_texts(ranked: DataFrame, articles: DataFrame, key="article_id") -> DataFrame:
+    """Title and body for rows that are already ranked and cut."""
+    return ranked.join(articles.select(key, *[x for x in TEXTS if x in articles.columns]), key)
+
+
+def relevant_articles(
+    articles: DataFrame, feeds: DataFrame, terms: DataFrame, as_of, settings: Settings = DEFAULTS, key="article_id"
+) -> DataFrame:
+    """:func:`relevant_ids` with the texts."""
+    return with_texts(relevant_ids(articles, feeds, terms, as_of, settings, key), articles, key)
+
+
+def top_per_feed(articles: DataFrame, n: int | None = DEFAULTS.articles_per_feed, *, by=BY) -> DataFrame:
     """The n most relevant articles of a feed, ties by position."""
     return top_n(articles, n, [*by, "source"], [F.desc("relevance"), F.asc("pos")])
 
 
 def unique_articles(articles: DataFrame, *, by=BY) -> DataFrame:
     """First article per url (title where there is no url), feeds in registry order."""
-    return keep_first(articles, [*by, article_identity()], ["feed_pos", F.negative("relevance"), "pos"])
+    identity = F.col("identity") if "identity" in articles.columns else article_identity()
+    return keep_first(articles, [*by, identity], ["feed_pos", F.negative("relevance"), "pos"])
 
 
 def article_order(recency: bool = False) -> list[Column]:
@@ -105,6 +124,16 @@ def with_history(articles: DataFrame, reports: DataFrame, settings: Settings = D
     )
 
 
+def historical_reports(reports: DataFrame, terms: DataFrame) -> DataFrame:
+    """Reports of the folders whose name holds a name of an actor: (actor, folder, path, title, ...).
+
+    terms: (actor, term) as :func:`~.aliases.search_terms` gives them by the
+    ``folder`` rule.  Only folder names are searched; reports join last.
+    """
+    folders = reports.select("folder").distinct()
+    return text_mentions(folders, "folder", "folder", terms).join(reports, "folder")
+
+
 def evidence_queue(articles: DataFrame, n: int = DEFAULTS.evidence_articles, *, by=BY) -> DataFrame:
     """The n articles worth reading first: relevance, then feed tier."""
     tier = F.coalesce("source_tier", F.lit(3))
@@ -115,9 +144,9 @@ def article_count(articles: DataFrame, *, by=BY) -> DataFrame:
     return articles.groupBy(*by).agg(F.count("*").alias("article_count"))
 
 
-def feed_health(feeds: DataFrame, kept: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Per feed: kept articles, and one of hits / zero / failed."""
-    counts = kept.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("articles"))
+def feed_health(feeds: DataFrame, kept: DataFrame, failed: DataFrame | None = None, key="article_id") -> DataFrame:
+    """Per feed: kept articles (each once, however many actors it concerns), and one of hits / zero / failed."""
+    counts = kept.groupBy(F.col("source").alias("name")).agg(F.count_distinct(key).alias("articles"))
     out = enabled_feeds(feeds).select("name").join(counts, "name", "left")
     out = out.withColumn("articles", F.coalesce("articles", F.lit(0)))
     if failed is not None:
@@ -142,6 +171,6 @@ def with_article_key(articles: DataFrame, per_actor: bool = False) -> DataFrame:
     return articles.withColumn("article_key", article_key(F.col("url"), F.col("title"), *more))
 
 
-def reports_per_folder(reports: DataFrame, n: int = DEFAULTS.reports_per_folder) -> DataFrame:
+def reports_per_folder(reports: DataFrame, n: int | None = DEFAULTS.reports_per_folder) -> DataFrame:
     """First n report files of a folder by path."""
     return top_n(reports, n, ["folder"], ["path"])

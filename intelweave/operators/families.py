@@ -18,15 +18,13 @@ def normalize_family(df: DataFrame) -> DataFrame:
         *[x for x in df.columns if x not in {"common_name", "description", "tags", "alt_names", "yara"}],
         F.coalesce(F.nullif("common_name", F.lit("")), labels.display_slug(c("slug"))).alias("name"),
         labels.family_class(F.coalesce("tags", F.array().cast("array<string>"))).alias("type"),
-        text.truncate(
-            F.regexp_replace(F.coalesce("description", F.lit("")), r"\[([^\]]+)\]\([^)]+\)", "$1"), 400
-        ).alias("description"),
+        F.regexp_replace(F.coalesce("description", F.lit("")), r"\[([^\]]+)\]\([^)]+\)", "$1").alias("description"),
         F.coalesce("alt_names", F.array().cast("array<string>")).alias("aliases"),
         F.coalesce(F.size("yara"), F.lit(0)).alias("yara_count"),
     )
 
 
-def cap_families(families: DataFrame, n: int = DEFAULTS.families_per_actor, *, by=BY) -> DataFrame:
+def cap_families(families: DataFrame, n: int | None = DEFAULTS.families_per_actor, *, by=BY) -> DataFrame:
     return top_n(families, n, by, ["pos"])
 
 
@@ -62,32 +60,31 @@ def parse_family_ioc(df: DataFrame) -> DataFrame:
     return out.filter("type is not null and value is not null")
 
 
-def cap_per_family(feed: DataFrame, n: int = DEFAULTS.iocs_per_family, family: str = "family") -> DataFrame:
-    """First n feed rows of a family (the request limit)."""
+def cap_per_family(feed: DataFrame, n: int | None = DEFAULTS.iocs_per_family, family: str = "family") -> DataFrame:
+    """First n feed rows of a family, where a client's request limit is wanted."""
     return top_n(feed, n, [family], ["pos"])
 
 
-def _matched(malware: DataFrame, feed: DataFrame, n: int, by) -> DataFrame:
+def _families(malware: DataFrame, by) -> DataFrame:
     names = malware.select(*by, F.col("name").alias("family"), F.col("pos").alias("family_pos"))
-    names = keep_first(names, [*by, "family"], ["family_pos"])
-    return names.join(cap_per_family(feed, n), "family")
+    return keep_first(names, [*by, "family"], ["family_pos"])
 
 
-def family_iocs(malware: DataFrame, feed: DataFrame, n: int = DEFAULTS.iocs_per_family, *, by=BY) -> DataFrame:
+def family_iocs(malware: DataFrame, feed: DataFrame, n: int | None = DEFAULTS.iocs_per_family, *, by=BY) -> DataFrame:
     """Feed indicators of a group's malware; a repeated one belongs to the first family.
 
-    The feed is cut to the request limit per family before the join, so the
-    join can not multiply a family that fills much of the feed.
+    With a request limit the feed is cut per family before the join.
     """
-    rows = _matched(malware, feed, n, by).withColumnRenamed("family", "malware_family")
+    # within a family the first row of a value wins for every group, so the rest need not be joined
+    first = keep_first(cap_per_family(feed, n), ["family", "type", F.lower("value")], ["pos"])
+    rows = _families(malware, by).join(first, "family").withColumnRenamed("family", "malware_family")
     return keep_first(rows, [*by, "type", F.lower("value")], ["family_pos", "pos"])
 
 
-def family_hits(malware: DataFrame, feed: DataFrame, n: int = DEFAULTS.iocs_per_family, *, by=BY) -> DataFrame:
+def family_hits(malware: DataFrame, feed: DataFrame, n: int | None = DEFAULTS.iocs_per_family, *, by=BY) -> DataFrame:
     """Indicators per family before they are made unique; only families with any."""
-    return _matched(malware, feed, n, by).groupBy(*by, "family").agg(
-        F.count("*").alias("hits"), F.min("family_pos").alias("family_pos")
-    )
+    hits = cap_per_family(feed, n).groupBy("family").agg(F.count("*").alias("hits"))
+    return _families(malware, by).join(hits, "family").select(*by, "family", "hits", "family_pos")
 
 
 def top_families(hits: DataFrame, n: int, *, by=BY) -> DataFrame:

@@ -60,8 +60,12 @@ def primary_and_secondary(primary: Column, secondary: Column) -> Column:
     return F.array_distinct(F.concat(head, F.coalesce(secondary, F.array().cast("array<string>"))))
 
 
-def technique_from_object(df: DataFrame, text_limit: int = 800, detection_limit: int = 600) -> DataFrame:
-    """Technique fields of a graph object; rows without a technique id are dropped."""
+def _cut(c: Column, limit: int | None) -> Column:
+    return text.truncate(c, limit) if limit else text.strip(c)
+
+
+def technique_from_object(df: DataFrame, text_limit: int | None = None, detection_limit: int | None = None) -> DataFrame:
+    """Technique fields of a graph object; rows without a technique id are dropped.  Limits cut texts for display."""
     tactics = labels.phase_tactics(F.transform("kill_chain_phases", lambda p: p["phase_name"]))
     detection = F.coalesce(F.nullif("x_mitre_detection", F.lit("")), "detection", F.lit(""))
     return (
@@ -71,8 +75,8 @@ def technique_from_object(df: DataFrame, text_limit: int = 800, detection_limit:
             {
                 "tactics": tactics,
                 "tactic": text.first_label(tactics, ""),
-                "description": text.truncate(F.coalesce("description", F.lit("")), text_limit),
-                "detection": text.truncate(detection, detection_limit),
+                "description": _cut(F.coalesce("description", F.lit("")), text_limit),
+                "detection": _cut(detection, detection_limit),
             }
         )
     )
@@ -104,7 +108,7 @@ def group_supplement(spark) -> DataFrame:
     )
 
 
-def group_records(groups: DataFrame, supplement: DataFrame, limit: int = 1200, keep=()) -> DataFrame:
+def group_records(groups: DataFrame, supplement: DataFrame, limit: int | None = None, keep=()) -> DataFrame:
     """Record fields of a group; curated facts win over inferred ones."""
     c = F.col
     base = groups.withColumn("mitre_id", external_id(c("external_references"), r"G\d{4}"))
@@ -117,7 +121,7 @@ def group_records(groups: DataFrame, supplement: DataFrame, limit: int = 1200, k
         c("name").alias("actor_name"),
         "mitre_id",
         others.alias("aliases"),
-        text.truncate(text.strip_md_links(F.coalesce("description", F.lit(""))), limit).alias("description"),
+        _cut(text.strip_md_links(F.coalesce("description", F.lit(""))), limit).alias("description"),
         F.coalesce(
             F.nullif("s_origin", F.lit("")), labels.infer_origin(c("x_mitre_contributors"), c("description"))
         ).alias("origin"),

@@ -37,6 +37,8 @@ from .ordering import top_n
 SMALL_TERMS = 20_000
 SMALL_CHARS = 4_000_000
 GRAM = 3
+# of the filter that drops grams no term needs
+FILTER_BITS = 1 << 16
 
 
 def _quote(ch: str) -> str:
@@ -143,6 +145,27 @@ def _pattern(texts: DataFrame, key, field: str, terms: list[str]) -> DataFrame:
     return hits.select(*key, F.inline("_hits"))
 
 
+def _gram_filter(filed: DataFrame):
+    """A test that every filed gram passes, from FILTER_BITS bits set by their hashes."""
+    place = lambda g: F.pmod(F.xxhash64(g), F.lit(FILTER_BITS))
+    words = (
+        filed.select(place(F.col("gram")).alias("p")).distinct()
+        .groupBy(F.floor(F.col("p") / 64).cast("int").alias("w"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).collect()
+    )
+    table = [0] * (FILTER_BITS // 64)
+    for r in words:
+        table[r["w"]] = r["bits"]
+    bits = F.lit(table).cast("array<bigint>")
+
+    def passes(gram):
+        p = place(gram)
+        word = F.get(bits, F.floor(p / 64).cast("int"))
+        return F.shiftrightunsigned(word, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % 64).cast("int"))) != 0
+
+    return passes
+
+
 def _grams(texts: DataFrame, key, field: str, terms: DataFrame, term: str) -> DataFrame:
     """Same result by an equi-join on character grams."""
     wanted = terms.select(F.lower(term).alias("term")).filter("term <> ''").distinct()
@@ -158,9 +181,12 @@ def _grams(texts: DataFrame, key, field: str, terms: DataFrame, term: str) -> Da
 
     low = texts.select(*key, F.lower(field).alias("_t"))
     grams = F.flatten(F.array(*[gram_of(F.col("_t"), n) for n in range(1, GRAM + 1)]))
+    # Grams that no term is filed under go before the exchange; the filter's size is fixed.
+    passing = _gram_filter(filed)
+    low = low.withColumn("_g", F.filter(grams, passing)).filter(F.size("_g") > 0)
     # The text stays out of the shuffle until a gram has matched.
-    candidates = low.select(*key, F.explode(grams).alias("gram")).join(filed, "gram").drop("gram")
-    checked = candidates.join(low, list(key)).filter(F.contains("_t", F.col("term")))
+    candidates = low.select(*key, F.explode("_g").alias("gram")).join(filed, "gram").drop("gram")
+    checked = candidates.join(low.drop("_g"), list(key)).filter(F.contains("_t", F.col("term")))
     return checked.select(*key, "term", occurrences(F.col("_t"), F.col("term")).alias("n"))
 
 

@@ -61,13 +61,17 @@ def latest_by(df: DataFrame, keys, order) -> DataFrame:
     return _pick(df, keys, order, F.max_by)
 
 
-def top_n(df: DataFrame, n: int, by=BY, order=ORDER, rank: str | None = None) -> DataFrame:
-    """First n rows of every group.  Order entries may be sort expressions.
+def top_n(df: DataFrame, n: int | None, by=BY, order=ORDER, rank: str | None = None) -> DataFrame:
+    """First n rows of every group (``None``: all).  Order entries may be sort expressions.
 
-    Spark cuts every map task to n rows per group before the shuffle.
+    With n, Spark cuts every map task to n rows per group before the shuffle.
     """
+    if n is None and rank is None:
+        return df
     w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
+    out = df.withColumn("_rank", F.row_number().over(w))
+    if n is not None:
+        out = out.filter(F.col("_rank") <= n)
     return out.withColumnRenamed("_rank", rank) if rank else out.drop("_rank")
 
 
@@ -103,7 +107,15 @@ def positions(df: DataFrame, array: str, item: str = "item", pos: str = "pos") -
     return df.select(*rest, F.posexplode(array).alias(pos, item))
 
 
-def part_of(key: Column, n_parts: Column) -> Column:
-    """Stable part number in [0, n_parts) from a text key."""
-    h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(h, n_parts)
+def order_text(df: DataFrame, name: str) -> Column:
+    """A text that sorts like a column: whole numbers zero-padded, struct fields one after the other."""
+
+    def text_of(c: Column, kind) -> list[Column]:
+        if isinstance(kind, T.StructType):
+            return [x for f in kind for x in text_of(c[f.name], f.dataType)]
+        if isinstance(kind, T.IntegralType):
+            # shifted, so that negative numbers sort before the others
+            return [F.coalesce(F.lpad((c.cast("decimal(20,0)") + F.lit(10**18).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit(""))]
+        return [F.coalesce(c.cast("string"), F.lit(""))]
+
+    return F.concat_ws("\u0001", *text_of(F.col(name), df.schema[name].dataType))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, Settings
 from . import BY
-from .ordering import first_present, gathered, keep_first, part_of, top_n
+from .ordering import first_present, gathered, keep_first, top_n
 
 
 def tactic_frequency(techniques: DataFrame, n: int | None = 5, *, by=BY, order="first_at") -> DataFrame:
@@ -121,40 +120,21 @@ def section_items(df: DataFrame, section: str, fields, key: Column, *, by=BY) ->
     )
 
 
-def assemble_profiles(
-    header: DataFrame, items: DataFrame, settings: Settings = DEFAULTS, *, by=BY, sections=None
-) -> DataFrame:
-    """One nested object per group, in several parts where a group is very large.
+SECTION_NAMES = (
+    "techniques", "malware", "indicators", "campaigns", "cves", "advisories", "articles", "aliases", "sectors"
+)
+
 
-    Every part repeats the header and holds about ``profile_part_items`` items
-    at most, so no task ever gathers an unbounded group; a group below that
-    size is exactly one object.  All items are kept.
+def assemble_profiles(header: DataFrame, items: DataFrame, *, by=BY, sections=SECTION_NAMES) -> DataFrame:
+    """(group, section_no, section, item_key, item): a header row, then one JSON item per row, at any size.
+
+    The order of a profile is (section_no, item_key); nothing is gathered.
     """
-    sizes = items.groupBy(*by).agg(
-        F.ceil(F.count("*") / settings.profile_part_items).cast("int").alias("n_parts")
-    )
-    placed = items.join(sizes, list(by)).withColumn(
-        "part", part_of(F.concat_ws("\u0001", "section", "item_key"), F.col("n_parts"))
-    )
-    names = sections or [
-        "techniques", "malware", "indicators", "campaigns", "cves", "advisories", "articles", "aliases", "sectors"
-    ]
-    nested = placed.groupBy(*by, "part").agg(
-        F.max("n_parts").alias("n_parts"),
-        *[
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("item_key", "item")))),
-                lambda e: e["item"],
-            ).alias(s)
-            for s in names
-        ],
-    )
-    joined = header.join(nested, list(by), "left")
-    empty = F.array().cast("array<string>")
-    return joined.withColumns(
-        {
-            "part": F.coalesce("part", F.lit(0)),
-            "n_parts": F.coalesce("n_parts", F.lit(1)),
-            **{s: F.coalesce(s, empty) for s in names},
-        }
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(sections) for x in (n, i + 1)])
+    rest = [c for c in header.columns if c not in by]
+    head = header.select(
+        *by, F.lit(0).alias("section_no"), F.lit("header").alias("section"), F.lit("").alias("item_key"),
+        F.to_json(F.struct(*by, *rest), {"ignoreNullFields": "false"}).alias("item"),
     )
+    rows = items.select(*by, number[F.col("section")].alias("section_no"), "section", "item_key", "item")
+    return head.unionByName(rows)

@@ -16,7 +16,7 @@ from . import BY
 from .ordering import distinct_values, keep_first, top_n
 
 
-def cap_pulses(pulses: DataFrame, n: int = DEFAULTS.pulses_per_actor, *, by=BY) -> DataFrame:
+def cap_pulses(pulses: DataFrame, n: int | None = DEFAULTS.pulses_per_actor, *, by=BY) -> DataFrame:
     return top_n(pulses, n, by, ["pulse_pos", "pulse_id"])
 
 
@@ -26,7 +26,7 @@ def with_fallback(primary: DataFrame, fallback: DataFrame, *, by=BY) -> DataFram
     return primary.unionByName(fallback.join(answered, list(by), "left_anti"), allowMissingColumns=True)
 
 
-def pulse_details(stubs: DataFrame, details: DataFrame, n: int = DEFAULTS.pulses_per_actor, *, by=BY) -> DataFrame:
+def pulse_details(stubs: DataFrame, details: DataFrame, n: int | None = DEFAULTS.pulses_per_actor, *, by=BY) -> DataFrame:
     """Stubs of several searches, unique by id and capped, with their details.
 
     Stubs without details are dropped.
@@ -45,14 +45,14 @@ def pulse_indicator_rows(pulses: DataFrame, *, by=BY) -> DataFrame:
     ).filter(F.col("type").isNotNull() & (F.coalesce("value", F.lit("")) != ""))
 
 
-def pulse_iocs(pulses: DataFrame, n: int = DEFAULTS.iocs_per_type, *, by=BY) -> DataFrame:
+def pulse_iocs(pulses: DataFrame, n: int | None = DEFAULTS.iocs_per_type, *, by=BY) -> DataFrame:
     """First n indicators of each type; a value counts once, whatever its type."""
     order = ["pulse_pos", "ind_pos"]
     unique = keep_first(pulse_indicator_rows(pulses, by=by), [*by, "value"], order)
     return cap_per_type(unique, n, by=by, order=order)
 
 
-def cap_per_type(indicators: DataFrame, n: int = DEFAULTS.iocs_per_type, *, by=BY, order=("pos",)) -> DataFrame:
+def cap_per_type(indicators: DataFrame, n: int | None = DEFAULTS.iocs_per_type, *, by=BY, order=("pos",)) -> DataFrame:
     return top_n(indicators, n, [*by, "type"], list(order))
 
 
@@ -108,8 +108,8 @@ def pulse_stats(pulses: DataFrame, *, by=BY) -> DataFrame:
     )
 
 
-def best_description(pulses: DataFrame, limit: int = 800, *, by=BY) -> DataFrame:
-    """Description of the pulse with the most subscribers, the first one on a tie."""
+def best_description(pulses: DataFrame, limit: int | None = None, *, by=BY) -> DataFrame:
+    """Description of the pulse with the most subscribers, the first one on a tie; ``limit`` cuts it for display."""
     rank = F.struct(F.negative(F.coalesce("subscriber_count", F.lit(0))), F.col("pulse_pos"))
     best = F.min_by(F.coalesce("description", F.lit("")), rank)
-    return pulses.groupBy(*by).agg(text.truncate(best, limit).alias("description"))
+    return pulses.groupBy(*by).agg((text.truncate(best, limit) if limit else best).alias("description"))

@@ -39,26 +39,29 @@ def tag_overlap(a, b):
 def match_repos(tags: DataFrame, repos: DataFrame, k: int = DEFAULTS.repos_per_actor, *, by=BY) -> DataFrame:
     """The k best repositories: one point per shared tag, two more for tier 1.
 
-    A tier-1 repository scores without any shared tag, but only the first k of
-    them can reach the top k that way; those carry a weightless tag that every
-    group has, which keeps the match an equi-join.
+    Repositories with the same tags and tier score alike, so the k earliest of
+    each such class are all that can be listed, and groups with the same tags
+    get the same list.  The match is therefore between distinct tag sets on
+    both sides, whose number does not grow with groups or repositories.  A
+    tier-1 repository scores without any shared tag, but only the first k of
+    them can reach the top k that way; their sets carry a weightless tag that
+    every set of tags has, which keeps the match an equi-join.
     """
-    dims = repos.select("name", "url", "platform", "tier", "pos", "tags")
     bonus = F.when(F.col("tier") == 1, 2).otherwise(0)
-    by_tag = dims.select(
-        "name", "url", "platform", "tier", "pos", F.explode(F.array_distinct("tags")).alias("tag"), F.lit(1).alias("w")
+    dims = repos.select(
+        "name", "url", "platform", "tier", "pos", F.sort_array(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("offer")
     )
-    leaders = dims.filter("tier = 1").orderBy("pos").limit(k)
-    by_tier = leaders.select(
-        "name", "url", "platform", "tier", "pos", F.lit(_ANY).alias("tag"), F.lit(0).alias("w")
-    )
-    scored = (
-        _with_tag(tags, _ANY, by)
-        .distinct()
-        .join(by_tag.unionByName(by_tier), "tag")
-        .groupBy(*by, "name", "url", "platform", "tier", "pos")
-        .agg(F.sum("w").alias("shared"))
-        .withColumn("score", (F.col("shared") + bonus).cast("int"))
-        .filter("score > 0")
-    )
-    return top_n(scored, k, by, [F.desc("score"), F.asc("pos")], rank="repo_rank")
+    listed = top_n(dims, k, ["offer", "tier"], ["pos"])
+    leaders = listed.filter("tier = 1").orderBy("pos").limit(k).select("offer").distinct()
+    offers = listed.select("offer").distinct().select("offer", F.explode("offer").alias("tag"), F.lit(1).alias("w"))
+    offers = offers.unionByName(leaders.select("offer", F.lit(_ANY).alias("tag"), F.lit(0).alias("w")))
+    # a group's tags come from fixed vocabularies (sectors, tactics, types)
+    wanted = tags.groupBy(*by).agg(F.sort_array(F.collect_set("tag")).alias("profile"))
+    profiles = wanted.select("profile").distinct()
+    shared = (
+        profiles.select("profile", F.explode(F.array_append("profile", _ANY)).alias("tag"))
+        .join(offers, "tag").groupBy("profile", "offer").agg(F.sum("w").alias("shared"))
+    )
+    scored = shared.join(listed, "offer").withColumn("score", (F.col("shared") + bonus).cast("int")).filter("score > 0")
+    best = top_n(scored.drop("offer"), k, ["profile"], [F.desc("score"), F.asc("pos")], rank="repo_rank")
+    return wanted.join(best, "profile").drop("profile")

@@ -31,11 +31,16 @@ def tagged_rules(rules: DataFrame) -> DataFrame:
 
 
 def top_rules(rules: DataFrame, n: int = DEFAULTS.rules_per_technique) -> DataFrame:
-    """The n best rules of each technique: by level, then title, then path."""
-    return top_n(
-        tagged_rules(rules), n, ["technique_id"],
-        [level_rank(F.col("level")), F.col("title"), F.col("path")], rank="rule_rank",
+    """The n best rules of each technique: by level, then title, then path.
+
+    ``technique_rules`` is the number of all rules of the technique.
+    """
+    tagged = tagged_rules(rules)
+    best = top_n(
+        tagged, n, ["technique_id"], [level_rank(F.col("level")), F.col("title"), F.col("path")], rank="rule_rank"
     )
+    totals = tagged.groupBy("technique_id").agg(F.count("*").alias("technique_rules"))
+    return best.join(totals, "technique_id")
 
 
 def rules_for_techniques(
@@ -51,19 +56,19 @@ def rules_for_techniques(
 
 
 def rule_counts(matched: DataFrame, *, by=BY) -> DataFrame:
-    """Rules per technique, after the cap."""
-    return matched.groupBy(*by, "technique_id").agg(F.count("*").alias("rule_count"))
+    """All rules of each technique, listed or not."""
+    return matched.groupBy(*by, "technique_id").agg(F.max("technique_rules").alias("rule_count"))
 
 
 def rule_total(matched: DataFrame, *, by=BY) -> DataFrame:
     """Rules of a group; a rule counts once per technique it covers."""
-    return matched.groupBy(*by).agg(F.count("*").alias("rule_count"))
+    return rule_counts(matched, by=by).groupBy(*by).agg(F.sum("rule_count").alias("rule_count"))
 
 
 def lead_rules(matched: DataFrame, *, by=BY) -> DataFrame:
     """First rule of a technique, with ``(+n more)`` for the others."""
     out = matched.groupBy(*by, "technique_id").agg(
-        F.count("*").alias("rule_count"),
+        F.max("technique_rules").alias("rule_count"),
         F.min_by(F.struct("title", "level", "logsource", "url"), F.col("rule_rank")).alias("lead"),
     )
     more = F.when(

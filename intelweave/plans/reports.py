@@ -15,7 +15,7 @@ from ..functions import dates, ioc, labels, text
 from ..operators import BY
 from ..operators import freshness as fresh
 from ..operators.merge import confidence_summary
-from ..operators.ordering import top_n
+from ..operators.ordering import order_text, top_n
 
 SECTIONS = [
     "overview", "techniques", "detection", "indicators", "families", "repositories", "sectors",
@@ -40,6 +40,12 @@ def section_rows(df: DataFrame, section: str, key: Column, fields: list[Column],
     )
 
 
+def merged_order(df: DataFrame, order=None) -> Column:
+    """Sort key of rows that keep the order they were merged in."""
+    names = order or (["first_at"] if "first_at" in df.columns else ["source_rank", "pos"])
+    return F.concat_ws("\u0001", *[order_text(df, n) for n in names])
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -47,17 +53,39 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def overview_rows(profile: DataFrame, *, by=BY) -> DataFrame:
+def overview_rows(
+    profile: DataFrame, motivations: DataFrame | None = None, aliases: DataFrame | None = None,
+    sources: DataFrame | None = None, origins: DataFrame | None = None, *, by=BY,
+) -> DataFrame:
+    """Facts of the header, then one row per motivation, alias, cited source and origin of indicators, in order.
+
+    profile: (group, mitre_group_id, origin, first_seen, description).  The lists
+    are long tables (value, first_at); a group without any has one row that says so.
+    origins: (group, source, indicators).
+    """
     c = F.col
     unknown = lambda e, word: F.coalesce(text.non_blank(e), F.lit(word))
-    pairs = F.array(
-        F.struct(F.lit("1").alias("k"), F.lit("Origin").alias("n"), unknown(c("origin"), "Unknown").alias("v")),
-        F.struct(F.lit("2").alias("k"), F.lit("First Seen").alias("n"), unknown(c("first_seen"), "Unknown").alias("v")),
-        F.struct(F.lit("3").alias("k"), F.lit("Motivations").alias("n"), unknown(c("motivations"), "Unknown").alias("v")),
-        F.struct(F.lit("4").alias("k"), F.lit("Also Known As").alias("n"), unknown(c("aliases"), "—").alias("v")),
+    have = lambda n: c(n) if n in profile.columns else F.lit("")
+    fact = lambda k, n, v: F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), v.alias("v"))
+    facts = F.array(
+        fact("0", "Group ID", F.coalesce(have("mitre_group_id"), F.lit(""))), fact("1", "Origin", unknown(c("origin"), "Unknown")),
+        fact("2", "First Seen", unknown(c("first_seen"), "Unknown")), fact("5", "Description", F.coalesce(have("description"), F.lit(""))),
     )
-    rows = profile.select(*by, F.inline(pairs))
-    return section_rows(rows, "overview", F.col("k"), [F.col("n"), F.col("v")], SECTIONS, by=by)
+    rows = profile.select(*by, F.inline(facts)).filter((F.col("v") != "") | F.col("k").isin("1", "2"))
+    for k, name, listed, word in (("3", "Motivations", motivations, "Unknown"), ("4", "Also Known As", aliases, "—"), ("6", "Sources", sources, "unknown")):
+        some = profile.select(*by)
+        if listed is None:
+            rows = rows.unionByName(some.select(*by, F.lit(k).alias("k"), F.lit(name).alias("n"), F.lit(word).alias("v")))
+            continue
+        each = listed.select(*by, F.concat(F.lit(k), order_text(listed, "first_at")).alias("k"), F.lit(name).alias("n"), c("value").alias("v"))
+        none = some.join(listed.select(*by).distinct(), list(by), "left_anti")
+        rows = rows.unionByName(each.join(some, list(by), "leftsemi"))
+        rows = rows.unionByName(none.select(*by, F.lit(k).alias("k"), F.lit(name).alias("n"), F.lit(word).alias("v")))
+    out = section_rows(rows, "overview", c("k"), [c("n"), c("v")], SECTIONS, by=by)
+    if origins is not None:
+        counts = origins.select(*by, F.concat(F.lit("7"), "source").alias("k"), c("source"), c("indicators"))
+        out = out.unionByName(section_rows(counts, "overview", c("k"), [F.lit("Indicators"), c("source"), c("indicators")], SECTIONS, by=by))
+    return out
 
 
 def technique_rows(techniques: DataFrame, *, by=BY) -> DataFrame:
@@ -69,7 +97,7 @@ def technique_rows(techniques: DataFrame, *, by=BY) -> DataFrame:
 def detection_rows(techniques: DataFrame, matched: DataFrame, *, by=BY) -> DataFrame:
     """Rules per technique; the detection text only where there is no rule."""
     c = F.col
-    key = F.concat_ws("|", "technique_id", _rank(c("rule_rank"), 3))
+    key = F.concat_ws("\u0001", "technique_id", _rank(c("rule_rank"), 3))
     rules = section_rows(
         matched, "detection", key, [c("technique_id"), c("title"), F.upper("level"), c("logsource"), c("condition_summary")],
         SECTIONS, by=by,
@@ -88,7 +116,8 @@ def indicator_rows(indicators: DataFrame, *, by=BY) -> DataFrame:
     label = F.coalesce(text.non_blank(have("threat_label")), text.non_blank(have("description")), F.lit(""))
     shown = ioc.score_label(c("confidence_score")) if "confidence_score" in indicators.columns else have("confidence")
     fields = [ioc.defang(c("type"), c("value")), shown, label, have("malware_family"), have("first_seen")]
-    return section_rows(indicators, "indicators", F.concat_ws("|", "type", "value"), fields, SECTIONS, by=by)
+    key = F.concat_ws("\u0001", F.col("type"), merged_order(indicators), F.col("value"))
+    return section_rows(indicators, "indicators", key, fields, SECTIONS, by=by)
 
 
 def family_rows(hits: DataFrame, n: int = 8, *, by=BY) -> DataFrame:
@@ -104,46 +133,49 @@ def repo_rows(matched: DataFrame, *, by=BY) -> DataFrame:
 
 
 def sector_rows(sectors: DataFrame, *, by=BY) -> DataFrame:
-    return section_rows(sectors, "sectors", F.to_json(F.struct("first_at")), [F.col("value")], SECTIONS, by=by)
+    return section_rows(sectors, "sectors", merged_order(sectors), [F.col("value")], SECTIONS, by=by)
 
 
 def cve_rows(cves: DataFrame, *, by=BY) -> DataFrame:
     c = F.col
     return section_rows(
-        cves, "cves", c("cve_id"), [c("cve_id"), c("product"), c("vendor"), c("date_added")], SECTIONS, by=by
+        cves, "cves", merged_order(cves), [c("cve_id"), c("product"), c("vendor"), c("date_added")], SECTIONS, by=by
     )
 
 
 def advisory_rows(advisories: DataFrame, *, by=BY) -> DataFrame:
     c = F.col
     return section_rows(
-        advisories, "advisories", F.concat_ws("|", "date", "title", "url"), [c("date"), c("title"), c("url")], SECTIONS, by=by
+        advisories, "advisories", merged_order(advisories), [c("date"), c("title"), c("url")], SECTIONS, by=by
     )
 
 
 def malware_rows(malware: DataFrame, width: int = 120, *, by=BY, section="malware", names=None) -> DataFrame:
     c = F.col
     fields = [c("name"), c("type"), text.shorten(F.coalesce("description", F.lit("")), width)]
-    return section_rows(malware, section, F.lower("name"), fields, names or SECTIONS, by=by)
+    return section_rows(malware, section, merged_order(malware), fields, names or SECTIONS, by=by)
 
 
 def article_rows(articles: DataFrame, *, by=BY) -> DataFrame:
     c = F.col
-    key = F.concat_ws("|", _rank(F.lit(1000) - c("relevance"), 4), "url", "title")
+    key = F.concat_ws("\u0001", _rank(F.lit(1000) - c("relevance"), 4), order_text(articles, "pos"))
     fields = [c("source"), c("date"), labels.relevance_label(c("relevance")), c("title"), c("url")]
     return section_rows(articles, "articles", key, fields, SECTIONS, by=by)
 
 
 def campaign_rows(campaigns: DataFrame, *, by=BY) -> DataFrame:
     c = F.col
-    fields = [c("name"), dates.campaign_period(c("first_seen"), c("last_seen")), c("description")]
-    return section_rows(campaigns, "campaigns", c("name"), fields, SECTIONS, by=by)
+    link = c("url") if "url" in campaigns.columns else F.lit("")
+    fields = [c("name"), dates.campaign_period(c("first_seen"), c("last_seen")), c("description"), link]
+    return section_rows(campaigns, "campaigns", merged_order(campaigns), fields, SECTIONS, by=by)
 
 
 def report_rows(parts: dict[str, DataFrame], *, by=BY) -> DataFrame:
     """All sections of the dossier that are given (see ``SECTIONS`` for the names)."""
     build = {
-        "overview": lambda d: overview_rows(d, by=by),
+        "overview": lambda d: overview_rows(
+            d, parts.get("motivations"), parts.get("aliases"), parts.get("sources"), parts.get("origins"), by=by
+        ),
         "techniques": lambda d: technique_rows(d, by=by),
         "indicators": lambda d: indicator_rows(d, by=by),
         "families": lambda d: family_rows(d, by=by),

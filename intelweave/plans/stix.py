@@ -1,7 +1,9 @@
-"""Node and edge tables of the graph export.
+"""Node, edge and reference tables of the graph export.
 
-Nodes and edges stay long tables; a bundle file is cut into parts like a
-profile, so no actor's graph is gathered in one place.
+Everything stays a long table, at any size: one row per object, one row per
+relationship, and ``report_refs`` with one row for every object a report refers
+to.  Files hold one object per line, so no actor's graph is gathered in one
+place.  ``as_of`` is the time objects are created and modified at.
 """
 
 from __future__ import annotations
@@ -9,33 +11,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, Settings
 from ..functions import dates, ioc, labels, text
 from ..operators import BY
-from ..operators.ordering import keep_first, part_of
+from ..operators.ordering import keep_first
 
 SPEC = "2.1"
 PRODUCER = "intelweave"
 
 
-def _node(df: DataFrame, kind: str, key: list[Column], name: Column, fields: dict[str, Column], by) -> DataFrame:
-    """(group, type, id, name, body): body is the object's own fields as JSON."""
-    scope = [F.col(b) for b in by]
-    sid = labels.stable_id(kind, *scope, *key)
-    body = F.struct(
-        F.lit(kind).alias("type"), F.lit(SPEC).alias("spec_version"), sid.alias("id"), name.alias("name"),
-        *[c.alias(n) for n, c in fields.items()],
+def _stamp(as_of) -> Column:
+    return dates.stix_timestamp(F.lit(None).cast("string"), as_of)
+
+
+def _body(kind: str, sid: Column, as_of, fields: dict[str, Column], name: Column | None = None) -> Column:
+    """An object as JSON; fields that are NULL are left out."""
+    return F.to_json(
+        F.struct(
+            F.lit(kind).alias("type"), F.lit(SPEC).alias("spec_version"), sid.alias("id"),
+            _stamp(as_of).alias("created"), _stamp(as_of).alias("modified"), producer_id().alias("created_by_ref"),
+            *([name.alias("name")] if name is not None else []), *[c.alias(n) for n, c in fields.items()],
+        )
     )
-    return df.select(*by, F.lit(kind).alias("type"), sid.alias("id"), name.alias("name"), F.to_json(body).alias("body"))
+
+
+def _node(df: DataFrame, kind: str, key: list[Column], name: Column, fields: dict[str, Column], as_of, by) -> DataFrame:
+    """(group, type, id, name, body)."""
+    sid = labels.stable_id(kind, *[F.col(b) for b in by], *key)
+    return df.select(
+        *by, F.lit(kind).alias("type"), sid.alias("id"), name.alias("name"), _body(kind, sid, as_of, fields, name).alias("body")
+    )
+
+
+def _have(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def _strings(c: Column) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))
+
+
+def _reference(number: Column, url: Column) -> Column:
+    ref = F.struct(F.lit("mitre-attack").alias("source_name"), number.alias("external_id"), url.alias("url"))
+    return F.when(F.coalesce(number, F.lit("")) != "", F.array(ref))
 
 
 def producer_id() -> Column:
     return labels.stable_id("identity", F.lit(PRODUCER))
 
 
-def producer_node(actors: DataFrame, *, by=BY) -> DataFrame:
+def producer_node(actors: DataFrame, as_of, *, by=BY) -> DataFrame:
     body = F.struct(
         F.lit("identity").alias("type"), F.lit(SPEC).alias("spec_version"), producer_id().alias("id"),
+        _stamp(as_of).alias("created"), _stamp(as_of).alias("modified"),
         F.lit(PRODUCER).alias("name"), F.lit("system").alias("identity_class"),
     )
     return actors.select(
@@ -45,58 +72,63 @@ def producer_node(actors: DataFrame, *, by=BY) -> DataFrame:
 
 
 def actor_nodes(actors: DataFrame, as_of, *, by=BY) -> DataFrame:
-    """intrusion-set nodes from (group, actor_name, description, motivations, first_seen, origin, mitre_group_id)."""
+    """intrusion-set nodes from (group, actor_name, aliases, description, motivations, first_seen, origin, mitre_group_id)."""
     c = F.col
-    mots = F.transform(F.coalesce("motivations", F.array().cast("array<string>")), labels.stix_motivation)
+    mots = F.transform(_strings(c("motivations")), labels.stix_motivation)
     gid = text.non_blank(c("mitre_group_id"))
-    year = dates.leading_year(c("first_seen"))
     return _node(
         actors, "intrusion-set", [], c("actor_name"),
         {
             "description": F.coalesce(
                 F.nullif("description", F.lit("")), F.concat(F.lit("Threat actor "), c("actor_name"), F.lit("."))
             ),
+            "aliases": _strings(_have(actors, "aliases", "array<string>")),
             "primary_motivation": F.try_element_at(mots, F.lit(1)),
-            "secondary_motivations": F.when(F.size(mots) > 1, F.slice(mots, 2, 100)),
-            "first_seen": F.concat(year, F.lit("-01-01T00:00:00.000Z")),
+            "secondary_motivations": F.when(F.size(mots) > 1, F.slice(mots, F.lit(2), F.size(mots) - 1)),
+            "first_seen": F.concat(dates.leading_year(c("first_seen")), F.lit("-01-01T00:00:00.000Z")),
             "x_origin": text.non_blank(c("origin")),
-            "external_id": gid,
-            "url": F.concat(F.lit("https://attack.mitre.org/groups/"), gid, F.lit("/")),
+            "external_references": _reference(
+                gid, F.concat(F.lit("https://attack.mitre.org/groups/"), gid, F.lit("/"))
+            ),
         },
-        by,
+        as_of, by,
     )
 
 
-def technique_nodes(techniques: DataFrame, *, by=BY, order=("first_at",)) -> DataFrame:
+def technique_nodes(techniques: DataFrame, as_of, *, by=BY, order=("first_at",)) -> DataFrame:
     c = F.col
     rows = techniques.withColumn("technique_id", F.upper(text.strip(c("technique_id"))))
     rows = keep_first(rows.filter("technique_id <> ''"), [*by, "technique_id"], list(order))
+    phase = F.struct(F.lit("mitre-attack").alias("kill_chain_name"), labels.tactic_slug(c("tactic")).alias("phase_name"))
     return _node(
         rows, "attack-pattern", [c("technique_id")],
         F.coalesce(F.nullif("name", F.lit("")), c("technique_id")),
         {
             "description": F.coalesce("description", F.lit("")),
-            "external_id": c("technique_id"),
-            "url": labels.technique_url(c("technique_id")),
-            "phase_name": F.nullif(labels.tactic_slug(c("tactic")), F.lit("")),
+            "external_references": _reference(c("technique_id"), labels.technique_url(c("technique_id"))),
+            "kill_chain_phases": F.when(F.coalesce("tactic", F.lit("")) != "", F.array(phase)),
             "x_mitre_detection": F.nullif("detection", F.lit("")),
         },
-        by,
+        as_of, by,
     )
 
 
-def malware_nodes(malware: DataFrame, *, by=BY, order=("first_at",)) -> DataFrame:
+def malware_nodes(malware: DataFrame, as_of, *, by=BY, order=("first_at",)) -> DataFrame:
     c = F.col
     rows = malware.withColumn("name", text.strip(c("name"))).filter("name <> ''")
     rows = keep_first(rows, [*by, F.lower("name")], list(order))
+    aliases = _have(rows, "aliases", "array<string>")
     return _node(
         rows, "malware", [F.lower("name")], c("name"),
         {
             "description": F.coalesce("description", F.lit("")),
             "malware_types": F.array(labels.stix_malware_type(c("type"))),
             "is_family": F.lit(True),
+            "aliases": F.when(
+                F.size(_strings(aliases)) > 0, F.filter(aliases, lambda a: (a != "") & (a != c("name")))
+            ),
         },
-        by,
+        as_of, by,
     )
 
 
@@ -109,14 +141,13 @@ def indicator_rows(indicators: DataFrame, *, by=BY, order=("first_at",)) -> Data
 
 def indicator_nodes(patterned: DataFrame, as_of, *, by=BY) -> DataFrame:
     c = F.col
-    have = lambda n: c(n) if n in patterned.columns else F.lit(None).cast("string")
-    label = have("threat_label")
-    score = (
-        F.coalesce(c("confidence_score"), labels.confidence_number(have("confidence")))
-        if "confidence_score" in patterned.columns
-        else labels.confidence_number(have("confidence"))
-    )
+    have = lambda n: _have(patterned, n)
+    label = text.non_blank(have("confidence"))
+    score = F.when(label.isNotNull(), labels.confidence_number(label))
+    if "confidence_score" in patterned.columns:
+        score = F.coalesce(c("confidence_score"), score)
     name = F.concat(c("type"), F.lit(": "), c("value"))
+    sources = _strings(_have(patterned, "sources", "array<string>"))
     return _node(
         patterned, "indicator", [c("pattern")], name,
         {
@@ -124,10 +155,13 @@ def indicator_nodes(patterned: DataFrame, as_of, *, by=BY) -> DataFrame:
             "pattern": c("pattern"),
             "pattern_type": F.lit("stix"),
             "valid_from": dates.stix_timestamp(F.coalesce(have("first_seen"), F.lit("")), as_of),
-            "indicator_types": F.split(ioc.stix_indicator_type(c("type"), label), ","),
-            "confidence": F.least(score, F.lit(100)),
+            "indicator_types": F.split(ioc.stix_indicator_type(c("type"), have("threat_label")), ","),
+            # an indicator nobody scored says nothing about confidence
+            "confidence": F.when(score > 0, F.least(score, F.lit(100))),
+            "x_sources": F.when(F.size(sources) > 0, sources),
+            "x_malware_family": text.non_blank(have("malware_family")),
         },
-        by,
+        as_of, by,
     )
 
 
@@ -138,24 +172,47 @@ def campaign_nodes(campaigns: DataFrame, as_of, *, by=BY) -> DataFrame:
     return _node(
         rows, "campaign", [c("name")], c("name"),
         {"description": F.coalesce("description", F.lit("")), "first_seen": when("first_seen"), "last_seen": when("last_seen")},
-        by,
+        as_of, by,
+    )
+
+
+def report_nodes(actors: DataFrame, as_of, *, by=BY) -> DataFrame:
+    """One report per actor; what it refers to is in :func:`report_refs`."""
+    c = F.col
+    sources = _strings(_have(actors, "sources_cited", "array<string>"))
+    return _node(
+        actors, "report", [], F.concat(F.lit("Dossier: "), c("actor_name")),
+        {
+            "description": F.concat(
+                F.lit("Threat actor report for "), c("actor_name"), F.lit(", from sources: "), F.array_join(sources, ", "), F.lit(".")
+            ),
+            "report_types": F.array(F.lit("threat-actor")),
+            "published": _stamp(as_of),
+            "labels": F.array(F.lit("threat-intelligence")),
+            "x_sources": sources,
+        },
+        as_of, by,
     )
 
 
-def _edge(df: DataFrame, relation: str, source: Column, target: Column, by) -> DataFrame:
+def _edge(df: DataFrame, relation: str, source: Column, target: Column, said: Column, as_of, by) -> DataFrame:
+    sid = labels.stable_id("relationship", F.lit(relation), source, target)
+    fields = {
+        "relationship_type": F.lit(relation), "source_ref": source, "target_ref": target, "description": said,
+    }
     return df.select(
         *by, F.lit(relation).alias("relationship_type"), source.alias("source_ref"), target.alias("target_ref"),
-        labels.stable_id("relationship", F.lit(relation), source, target).alias("id"),
+        sid.alias("id"), _body("relationship", sid, as_of, fields).alias("body"),
     )
 
 
 def stix_nodes(actors, techniques, malware, indicators, campaigns, as_of, *, by=BY) -> DataFrame:
     """All nodes but the report."""
     parts = [
-        producer_node(actors, by=by),
+        producer_node(actors, as_of, by=by),
         actor_nodes(actors, as_of, by=by),
-        technique_nodes(techniques, by=by),
-        malware_nodes(malware, by=by),
+        technique_nodes(techniques, as_of, by=by),
+        malware_nodes(malware, as_of, by=by),
         indicator_nodes(indicator_rows(indicators, by=by), as_of, by=by),
         campaign_nodes(campaigns, as_of, by=by),
     ]
@@ -172,82 +229,57 @@ def ioc_to_malware(indicators: DataFrame, malware: DataFrame, *, by=BY) -> DataF
     return rows.join(known, [*by, "_m"]).withColumnRenamed("_m", "malware_key")
 
 
-def stix_edges(techniques, malware, indicators, campaigns, *, by=BY) -> DataFrame:
+def stix_edges(techniques, malware, indicators, campaigns, as_of, *, by=BY) -> DataFrame:
     """uses, uses, indicates (actor), indicates (malware), attributed-to."""
     c = F.col
     scope = [c(b) for b in by]
+    who = F.concat_ws(" ", *scope)
     actor = labels.stable_id("intrusion-set", *scope)
     tech = techniques.select(*by, F.upper(text.strip(c("technique_id"))).alias("k")).filter("k <> ''").distinct()
     mal = malware.select(*by, text.fold_key(c("name")).alias("k")).filter("k <> ''").distinct()
     camp = campaigns.select(*by, text.strip(c("name")).alias("k")).filter("k <> ''").distinct()
     rows = indicator_rows(indicators, by=by)
     ind = labels.stable_id("indicator", *scope, c("pattern"))
+    uses = F.concat(who, F.lit(" uses "), c("k"))
     parts = [
-        _edge(tech, "uses", actor, labels.stable_id("attack-pattern", *scope, c("k")), by),
-        _edge(mal, "uses", actor, labels.stable_id("malware", *scope, c("k")), by),
-        _edge(rows, "indicates", ind, actor, by),
-        _edge(camp, "attributed-to", labels.stable_id("campaign", *scope, c("k")), actor, by),
-    ]
+        _edge(tech, "uses", actor, labels.stable_id("attack-pattern", *scope, c("k")), uses, as_of, by),
+        _edge(mal, "uses", actor, labels.stable_id("malware", *scope, c("k")), uses, as_of, by),
+        _edge(rows, "indicates", ind, actor, F.concat(F.lit("Associated with "), who), as_of, by),
+        _edge(
+            camp, "attributed-to", labels.stable_id("campaign", *scope, c("k")), actor,
+            F.concat(F.lit("Attributed to "), who), as_of, by,
+        ),
+    ]
     if "malware_family" in rows.columns:
         linked = ioc_to_malware(rows, malware, by=by)
-        parts.append(_edge(linked, "indicates", ind, labels.stable_id("malware", *scope, c("malware_key")), by))
+        said = F.concat(F.lit("Associated with "), c("malware_family"))
+        target = labels.stable_id("malware", *scope, c("malware_key"))
+        parts.append(_edge(linked, "indicates", ind, target, said, as_of, by))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def edge_bodies(edges: DataFrame) -> DataFrame:
-    """Edges in node form, for writing."""
-    cols = [c for c in edges.columns if c not in {"relationship_type", "source_ref", "target_ref", "id"}]
-    body = F.struct(
-        F.lit("relationship").alias("type"), F.lit(SPEC).alias("spec_version"), F.col("id"),
-        F.col("relationship_type"), F.col("source_ref"), F.col("target_ref"),
-    )
-    return edges.select(
-        *cols, F.lit("relationship").alias("type"), "id", F.col("relationship_type").alias("name"),
-        F.to_json(body).alias("body"),
-    )
-
-
 def report_refs(nodes: DataFrame, edges: DataFrame, *, by=BY) -> DataFrame:
-    """Every object a report refers to, one row each."""
+    """(group, report_id, id): every object a report refers to, one row each."""
     cols = [*by, "id"]
-    return nodes.select(*cols).unionByName(edges.select(*cols)).distinct()
+    rows = nodes.filter("type <> 'report'").select(*cols).unionByName(edges.select(*cols)).distinct()
+    return rows.withColumn("report_id", labels.stable_id("report", *[F.col(b) for b in by]))
 
 
-def stix_bundles(nodes: DataFrame, edges: DataFrame, settings: Settings = DEFAULTS, *, by=BY) -> DataFrame:
-    """(group, part, n_parts, n_objects, objects): bundles with a report that lists their objects.
-
-    A large actor gets several bundles; ids are stable, so they load together.
-    """
-    rows = nodes.unionByName(edge_bodies(edges), allowMissingColumns=True)
-    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / settings.profile_part_items).cast("int").alias("n_parts"))
-    placed = rows.join(sizes, list(by)).withColumn("part", part_of(F.col("id"), F.col("n_parts")))
-    bundled = placed.groupBy(*by, "part").agg(
-        F.max("n_parts").alias("n_parts"),
-        F.array_sort(F.collect_list(F.struct("id", "body"))).alias("_o"),
-    )
-    refs = F.transform("_o", lambda o: o["id"])
-    report = F.to_json(
-        F.struct(
-            F.lit("report").alias("type"), F.lit(SPEC).alias("spec_version"),
-            labels.stable_id("report", *[F.col(b) for b in by], F.col("part")).alias("id"),
-            refs.alias("object_refs"),
-        )
-    )
-    return bundled.select(
-        *by, "part", "n_parts", (F.size("_o") + 1).alias("n_objects"),
-        F.array_append(F.transform("_o", lambda o: o["body"]), report).alias("objects"),
-    )
+def stix_objects(nodes: DataFrame, edges: DataFrame, reports: DataFrame, *, by=BY) -> DataFrame:
+    """(group, place, id, body): the lines of a graph file: the bundle's header, then objects, edges and the report."""
+    at = lambda df, place: df.select(*by, F.lit(place).alias("place"), "id", "body")
+    bundle = labels.stable_id("bundle", *[F.col(b) for b in by])
+    header = F.struct(F.lit("bundle").alias("type"), bundle.alias("id"), F.lit(SPEC).alias("spec_version"))
+    heads = reports.select(*by, F.lit(0).alias("place"), bundle.alias("id"), F.to_json(header).alias("body"))
+    return heads.unionByName(at(nodes, 1)).unionByName(at(edges, 2)).unionByName(at(reports, 3))
 
 
-def write_bundles(bundles: DataFrame, path: str, slug: str = "actor_slug") -> DataFrame:
-    """One JSON bundle per row."""
+def write_objects(objects: DataFrame, path: str, slug: str = "actor_slug") -> DataFrame:
+    """A folder per actor with one object per line, the bundle's header first."""
     from .indicators import write_partitioned
 
-    body = F.concat(
-        F.lit('{"type":"bundle","spec_version":"' + SPEC + '","objects":['), F.array_join("objects", ","), F.lit("]}")
-    )
-    write_partitioned(bundles.select(slug, body.alias("bundle")), path, "text", slug)
-    return bundles
+    write_partitioned(objects.select(slug, "place", "id", "body"), path, "json", slug, ["place", "id"])
+    return objects

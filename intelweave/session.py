@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "intelweave") -> SparkSession:
-    """A local session for tests and the bench; clusters bring their own."""
-    return (
+def local_session(cores: int | str = 8, app: str = "intelweave", scratch: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; clusters bring their own.
+
+    ``scratch`` becomes the shared folder; without it the environment names one.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -18,20 +20,15 @@ def local_session(cores: int | str = 8, app: str = "intelweave") -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", scratch) if scratch else builder).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) is a
-    temporary folder made and recorded in the session.
-    """
+    """The folder every executor can reach, as the cluster names it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="intelweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 

@@ -225,55 +225,94 @@ def parse_family_feed(df: DataFrame, keep=("family",)) -> DataFrame:
 def _plain(raw: Column) -> Column:
     """Value of a one-line scalar: quotes dropped, or the comment behind a bare value."""
     v = text.strip(raw)
-    quoted = F.regexp_extract(v, r"^(['\"])(.*?)\1(?:[ \t]+#.*)?$", 2)
+    single = F.replace(F.regexp_extract(v, r"^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'"))
+    double = F.regexp_replace(F.regexp_extract(v, r'^"((?:[^"\\]|\\.)*)"', 1), r'\\(["\\/])', "$1")
     bare = text.strip(F.regexp_replace(v, r"(^|[ \t]+)#.*$", ""))
-    return F.when(v.rlike("^['\"]"), quoted).otherwise(bare)
+    return F.when(F.startswith(v, F.lit("'")), single).when(F.startswith(v, F.lit('"')), double).otherwise(bare)
+
+
+def _key(name: str) -> str:
+    """A key as it may be written: bare or quoted."""
+    return rf"(?:{name}|'{name}'|\"{name}\")"
 
 
 def _scalar(content: Column, key: str) -> Column:
-    return _plain(F.regexp_extract(content, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1))
+    """Value of a top-level key: on its line, or a block scalar (folded or literal) below it.
+
+    Folded lines are joined by a space; the titles, levels and states read here
+    are one line each.
+    """
+    inline = F.regexp_extract(content, rf"(?m)^{_key(key)}:[ \t]*(.*?)[ \t]*$", 1)
+    block = F.regexp_extract(content, rf"(?m)^{_key(key)}:[ \t]*[|>][+\-0-9]*[ \t]*(?:#.*)?\n((?:[ \t]+.*\n|[ \t]*\n)*)", 1)
+    # a plain or quoted value may go on in deeper lines as well
+    more = F.regexp_extract(content, rf"(?m)^{_key(key)}:[ \t]*(\S.*\n(?:[ \t]+[^\s#].*\n)+)", 1)
+    folded = text.strip(F.regexp_replace(F.when(block != "", block).otherwise(more), r"\s*\n\s*", " "))
+    return F.when(inline.rlike(r"^[|>][+\-0-9]*[ \t]*(#.*)?$"), folded).when(more != "", _plain(folded)).otherwise(_plain(inline))
 
 
 def _block(content: Column, key: str) -> Column:
     """The indented (or dashed) lines under a top-level key."""
-    return F.regexp_extract(content, rf"(?m)^{key}:[ \t]*\n((?:[ \t]+.*\n?|-.*\n?|[ \t]*\n)*)", 1)
+    return F.regexp_extract(content, rf"(?m)^{_key(key)}:[ \t]*(?:#.*)?\n((?:[ \t]+.*\n?|-.*\n?|[ \t]*\n)*)", 1)
+
+
+def _dashed_items(block: Column) -> Column:
+    return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1)), _plain)
 
 
 def _tags(content: Column) -> Column:
     """Tags as a dashed list or as a bracketed one."""
-    dashed = F.regexp_extract_all(_block(content, "tags"), F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1))
-    inline = F.split(F.regexp_extract(content, r"(?m)^tags:[ \t]*\[([^\]]*)\]", 1), ",")
-    listed = F.when(F.size(dashed) > 0, dashed).otherwise(inline)
-    return F.filter(F.transform(listed, lambda t: F.lower(_plain(t))), lambda t: t != "")
+    dashed = _dashed_items(_block(content, "tags"))
+    inline = F.split(F.regexp_extract(content, rf"(?ms)^{_key('tags')}:[ \t]*\[([^\]]*)\]", 1), ",")
+    listed = F.when(F.size(dashed) > 0, dashed).otherwise(F.transform(inline, _plain))
+    return F.filter(F.transform(listed, F.lower), lambda t: t != "")
 
 
 def _condition(content: Column) -> Column:
-    """Detection condition, on its own line or as an indented block below it."""
+    """Detection condition: on its own line, as an indented block, or a list, whose entries are alternatives."""
     block = _block(content, "detection")
-    below = F.regexp_extract(
-        block, r"(?m)^([ \t]+)condition:[ \t]*[|>][+-]?[ \t]*\n((?:\1[ \t]+.*\n?|[ \t]*\n)+)", 2
+    name = _key("condition")
+    below = F.regexp_extract(block, rf"(?m)^([ \t]+){name}:[ \t]*[|>][+\-0-9]*[ \t]*\n((?:\1[ \t]+.*\n?|[ \t]*\n)+)", 2)
+    inline = F.regexp_extract(block, rf"(?m)^[ \t]+{name}:[ \t]*(.*?)[ \t]*$", 1)
+    dashed = _dashed_items(F.regexp_extract(block, rf"(?m)^([ \t]+){name}:[ \t]*\n((?:\1[ \t]*-.*\n?)+)", 2))
+    bracketed = F.transform(F.split(F.regexp_extract(inline, r"^\[(.*)\]", 1), ","), _plain)
+    alternatives = lambda xs: F.array_join(F.filter(xs, lambda x: x != ""), " | ")
+    return (
+        F.when(below != "", below).when(F.size(dashed) > 0, alternatives(dashed))
+        .when(F.startswith(inline, F.lit("[")), alternatives(bracketed)).otherwise(_plain(inline))
     )
-    inline = _plain(F.regexp_extract(block, r"(?m)^[ \t]+condition:[ \t]*(.*?)[ \t]*$", 1))
-    return F.when(below != "", below).otherwise(inline)
+
+
+#: what the line patterns do not follow: anchors, aliases, tags, merge keys and flow mappings of the used keys
+_UNREAD = r"(?m)^[ \t]*['\"]?(?:title|level|status|tags|logsource|detection|condition)['\"]?:[ \t]*[&*!{]|^[ \t]*<<:"
 
 
 def parse_rules(df: DataFrame, base_url: str = "") -> DataFrame:
-    """Rule rows from (path, content) of rule files; files without a title are dropped."""
+    """Rule rows from (path, content) of rule files; those of :func:`unread_rules` are left out."""
+    return _rule_rows(df, base_url).filter("reason is null").drop("reason")
+
+
+def unread_rules(df: DataFrame) -> DataFrame:
+    """(path, reason) of the rule files that give no rule."""
+    return _rule_rows(df, "").filter("reason is not null").select("path", "reason")
+
+
+def _rule_rows(df: DataFrame, base_url: str) -> DataFrame:
     content = F.concat(F.regexp_replace("content", "\r\n?", "\n"), F.lit("\n"))
-    logsource = F.regexp_extract_all(
-        _block(content, "logsource"), F.lit(r"(?m)^[ \t]+(?:category|product|service):[ \t]*(\S.*?)[ \t]*$"), F.lit(1)
-    )
-    out = df.select(
+    part = rf"(?m)^[ \t]+(?:{_key('category')}|{_key('product')}|{_key('service')}):[ \t]*(\S.*?)[ \t]*$"
+    logsource = F.regexp_extract_all(_block(content, "logsource"), F.lit(part), F.lit(1))
+    title = _scalar(content, "title")
+    reason = F.when(content.rlike(_UNREAD), "yaml").when(title == "", "title")
+    return df.select(
         "path",
-        _scalar(content, "title").alias("title"),
+        title.alias("title"),
         F.lower(_scalar(content, "level")).alias("level"),
         F.lower(_scalar(content, "status")).alias("status"),
         _tags(content).alias("tags"),
         logsource_text(F.transform(logsource, _plain)).alias("logsource"),
         text.condition_summary(_condition(content)).alias("condition_summary"),
         F.concat(F.lit(base_url), F.col("path")).alias("url"),
+        reason.alias("reason"),
     )
-    return out.filter("title <> ''")
 
 
 def logsource_text(parts: Column) -> Column:
@@ -291,19 +330,19 @@ def read_rules(spark: SparkSession, path: str, base_url: str = "") -> DataFrame:
     return parse_rules(_relative(_payloads(spark, path, "*.yml"), path), base_url)
 
 
-def read_rule_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_rule_corpus(spark: SparkSession, path: str, glob: str = "*.{yml,yaml}") -> DataFrame:
     """(path, content) of every rule file, for coverage."""
-    return _payloads(spark, path, "*.{yml,yaml}")
+    return _payloads(spark, path, glob)
 
 
 # --- report folders ------------------------------------------------------------------
 
 
-def parse_reports(df: DataFrame, summary_chars: int = 800) -> DataFrame:
+def parse_reports(df: DataFrame, summary_chars: int | None = None) -> DataFrame:
     """(folder, path, title, summary) of markdown reports.
 
     The title is the first heading in the first five lines, else the file name;
-    the summary is the opening of the report, as in the source's listing.
+    the summary is the report's text, or its first ``summary_chars`` characters.
     """
     head = F.array_join(F.slice(F.split("content", "\n"), 1, 5), "\n")
     heading = F.regexp_extract(head, r"(?m)^#+(.*)$", 1)
@@ -312,7 +351,7 @@ def parse_reports(df: DataFrame, summary_chars: int = 800) -> DataFrame:
         F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"),
         "path",
         F.when(head.rlike(r"(?m)^#"), text.strip(heading)).otherwise(stem).alias("title"),
-        text.strip(F.left("content", F.lit(summary_chars))).alias("summary"),
+        text.strip(F.left("content", F.lit(summary_chars)) if summary_chars else F.col("content")).alias("summary"),
     )
 
 

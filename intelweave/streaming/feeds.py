@@ -1,22 +1,26 @@
 """Incremental indicator feeds.
 
-Event times must be TIMESTAMP (cast NTZ first, session zone UTC).  Rows later
-than the watermark are dropped.  Checkpoints and sinks live in the shared
-folder the session names, so a restarted query goes on where it stopped.
+Event times must be TIMESTAMP (cast NTZ first, session zone UTC).  The watermark
+trails the newest event by a delay the caller names; rows later than that are
+dropped, so the delay is how far out of order batches may come.  The caller
+names target and checkpoint as well: a refresh with the same two reads only
+what has landed since the last one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS, Settings
 from ..functions.labels import confidence_label
-from ..session import scratch_path
+from ..operators.ordering import latest_by
 
 
 def read_landed(
@@ -43,36 +47,40 @@ def stream_keep_first(df: DataFrame, keys, ts: str, ttl: str) -> DataFrame:
     return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_readmit(df: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
+def stream_readmit(df: DataFrame, key: str, ts: str, ttl_seconds: int, delay: str) -> DataFrame:
     """(key, ts) rows admitted: the first of a key, then the next one after the time to live.
 
-    State is one timestamp per key, dropped when the watermark has passed its
-    time to live.  A task holds the event times one key has in a micro-batch
-    (eight bytes each); bound the batch with ``max_files`` of :func:`read_landed`.
+    Batches are taken as they come: a row older than the last one admitted of
+    its key counts as seen, a key's first row is admitted however late it is
+    within ``delay``.  State is one timestamp per key, dropped when the
+    watermark has passed its time to live.  A task holds the event times one
+    key has in a micro-batch (eight bytes each); bound the batch with
+    ``max_files`` of :func:`read_landed`.
     """
-    ttl = pd.Timedelta(seconds=ttl_seconds)
+    ttl = ttl_seconds * 1_000_000
 
     def admit(group, batches: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        # a key's batch holds event times only, sorted before the scan
-        times = pd.concat([b[ts] for b in batches]).sort_values()
+        last = state.get[0] if state.exists else None
+        times = np.unique(np.concatenate([b[ts].to_numpy("datetime64[us]").astype(np.int64) for b in batches]))
         kept = []
-        for t in times:
-            if last is None or t - last > ttl:
-                kept.append(t)
-                last = t
-        state.update((int(last.value // 1000),))
-        state.setTimeoutTimestamp(max(int((last + ttl).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        # one step for each row admitted, not for each row
+        at = 0 if last is None else int(np.searchsorted(times, last + ttl, side="right"))
+        while at < len(times):
+            last = int(times[at])
+            kept.append(last)
+            at = int(np.searchsorted(times, last + ttl, side="right"))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs() + 1))
         if kept:
-            yield pd.DataFrame({key: [group[0]] * len(kept), ts: kept})
+            yield pd.DataFrame({key: [group[0]] * len(kept), ts: pd.to_datetime(kept, unit="us")})
 
     kind = df.schema[key].dataType.simpleString()
     return (
         df.select(key, ts)
-        .withWatermark(ts, "0 seconds")
+        .withWatermark(ts, delay)
         .groupBy(key)
         .applyInPandasWithState(
             admit, f"{key} {kind}, {ts} timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
@@ -80,16 +88,25 @@ def stream_readmit(df: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFr
     )
 
 
-def stream_sources(df: DataFrame, keys, source: str = "source_id") -> DataFrame:
-    """Growing source set per indicator (update mode); sources are a bounded registry."""
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_set(source)).alias("sources"))
+def stream_sources(df: DataFrame, keys, ts: str, ttl: str, source: str = "source_id") -> DataFrame:
+    """(keys..., source) sightings, each once within the time to live, after which its state is dropped."""
+    return stream_keep_first(df, [*keys, source], ts, ttl).select(*keys, source)
 
 
-def stream_confidence(df: DataFrame, keys, source: str = "source_id", settings: Settings = DEFAULTS) -> DataFrame:
-    """Current label per indicator; it only ever rises as sources are added."""
-    return stream_sources(df, keys, source).withColumn(
-        "confidence", confidence_label(F.col("sources"), settings.high_provenance)
-    )
+def confidence_of(sightings: DataFrame, keys, source: str = "source_id", settings: Settings = DEFAULTS) -> DataFrame:
+    """Sources and label per indicator; sources are a bounded registry, and the label only rises as they come."""
+    sources = sightings.groupBy(*keys).agg(F.sort_array(F.collect_set(source)).alias("sources"))
+    return sources.withColumn("confidence", confidence_label(F.col("sources"), settings.high_provenance))
+
+
+def stream_confidence(df: DataFrame, keys, ts: str, ttl: str, source: str = "source_id") -> DataFrame:
+    """What a confidence table is fed with: append it, and read labels with :func:`confidence_of`.
+
+    The stream remembers a sighting for the time to live only; the table keeps
+    it, so labels never fall.  :func:`compact` keeps the table at one row per
+    indicator and source.
+    """
+    return stream_sources(df, keys, ts, ttl, source)
 
 
 def stream_new(df: DataFrame, known: DataFrame, on, keys, ts: str, ttl: str) -> DataFrame:
@@ -99,43 +116,63 @@ def stream_new(df: DataFrame, known: DataFrame, on, keys, ts: str, ttl: str) ->
     return stream_keep_first(fresh, keys, ts, ttl)
 
 
-def append_to(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Run the stream over everything that has landed, then stop."""
-    query = (
-        df.writeStream.format(fmt).outputMode(mode).option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def _run(writer, checkpoint: str) -> int:
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def append_to(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", mode: str = "append") -> int:
+    """Run the stream over everything that has landed, then stop; the number of rows read."""
+    return _run(df.writeStream.format(fmt).outputMode(mode).option("path", path), checkpoint)
 
 
-def upsert_to(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Update-mode stream; every batch's changed rows are written under its batch id.
+def upsert_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """Write every batch's rows under its batch id; the number of rows read.
 
     A repeated batch overwrites its own folder, so a restart leaves no doubles.
-    Read the current state with :func:`current`.
+    Read the current state with :func:`current`, and fold the batches from time
+    to time with :func:`compact`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
 
-    query = (
-        df.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    return _run(df.writeStream.outputMode(mode).foreachBatch(write), checkpoint)
+
+
+def _folded(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The newest folded table and the last batch in it."""
+    try:
+        base = spark.read.parquet(f"{path}/folded")
+    except AnalysisException:  # nothing has been folded yet
+        return None, -1
+    upto = base.agg(F.max("upto")).first()[0]
+    return base.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch_id"), upto
 
 
 def current(spark: SparkSession, path: str, keys) -> DataFrame:
-    """Newest row per key of an upserted table."""
-    from ..operators.ordering import latest_by
+    """Newest row per key of an upserted table: the folded table and the batches since."""
+    base, upto = _folded(spark, path)
+    rows = spark.read.parquet(f"{path}/changes").filter(F.col("batch_id") > upto)
+    if base is not None:
+        rows = rows.unionByName(base)
+    return latest_by(rows, list(keys), ["batch_id"]).drop("batch_id")
 
-    return latest_by(spark.read.parquet(path), list(keys), ["batch_id"]).drop("batch_id")
+
+def compact(spark: SparkSession, path: str, keys) -> int:
+    """Fold all batches into one table with one row per key; the last batch in it.
+
+    Readers go from the newest folded table, so folders up to it may be removed.
+    """
+    last = spark.read.parquet(f"{path}/changes").agg(F.max("batch_id")).first()[0]
+    if last > _folded(spark, path)[1]:
+        current(spark, path, keys).write.mode("overwrite").parquet(f"{path}/folded/upto={last}")
+    return last
 
 
 def refresh_job(
-    spark: SparkSession, stream: DataFrame, label: str, write: Callable[[DataFrame, str, str], None] = append_to
-) -> str:
-    """One scheduled refresh into a new table under the shared folder; returns its path."""
-    base = scratch_path(spark, label)
-    write(stream, f"{base}/data", f"{base}/checkpoint")
-    return f"{base}/data"
+    stream: DataFrame, target: str, checkpoint: str, write: Callable[[DataFrame, str, str], int] = append_to
+) -> int:
+    """One scheduled refresh of ``target``: reads what has landed since the checkpoint, returns the rows read."""
+    return write(stream, target, checkpoint)

@@ -9,8 +9,8 @@ from intelweave.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session(4, "tests")
+def spark(tmp_path_factory):
+    s = local_session(4, "tests", str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

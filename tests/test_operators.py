@@ -183,7 +183,8 @@ def test_articles_without_url_do_not_collapse(spark):
 
 def test_feed_health(spark):
     feeds = spark.createDataFrame([("a", None), ("b", True), ("c", False), ("d", True)], "name string, enabled boolean")
-    kept = spark.createDataFrame([("a",), ("a",)], "source string")
+    # an article that concerns two actors is one article of its feed
+    kept = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "source string, article_id int")
     health = art.feed_health(feeds, kept, spark.createDataFrame([("d",)], "name string"))
     assert rows(health) == [("a", 2, "hits"), ("b", 0, "zero"), ("d", 0, "failed")]
     assert tuple(art.feed_health_totals(health).first()) == (3, 1, 1, 1, 2)
@@ -201,8 +202,8 @@ def test_rules_are_exact_and_capped(spark):
     first = hit.filter("actor = 'A' and technique_id = 'T1059'").orderBy("rule_rank").collect()
     assert [r.path for r in first] == ["q", *[f"p{i:02}" for i in range(9)]]
     lead = {(r.actor, r.technique_id): (r.rule_count, r.summary) for r in rul.lead_rules(hit).collect()}
-    assert lead["A", "T1059"] == (10, "worst (+9 more)") and lead["A", "T1059.001"] == (1, "sub")
-    assert {r.actor: r.rule_count for r in rul.rule_total(hit).collect()} == {"A": 11, "B": 10}
+    assert lead["A", "T1059"] == (31, "worst (+30 more)") and lead["A", "T1059.001"] == (1, "sub")
+    assert {r.actor: r.rule_count for r in rul.rule_total(hit).collect()} == {"A": 32, "B": 31}
 
 
 def test_coverage_modes(spark):
@@ -258,7 +259,9 @@ def test_pulse_iocs_are_unique_by_value(spark):
         "actor string, pulse_pos int, indicators array<struct<type:string,indicator:string>>",
     )
     got = rows(pul.pulse_iocs(df).select("type", "value"))
-    assert got == [*[("domain", f"d{i}") for i in range(9)], ("domain", "x"), ("ip", "1.1.1.1")]
+    assert got == sorted([*[("domain", f"d{i}") for i in range(20)], ("domain", "x"), ("ip", "1.1.1.1")])
+    few = rows(pul.pulse_iocs(df, 10).select("type", "value"))
+    assert few == [*[("domain", f"d{i}") for i in range(9)], ("domain", "x"), ("ip", "1.1.1.1")]
 
 
 def test_repo_matching_equals_scoring_every_pair(spark):
@@ -283,18 +286,32 @@ def test_quarantine(spark):
     assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["actor_name", "source_id"]
 
 
-def test_profiles_keep_every_item_in_bounded_parts(spark):
+def test_profiles_have_one_layout_at_any_size(spark):
     items = spark.range(1000).select(
         F.when(F.col("id") < 900, "hot").otherwise("cold").alias("actor"), F.lit("techniques").alias("section"),
         F.concat(F.lit("k"), F.col("id").cast("string")).alias("item_key"), F.concat(F.lit('{"i":'), F.col("id").cast("string"), F.lit("}")).alias("item"),
     )
-    header = spark.createDataFrame([("hot",), ("cold",), ("none",)], "actor string")
-    out = prof.assemble_profiles(header, items, DEFAULTS.with_(profile_part_items=100)).collect()
-    per = {}
-    for r in out:
-        per.setdefault(r.actor, []).append(len(r.techniques))
-    assert sum(per["hot"]) == 900 and len(per["hot"]) == 9 and max(per["hot"]) < 200
-    assert per["cold"] == [100] and per["none"] == [0]
+    header = spark.createDataFrame([("hot", "x"), ("cold", None), ("none", "y")], "actor string, origin string")
+    out = prof.assemble_profiles(header, items).groupBy("actor", "section").count().collect()
+    assert {(r.actor, r.section): r["count"] for r in out} == {
+        ("hot", "header"): 1, ("cold", "header"): 1, ("none", "header"): 1, ("hot", "techniques"): 900, ("cold", "techniques"): 100,
+    }
+
+
+def test_rule_totals_count_what_is_not_listed(spark):
+    rules = spark.createDataFrame([(f"p{i:02}", f"t{i:02}", "high", ["attack.t1059"]) for i in range(25)], "path string, title string, level string, tags array<string>")
+    rules = rules.withColumns({"logsource": F.lit(""), "url": F.lit("")})
+    tech = spark.createDataFrame([("A", "T1059")], "actor string, technique_id string")
+    hit = rul.rules_for_techniques(tech, rules, 10)
+    assert hit.count() == 10 and rul.rule_counts(hit).first().rule_count == 25 and rul.rule_total(hit).first().rule_count == 25
+    assert rul.lead_rules(hit).first().summary == "t00 (+24 more)"
+
+
+def test_no_cut_by_default(spark):
+    feed = spark.createDataFrame([("f", i, "ip", f"1.1.1.{i % 250}", 0) for i in range(500)], "family string, pos int, type string, value string, confidence_score int")
+    used = spark.createDataFrame([("A", "f", 0)], "actor string, name string, pos int")
+    assert fam.family_iocs(used, feed).count() == 250 and fam.family_hits(used, feed).first().hits == 500
+    assert fam.family_hits(used, feed, 45).first().hits == 45
 
 
 def test_keep_first_and_latest(spark):

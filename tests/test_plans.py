@@ -50,8 +50,11 @@ def graph_parts(spark):
 
 def test_graph_export(spark, tmp_path):
     actors, tech, mal, ioc, camp = graph_parts(spark)
+    actors = actors.withColumns({"aliases": F.array(F.lit("Heron"), F.lit("GH")), "sources_cited": F.array(F.lit("s1"))})
+    mal = mal.withColumn("aliases", F.array(F.lit("Zed"), F.lit(""), F.lit("zee")))
+    ioc = ioc.withColumn("sources", F.array(F.lit("feed")))
     nodes = stix.stix_nodes(actors, tech, mal, ioc, camp, NOW)
-    edges = stix.stix_edges(tech, mal, ioc, camp)
+    edges = stix.stix_edges(tech, mal, ioc, camp, NOW)
     kinds = sorted(r.type for r in nodes.collect())
     assert kinds == ["attack-pattern", "campaign", "identity", "indicator", "intrusion-set", "malware"]
     ids = {r.id for r in nodes.collect()}
@@ -59,16 +62,37 @@ def test_graph_export(spark, tmp_path):
     assert sorted(e[0] for e in ends) == ["attributed-to", "indicates", "indicates", "uses", "uses"]
     assert all(a in ids and b in ids for _, a, b in ends)
     body = {r.type: json.loads(r.body) for r in nodes.collect()}
-    assert body["indicator"]["pattern"] == "[ipv4-addr:value = '1.1.1.1']" and body["indicator"]["confidence"] == 75
-    assert body["indicator"]["valid_from"] == "2024-01-02T00:00:00.000Z" and body["intrusion-set"]["primary_motivation"] == "espionage"
-    assert body["malware"]["malware_types"] == ["remote-access-trojan"] and body["campaign"]["first_seen"] == "2020-01-01T00:00:00.000Z"
-    bundles = stix.stix_bundles(nodes, edges).withColumn("actor_slug", F.lit("a"))
-    stix.write_bundles(bundles, str(tmp_path / "b"))
-    texts = [line for p in (tmp_path / "b").rglob("part-*") if not p.name.endswith(".crc") for line in p.read_text().splitlines()]
-    assert len(texts) == 1
-    objects = json.loads(texts[0])["objects"]
-    report = [o for o in objects if o["type"] == "report"][0]
-    assert len(objects) == 12 and set(report["object_refs"]) == {o["id"] for o in objects if o["type"] != "report"}
+    for kind, o in body.items():
+        assert o["created"] == o["modified"] == "2024-05-01T00:00:00.000Z" and o["spec_version"] == "2.1"
+        assert kind == "identity" or o["created_by_ref"] == body["identity"]["id"]
+    actor = body["intrusion-set"]
+    assert actor["aliases"] == ["Heron", "GH"] and actor["primary_motivation"] == "espionage" and len(actor["secondary_motivations"]) == 1
+    assert actor["external_references"] == [{"source_name": "mitre-attack", "external_id": "G0001", "url": "https://attack.mitre.org/groups/G0001/"}]
+    pattern = body["attack-pattern"]
+    assert pattern["kill_chain_phases"] == [{"kill_chain_name": "mitre-attack", "phase_name": "execution"}]
+    assert pattern["external_references"][0]["external_id"] == "T1059" and "x_mitre_detection" not in pattern
+    assert body["malware"]["malware_types"] == ["remote-access-trojan"] and body["malware"]["aliases"] == ["zee"]
+    found = body["indicator"]
+    assert found["pattern"] == "[ipv4-addr:value = '1.1.1.1']" and found["confidence"] == 75 and found["x_sources"] == ["feed"]
+    assert found["valid_from"] == "2024-01-02T00:00:00.000Z" and found["x_malware_family"] == "ZED"
+    assert body["campaign"]["first_seen"] == "2020-01-01T00:00:00.000Z" and "last_seen" not in body["campaign"]
+    report = stix.report_nodes(actors, NOW)
+    written = json.loads(report.first().body)
+    assert written["name"] == "Dossier: Grey Heron" and written["x_sources"] == ["s1"] and written["report_types"] == ["threat-actor"]
+    refs = {(r.report_id, r.id) for r in stix.report_refs(nodes, edges).collect()}
+    assert refs == {(written["id"], i) for i in ids | {r.id for r in edges.collect()}}
+    lines = stix.stix_objects(nodes, edges, report).withColumn("actor_slug", F.lit("a"))
+    stix.write_objects(lines, str(tmp_path / "b"))
+    got = [json.loads(r.body) for r in spark.read.json(str(tmp_path / "b")).orderBy("place", "id").collect()]
+    assert got[0] == {"type": "bundle", "id": got[0]["id"], "spec_version": "2.1"} and len(got) == 1 + 6 + 5 + 1
+    assert all("description" in o for o in got if o["type"] == "relationship")
+
+
+def test_unscored_indicators_carry_no_confidence(spark):
+    rows = [("A", 0, "ip", "1.1.1.1", 0, ""), ("A", 1, "ip", "2.2.2.2", None, ""), ("A", 2, "ip", "3.3.3.3", None, "HIGH"), ("A", 3, "ip", "4.4.4.4", 250, "")]
+    df = spark.createDataFrame(rows, "actor string, first_at int, type string, value string, confidence_score int, confidence string")
+    got = {json.loads(r.body)["name"]: json.loads(r.body).get("confidence") for r in stix.indicator_nodes(stix.indicator_rows(df), NOW).collect()}
+    assert got == {"ip: 1.1.1.1": None, "ip: 2.2.2.2": None, "ip: 3.3.3.3": 85, "ip: 4.4.4.4": 100}
 
 
 def test_layer(spark):
@@ -90,10 +114,33 @@ def test_report_order_and_defang(spark):
         [("A", t, "", "n", "HIGH", "") for t in ("T2", "T10", "T1")], "actor string, technique_id string, tactic string, name string, confidence string, detection string"
     )
     ioc = spark.createDataFrame([("A", "domain", "a.b")], "actor string, type string, value string").withColumn("confidence_score", F.lit(100))
+    ioc = ioc.withColumn("first_at", F.lit(0))
     out = reports.report_rows({"techniques": tech, "indicators": ioc}).orderBy("section_no", "key").collect()
     assert [r.c1 for r in out] == ["T1", "T10", "T2", "a[.]b"] and out[-1].c2 == "HIGH"
 
 
+def test_merged_rows_keep_their_order(spark):
+    """Position 9 comes before position 10, and type groups keep the order inside."""
+    rows = [("A", (0, p), f"v{p}") for p in (10, 9, 2)] + [("A", (-1, 5), "first")]
+    df = spark.createDataFrame(rows, "actor string, first_at struct<r:int,p:bigint>, value string")
+    assert [r.c1 for r in reports.sector_rows(df).orderBy("key").collect()] == ["first", "v2", "v9", "v10"]
+    ioc = df.withColumns({"type": F.when(F.col("value") == "v9", "a").otherwise("b"), "confidence_score": F.lit(0)})
+    assert [r.c1 for r in reports.indicator_rows(ioc).orderBy("key").collect()] == ["v9", "first", "v2", "v10"]
+
+
+def test_overview_lists_everything_in_order(spark):
+    head = spark.createDataFrame([("A", "G1", "X", "2009", "said"), ("B", None, None, None, None)], "actor string, mitre_group_id string, origin string, first_seen string, description string")
+    names = spark.createDataFrame([("A", f"n{i}", i) for i in range(12)], "actor string, value string, first_at int")
+    origins = spark.createDataFrame([("A", "feed", 3)], "actor string, source string, indicators bigint")
+    got = reports.overview_rows(head, None, names, names, origins).orderBy("actor", "key").collect()
+    a = [(r.c1, r.c2) for r in got if r.actor == "A"]
+    assert a[:4] == [("Group ID", "G1"), ("Origin", "X"), ("First Seen", "2009"), ("Motivations", "Unknown")]
+    assert [v for n, v in a if n == "Also Known As"] == [f"n{i}" for i in range(12)] and a[-1] == ("Indicators", "feed")
+    assert [(r.c1, r.c2) for r in got if r.actor == "B"] == [
+        ("Origin", "Unknown"), ("First Seen", "Unknown"), ("Motivations", "Unknown"), ("Also Known As", "—"), ("Sources", "unknown"),
+    ]
+
+
 EVENTS = "key string, ts timestamp, source_id string"
 
 
@@ -103,26 +150,56 @@ def land(spark, path, rows):
 
 
 def test_stream_resumes_and_upgrades(spark, tmp_path):
-    land(spark, tmp_path / "in", [("a", "2024-01-01 00:00:00", "s1"), ("b", "2024-01-01 01:00:00", "mitre_attack")])
-    run = lambda: st.upsert_to(
-        st.stream_confidence(st.read_landed(spark, str(tmp_path / "in"), EVENTS), ["key"]), str(tmp_path / "out"), str(tmp_path / "cp")
-    )
-    run()
-    state = lambda: {r.key: r.confidence for r in st.current(spark, str(tmp_path / "out"), ["key"]).collect()}
-    assert state() == {"a": "LOW", "b": "MEDIUM"}
-    land(spark, tmp_path / "in", [("a", "2024-01-02 00:00:00", "s2")])
-    run()
-    assert state() == {"a": "HIGH", "b": "MEDIUM"}
+    land(spark, tmp_path / "in", [("a", "2024-01-01 00:00:00", "s1"), ("b", "2024-01-01 01:00:00", "mitre_attack"), ("a", "2024-01-01 02:00:00", "s1")])
+    out = str(tmp_path / "out")
+
+    def run():
+        rows = st.read_landed(spark, str(tmp_path / "in"), EVENTS)
+        return st.refresh_job(st.stream_confidence(rows, ["key"], "ts", "10 days"), out, str(tmp_path / "cp"), st.upsert_to)
+
+    sightings = lambda: st.current(spark, out, ["key", "source_id"])
+    state = lambda: {r.key: r.confidence for r in st.confidence_of(sightings(), ["key"]).collect()}
+    assert run() == 3 and state() == {"a": "LOW", "b": "MEDIUM"}
+    first = st.compact(spark, out, ["key", "source_id"])
+    land(spark, tmp_path / "in", [("a", "2024-01-02 00:00:00", "s2"), ("b", "2024-01-02 00:00:00", "mitre_attack")])
+    assert run() == 2 and state() == {"a": "HIGH", "b": "MEDIUM"}
+    assert st.compact(spark, out, ["key", "source_id"]) > first and state() == {"a": "HIGH", "b": "MEDIUM"}
+    assert sightings().count() == 3  # one row per indicator and source
+
+
+def test_refresh_reads_only_what_is_new(spark, tmp_path):
+    run = lambda: st.refresh_job(st.read_landed(spark, str(tmp_path / "in"), EVENTS), str(tmp_path / "out"), str(tmp_path / "cp"))
+    land(spark, tmp_path / "in", [("a", "2024-01-01 00:00:00", "s"), ("b", "2024-01-01 00:00:00", "s")])
+    assert run() == 2
+    land(spark, tmp_path / "in", [("c", "2024-01-02 00:00:00", "s")])
+    assert run() == 1 and run() == 0
+    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
 def test_stream_readmits_after_ttl(spark, tmp_path):
     land(spark, tmp_path / "in", [("a", f"2024-01-01 {h:02}:00:00", "s") for h in (0, 1, 5, 6, 11)])
-    kept = st.stream_readmit(st.read_landed(spark, str(tmp_path / "in"), EVENTS), "key", "ts", 4 * 3600)
+    kept = st.stream_readmit(st.read_landed(spark, str(tmp_path / "in"), EVENTS), "key", "ts", 4 * 3600, "1 day")
     st.append_to(kept, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = sorted(r.ts.hour for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [0, 5, 11]
 
 
+@pytest.mark.parametrize("kind", ["readmit", "first"])
+def test_batches_out_of_order_lose_no_key(spark, tmp_path, kind):
+    """One file a batch; keys first seen in early rows of late batches are admitted."""
+    for day, key in ((10, "a"), (20, "b"), (1, "c"), (2, "d"), (20, "a")):
+        land(spark, tmp_path / "in", [(key, f"2024-01-{day:02} 00:00:00", "s")])
+        stream = st.read_landed(spark, str(tmp_path / "in"), EVENTS, max_files=1)
+        if kind == "readmit":
+            out = st.stream_readmit(stream, "key", "ts", 5 * 86400, "30 days")
+        else:
+            out = st.stream_keep_first(stream, ["key"], "ts", "30 days").select("key", "ts")
+        st.append_to(out, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r.key, r.ts.day) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    again = [("a", 20)] if kind == "readmit" else []
+    assert got == sorted([("a", 10), ("b", 20), ("c", 1), ("d", 2), *again])
+
+
 def test_stream_drops_known_and_repeated(spark, tmp_path):
     land(spark, tmp_path / "in", [("a", "2024-01-01 00:00:00", "s"), ("b", "2024-01-01 00:00:00", "s"), ("b", "2024-01-01 02:00:00", "s")])
     known = spark.createDataFrame([("a",)], "key string")

@@ -122,6 +122,41 @@ def test_rule_spellings(spark):
     assert r.condition_summary == "one of a* and not b"
 
 
+def test_rule_values_beyond_one_line(spark):
+    files = {
+        "folded": "title: >-\n    A folded\n    title\nlevel: high\ntags:\n  - attack.t1003\ndetection:\n    a: 1\n    condition:\n        - a\n        - b and c\n",
+        "quoted": "\"title\": \"Say \\\"hi\\\"\"\n'level': 'low'\n'detection':\n    'condition': [a, 'b']\n\"logsource\":\n    \"product\": linux\n",
+        "plain": "title: starts here\n    and goes on\nlevel: low\ndetection:\n  condition: a\n",
+        "single": "title: 'It''s'\ndetection:\n  condition: a\n",
+        "anchor": "title: &t x\ndetection:\n  condition: a\n", "merge": "<<: *base\ntitle: x\n", "none": "level: low\n",
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, content string")
+    got = {r.path: r for r in doc.parse_rules(df).collect()}
+    assert {p: r.title for p, r in got.items()} == {"folded": "A folded title", "quoted": 'Say "hi"', "plain": "starts here and goes on", "single": "It's"}
+    assert got["folded"].condition_summary == "a | b and c" and got["folded"].tags == ["attack.t1003"]
+    assert (got["quoted"].level, got["quoted"].condition_summary, got["quoted"].logsource) == ("low", "a | b", "linux")
+    assert {(r.path, r.reason) for r in doc.unread_rules(df).collect()} == {("anchor", "yaml"), ("merge", "yaml"), ("none", "title")}
+
+
+def test_folders_meet_actors(spark):
+    from intelweave.operators.aliases import search_terms
+    from intelweave.operators.articles import historical_reports
+
+    reports = spark.createDataFrame([("The Grey Heron files", "a"), ("apt", "b"), ("grey heron", "c")], "folder string, path string")
+    names = spark.createDataFrame([("Grey Heron", ["apt1"]), ("Other", ["files", "apt"])], "actor string, aliases array<string>")
+    got = {(r.actor, r.path) for r in historical_reports(reports, search_terms(names, "folder")).collect()}
+    assert got == {("Grey Heron", "a"), ("Grey Heron", "c"), ("Other", "a")}
+
+
+def test_shared_folder_must_be_named(spark):
+    from types import SimpleNamespace
+
+    from intelweave.session import shared_folder
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None)))
+
+
 def test_campaign_reports(spark, tmp_path):
     (tmp_path / "Grey Heron").mkdir()
     (tmp_path / "Grey Heron" / "first_look-1.md").write_text("no heading\n" * 6 + "# late heading\n")
