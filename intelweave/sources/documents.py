@@ -236,18 +236,29 @@ def _key(name: str) -> str:
     return rf"(?:{name}|'{name}'|\"{name}\")"
 
 
-def _scalar(content: Column, key: str) -> Column:
-    """Value of a top-level key: on its line, or a block scalar (folded or literal) below it.
+def _raw_scalar(content: Column, key: str) -> dict[str, Column]:
+    """What a top-level key may be followed by: its line, a block scalar below it, deeper lines that go on."""
+    name = _key(key)
+    block = rf"(?m)^{name}:[ \t]*[|>][+\-0-9]*[ \t]*(?:#.*)?\n((?:[ \t]+.*\n|[ \t]*\n)*)"
+    more = rf"(?m)^{name}:[ \t]*(\S.*\n(?:[ \t]+[^\s#].*\n)+)"
+    return {
+        f"_{key}": F.regexp_extract(content, rf"(?m)^{name}:[ \t]*(.*?)[ \t]*$", 1),
+        f"_{key}_below": F.coalesce(
+            F.nullif(F.regexp_extract(content, block, 1), F.lit("")), F.regexp_extract(content, more, 1)
+        ),
+    }
+
+
+def _scalar(key: str) -> Column:
+    """Value of a top-level key from :func:`_raw_scalar`.
 
-    Folded lines are joined by a space; the titles, levels and states read here
-    are one line each.
+    Folded and literal lines are joined by a space: the titles, levels and
+    states read here are one line each.
     """
-    inline = F.regexp_extract(content, rf"(?m)^{_key(key)}:[ \t]*(.*?)[ \t]*$", 1)
-    block = F.regexp_extract(content, rf"(?m)^{_key(key)}:[ \t]*[|>][+\-0-9]*[ \t]*(?:#.*)?\n((?:[ \t]+.*\n|[ \t]*\n)*)", 1)
-    # a plain or quoted value may go on in deeper lines as well
-    more = F.regexp_extract(content, rf"(?m)^{_key(key)}:[ \t]*(\S.*\n(?:[ \t]+[^\s#].*\n)+)", 1)
-    folded = text.strip(F.regexp_replace(F.when(block != "", block).otherwise(more), r"\s*\n\s*", " "))
-    return F.when(inline.rlike(r"^[|>][+\-0-9]*[ \t]*(#.*)?$"), folded).when(more != "", _plain(folded)).otherwise(_plain(inline))
+    inline, below = F.col(f"_{key}"), F.col(f"_{key}_below")
+    folded = text.strip(F.regexp_replace(below, r"\s*\n\s*", " "))
+    marked = inline.rlike(r"^[|>][+\-0-9]*[ \t]*(#.*)?$")
+    return F.when(marked, folded).otherwise(_plain(F.when(below != "", folded).otherwise(inline)))
 
 
 def _block(content: Column, key: str) -> Column:
@@ -259,27 +270,8 @@ def _dashed_items(block: Column) -> Column:
     return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1)), _plain)
 
 
-def _tags(content: Column) -> Column:
-    """Tags as a dashed list or as a bracketed one."""
-    dashed = _dashed_items(_block(content, "tags"))
-    inline = F.split(F.regexp_extract(content, rf"(?ms)^{_key('tags')}:[ \t]*\[([^\]]*)\]", 1), ",")
-    listed = F.when(F.size(dashed) > 0, dashed).otherwise(F.transform(inline, _plain))
-    return F.filter(F.transform(listed, F.lower), lambda t: t != "")
-
-
-def _condition(content: Column) -> Column:
-    """Detection condition: on its own line, as an indented block, or a list, whose entries are alternatives."""
-    block = _block(content, "detection")
-    name = _key("condition")
-    below = F.regexp_extract(block, rf"(?m)^([ \t]+){name}:[ \t]*[|>][+\-0-9]*[ \t]*\n((?:\1[ \t]+.*\n?|[ \t]*\n)+)", 2)
-    inline = F.regexp_extract(block, rf"(?m)^[ \t]+{name}:[ \t]*(.*?)[ \t]*$", 1)
-    dashed = _dashed_items(F.regexp_extract(block, rf"(?m)^([ \t]+){name}:[ \t]*\n((?:\1[ \t]*-.*\n?)+)", 2))
-    bracketed = F.transform(F.split(F.regexp_extract(inline, r"^\[(.*)\]", 1), ","), _plain)
-    alternatives = lambda xs: F.array_join(F.filter(xs, lambda x: x != ""), " | ")
-    return (
-        F.when(below != "", below).when(F.size(dashed) > 0, alternatives(dashed))
-        .when(F.startswith(inline, F.lit("[")), alternatives(bracketed)).otherwise(_plain(inline))
-    )
+def _alternatives(xs: Column) -> Column:
+    return F.array_join(F.filter(xs, lambda x: x != ""), " | ")
 
 
 #: what the line patterns do not follow: anchors, aliases, tags, merge keys and flow mappings of the used keys
@@ -297,21 +289,49 @@ def unread_rules(df: DataFrame) -> DataFrame:
 
 
 def _rule_rows(df: DataFrame, base_url: str) -> DataFrame:
-    content = F.concat(F.regexp_replace("content", "\r\n?", "\n"), F.lit("\n"))
-    part = rf"(?m)^[ \t]+(?:{_key('category')}|{_key('product')}|{_key('service')}):[ \t]*(\S.*?)[ \t]*$"
-    logsource = F.regexp_extract_all(_block(content, "logsource"), F.lit(part), F.lit(1))
-    title = _scalar(content, "title")
-    reason = F.when(content.rlike(_UNREAD), "yaml").when(title == "", "title")
-    return df.select(
+    """Rule fields and the reason a file gives no rule, in steps: texts cut out once, then read."""
+    c = F.col
+    rows = df.select("path", F.concat(F.regexp_replace("content", "\r\n?", "\n"), F.lit("\n")).alias("_text"))
+    cut = {}
+    for key in ("title", "level", "status"):
+        cut |= _raw_scalar(c("_text"), key)
+    rows = rows.withColumns(
+        cut
+        | {f"_{key}": _block(c("_text"), key) for key in ("tags", "logsource", "detection")}
+        | {
+            "_tag_line": F.regexp_extract("_text", rf"(?ms)^{_key('tags')}:[ \t]*\[([^\]]*)\]", 1),
+            "_odd": c("_text").rlike(_UNREAD),
+        }
+    )
+    name, part = _key("condition"), rf"(?m)^[ \t]+(?:{_key('category')}|{_key('product')}|{_key('service')}):[ \t]*(\S.*?)[ \t]*$"
+    rows = rows.withColumns(
+        {
+            "_title_text": _scalar("title"),
+            "_inline": F.regexp_extract("_detection", rf"(?m)^[ \t]+{name}:[ \t]*(.*?)[ \t]*$", 1),
+            "_below": F.regexp_extract("_detection", rf"(?m)^([ \t]+){name}:[ \t]*[|>][+\-0-9]*[ \t]*\n((?:\1[ \t]+.*\n?|[ \t]*\n)+)", 2),
+            "_list": F.regexp_extract("_detection", rf"(?m)^([ \t]+){name}:[ \t]*\n((?:\1[ \t]*-.*\n?)+)", 2),
+            # tags as a dashed list or as a bracketed one
+            "_tag_list": F.when(c("_tag_line") != "", F.transform(F.split("_tag_line", ","), _plain)).otherwise(_dashed_items(c("_tags"))),
+            "_log": F.transform(F.regexp_extract_all("_logsource", F.lit(part), F.lit(1)), _plain),
+        }
+    )
+    # a condition on its own line, as an indented block, or a list, whose entries are alternatives
+    listed = _alternatives(F.transform(F.split(F.regexp_extract("_inline", r"^\[(.*)\]", 1), ","), _plain))
+    condition = (
+        F.when(c("_below") != "", c("_below")).when(c("_list") != "", _alternatives(_dashed_items(c("_list"))))
+        .when(F.startswith("_inline", F.lit("[")), listed).otherwise(_plain(c("_inline")))
+    )
+    rows = rows.withColumn("_condition", condition)
+    return rows.select(
         "path",
-        title.alias("title"),
-        F.lower(_scalar(content, "level")).alias("level"),
-        F.lower(_scalar(content, "status")).alias("status"),
-        _tags(content).alias("tags"),
-        logsource_text(F.transform(logsource, _plain)).alias("logsource"),
-        text.condition_summary(_condition(content)).alias("condition_summary"),
-        F.concat(F.lit(base_url), F.col("path")).alias("url"),
-        reason.alias("reason"),
+        c("_title_text").alias("title"),
+        F.lower(_scalar("level")).alias("level"),
+        F.lower(_scalar("status")).alias("status"),
+        F.filter(F.transform("_tag_list", F.lower), lambda t: t != "").alias("tags"),
+        logsource_text(c("_log")).alias("logsource"),
+        text.condition_summary(c("_condition")).alias("condition_summary"),
+        F.concat(F.lit(base_url), c("path")).alias("url"),
+        F.when(c("_odd"), "yaml").when(c("_title_text") == "", "title").alias("reason"),
     )
 
 
