@@ -127,10 +127,16 @@ def article_identity(url="url", title="title") -> Column:
     return F.coalesce(F.nullif(F.col(url), F.lit("")), F.col(title))
 
 
-def merge_advisories(df: DataFrame, *, by=BY, order=ORDER) -> DataFrame:
-    """First entry per url, or per title where there is no url."""
+def merge_advisories(df: DataFrame, *, by=BY, order=ORDER, texts: bool = False) -> DataFrame:
+    """First entry per url, or per title where there is no url.
+
+    Bodies stay out of the merge.  With ``texts`` they join the rows that are
+    left, by group and position, which tell rows apart.
+    """
+    heavy = [c for c in ("body", "content", "search_text") if c in df.columns]
     key = article_identity()
-    return keep_first(df.filter(F.coalesce(key, F.lit("")) != ""), [*by, key], order)
+    rows = keep_first(df.drop(*heavy).filter(F.coalesce(key, F.lit("")) != ""), [*by, key], order)
+    return rows.join(df.select(*by, *order, *heavy), [*by, *order]) if texts and heavy else rows
 
 
 def merge_scalars(df: DataFrame, fields, *, by=BY, order=ORDER) -> DataFrame:

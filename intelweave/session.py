@@ -35,14 +35,3 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df, label: str):
-    """Write a table that several consumers read to the shared folder and read it back.
-
-    Cuts the lineage, so the consumers do not each run the plan again, and
-    survives the loss of any executor.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -307,6 +307,13 @@ def test_rule_totals_count_what_is_not_listed(spark):
     assert rul.lead_rules(hit).first().summary == "t00 (+24 more)"
 
 
+def test_advisory_bodies_join_last(spark):
+    rows = [("A", 0, 1, "u", "t", "first"), ("A", 0, 2, "u", "t2", "second"), ("A", 1, 1, "", "x", "third")]
+    df = spark.createDataFrame(rows, "actor string, source_rank int, pos int, url string, title string, body string")
+    assert "body" not in m.merge_advisories(df).columns
+    assert sorted(r.body for r in m.merge_advisories(df, texts=True).collect()) == ["first", "third"]
+
+
 def test_no_cut_by_default(spark):
     feed = spark.createDataFrame([("f", i, "ip", f"1.1.1.{i % 250}", 0) for i in range(500)], "family string, pos int, type string, value string, confidence_score int")
     used = spark.createDataFrame([("A", "f", 0)], "actor string, name string, pos int")

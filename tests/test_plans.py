@@ -220,6 +220,15 @@ def test_sql_needs_no_session():
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
 
 
+def test_entry_without_the_text_operators():
+    root = Path(__file__).resolve().parents[1]
+    code = (
+        "import sys; sys.modules['intelweave.llm'] = None; import __spark_entry__ as e; "
+        "assert len(e.queries()) > 150 and not [q for q in e.queries() if q.startswith('op') and q[2:3].isdigit()]"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
 # one query per module; tools/check.py runs all of them
 SAMPLE = [
     "actor_indicators", "merge_techniques", "merge_malware", "pulse_iocs", "resolve_canonical", "text_mentions", "match_repos",
