@@ -144,3 +144,11 @@ def bounded_sample(rows: DataFrame, key, n: int) -> DataFrame:
     share = min(1.0, 4 * (n + 100) / max(total, 1))
     low = F.col("__h") <= int((share - 0.5) * 2**64) if share < 1 else F.lit(True)
     return rows.withColumn("__h", F.xxhash64(key)).filter(low).orderBy("__h", *rows.columns).limit(n).drop("__h")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column has it (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -8,8 +8,9 @@ are not compared.  Equal lines are one line from the start (a 64-bit hash).
    lines with Jaccard similarity s share a band with probability
    1 - (1 - s^ROWS)^BANDS: 0.98 at s = 0.8, 0.9996 at s = 0.88.
 2. Lines meet by band key.  Keys with one line drop out in the stream that
-   numbers the lines of a key; a key with more than ``block`` lines is compared
-   as pairs of blocks.  Only lines that met another bring their text.
+   numbers the lines of a key; keys with the very same lines are one group; a
+   group of more than ``block`` lines is compared as pairs of blocks.  Only
+   lines that met another bring their text.
 3. The exact Jaccard similarity of all pairs of a block (or two) comes from a
    product of incidence matrices; the pairs at ``threshold`` or more are links,
    and only a spanning forest of a block's links leaves its task.
@@ -29,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, grouped, list_array, materialize, spans_of
+from .common import arrow_schema, as_batch, grouped, list_array, materialize, spans_of, unused
 from .components import connected_components, local_roots
 
 SHINGLE = 7
 ROWS, BANDS = 5, 10
 THRESHOLD = 0.8
 BLOCK = 512
+SMALL = 8  # lines of a group that is compared together with others
 _SEED = 20240229
 
 
@@ -158,14 +160,62 @@ def jaccard_links(lines: list[str], threshold: float, side: np.ndarray | None =
     return np.nonzero(hit)
 
 
-def _verify(threshold: float):
+def links_of_small_groups(lines: list[str], group: np.ndarray, threshold: float):
+    """Pairs (i, j) within groups of SMALL lines at most, with exact Jaccard similarity of threshold or more, all at once."""
+    mix = lambda x: (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    hashes, counts = shingle_hashes(lines)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    # each shingle of a line once
+    key = hashes ^ mix(owner)
+    order = np.argsort(key)
+    once = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]
+    hashes, owner = hashes[once], owner[once]
+    sizes = np.bincount(owner, minlength=len(lines))
+    # lines of a group that share a shingle stand side by side
+    key = hashes ^ mix(group[owner])
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    met = [np.zeros(0, np.int64)]
+    for d in range(1, SMALL):
+        same = key[d:] == key[:-d]
+        if not same.any():
+            break
+        x, y = owner[:-d][same], owner[d:][same]
+        met.append(np.minimum(x, y) * len(lines) + np.maximum(x, y))
+    pairs, common = np.unique(np.concatenate(met), return_counts=True)
+    i, j = pairs // len(lines), pairs % len(lines)
+    hit = common >= threshold * (sizes[i] + sizes[j] - common)
+    return i[hit], j[hit]
+
+
+def _verify(threshold: float, at_once: int = 4000):
     def run(batches):
         schema = arrow_schema("a long, b long")
         for rows in grouped(batches, "part"):
-            ids, lines = rows.column("id").to_numpy(), rows.column("line").to_pylist()
-            block = rows.column("block").to_numpy()
-            side = block if block.min() != block.max() else None
-            i, j = jaccard_links(lines, threshold, side)
+            part, ids = rows.column("part").to_numpy(), rows.column("id").to_numpy()
+            block, lines = rows.column("block").to_numpy(), rows.column("line")
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            sizes = np.diff(cuts)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+            i, j = [], []
+            a = 0
+            while a < len(small):
+                b = min(len(small), a + at_once)
+                while b < len(small) and group[small[b]] == group[small[b - 1]]:
+                    b += 1
+                some = small[a:b]
+                x, y = links_of_small_groups(lines.take(pa.array(some)).to_pylist(), group[some], threshold)
+                i.append(some[x])
+                j.append(some[y])
+                a = b
+            for g in np.flatnonzero(sizes > SMALL):
+                x, y = int(cuts[g]), int(cuts[g + 1])
+                side = block[x:y] if block[x:y].min() != block[x:y].max() else None
+                p, q = jaccard_links(lines.slice(x, y - x).to_pylist(), threshold, side)
+                i.append(x + p)
+                j.append(x + q)
+            i, j = np.concatenate(i), np.concatenate(j)
             root = local_roots(i, j, len(ids))
             child = np.flatnonzero(root != np.arange(len(ids)))
             if len(child):
@@ -179,13 +229,16 @@ def line_links(lines: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     keys = lines.select("id", "line").mapInArrow(_keys, "id long, keys array<long>")
     met = keys.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
     met = materialize(met.mapInArrow(_meet, "key long, id long, nth long"), "line-bands")
-    crowded = met.groupBy("key").agg((F.floor(F.max("nth") / block) + 1).cast("int").alias("blocks")).filter("blocks > 1")
-    met = met.join(crowded, "key", "left").select(
-        "key", "id", F.floor(F.col("nth") / block).cast("int").alias("block"), F.coalesce("blocks", F.lit(1)).alias("blocks")
+    # near copies agree in many bands: keys with the very same lines are compared once
+    keyed = met.groupBy("key").agg(
+        (F.floor(F.max("nth") / block) + 1).cast("int").alias("blocks"),
+        F.xxhash64(F.count("*"), F.expr("bit_xor(xxhash64(id))"), F.expr("bit_xor(xxhash64(id, 1))")).alias("same"),
     )
+    # a line's place among equal sets is the same, as lines are numbered in the order of their ids
+    met = met.join(keyed, "key").select("same", "id", F.floor(F.col("nth") / block).cast("int").alias("block"), "blocks").distinct()
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = met.select("key", "id", "block", other.alias("other"))
-    part = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    met = met.select("same", "id", "block", other.alias("other"))
+    part = F.xxhash64("same", F.least("block", "other"), F.greatest("block", "other"))
     met = met.select("id", "block", part.alias("part"))
     texts = lines.select("id", "line").join(met.select("id").distinct(), "id", "leftsemi").dropDuplicates(["id"])
     rows = met.join(texts, "id").repartition("part").sortWithinPartitions("part")
@@ -210,12 +263,12 @@ def line_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without the lines that are not kept; one left without any line goes."""
-    gone = (
-        line_groups(docs, threshold).filter(~F.col("kept")).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
-    )  # as many numbers as the document has lines
-    marked = docs.withColumn("__doc", F.xxhash64("doc_id", "text"))
-    marked = marked.join(gone.withColumnRenamed("doc", "__doc").withColumnRenamed("gone", "__gone"), "__doc", "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    doc, gone = unused(docs, "doc_key"), unused(docs, "gone_lines")
+    dropped = line_groups(docs, threshold).filter(~F.col("kept"))
+    # as many numbers as the document has lines
+    dropped = dropped.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line_no").alias(gone))
+    marked = docs.withColumn(doc, F.xxhash64("doc_id", "text")).join(dropped, doc, "left")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
     empty = F.size(F.filter(left, lambda x: normalised(x) != "")) == 0
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return marked.filter(F.col("__gone").isNull() | ~empty).withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return marked.filter(F.col(gone).isNull() | ~empty).withColumn("text", text).select(*docs.columns)
