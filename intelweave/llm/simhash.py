@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, materialize
+from .common import arrow_schema, as_batch, materialize, unused
 from .components import connected_components, local_roots
 
 THRESHOLD = 4
@@ -244,12 +244,13 @@ def first_of_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Rows that repeat a document (same doc_id and text) are one document; one row of it stays.
     """
-    row = F.xxhash64("doc_id", "text")
-    groups = simhash_groups(docs.select(row.alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("__row"), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
-    marked = docs.withColumn("__row", row)
+    row, key = F.xxhash64("doc_id", "text"), unused(docs, "row_key")
+    groups = simhash_groups(docs.select(row.alias("doc_id"), "text"), threshold)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)
+    rows = docs.select("doc_id", row.alias(key)).distinct()
     first = (
-        groups.distinct().join(marked.select("__row", "doc_id").distinct(), "__row")
-        .groupBy("component_id").agg(F.min(place)["__row"].alias("__row")).select("__row")
+        groups.select(F.col("doc_id").alias(key), "component_id").distinct().join(rows, key)
+        .groupBy("component_id").agg(F.min(place)[key].alias(key)).select(key)
     )
-    return marked.join(first, "__row", "leftsemi").dropDuplicates(["__row"]).select(*docs.columns)
+    kept = docs.withColumn(key, row).join(first, key, "leftsemi")
+    return kept.dropDuplicates([key]).select(*docs.columns)

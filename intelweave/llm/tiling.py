@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, codes_of, list_array, materialize, spans_of
+from .common import arrow_schema, as_batch, codes_of, list_array, materialize, spans_of, unused
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
@@ -184,16 +184,17 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def seed_filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bits set by the items' seeds, as bytes: ``bits / 8`` of them whatever the benchmark's size."""
+    """Bits set by the items' seeds, as bytes; ``bits / 64`` rows at most come from the cluster, however many items there are."""
     bit = F.pmod(F.col("seed"), F.lit(bits))
     words = (
-        items.select(F.explode("seeds").alias("seed")).select(F.floor(bit / 8).cast("int").alias("at"), (bit % 8).cast("int").alias("bit"))
-        .groupBy("at").agg(F.expr("bit_or(shiftleft(1, bit))").alias("value")).collect()
+        items.select(F.explode("seeds").alias("seed"))
+        .select(F.floor(bit / 64).cast("int").alias("at"), (bit % 64).cast("int").alias("bit"))
+        .groupBy("at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("value")).collect()
     )
-    out = np.zeros(bits // 8, np.uint8)
+    out = np.zeros(bits // 64, np.int64)
     for r in words:
         out[r["at"]] = r["value"]
-    return out
+    return out.astype("<i8").view(np.uint8)
 
 
 def documents_with_seeds(docs: DataFrame, passing: np.ndarray) -> DataFrame:
@@ -274,6 +275,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc").alias("__doc")).distinct()
-    marked = docs.withColumn("__doc", F.xxhash64("doc_id", "text"))
-    return marked.join(bad, "__doc", "left_anti").select(*docs.columns)
+    doc = unused(docs, "doc_key")
+    bad = contaminated(docs, benchmark, threshold).select(F.col("doc").alias(doc)).distinct()
+    return docs.withColumn(doc, F.xxhash64("doc_id", "text")).join(bad, doc, "left_anti").select(*docs.columns)
