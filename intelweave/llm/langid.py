@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_schema, as_batch, spans_of
+from .common import bounded_sample, spans_of, unused
 
 UNKNOWN = "und"
-COLUMNS = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -138,20 +138,20 @@ class ByteNet:
             grads[f"E{d}"][byte] = np.add.reduceat(inputs.reshape(-1, 3 * u)[by_byte], first, axis=0)
         return grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.01):
-        """Adam over windows x (windows, steps) with labels y; the rate falls to zero."""
+    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 120, batch: int = 256, rate: float = 0.01):
+        """Adam over windows x (windows, bytes) with labels y, ``steps`` times; the rate falls to zero."""
         rng = np.random.default_rng(self.seed)
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         v = {k: np.zeros_like(w) for k, w in self.weights.items()}
-        total, t = epochs * -(-len(x) // batch), 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for a in range(0, len(x), batch):
-                pick = order[a : a + batch]
+        order, t = np.zeros(0, np.int64), 0
+        while t < steps:
+            order = np.concatenate([order, rng.permutation(len(x))])
+            while len(order) >= min(batch, len(x)) and t < steps:
+                pick, order = order[:batch], order[batch:]
                 grads = self.gradients(np.ascontiguousarray(x[pick].T), y[pick], np.ascontiguousarray(mask[pick].T))
                 norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
                 t += 1
-                step = rate * (1 - (t - 1) / total)
+                step = rate * (1 - (t - 1) / steps)
                 for k, g in grads.items():
                     g = g * min(1.0, 1 / (norm + 1e-9))
                     m[k] = 0.9 * m[k] + 0.1 * g
@@ -175,17 +175,13 @@ def windows_of(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     return out, used, owner
 
 
-def train(docs: DataFrame, learn_from: Column, train_docs: int = 3000, train_chars: int = 192, **net) -> ByteNet | None:
+def train(docs: DataFrame, learn_from: Column, train_docs: int = 3000, train_chars: int = 192, steps: int = 120, **net) -> ByteNet | None:
     """The network fitted to a bounded sample of labelled rows; None without any."""
+    labelled = docs.filter(learn_from & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
+    sample = bounded_sample(labelled, "doc_id", train_docs)
     room = F.greatest(F.length("text") - train_chars, F.lit(0)) + 1
     start = F.pmod(F.xxhash64("doc_id"), room).cast("int") + 1
-    rows = (
-        docs.filter(learn_from & F.col("lang").isNotNull() & (F.length("text") > 0))
-        .select("lang", F.substring("text", start, F.lit(train_chars)).alias("piece"), F.xxhash64("doc_id").alias("h"))
-        .orderBy("h", "piece", "lang")
-        .limit(train_docs)
-        .collect()
-    )
+    rows = sample.select("lang", F.substring("text", start, F.lit(train_chars)).alias("piece")).collect()
     labels = sorted({r.lang for r in rows})
     if not labels:
         return None
@@ -193,52 +189,54 @@ def train(docs: DataFrame, learn_from: Column, train_docs: int = 3000, train_cha
     x, used, owner = windows_of([r.piece.encode() for r in rows], model.window)
     y = np.array([labels.index(r.lang) for r in rows])[owner]
     mask = (np.arange(model.window) < used[:, None]).astype(np.float32)
-    return model.fit(x, y, mask)
+    return model.fit(x, y, mask, steps)
 
 
-def pooled(model: ByteNet, texts: list[bytes], chunk: int = 4096) -> np.ndarray:
-    """Mean label probabilities over all bytes of each text: (texts, labels)."""
+def pooled(model: ByteNet, texts: list[bytes], chunk: int = 4096, held: int = 1 << 20) -> np.ndarray:
+    """Mean label probabilities over all bytes of each text: (texts, labels); about ``held`` bytes are laid out at once."""
     sums = np.zeros((len(texts), len(model.labels)))
-    x, used, owner = windows_of(texts, model.window)
-    # windows of like fill together, so that short ones need few steps
-    order = np.argsort(used, kind="stable")
-    for a in range(0, len(x), chunk):
-        pick = order[a : a + chunk]
-        steps = int(used[pick].max())
-        p = model.probabilities(np.ascontiguousarray(x[pick, :steps].T))
-        p *= (np.arange(steps)[:, None] < used[pick])[:, None, :]
-        np.add.at(sums, owner[pick], p.sum(axis=0).T)
-    return sums / np.maximum([len(t) for t in texts], 1)[:, None]
-
-
-def predict(docs: DataFrame, model: ByteNet | None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document."""
-    doc = docs.select(
-        F.col("doc_id").cast("long"),
-        held_out(F.col("doc_id")).alias("held_out"),
-        F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"),
-    )
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] - lengths[first] + held, side="right")))
+        x, used, owner = windows_of(texts[first:last], model.window)
+        # windows of like fill together, so that short ones need few steps
+        order = np.argsort(used, kind="stable")
+        for a in range(0, len(x), chunk):
+            pick = order[a : a + chunk]
+            steps = int(used[pick].max())
+            p = model.probabilities(np.ascontiguousarray(x[pick, :steps].T))
+            p *= (np.arange(steps)[:, None] < used[pick])[:, None, :]
+            np.add.at(sums, first + owner[pick], p.sum(axis=0).T)
+        first = last
+    return sums / np.maximum(lengths, 1)[:, None]
+
+
+def with_language(docs: DataFrame, model: ByteNet | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` and two new ones, ``lang`` and ``score``; only text is read."""
     if model is None:
-        return doc.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0)})
+    names, lettered = np.array(model.labels, dtype=object), unused(docs, "has_letter")
 
     def run(batches):
-        schema = arrow_schema(COLUMNS)
-        names = np.array(model.labels, dtype=object)
         for batch in batches:
+            known = batch.column(lettered).fill_null(False).to_numpy(zero_copy_only=False)
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            known = np.array([t is not None for t in texts], bool)
-            p = pooled(model, [t or b"" for t in texts])
+            p = pooled(model, [t if k else b"" for t, k in zip(texts, known)])
             best = p.argmax(axis=1)
-            score = np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-            yield as_batch(
-                {
-                    "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
-                    "lang_pred": np.where(known, names[best], UNKNOWN), "score": score,
-                },
-                schema,
-            )
-
-    return doc.mapInArrow(run, COLUMNS)
+            sure = np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
+            kept = [c for c in batch.schema.names if c != lettered]
+            new = [pa.array(np.where(known, names[best], UNKNOWN), pa.string()), pa.array(sure)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, lang, score])
+
+    out = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
+    return docs.withColumn(lettered, F.col("text").rlike(r"\p{L}")).mapInArrow(run, out)
+
+
+def predict(docs: DataFrame, model: ByteNet | None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document."""
+    return with_language(docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
