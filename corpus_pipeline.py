@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intelweave.llm import langid, lines, packing, simhash, tiling
-from intelweave.llm.common import materialize, table
+from intelweave.llm.common import materialize, table, unused
 
-MIN_SCORE = 0.4  # of the predicted language; four even labels would have 0.25
+MIN_SCORE = 0.3  # of the predicted language; four labels that the network leaves open have 0.25 each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found: any text with a letter that the network does not leave open."""
-    labelled = langid.with_language(docs, langid.train(docs, ~langid.held_out(F.col("doc_id"))))
-    placed = (F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE)
-    return labelled.filter(placed).select(*docs.columns)
+    model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
+    lang, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    labelled = langid.with_language(docs, model, lang, score)
+    return labelled.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
