@@ -77,8 +77,13 @@ def family_iocs(malware: DataFrame, feed: DataFrame, n: int | None = DEFAULTS.io
     """
     # within a family the first row of a value wins for every group, so the rest need not be joined
     first = keep_first(cap_per_family(feed, n), ["family", "type", F.lower("value")], ["pos"])
-    rows = _families(malware, by).join(first, "family").withColumnRenamed("family", "malware_family")
-    return keep_first(rows, [*by, "type", F.lower("value")], ["family_pos", "pos"])
+    # and a value that one family has is that family's for every group: only the others are compared per group
+    key = [F.col("type").alias("_type"), F.lower("value").alias("_value")]
+    held = first.groupBy(*key).agg((F.count("*") > 1).alias("_shared"))
+    marked = first.join(held, (F.col("type") == F.col("_type")) & (F.lower("value") == F.col("_value"))).drop("_type", "_value")
+    rows = _families(malware, by).join(marked, "family").withColumnRenamed("family", "malware_family")
+    own = rows.filter("not _shared").drop("_shared")
+    return own.unionByName(keep_first(rows.filter("_shared").drop("_shared"), [*by, "type", F.lower("value")], ["family_pos", "pos"]))
 
 
 def family_hits(malware: DataFrame, feed: DataFrame, n: int | None = DEFAULTS.iocs_per_family, *, by=BY) -> DataFrame:

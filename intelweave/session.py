@@ -18,6 +18,8 @@ def local_session(cores: int | str = 8, app: str = "intelweave", scratch: str |
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # merge keys are near-unique: keep aggregating in memory beyond the default of 128 keys a task
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
     )
