@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,20 +44,46 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` turns one record batch into a dict of columns, or None for no rows."""
+#: what the tasks of one stage share in a Python worker, by name
+_SHARED: dict[str, dict] = {}
+_STAGE = None
 
-    def run(batches):
-        types = None
+
+def shared_in_stage(name: str) -> dict:
+    """A dict that lives in a worker while it works on one stage."""
+    return _SHARED.setdefault(name, {})
+
+
+def enter_stage() -> None:
+    global _STAGE
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _STAGE:
+        _SHARED.clear()
+        _STAGE = stage
+
+
+def task(run, rows: int | None = None):
+    """``run`` over record batches, ready for mapInArrow.
+
+    Workers are used again by later stages: what earlier ones kept goes first,
+    and unused Arrow memory is given back at the end.  With ``rows``, batches of
+    long texts are passed on in slices of as many rows.
+    """
+
+    def sliced(batches):
         for batch in batches:
-            got = fn(batch)
-            if got is None:
-                continue
-            if types is None:
-                types = arrow_schema(schema)
-            yield as_batch(got, types)
-
-    return df.mapInArrow(run, schema)
+            for a in range(0, batch.num_rows, rows):
+                yield batch.slice(a, rows)
+
+    def start(batches):
+        enter_stage()
+        try:
+            yield from run(sliced(batches) if rows else batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return start
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

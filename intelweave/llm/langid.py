@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bounded_sample, spans_of, unused
+from .common import bounded_sample, spans_of, task, unused
 
 UNKNOWN = "und"
 
@@ -177,11 +177,11 @@ def windows_of(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
 
 def train(docs: DataFrame, learn_from: Column, train_docs: int = 3000, train_chars: int = 192, steps: int = 120, **net) -> ByteNet | None:
     """The network fitted to a bounded sample of labelled rows; None without any."""
-    labelled = docs.filter(learn_from & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    sample = bounded_sample(labelled, "doc_id", train_docs)
     room = F.greatest(F.length("text") - train_chars, F.lit(0)) + 1
     start = F.pmod(F.xxhash64("doc_id"), room).cast("int") + 1
-    rows = sample.select("lang", F.substring("text", start, F.lit(train_chars)).alias("piece")).collect()
+    piece = F.substring("text", start, F.lit(train_chars)).alias("piece")
+    labelled = docs.filter(learn_from & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", piece)
+    rows = bounded_sample(labelled, "doc_id", train_docs).select("lang", "piece").collect()
     labels = sorted({r.lang for r in rows})
     if not labels:
         return None
@@ -231,7 +231,7 @@ def with_language(docs: DataFrame, model: ByteNet | None, lang: str = "lang_pred
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, lang, score])
 
     out = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
-    return docs.withColumn(lettered, F.col("text").rlike(r"\p{L}")).mapInArrow(run, out)
+    return docs.withColumn(lettered, F.col("text").rlike(r"\p{L}")).mapInArrow(task(run, 1000), out)
 
 
 def predict(docs: DataFrame, model: ByteNet | None) -> DataFrame:
