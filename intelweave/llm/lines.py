@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, grouped, list_array, materialize, spans_of, unused
+from .common import arrow_schema, as_batch, grouped, list_array, materialize, spans_of, task, unused
 from .components import connected_components, local_roots
 
 SHINGLE = 7
@@ -226,9 +226,9 @@ def _verify(threshold: float, at_once: int = 4000):
 
 def line_links(lines: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """A spanning forest (a, b) of the links between distinct lines; lines has id and line."""
-    keys = lines.select("id", "line").mapInArrow(_keys, "id long, keys array<long>")
+    keys = lines.select("id", "line").mapInArrow(task(_keys), "id long, keys array<long>")
     met = keys.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
-    met = materialize(met.mapInArrow(_meet, "key long, id long, nth long"), "line-bands")
+    met = materialize(met.mapInArrow(task(_meet), "key long, id long, nth long"), "line-bands")
     # near copies agree in many bands: keys with the very same lines are compared once
     keyed = met.groupBy("key").agg(
         (F.floor(F.max("nth") / block) + 1).cast("int").alias("blocks"),
@@ -242,7 +242,7 @@ def line_links(lines: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     met = met.select("id", "block", part.alias("part"))
     texts = lines.select("id", "line").join(met.select("id").distinct(), "id", "leftsemi").dropDuplicates(["id"])
     rows = met.join(texts, "id").repartition("part").sortWithinPartitions("part")
-    return rows.mapInArrow(_verify(threshold), "a long, b long").distinct()
+    return rows.mapInArrow(task(_verify(threshold)), "a long, b long").distinct()
 
 
 def line_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

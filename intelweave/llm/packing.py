@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, materialize
+from .common import arrow_schema, as_batch, materialize, shared_in_stage, task
 
 MODEL = "word_bpe_49k.json"
 SEPARATOR = 0
@@ -42,12 +42,11 @@ CAPACITY = 2048
 GROUPS = 64  # sizes that configurations are made of
 LARGE = (0.25, 0.45)  # of the capacity: shorter pieces are packed by best fit; the plan with fewer sequences is used
 SALTS = 1024
-CACHE = 1_000_000  # distinct strings a worker keeps the ids of
+CACHE = 1_000_000  # distinct strings a worker keeps the ids of, while it works on one stage
 MARK = "\ue000"  # stands between strings that are encoded together; one that holds it is encoded alone
 #: letters that stay one letter in NFC and lower case
 PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+").fullmatch
 APART = re.compile("(?<=[a-zA-ZÀ-ÖØ-öø-ÿ])([.,])(?=[ \n]|$(?!\n))")
-_KNOWN: dict[str, bytes] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
@@ -77,21 +76,21 @@ def encoder(path: str):
     and a full stop or comma between a Latin letter and a space is set apart:
     the tokenizer splits there as well.
     """
-    tok = tokenizer(path)
+    tok, known = tokenizer(path), shared_in_stage("ids")
     mark = np.array(tok.encode(MARK, add_special_tokens=False).ids, "<u4")
     ends_word = np.zeros(tok.get_vocab_size(), bool)
     ends_word[[i for piece, i in tok.get_vocab().items() if piece.endswith("</w>")]] = True
 
     def cut(flat: bytes, strings, starts, stops) -> None:
         for c, x, y in zip(strings, starts, stops, strict=True):
-            _KNOWN[c] = flat[4 * x : 4 * y]
+            known[c] = flat[4 * x : 4 * y]
 
     def learn(new: list[str]) -> None:
         # one run of letters is one word of the tokenizer, and its last token says so
         plain, marked = [], []
         for c in new:
             if MARK in c:
-                _KNOWN[c] = np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+                known[c] = np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 (plain if c.isalpha() and (c.isascii() or PLAIN(c)) else marked).append(c)
         for a in range(0, len(plain), 2000):
@@ -111,10 +110,10 @@ def encoder(path: str):
     def encode(texts: list[str]) -> list[bytes]:
         chunks = [APART.sub(r" \1", t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         wanted = set().union(*chunks)
-        if len(_KNOWN) + len(wanted) > CACHE:
-            _KNOWN.clear()
-        learn([c for c in wanted if c not in _KNOWN])
-        return [b"".join([_KNOWN[c] for c in cs]) for cs in chunks]
+        if len(known) + len(wanted) > CACHE:
+            known.clear()
+        learn([c for c in wanted if c not in known])
+        return [b"".join([known[c] for c in cs]) for cs in chunks]
 
     return encode
 
@@ -139,7 +138,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
             yield as_batch(out, schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(task(run, 1000), PIECES)
 
 
 # The plan: everything below works on the histogram alone.
@@ -366,4 +365,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
             yield as_batch(out, schema)
 
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(run, columns)
+    return ranked.mapInArrow(task(run), columns)

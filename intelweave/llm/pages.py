@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, materialize
+from .common import arrow_schema, as_batch, materialize, task
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
@@ -219,7 +219,7 @@ def nearest_pages(keyed: DataFrame) -> DataFrame:
                     near.append(b if len(commonprefix((path, pb))) >= len(commonprefix((path, pa_))) else a)
             yield as_batch({"page": batch.column("page"), "near": near}, schema)
 
-    return flat.mapInArrow(run, "page long, near long").filter("near IS NOT NULL")
+    return flat.mapInArrow(task(run, 1000), "page long, near long").filter("near IS NOT NULL")
 
 
 def line_hashes(keyed: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def line_hashes(keyed: DataFrame) -> DataFrame:
             ]
             yield as_batch({"page": batch.column("page"), "hashes": hashes}, schema)
 
-    return keyed.select("page", "html").mapInArrow(run, "page long, hashes array<long>")
+    return keyed.select("page", "html").mapInArrow(task(run, 1000), "page long, hashes array<long>")
 
 
 def template_lines(keyed: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def template_lines(keyed: DataFrame) -> DataFrame:
             pairs = zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist())
             yield as_batch({"page": batch.column("page"), "shared": [shared_lines(a, b) for a, b in pairs]}, schema)
 
-    return pairs.mapInArrow(run, "page long, shared array<int>").filter(F.size("shared") > 0)
+    return pairs.mapInArrow(task(run, 1000), "page long, shared array<int>").filter(F.size("shared") > 0)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             out |= {k: [[x[j] for x in p] for p in lines] for j, k in enumerate(("lines", "wheres", "places"))}
             yield as_batch(out, schema)
 
-    lines = keyed.select("page", "page_id", "url", "html").mapInArrow(read, columns)
+    lines = keyed.select("page", "page_id", "url", "html").mapInArrow(task(read, 1000), columns)
     rows = F.arrays_zip("lines", "wheres", "places")
     has_article = F.exists("wheres", lambda w: w == IN_ARTICLE)
     # with an article its lines are the text; without one, the lines the nearest page does not share

@@ -31,7 +31,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, bounded_sample
+from .common import arrow_schema, as_batch, bounded_sample, task
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 18
@@ -309,7 +309,7 @@ def training_pieces(docs: DataFrame, clusters_wanted: int = TRAIN_CLUSTERS) -> l
             h = [int.from_bytes(hashlib.md5(p.encode("utf-8", "replace")).digest()[:7], "big") for p in pieces]
             yield as_batch({"piece": pieces, "h": h}, schema)
 
-    sample = with_digits.mapInArrow(run, "piece string, h long")
+    sample = with_digits.mapInArrow(task(run), "piece string, h long")
     return [r.piece for r in sample.distinct().orderBy("h", "piece").limit(clusters_wanted).collect()]
 
 
@@ -374,4 +374,4 @@ def personal_data(docs: DataFrame, field: SemiMarkovField | None = None) -> Data
                     out[name].append(v)
             yield as_batch(out, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, COLUMNS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task(run, 1000), COLUMNS)

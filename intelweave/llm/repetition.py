@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, codes_of, list_array, spans_of
+from .common import arrow_schema, as_batch, codes_of, list_array, spans_of, task
 
 MIN_REPEAT = 8  # words; a power of two, shorter repeats are the language's own
 MAX_COVERED = 0.3
@@ -201,4 +201,4 @@ def repetition_rules(
     """One row per document with its counts, its repeated spans (in words) and the verdict."""
     if min_repeat < 4 or min_repeat & (min_repeat - 1):
         raise ValueError("min_repeat is a power of two, 4 at least")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rules(min_repeat, max_covered, max_longest), COLUMNS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task(_rules(min_repeat, max_covered, max_longest), 1000), COLUMNS)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, materialize, unused
+from .common import arrow_schema, as_batch, materialize, task, unused
 from .components import connected_components, local_roots
 
 THRESHOLD = 4
@@ -200,7 +200,7 @@ def _compare(threshold: int, budget: int = 4_000_000):
 
 def link_fingerprints(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """A spanning forest (a, b) of the links between distinct fingerprints (column print)."""
-    rows = prints.select("print").mapInArrow(_replicate(threshold), REPLICAS)
+    rows = prints.select("print").mapInArrow(task(_replicate(threshold)), REPLICAS)
     crowded = (
         rows.filter("home").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > block)
         .select("anchor", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -210,7 +210,7 @@ def link_fingerprints(prints: DataFrame, threshold: int = THRESHOLD, block: int
     where = F.when(F.col("home"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("anchor", F.explode(where).alias("block"), "home", "print")
     rows = rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", F.desc("home"))
-    return rows.mapInArrow(_compare(threshold), "a long, b long").distinct()
+    return rows.mapInArrow(task(_compare(threshold)), "a long, b long").distinct()
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             yield as_batch({"doc_id": batch.column("doc_id"), "print": fingerprints(texts).view(np.int64)}, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, print long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task(run, 1000), "doc_id long, print long")
 
 
 def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, codes_of, list_array, materialize, spans_of, unused
+from .common import arrow_schema, as_batch, codes_of, list_array, materialize, spans_of, task, unused
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
@@ -180,7 +180,7 @@ def item_table(benchmark: DataFrame) -> DataFrame:
             )
 
     rows = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("long"), "text").distinct()
-    return rows.mapInArrow(run, columns).filter(F.size("seeds") > 0)
+    return rows.mapInArrow(task(run), columns).filter(F.size("seeds") > 0)
 
 
 def seed_filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -237,7 +237,7 @@ def documents_with_seeds(docs: DataFrame, passing: np.ndarray) -> DataFrame:
                 )
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, columns)
+    return rows.mapInArrow(task(run, 1000), columns)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -270,7 +270,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             out = {k: batch.column(k) for k in ("doc", "doc_id", "item_id")}
             yield as_batch(out | {k: [g[j] for g in got] for j, k in enumerate(("coverage", "n_tiles", "longest_tile"))}, schema)
 
-    return rows.mapInArrow(run, columns).filter(F.col("coverage") >= threshold)
+    return rows.mapInArrow(task(run), columns).filter(F.col("coverage") >= threshold)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, codes_of, spans_of
+from .common import arrow_schema, as_batch, codes_of, spans_of, task
 
 MODEL = "piece_bpe_32k.model"
 #: sums held per task before they are sent on
@@ -275,9 +275,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096) ->
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     path = path or model_path()
     check_model(path)
-    index = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_index, INDEX)
+    index = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task(_index), INDEX)
     # a block's side row has no token; it is dealt out by its block instead
     meet = F.coalesce("token", F.concat(F.lit("\n"), F.col("block").cast("string")))
-    sums = index.repartition(meet).sortWithinPartitions("token").mapInArrow(_count(path), SUMS)
+    sums = index.repartition(meet).sortWithinPartitions("token").mapInArrow(task(_count(path)), SUMS)
     columns = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    return sums.repartition("block").sortWithinPartitions("block").mapInArrow(_gather(limit, columns), columns)
+    return sums.repartition("block").sortWithinPartitions("block").mapInArrow(task(_gather(limit, columns)), columns)
