@@ -9,12 +9,14 @@
    partitions whose ends are then joined up, so a host with very many pages is
    not sorted by one task.
 3. The two pages' lines are aligned by longest common subsequence, as hashes,
-   and the shared ones are deleted as the host's template.
-4. Text is put together from what is left.
+   and the shared ones are deleted as the host's template, inside an article
+   too.
+4. Text is put together from what is left, inside an article or not.
 
 Two things differencing cannot decide are read from the mark-up, as the last
-step: furniture that is new on every page goes though no pair shares it, and
-lines inside an explicit article stay though a copy of the article shares them.
+step: furniture that is new on every page goes though no pair shares it, and an
+article of which the pair shares ``COPIED`` or more of the characters is a copy,
+whose lines all come back.
 
 Defined results: null or empty html gives an empty text; a page without host or
 alone on its host has no pair; repeated rows and null ids each keep their own
@@ -51,6 +53,7 @@ FURNITURE_WORDS = frozenset(
 )
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NEITHER, IN_ARTICLE, IN_FURNITURE = 0, 1, 2
+COPIED = 0.8
 
 
 def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
@@ -238,7 +241,7 @@ def line_hashes(keyed: DataFrame) -> DataFrame:
 
 
 def template_lines(keyed: DataFrame) -> DataFrame:
-    """page and shared: the places of the lines that the nearest page has too."""
+    """page and shared: for each line, whether the nearest page has it too."""
     hashes = materialize(line_hashes(keyed).dropDuplicates(["page"]), "page-lines")
     pairs = (
         nearest_pages(keyed).join(hashes, "page")
@@ -247,12 +250,16 @@ def template_lines(keyed: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        schema = arrow_schema("page long, shared array<int>")
+        schema = arrow_schema("page long, shared array<boolean>")
         for batch in batches:
-            pairs = zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist())
-            yield as_batch({"page": batch.column("page"), "shared": [shared_lines(a, b) for a, b in pairs]}, schema)
+            shared = []
+            for a, b in zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist()):
+                flags = np.zeros(len(a), bool)
+                flags[shared_lines(a, b)] = True
+                shared.append(flags)
+            yield as_batch({"page": batch.column("page"), "shared": shared}, schema)
 
-    return pairs.mapInArrow(task(run, 1000), "page long, shared array<int>").filter(F.size("shared") > 0)
+    return pairs.mapInArrow(task(run, 1000), "page long, shared array<boolean>").filter(F.array_contains("shared", True))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -272,16 +279,16 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     lines = keyed.select("page", "page_id", "url", "html").mapInArrow(task(read, 1000), columns)
     rows = F.arrays_zip("lines", "wheres", "places")
-    has_article = F.exists("wheres", lambda w: w == IN_ARTICLE)
-    # with an article its lines are the text; without one, the lines the nearest page does not share
-    chosen = F.filter(
-        rows,
-        lambda x: F.when(has_article, x["wheres"] == IN_ARTICLE).otherwise(
-            ~F.coalesce(F.array_contains("shared", x["places"]), F.lit(False))
-        ),
+    template = lambda x: F.coalesce(F.get("shared", x["places"]), F.lit(False))
+    article = lambda x: x["wheres"] == IN_ARTICLE
+    chars = lambda of: F.aggregate(
+        rows, F.lit(0).cast("long"), lambda n, x: n + F.when(of(x), F.length(x["lines"])).otherwise(0)
     )
+    # differencing decides; an article that the nearest page holds a copy of comes back
+    copied = chars(lambda x: article(x) & template(x)) >= COPIED * chars(article)
+    chosen = F.filter(rows, lambda x: ~template(x) | (article(x) & F.col("copied")))
     text = F.array_join(F.transform(chosen, lambda x: x["lines"]), " ")
     return (
-        lines.join(shared, "page", "left").select("page_id", "url", text.alias("text"))
+        lines.join(shared, "page", "left").withColumn("copied", copied).select("page_id", "url", text.alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )

@@ -358,6 +358,19 @@ def test_article_text(spark):
     assert pages.main_text(df).first().text == "A <b> One two three four"
 
 
+def test_differencing_decides_for_pages_with_an_article(spark):
+    shell = "<div>{}</div><nav>Menu {}</nav><article><p>Share this with your friends</p>{}</article><div>All rights kept</div>"
+    body = "<p>{0} first thing that happened there</p><p>{0} second thing that happened there</p>"
+    rows = [(i, f"https://h.org/{p}", shell.format(f"Lead {i}", i, body.format(t))) for i, (p, t) in enumerate([("a/1", "One"), ("a/2", "Two")])]
+    rows += [(i, f"https://copy.org/{i}", f"<nav>Site</nav><p>Page {i}</p><main><p>Same</p><p>text of a copy</p></main>") for i in (7, 8)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "{0} first thing that happened there {0} second thing that happened there"
+    assert got == {
+        0: f"Lead 0 {text.format('One')}", 1: f"Lead 1 {text.format('Two')}",
+        7: "Page 7 Same text of a copy", 8: "Page 8 Same text of a copy",
+    }
+
+
 # personal data
 
 
