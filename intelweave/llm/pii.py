@@ -13,7 +13,9 @@ It is trained by the exact gradient (forward-backward over
 segments) on a bounded sample: TRAIN_CLUSTERS documents with a digit or an @,
 those with the smallest hash, and as many clusters of theirs, labelled by the base patterns, and once more with each base span written
 the ways people hide them (no country code, "at" and "dot", bracketed dots),
-which is what the patterns alone miss.
+which is what the patterns alone miss.  WRITTEN_OUT made-up lines of words of
+the sample show e-mail addresses without digits or @ and plain words that only
+look like one ("look at that dot there").
 
 Offsets are in code points.  Defined results: null and empty texts have no
 spans; repeated rows and null ids each keep their own row; extra columns are
@@ -38,6 +40,7 @@ MAX_TOKENS = 18
 CONTEXT = 4
 MIN_MARGIN = 0.95
 TRAIN_CLUSTERS = 800
+WRITTEN_OUT = 600
 EPOCHS = 4
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,6 +50,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|\d")
+#: last parts of written-out hosts, without those that are common words
+TLDS = frozenset("com org net edu gov mil int info biz io dev app ai co uk de fr es eu ch nl se pl ca au nz jp cn br mx ru".split())
+DETERMINER = re.compile(r"\bat (?:the|a|an|this|that|my|your|our|his|her|its|their)\b")
+LOOSE = re.compile(r"\b(?!(?:at|dot)\b)\w+\s+(?!(?:at|dot)\b)\w")  # two plain words side by side
 TRIGGER = re.compile(r"[0-9@]|\b[dD][oO][tT]\b")
 
 
@@ -105,7 +112,9 @@ def clusters(text: str) -> list[list[tuple[int, int]]]:
 
 
 def _skeleton(s: str) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", s)))
+    """Words are a, but "at" and "dot" stay; numbers are 9."""
+    words = r"(?<![^\W\d_])(?!(?:at|dot)(?![^\W\d_]))[^\W\d_]+"
+    return re.sub(r"\s+", " ", re.sub(words, "a", re.sub(r"[0-9]+", "9", s.lower())))
 
 
 def span_features(text: str, start: int, end: int) -> list[str]:
@@ -125,6 +134,14 @@ def span_features(text: str, start: int, end: int) -> list[str]:
         f"last={'w' if s[-1].isalnum() else s[-1]}", f"first={'w' if s[0].isalnum() else s[0]}", f"hidden={hidden_at}{hidden_dot}",
         f"break={chr(10) in s}",
     ]
+    if hidden_at or hidden_dot:
+        top, goes_on = low.split()[-1] in TLDS, bool(re.match(r"[\s\[(]+dot\b", text[end : end + 8].lower()))
+        determiner, stop = bool(DETERMINER.search(low)), bool(re.search(r"[,;:.!?]\s", s))
+        loose = bool(LOOSE.search(low))
+        out += [
+            f"top={top}", f"goes-on={goes_on}", f"determiner={determiner}", f"stop={stop}", f"loose={loose}",
+            f"written-out={hidden_at and hidden_dot and top and not (goes_on or determiner or stop or loose)}",
+        ]
     if 13 <= n <= 19 and not letters:
         out.append(f"luhn={luhn(digits)}")
     if len(parts) == 4 and not letters:
@@ -140,7 +157,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int]
     """Features of the token ranges that may be entities."""
     out = {}
     word = [text[a:b] for a, b in tokens]
-    hit = [bool(DIGIT.search(w)) or w == "@" for w in word]
+    hit = [bool(DIGIT.search(w)) or w == "@" or w.lower() == "dot" for w in word]
     opens = [w[0].isalnum() or w in "+(" for w in word]
     closes = [w[-1].isalnum() for w in word]
     for i in range(len(tokens)):
@@ -278,6 +295,34 @@ def example(text: str, tokens: list[tuple[int, int]], base) -> tuple | None:
     return (spans, len(tokens), gold) if spans else None
 
 
+def written_out_examples(pieces: list[str], n: int = WRITTEN_OUT) -> list[tuple]:
+    """Examples of e-mail addresses without digits or @, and of plain words that only look like one, among words of the pieces."""
+    words = {w for p in pieces for w in re.findall(r"[^\W\d_]{2,}", p) if w.lower() not in TLDS}
+    words = sorted(words - {"at", "dot"}) or ["that"]
+    rng, ends, out = random.Random(12), sorted(TLDS), []
+    word = lambda: rng.choice(words)
+    around = lambda: [word() + rng.choice(("", "", "", ",", ".")) for _ in range(rng.randint(0, 6))]
+
+    def address():
+        at, dot = rng.choice(((" at ", " dot "), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) ")))
+        name = rng.choice(("{}", "{}", "{}.{}", "{}" + dot + "{}")).format(word(), word())
+        return name + at + dot.join([*(word() for _ in range(rng.randint(1, 2))), *rng.sample(ends, rng.choice((1, 1, 2)))])
+
+    plain = ("{0} at {1} dot {2}", "{0} at the dot com", "the dot {0} at {1}", "{0} dot com", "{0} at this dot and at that dot")
+    for i in range(n):
+        text, gold = " ".join([*around(), ""]), []
+        for k in range(rng.choice((1, 1, 2)) if i % 3 else 0):
+            form = address()
+            text += rng.choice((", ", " or ", "\n")) if k else ""
+            gold.append(("email", len(text), len(text) + len(form)))
+            text += form
+        if not gold:
+            text += rng.choice(plain).format(word(), word(), word())
+        text += " ".join([rng.choice(("", "", "", ".", ",")), *around()])
+        out.append(example(text, [t.span() for t in TOKEN.finditer(text)], gold))
+    return [x for x in out if x]
+
+
 def hidden_example(text: str, base) -> tuple | None:
     """The same with every base span in its hidden form."""
     out, at, marks = [], 0, []
@@ -314,8 +359,9 @@ def training_pieces(docs: DataFrame, clusters_wanted: int = TRAIN_CLUSTERS) -> l
 
 
 def train(docs: DataFrame) -> SemiMarkovField:
-    examples = []
-    for piece in training_pieces(docs):
+    pieces = training_pieces(docs)
+    examples = written_out_examples(pieces)
+    for piece in pieces:
         base = base_spans(piece)
         got = [example(piece, [t.span() for t in TOKEN.finditer(piece)], base)]
         if base:

@@ -432,6 +432,19 @@ def test_the_field_adds_hidden_forms_and_leaves_plain_numbers(spark):
     assert found("it has 16 parts in 2024-05-06 and room 12 of 2.0.") == []
 
 
+def test_hidden_addresses_without_digits(spark):
+    assert pii.candidates("joe at mail dot com", [t.span() for t in pii.TOKEN.finditer("joe at mail dot com")])
+    text = "write to ann@mail.example.org today"
+    assert pii.hidden_example(text, pii.base_spans(text)) is not None
+    field = pii.train(table(spark, SF_LARGER, "documents"))
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.found_spans(t, field)]
+    assert found("mail joe at mail dot example dot com please") == [("email", "joe at mail dot example dot com")]
+    assert found("you can reach ann at example dot org or by post") == [("email", "ann at example dot org")]
+    assert found("Write to Bob AT Example DOT net") == [("email", "Bob AT Example DOT net")]
+    for plain in ("look at that dot there and at the next dot", "she worked at the dot com then", "a dot on the map, the dot com years"):
+        assert found(plain) == [], plain
+
+
 # chat
 
 
