@@ -39,6 +39,7 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 18
 CONTEXT = 4
 MIN_MARGIN = 0.95
+BLOCK = 400  # tokens whose candidates are held at a time; a longer cluster is read in two passes over blocks
 TRAIN_CLUSTERS = 800
 WRITTEN_OUT = 600
 EPOCHS = 4
@@ -93,7 +94,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def clusters(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around every trigger; neighbouring clusters that touch are one."""
+    """Token spans around every trigger, as long as the triggers go on."""
     out: list[list[tuple[int, int]]] = []
     end = -1
     for m in TRIGGER.finditer(text):
@@ -104,13 +105,24 @@ def clusters(text: str) -> list[list[tuple[int, int]]]:
         for t in TOKEN.finditer(text, m.start()):
             tokens.append(t.span())
             quiet = 0 if TRIGGER.search(t.group()) else quiet + 1
-            if quiet > 2 * CONTEXT or len(tokens) >= 400:  # a longer one goes on as the next cluster
+            if quiet > 2 * CONTEXT:
                 break
         end = tokens[-1][1]
         out.append(tokens)
     return out
 
 
+def joined(text: str, parts: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+    """Clusters with no token between them are one, so that no span stands across an end."""
+    out: list[list[tuple[int, int]]] = []
+    for part in parts:
+        if out and TOKEN.search(text, out[-1][-1][1], part[0][0]) is None:
+            out[-1] += part
+        else:
+            out.append(part)
+    return out
+
+
 def _skeleton(s: str) -> str:
     """Words are a, but "at" and "dot" stay; numbers are 9."""
     words = r"(?<![^\W\d_])(?!(?:at|dot)(?![^\W\d_]))[^\W\d_]+"
@@ -173,6 +185,12 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int]
     return out
 
 
+def candidates_from(text: str, tokens: list[tuple[int, int]], a: int, b: int) -> dict[tuple[int, int], list[str]]:
+    """The candidates that start at tokens a to b - 1."""
+    found = candidates(text, tokens[a : b + MAX_TOKENS])
+    return {(a + i, a + j): features for (i, j), features in found.items() if a + i < b}
+
+
 class SemiMarkovField:
     """Weights of (feature, kind); outside tokens score zero."""
 
@@ -232,6 +250,55 @@ class SemiMarkovField:
                 j = i
         return out[::-1]
 
+    def read(self, spans_from, n: int, block: int) -> list[tuple[int, int, int, float]]:
+        """The entities of the best cut with their marginals: the same as the two above, over blocks.
+
+        ``spans_from(a, b)`` gives the features of the ranges that start in [a, b).
+        They are made once for each direction and held for one block, so memory
+        beside a few numbers per token does not grow with n.
+        """
+        alpha, best, back = [0.0] * (n + 1), [0.0] * (n + 1), [None] * (n + 1)
+        ahead: dict[int, list] = defaultdict(list)  # ranges that end at a later place
+
+        def arrive(j):
+            alpha[j], best[j] = alpha[j - 1], best[j - 1]
+            terms = [alpha[j - 1]]
+            for i, s in ahead.pop(j, ()):
+                for k, x in enumerate(s):
+                    terms.append(alpha[i] + x)
+                    if best[i] + x > best[j]:
+                        best[j], back[j] = best[i] + x, (i, k)
+            alpha[j] = _log_sum(terms)
+
+        for a in range(0, n, block):
+            starts = defaultdict(list)
+            for (i, j), s in self.scores(spans_from(a, min(n, a + block))).items():
+                starts[i].append((j, s))
+            for i in range(a, min(n, a + block)):
+                for j, s in starts[i]:
+                    ahead[j].append((i, s))
+                arrive(i + 1)
+        cut, j = {}, n
+        while j:
+            if back[j] is None:
+                j -= 1
+            else:
+                i, k = back[j]
+                cut[i] = (j, k)
+                j = i
+        beta, out = [0.0] * (n + 1), []
+        for a in range((n - 1) // block * block, -1, -block):
+            starts = defaultdict(list)
+            for (i, j), s in self.scores(spans_from(a, min(n, a + block))).items():
+                starts[i].append((j, s))
+            for i in range(min(n, a + block) - 1, a - 1, -1):
+                beta[i] = _log_sum([beta[i + 1], *(beta[j] + x for j, s in starts[i] for x in s)])
+                if i in cut:
+                    j, k = cut[i]
+                    x = dict(starts[i])[j][k]
+                    out.append((i, j, k, math.exp(min(0.0, alpha[i] + x + beta[j] - alpha[n]))))
+        return out[::-1]
+
     def fit(self, examples, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4):
         """Stochastic ascent of the log-likelihood with AdaGrad; examples: (spans, n, gold ranges with kinds)."""
         squares: dict[str, list[float]] = defaultdict(lambda: [1e-6] * len(KINDS))
@@ -374,7 +441,13 @@ def found_spans(text: str, field: SemiMarkovField) -> list[tuple[str, int, int]]
     """Spans that the field adds to the base ones."""
     base = base_spans(text)
     out = []
-    for tokens in clusters(text):
+    for tokens in joined(text, clusters(text)):
+        if len(tokens) > BLOCK:
+            for i, j, k, p in field.read(lambda a, b: candidates_from(text, tokens, a, b), len(tokens), BLOCK):
+                a, b = tokens[i][0], tokens[j - 1][1]
+                if p >= MIN_MARGIN and not any(a < y and x < b for _, x, y in [*base, *out]):
+                    out.append((KINDS[k], a, b))
+            continue
         spans = candidates(text, tokens)
         if not spans:
             continue

@@ -445,6 +445,26 @@ def test_hidden_addresses_without_digits(spark):
         assert found(plain) == [], plain
 
 
+def test_long_clusters_are_read_whole():
+    rng = random.Random(8)
+    n = 40
+    field = pii.SemiMarkovField({f"f{i}": [rng.uniform(-2, 2) for _ in pii.KINDS] for i in range(60)})
+    spans = {(i, j): [f"f{rng.randrange(60)}"] for i in range(n) for j in range(i + 1, min(n, i + 6) + 1)}
+    scores = field.scores(spans)
+    got = field.read(lambda a, b: {ij: f for ij, f in spans.items() if a <= ij[0] < b}, n, 7)
+    assert [x[:3] for x in got] == field.best_cut(scores, n)
+    sure = field.marginals(scores, n)
+    assert all(abs(p - sure[i, j][k]) < 1e-9 for i, j, k, p in got)
+
+    only = pii.SemiMarkovField({"three-three-four": [-9.0, -9.0, -9.0, 9.0]})  # one kind of span scores
+    number = "555 555 5555"
+    for before in range(0, 12):
+        text = "7 " * before + " , ".join([number] * 300)
+        want = [m.span() for m in re.finditer(number, text)]
+        assert [(a, b) for _, a, b in pii.found_spans(text, only)] == want, before
+    assert len(pii.joined("5 a b c d e f joe at mail dot com", pii.clusters("5 a b c d e f joe at mail dot com"))) == 1
+
+
 # chat
 
 
