@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, lines, packing, pages, pii, repetition, simhash, tiling, tokens
+from . import chat, fim, langid, lines, packing, pages, pii, repetition, resampling, simhash, tiling, tokens
 from .common import table
 
 
@@ -58,6 +58,16 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.chat_digest(chat.format_chats(turns.unionByName(probe)))
 
 
+def op12_importance_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    both = fim.restore(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return both.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -69,7 +79,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_token_counts, op5_line_dedup,
         op6_simhash_near_dedup, op7_benchmark_decontamination, op8_html_extraction, op9_personal_data,
-        op10_chat_formatting, pipeline,
+        op10_chat_formatting, op12_importance_resampling, op13_fill_in_middle, pipeline,
     )
 }
 
@@ -113,4 +123,45 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(length('<|im_start|>' || r2 || chr(10) || t2 || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars,
        bool_and(ok) AND arg_max(role, nth) = 'assistant' AS valid
 FROM v GROUP BY conv_id""",
+    "op12_importance_resampling": rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)),
+               lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (SELECT 0 AS side, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark),
+-- A-Z only, as letters outside ASCII keep their case
+w AS (SELECT side, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+byword AS (SELECT side, r, word, count(*) AS n FROM w GROUP BY ALL),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(word)),
+           lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)
+         % {resampling.BUCKETS} AS bucket FROM (SELECT DISTINCT word FROM byword), crc),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t
+           FROM byword JOIN hashed USING (word) GROUP BY bucket),
+total AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + {resampling.BUCKETS})::DOUBLE)
+           / ((s + 1)::DOUBLE * (t_all + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM counts, total),
+d AS (SELECT doc_id, row_number() OVER () AS r FROM documents),
+weighed AS (SELECT r, sum(n) AS n, sum(n * gain) AS weight FROM byword JOIN hashed USING (word) JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+           / 4294967296))))::BIGINT AS score
+  FROM d LEFT JOIN weighed USING (r)),
+ranked AS (SELECT *, n_features >= {resampling.MIN_WORDS} AS eligible,
+                  row_number() OVER (PARTITION BY n_features >= {resampling.MIN_WORDS} ORDER BY score DESC, doc_id) AS nth FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN eligible AND nth <= {resampling.PERCENT} * (SELECT count(*) FROM ranked WHERE eligible) // 100 THEN nth END AS rank
+FROM ranked""",
+    "op13_fill_in_middle": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT doc_id, text, length(text) AS n, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS h FROM d),
+f AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= {fim.RATE} THEN 'plain'
+                  WHEN h[4] % 100 < {fim.SPM} THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""",
 }

@@ -133,5 +133,5 @@ def test_all_queries_are_registered():
     import __spark_entry__ as entry
 
     names = [q for q in entry.queries() if q.startswith("op") and q[2:3].isdigit()]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
