@@ -186,6 +186,6 @@ def resample(
 
 
 def draw(docs: DataFrame, target: DataFrame, **settings) -> DataFrame:
-    """The documents that ``resample`` draws, without those it leaves."""
+    """The documents that ``resample`` draws, without those it leaves; rows of one doc_id are drawn together."""
     chosen = resample(docs, target, **settings).filter("rank is not null").select("doc_id").distinct()
     return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "leftsemi")
