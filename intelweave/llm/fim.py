@@ -68,8 +68,8 @@ def with_cuts(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SP
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column (no nulls), end to end, and where each string starts (one more for the end)."""
-    column = column.cast(pa.large_string())
+    """The bytes of a string or binary column (no nulls), end to end, and where each string starts (one more for the end)."""
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, fim, langid, lines, packing, pages, pii, repetition, resampling, simhash, tiling, tokens
+from . import chat, fim, langid, lines, packing, pages, pii, repetition, resampling, simhash, substrings, tiling, tokens
 from .common import table
 
 
@@ -58,6 +58,11 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.chat_digest(chat.format_chats(turns.unionByName(probe)))
 
 
+def op11_suffix_array_dedup(spark, sf_dir):
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_importance_resampling(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -79,7 +84,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_token_counts, op5_line_dedup,
         op6_simhash_near_dedup, op7_benchmark_decontamination, op8_html_extraction, op9_personal_data,
-        op10_chat_formatting, op12_importance_resampling, op13_fill_in_middle, pipeline,
+        op10_chat_formatting, op11_suffix_array_dedup, op12_importance_resampling, op13_fill_in_middle, pipeline,
     )
 }
 
