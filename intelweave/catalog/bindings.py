@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import ioc
+from ..session import scratch_path
+from ..sources.runbase import RunBase
 
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -32,16 +34,19 @@ def _case(expr: str, values: list[str]) -> str:
 _tactic_case = _case("p_size % 14", [f"'{t.lower()}'" for t in vocab.TACTICS])
 
 SQL: dict[str, str] = {
+    # an order with its customer's country, the actor
+    "placed": """
+        SELECT n_name AS actor, o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority, c_mktsegment
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     # one sighting per order line: which actor used which part, as told by which source
     "intel": """
-        SELECT n_name AS actor,
+        SELECT actor,
                CASE l_returnflag WHEN 'A' THEN 'mitre_attack' WHEN 'N' THEN 'malpedia' ELSE 'alienvault_otx' END AS source_id,
                CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS source_rank,
                ROW(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos,
                l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_shipdate,
                p_name, p_brand, p_type, p_size
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
-        JOIN {nation} ON c_nationkey = n_nationkey JOIN {part} ON l_partkey = p_partkey""",
+        FROM {lineitem} JOIN {placed} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey""",
     "techniques": f"""
         SELECT actor, source_id, source_rank, pos,
                'T' || CAST(1000 + l_partkey % 400 AS STRING)
@@ -81,7 +86,7 @@ SQL: dict[str, str] = {
                p_type AS malware_printable
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "campaigns": """
-        SELECT n_name AS actor,
+        SELECT actor,
                CASE o_orderstatus WHEN 'F' THEN 'mitre_attack' WHEN 'O' THEN 'cisa' ELSE 'vendor' END AS source_id,
                CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS source_rank,
                o_orderkey AS pos,
@@ -91,13 +96,13 @@ SQL: dict[str, str] = {
                CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'ref ' || CAST(o_custkey AS STRING) END AS reference,
                CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS first_seen,
                CASE WHEN o_orderkey % 11 < 5 THEN '' ELSE CAST(year(o_orderdate) + 1 AS STRING) END AS last_seen
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
+        FROM {placed}""",
     "cves": """
-        SELECT n_name AS actor, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS source_rank, o_orderkey AS pos,
+        SELECT actor, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS source_rank, o_orderkey AS pos,
                CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'CVE-' || CAST(year(o_orderdate) AS STRING) || '-' || lpad(CAST(o_custkey % 300 AS STRING), 4, '0') END AS cve_id,
                lower(o_orderpriority) AS product, c_mktsegment AS vendor,
                CAST(CAST(o_orderdate AS DATE) AS STRING) AS date_added
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
+        FROM {placed}""",
     # one record per customer; its country is the actor, its segment the source
     "records": """
         SELECT n_name AS actor,
@@ -301,6 +306,21 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
+        self._base: RunBase | None = None
+
+    @property
+    def base(self) -> RunBase:
+        """The written tables of this run; they go when the driver ends, as results are read later."""
+        if self._base is None:
+            self._base = RunBase(self.spark, scratch_path(self.spark, "base")).close_with_session()
+        return self._base
+
+    def write_once(self, **keys) -> Tables:
+        """From now on read these bindings from the run's base, dealt out by the given key columns."""
+        for name, by in keys.items():
+            build = lambda name=name: getattr(self, name)
+            self._made[name] = self.base.once(f"binding-{name}", build, by)
+        return self
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

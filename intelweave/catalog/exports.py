@@ -5,16 +5,15 @@ Those that write also read their files back, so the files are what is compared.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import families as fam
 from ..operators import merge as m
-from ..operators import profile as prof
 from ..operators import rules as rul
 from ..plans import indicators as ind
 from ..plans import layers, profiles, reports, stix
+from ..plans.run import ProfileRun
 from ..session import scratch_path
 from . import common as k
 from .aggregates import COVERED_SQL, FEED_USES, PARSED_FEED, RULES_SQL, feed, flagged, matched_rules
@@ -30,6 +29,22 @@ def family_indicators(t):
     return rows.withColumns({"first_at": F.struct("family_pos", "pos"), "sources": F.array(F.lit("family_feed"), F.lit(""), F.lit("x"))})
 
 
+def profile_run(t):
+    """A run over the bound tables; the joins that several of them start from are written first."""
+    from ..sources.documents import parse_rules
+    from .mapping import actor_articles
+
+    landed = {
+        "records": lambda: t.records, "techniques": lambda: t.write_once(placed=["o_orderkey"], intel=["l_orderkey", "l_linenumber"]).techniques,
+        "malware": lambda: t.write_once(placed=["o_orderkey"], intel=["l_orderkey", "l_linenumber"]).malware,
+        "families": lambda: t.write_once(placed=["o_orderkey"], intel=["l_orderkey", "l_linenumber"]).families_used,
+        "family_feed": lambda: feed(t), "campaigns": lambda: t.write_once(placed=["o_orderkey"]).campaigns,
+        "cves": lambda: t.write_once(placed=["o_orderkey"]).cves, "advisories": lambda: t.advisories,
+        "articles": lambda: actor_articles(t), "rules": lambda: parse_rules(t.rule_files), "repos": lambda: t.repos,
+    }
+    return ProfileRun(landed, t.base, k.settings())
+
+
 @query(
     "ioc_csv",
     f""", {PARSED_FEED}, {_FI}
@@ -183,7 +198,7 @@ _LEAD = "lead AS (SELECT actor, technique_id, max(technique_rules) AS n, first(t
     uses=["techniques", "rules"],
 )
 def _(t):
-    return layers.matrix_layer(k.merged_techniques(t), rul.lead_rules(matched_rules(t)))
+    return profile_run(t).layer()
 
 
 @query(
@@ -194,7 +209,7 @@ def _(t):
     uses=["techniques", "rules"],
 )
 def _(t):
-    entries = layers.layer_entries(layers.matrix_layer(k.merged_techniques(t), rul.lead_rules(matched_rules(t))))
+    entries = layers.layer_entries(profile_run(t).layer())
     get = lambda p: F.get_json_object("entry", p)
     return entries.select(
         "actor", get("$.techniqueID").alias("technique_id"), F.coalesce(get("$.tactic"), F.lit("none")).alias("tactic"),
@@ -203,65 +218,65 @@ def _(t):
 
 
 _DISTINCT = lambda table, field: f"""(SELECT actor, first(v ORDER BY source_rank, pos, i) AS v, min(row(source_rank, pos, i)) AS o FROM (
-    SELECT actor, source_rank, pos, unnest({field}) AS v, generate_subscripts({field}, 1) AS i FROM {table}) x WHERE trim(v) <> '' GROUP BY actor, lower(trim(v)))"""
+    SELECT actor, source_rank, pos, unnest({field}) AS v, generate_subscripts({field}, 1) - 1 AS i FROM {table}) x WHERE trim(v) <> '' GROUP BY actor, lower(trim(v)))"""
 _COND = k.squash_sql("condition")
-_PLACE = lambda order: f"row_number() OVER (PARTITION BY actor ORDER BY {order})"
+
+
+def _key_sql(*parts: str) -> str:
+    """The sort text of whole numbers that are not negative."""
+    return " || chr(1) || ".join(f"printf('8%015X', ({x})::BIGINT)" for x in parts)
+
+
+def _at(row: str, *path: str) -> list[str]:
+    return [f"{row}{''.join(f'[{i}]' for i in step.split('.'))}" for step in path]
+
+
+_LINE = lambda row: _key_sql(*_at(row, "1", "2.1", "2.2", "2.3", "2.4"))  # (source_rank, (order, line, part, supplier))
+_PLACED = lambda row: _key_sql(*_at(row, "1", "2"))  # (source_rank, number)
+_ITEM = lambda row: _key_sql(*_at(row, "1", "2", "3"))  # (source_rank, number, place in the list)
+_FOUND = f"{_LINE('family_pos')} || chr(1) || {_key_sql(*_at('pos', '1', '2', '3', '4'))}"
+_RULE_TEXTS = f"""
+    rl AS (SELECT path, status, CASE WHEN category <> '' AND product <> '' THEN category || ' / ' || product WHEN category <> '' THEN category WHEN product <> '' THEN product ELSE 'unknown' END AS logsource,
+             CASE WHEN length({_COND}) > 80 THEN ({_COND})[1:77] || '...' ELSE {_COND} END AS cond FROM rules)"""
+_ADVISORIES = """
+    ad AS (SELECT actor, first(date ORDER BY source_rank, pos) AS date, first(title ORDER BY source_rank, pos) AS title, first(url ORDER BY source_rank, pos) AS url,
+           first(summary ORDER BY source_rank, pos) AS summary, min(row(source_rank, pos)) AS o FROM advisories GROUP BY actor, coalesce(nullif(url, ''), title))"""
+_CVES = """
+    cv AS (SELECT actor, cve_id, first(product ORDER BY source_rank, pos) AS product, first(vendor ORDER BY source_rank, pos) AS vendor, first(date_added ORDER BY source_rank, pos) AS added, min(row(source_rank, pos)) AS o FROM cves WHERE cve_id <> '' GROUP BY actor, cve_id)"""
+_HEAD = "first({0} ORDER BY source_rank, pos) FILTER (WHERE {0} <> '') AS {0}"
 
 
 @query(
     "report_rows",
-    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_CAMPAIGNS}, {k.MERGED_MALWARE}, {RULES_SQL}, {PARSED_FEED}, {_FI}, {_REPO},
-    hd AS (SELECT actor, first(origin ORDER BY source_rank, pos) FILTER (WHERE origin <> '') AS origin, first(first_seen ORDER BY source_rank, pos) FILTER (WHERE first_seen <> '') AS seen,
-           first(mitre_group_id ORDER BY source_rank, pos) FILTER (WHERE mitre_group_id <> '') AS gid, first(description ORDER BY source_rank, pos) FILTER (WHERE description <> '') AS said FROM records GROUP BY actor),
-    ov AS (SELECT actor, 0 AS major, NULL AS minor, 'Group ID' AS n, gid AS v FROM hd WHERE gid IS NOT NULL
-      UNION ALL SELECT actor, 1, NULL, 'Origin', coalesce(origin, 'Unknown') FROM hd
-      UNION ALL SELECT actor, 2, NULL, 'First Seen', coalesce(seen, 'Unknown') FROM hd
-      UNION ALL SELECT actor, 3, o, 'Motivations', v FROM {_DISTINCT('records', 'motivations')} x
-      UNION ALL SELECT actor, 4, o, 'Also Known As', v FROM {_DISTINCT('records', 'aliases')} x
-      UNION ALL SELECT actor, 5, NULL, 'Description', said FROM hd WHERE said IS NOT NULL
-      UNION ALL SELECT actor, 6, row(0, 0, dense_rank() OVER (ORDER BY source_id)), 'Sources', source_id FROM (SELECT DISTINCT actor, source_id FROM records WHERE source_id <> '') s),
-    rl AS (SELECT path, CASE WHEN category <> '' AND product <> '' THEN category || ' / ' || product WHEN category <> '' THEN category WHEN product <> '' THEN product ELSE 'unknown' END AS logsource,
-             CASE WHEN length({_COND}) > 80 THEN ({_COND})[1:77] || '...' ELSE {_COND} END AS cond FROM rules),
-    det AS (SELECT actor, technique_id, rule_rank, title, upper(level) AS level, logsource, cond FROM hit JOIN rl USING (path)
-      UNION ALL SELECT actor, technique_id, 0, detection, '', '', '' FROM merged_t WHERE detection IS NOT NULL AND (actor, technique_id) NOT IN (SELECT (actor, technique_id) FROM hit)),
+    f""", {k.MERGED_TECHNIQUES}, {k.MERGED_CAMPAIGNS}, {k.MERGED_MALWARE}, {RULES_SQL}, {PARSED_FEED}, {_FI}, {_REPO}, {_RULE_TEXTS}, {_ADVISORIES}, {_CVES},
+    hd AS (SELECT actor, {_HEAD.format('origin')}, {_HEAD.format('first_seen')}, {_HEAD.format('mitre_group_id')}, {_HEAD.format('description')} FROM records GROUP BY actor),
+    det AS (SELECT actor, technique_id, technique_id || chr(1) || lpad(rule_rank::VARCHAR, 3, '0') AS key, title, upper(level) AS level, logsource, cond FROM hit JOIN rl USING (path)
+      UNION ALL SELECT actor, technique_id, technique_id, detection, '', '', '' FROM merged_t WHERE detection IS NOT NULL AND (actor, technique_id) NOT IN (SELECT (actor, technique_id) FROM hit)),
     fam AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY hits DESC, family_pos) AS r FROM hits QUALIFY r <= 8),
-    rep AS (SELECT s.actor, s.name, r.platform, r.tier, r.url, s.score, s.pos FROM scored s JOIN repos r USING (pos) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY s.actor ORDER BY s.score DESC, s.pos) <= 6),
-    cv AS (SELECT actor, cve_id, first(product ORDER BY source_rank, pos) AS product, first(vendor ORDER BY source_rank, pos) AS vendor, first(date_added ORDER BY source_rank, pos) AS added, min(row(source_rank, pos)) AS o FROM cves WHERE cve_id <> '' GROUP BY actor, cve_id),
-    ad AS (SELECT actor, first(date ORDER BY source_rank, pos) AS date, first(title ORDER BY source_rank, pos) AS title, first(url ORDER BY source_rank, pos) AS url, min(row(source_rank, pos)) AS o FROM advisories GROUP BY actor, coalesce(nullif(url, ''), title))
-    SELECT actor, 'overview' AS section, {_PLACE('major, minor')} AS place, n AS c1, v AS c2, '' AS c3, '' AS c4, '' AS c5 FROM ov
-    UNION ALL SELECT actor, 'overview', 100000, 'Indicators', 'family feed', count(*)::VARCHAR, '', '' FROM fi GROUP BY actor
-    UNION ALL SELECT actor, 'techniques', {_PLACE('technique_id')}, technique_id, coalesce(tactic, ''), coalesce(name, ''), confidence, '' FROM merged_t
-    UNION ALL SELECT actor, 'detection', {_PLACE('technique_id, rule_rank')}, technique_id, title, level, logsource, cond FROM det
-    UNION ALL SELECT actor, 'indicators', {_PLACE('type, family_pos, pos')}, {k.defang_sql('type', 'value')}, CASE WHEN confidence_score = 100 THEN 'HIGH' WHEN confidence_score >= 75 THEN 'MED' WHEN confidence_score <> 0 THEN 'LOW' ELSE '' END, threat_label, family, first_seen FROM fi
-    UNION ALL SELECT actor, 'families', r, family, hits::VARCHAR, '', '', '' FROM fam
-    UNION ALL SELECT actor, 'repositories', {_PLACE('score DESC, pos')}, name, upper(platform[1]) || platform[2:], CASE WHEN tier = 1 THEN 'Official' ELSE 'Community' END, url, '' FROM rep
-    UNION ALL SELECT actor, 'sectors', {_PLACE('o')}, v, '', '', '', '' FROM {_DISTINCT('records', 'sectors')} x
-    UNION ALL SELECT actor, 'cves', {_PLACE('o')}, cve_id, product, vendor, added, '' FROM cv
-    UNION ALL SELECT actor, 'advisories', {_PLACE('o')}, date, title, url, '', '' FROM ad
-    UNION ALL SELECT actor, 'malware', {_PLACE('first_at')}, name, coalesce(type, ''), coalesce(trim(regexp_replace(description, '\\s+', ' ', 'g')), ''), '', '' FROM merged_m
-    UNION ALL SELECT 'NATION_' || (pos % 25), 'articles', row_number() OVER (PARTITION BY pos % 25 ORDER BY pos * 7 % 100 DESC, pos), source, date, CASE WHEN pos * 7 % 100 >= 70 THEN 'HIGH' WHEN pos * 7 % 100 >= 40 THEN 'MEDIUM' ELSE 'LOW' END, title, url FROM articles
-    UNION ALL SELECT actor, 'campaigns', {_PLACE('first_at')}, name, CASE WHEN first_seen IS NULL AND last_seen IS NULL THEN '' ELSE coalesce(first_seen, '?') || ' – ' || coalesce(last_seen, '?') END, coalesce(description, ''), coalesce(url, ''), '' FROM merged_c""",
+    rep AS (SELECT s.actor, s.name, r.platform, r.tier, r.url, row_number() OVER (PARTITION BY s.actor ORDER BY s.score DESC, s.pos) AS r FROM scored s JOIN repos r USING (pos) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY s.actor ORDER BY s.score DESC, s.pos) <= 6)
+    SELECT actor, 'overview' AS section, '0' AS key, 'Group ID' AS c1, mitre_group_id AS c2, '' AS c3, '' AS c4, '' AS c5 FROM hd WHERE mitre_group_id IS NOT NULL
+    UNION ALL SELECT actor, 'overview', '1', 'Origin', coalesce(origin, 'Unknown'), '', '', '' FROM hd
+    UNION ALL SELECT actor, 'overview', '2', 'First Seen', coalesce(first_seen, 'Unknown'), '', '', '' FROM hd
+    UNION ALL SELECT actor, 'overview', '3' || {_ITEM('o')}, 'Motivations', v, '', '', '' FROM {_DISTINCT('records', 'motivations')} x
+    UNION ALL SELECT actor, 'overview', '4' || {_ITEM('o')}, 'Also Known As', v, '', '', '' FROM {_DISTINCT('records', 'aliases')} x
+    UNION ALL SELECT actor, 'overview', '5', 'Description', description, '', '', '' FROM hd WHERE description IS NOT NULL
+    UNION ALL SELECT DISTINCT actor, 'overview', '6' || source_id, 'Sources', source_id, '', '', '' FROM records WHERE source_id <> ''
+    UNION ALL SELECT actor, 'overview', '7family feed', 'Indicators', 'family feed', count(*)::VARCHAR, '', '' FROM fi GROUP BY actor
+    UNION ALL SELECT actor, 'techniques', technique_id, technique_id, coalesce(tactic, ''), coalesce(name, ''), confidence, '' FROM merged_t
+    UNION ALL SELECT actor, 'detection', key, technique_id, title, level, logsource, cond FROM det
+    UNION ALL SELECT actor, 'indicators', type || chr(1) || {_FOUND} || chr(1) || value, {k.defang_sql('type', 'value')}, CASE WHEN confidence_score = 100 THEN 'HIGH' WHEN confidence_score >= 75 THEN 'MED' WHEN confidence_score <> 0 THEN 'LOW' ELSE '' END, threat_label, family, first_seen FROM fi
+    UNION ALL SELECT actor, 'families', lpad(r::VARCHAR, 3, '0'), family, hits::VARCHAR, '', '', '' FROM fam
+    UNION ALL SELECT actor, 'repositories', lpad(r::VARCHAR, 3, '0'), name, upper(platform[1]) || platform[2:], CASE WHEN tier = 1 THEN 'Official' ELSE 'Community' END, url, '' FROM rep
+    UNION ALL SELECT actor, 'sectors', {_ITEM('o')}, v, '', '', '', '' FROM {_DISTINCT('records', 'sectors')} x
+    UNION ALL SELECT actor, 'cves', {_PLACED('o')}, cve_id, product, vendor, added, '' FROM cv
+    UNION ALL SELECT actor, 'advisories', {_PLACED('o')}, date, title, url, '', '' FROM ad
+    UNION ALL SELECT actor, 'malware', {_LINE('first_at')}, name, coalesce(type, ''), coalesce(trim(regexp_replace(description, '\\s+', ' ', 'g')), ''), '', '' FROM merged_m
+    UNION ALL SELECT 'NATION_' || (pos % 25), 'articles', lpad((1000 - pos * 7 % 100)::VARCHAR, 4, '0') || chr(1) || {_key_sql('pos')}, source, date, CASE WHEN pos * 7 % 100 >= 70 THEN 'HIGH' WHEN pos * 7 % 100 >= 40 THEN 'MEDIUM' ELSE 'LOW' END, title, url FROM articles
+    UNION ALL SELECT actor, 'campaigns', {_PLACED('first_at')}, name, CASE WHEN first_seen IS NULL AND last_seen IS NULL THEN '' ELSE coalesce(first_seen, '?') || ' – ' || coalesce(last_seen, '?') END, coalesce(description, ''), coalesce(url, ''), '' FROM merged_c""",
     uses=["techniques", "campaigns", "malware", "rules", *FEED_USES, "records", "cves", "advisories", "articles", "repos"],
 )
 def _(t):
-    from .mapping import actor_articles, aliases_long, sectors_long
-
-    header = m.merge_scalars(t.records, ["origin", "first_seen", "mitre_group_id", "description"])
-    iocs = family_indicators(t)
-    sources = t.records.filter("source_id <> ''").select("actor", c("source_id").alias("value"), c("source_id").alias("first_at")).distinct()
-    rows = reports.report_rows(
-        {
-            "overview": header, "motivations": m.merge_string_fields(t.records, ["motivations"]), "aliases": aliases_long(t), "sources": sources,
-            "origins": iocs.groupBy("actor").agg(F.count("*").alias("indicators")).withColumn("source", F.lit("family feed")),
-            "techniques": k.merged_techniques(t), "detection": matched_rules(t), "indicators": iocs,
-            "families": fam.family_hits(t.families_used, feed(t)), "repositories": matched_repos(t), "sectors": sectors_long(t),
-            "cves": m.merge_cves(t.cves), "advisories": m.merge_advisories(t.advisories), "malware": k.merged_malware(t),
-            "articles": actor_articles(t), "campaigns": k.merged_campaigns(t),
-        }
-    )
-    order = Window.partitionBy("actor", "section").orderBy("key")
-    place = F.when(c("c1") == "Indicators", F.lit(100000)).otherwise(F.row_number().over(order))
-    return rows.withColumn("place", place).select("actor", "section", "place", "c1", "c2", "c3", "c4", "c5")
+    return profile_run(t).report().select("actor", "section", "key", "c1", "c2", "c3", "c4", "c5")
 
 
 @query(
@@ -341,73 +356,53 @@ def _(t):
     return reports.coverage_report(flagged(t))
 
 
-def _items(t):
-    """The nine sections of a profile as items; advisories and articles belong to actors of their own."""
-    from ..operators.ordering import order_text
-    from .mapping import actor_articles, aliases_long, sectors_long
-
-    at = lambda df, n="first_at": order_text(df, n)
-    tech, mal, camp, iocs = k.merged_techniques(t), k.merged_malware(t), k.merged_campaigns(t), family_indicators(t)
-    cves, adv, arts = m.merge_cves(t.cves), m.merge_advisories(t.advisories), actor_articles(t)
-    names, sectors = aliases_long(t), sectors_long(t)
-    parts = [
-        prof.section_items(tech, "techniques", ["technique_id", "name", "confidence"], at(tech)),
-        prof.section_items(mal, "malware", ["name", "type", "description"], at(mal)),
-        prof.section_items(iocs, "indicators", ["type", "value", "confidence_score", "malware_family"], F.concat_ws("\u0001", at(iocs), "type", "value")),
-        prof.section_items(camp, "campaigns", ["name", "description"], at(camp)),
-        prof.section_items(cves, "cves", ["cve_id", "product"], at(cves, "pos")),
-        prof.section_items(adv, "advisories", ["title", "date"], at(adv, "pos")),
-        prof.section_items(arts, "articles", ["title", "relevance"], at(arts, "pos")),
-        prof.section_items(names, "aliases", ["value"], at(names)),
-        prof.section_items(sectors, "sectors", ["value"], at(sectors)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-_ITEMS = f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {PARSED_FEED}, {_FI},
-    hd AS (SELECT actor, first(origin ORDER BY source_rank, pos) FILTER (WHERE origin <> '') AS origin FROM records GROUP BY actor),
+# every field of a profile, as the JSON of its items; advisories belong to actors of their own, who have no header
+_SOURCES = lambda name, table, key, where: f"""
+    {name} AS (SELECT actor, k, list(source_id ORDER BY source_rank) AS sources FROM (SELECT DISTINCT actor, {key} AS k, source_id, source_rank FROM {table} WHERE {where}) d GROUP BY actor, k)"""
+_JSON = lambda *fields: "to_json({" + ", ".join(f"'{f.split(' AS ')[-1]}': {f.split(' AS ')[0]}" for f in fields) + "})"
+_ITEMS = f""", {k.MERGED_TECHNIQUES}, {k.MERGED_MALWARE}, {k.MERGED_CAMPAIGNS}, {RULES_SQL}, {PARSED_FEED}, {_FI}, {_RULE_TEXTS}, {_ADVISORIES}, {_CVES},
+    {_SOURCES('ms', 'malware', 'lower(trim(name))', "trim(name) <> ''")}, {_SOURCES('cs', 'campaigns', 'trim(name)', "trim(name) <> ''")},
+    reference AS (SELECT actor, trim(name) AS name, {_HEAD.format('reference')} FROM campaigns GROUP BY actor, trim(name)),
+    hd AS (SELECT actor, {", ".join(_HEAD.format(x) for x in ('actor_name', 'mitre_group_id', 'origin', 'first_seen', 'description'))} FROM records GROUP BY actor),
+    totals AS (SELECT * FROM hd LEFT JOIN (SELECT actor, CAST(sum(technique_rules) AS BIGINT) AS rules FROM hit WHERE rule_rank = 1 GROUP BY actor) r USING (actor)
+      LEFT JOIN (SELECT actor, count(*) AS iocs FROM fi GROUP BY actor) i USING (actor) LEFT JOIN (SELECT 'NATION_' || (pos % 25) AS actor, count(*) AS arts FROM articles GROUP BY 1) a USING (actor)),
     items AS (
-      SELECT actor, 'header' AS section, coalesce(origin, '') AS shown FROM hd
-      UNION ALL SELECT actor, 'techniques', technique_id || confidence FROM merged_t
-      UNION ALL SELECT actor, 'malware', name || coalesce(description, '') FROM merged_m
-      UNION ALL SELECT actor, 'indicators', value || confidence_score || family FROM fi
-      UNION ALL SELECT actor, 'campaigns', name || coalesce(description, '') FROM merged_c
-      UNION ALL SELECT actor, 'cves', cve_id || first(product ORDER BY source_rank, pos) FROM cves WHERE cve_id <> '' GROUP BY actor, cve_id
-      UNION ALL SELECT actor, 'advisories', first(title || date ORDER BY source_rank, pos) FROM advisories GROUP BY actor, coalesce(nullif(url, ''), title)
-      UNION ALL SELECT 'NATION_' || (pos % 25), 'articles', title || (pos * 7 % 100) FROM articles
-      UNION ALL SELECT actor, 'aliases', v FROM {_DISTINCT('records', 'aliases')} x
-      UNION ALL SELECT actor, 'sectors', v FROM {_DISTINCT('records', 'sectors')} x)"""
-_ITEM_USES = ["techniques", "malware", "campaigns", *FEED_USES, "records", "cves", "advisories", "articles"]
-
-
-def _shown(item):
-    get = lambda *names: F.concat(*[F.coalesce(F.get_json_object(item, f"$.{n}"), F.lit("")) for n in names])
-    fields = {
-        "header": ("origin",), "techniques": ("technique_id", "confidence"), "malware": ("name", "description"),
-        "indicators": ("value", "confidence_score", "malware_family"), "campaigns": ("name", "description"), "cves": ("cve_id", "product"),
-        "advisories": ("title", "date"), "articles": ("title", "relevance"), "aliases": ("value",), "sectors": ("value",),
-    }
-    return F.coalesce(*[F.when(c("section") == s, get(*names)) for s, names in fields.items()])
-
-
-@query("assemble_profile", f"{_ITEMS} SELECT actor, section, md5(shown) AS shown FROM items", uses=_ITEM_USES)
+      SELECT actor, 0 AS section_no, 'header' AS section, '' AS item_key, {_JSON('actor', 'actor_name', 'mitre_group_id', 'origin', 'first_seen', 'description', 'origin AS suspected_origin',
+        'coalesce(rules, 0) AS rule_count', 'coalesce(iocs, 0) AS family_ioc_count', 'coalesce(arts, 0) AS article_count')} AS item FROM totals
+      UNION ALL SELECT actor, 1, 'aliases', {_ITEM('o')}, {_JSON('v AS value')} FROM {_DISTINCT('records', 'aliases')} x
+      UNION ALL SELECT actor, 2, 'motivations', {_ITEM('o')}, {_JSON('v AS value')} FROM {_DISTINCT('records', 'motivations')} x
+      UNION ALL SELECT actor, 3, 'sectors', {_ITEM('o')}, {_JSON('v AS value')} FROM {_DISTINCT('records', 'sectors')} x
+      UNION ALL SELECT actor, 4, 'techniques', {_LINE('first_at')}, {_JSON('technique_id', 'name', 'tactic', 'description', 'detection', 'sources', 'confidence')} FROM merged_t
+      UNION ALL SELECT m.actor, 5, 'malware', {_LINE('first_at')}, {_JSON('name', 'type', 'description', 'aliases', 'yara_count', 'sources')} FROM merged_m m JOIN ms ON m.actor = ms.actor AND m.name_key = ms.k
+      UNION ALL SELECT actor, 6, 'indicators', {_FOUND} || chr(1) || type || chr(1) || value,
+        {_JSON('type', 'value', 'confidence_score', 'threat_type', 'threat_label', 'family AS malware_family', 'first_seen', 'last_seen', 'description', "['family_feed'] AS sources")} FROM fi
+      UNION ALL SELECT actor, 7, 'cves', {_PLACED('o')}, {_JSON('cve_id', 'product', 'vendor', 'added AS date_added')} FROM cv
+      UNION ALL SELECT actor, 8, 'advisories', {_PLACED('o')}, {_JSON('title', 'url', 'date', 'summary')} FROM ad
+      UNION ALL SELECT m.actor, 9, 'campaigns', {_PLACED('first_at')}, {_JSON('m.name AS name', 'description', 'url', 'reference', 'first_seen', 'last_seen', 'sources')}
+        FROM merged_c m JOIN cs ON m.actor = cs.actor AND m.name = cs.k JOIN reference f ON m.actor = f.actor AND m.name = f.name
+      UNION ALL SELECT actor, 10, 'rules', technique_id || chr(1) || {_key_sql('rule_rank')}, {_JSON('technique_id', 'title', 'level', 'status', 'logsource', 'cond AS condition_summary', 'path', 'path AS url', 'technique_rules')} FROM hit JOIN rl USING (path)
+      UNION ALL SELECT 'NATION_' || (pos % 25), 11, 'articles', {_key_sql('pos')}, {_JSON('title', 'source', 'date', 'url', 'pos * 7 % 100 AS relevance')} FROM articles
+      UNION ALL SELECT actor, 12, 'families', {_LINE('family_pos')} || chr(1) || family, {_JSON('family', 'hits')} FROM hits
+      UNION ALL SELECT DISTINCT actor, 13, 'sources_cited', source_id, {_JSON('source_id AS value')} FROM records WHERE source_id <> ''
+      UNION ALL SELECT actor, 14, 'sources', {_key_sql('source_rank', 'pos')}, {_JSON('source_id', "coalesce(source_citation, '') AS source_citation", "coalesce(source_url, '') AS source_url", "coalesce(retrieved_at, '') AS retrieved_at")} FROM records WHERE source_id <> '')"""
+_ITEM_USES = ["techniques", "malware", "campaigns", "rules", *FEED_USES, "records", "cves", "advisories", "articles"]
+
+
+@query("assemble_profile", f"{_ITEMS} SELECT actor, section_no, item_key, md5(item::VARCHAR) AS item FROM items", uses=_ITEM_USES)
 def _(t):
-    out = prof.assemble_profiles(m.merge_scalars(t.records, ["origin"]), _items(t))
-    return out.select("actor", "section", F.md5(_shown("item")).alias("shown"))
+    return profile_run(t).profile().select("actor", "section_no", "item_key", F.md5("item").alias("item"))
 
 
 @query(
     "profiles_json",
-    f"{_ITEMS} SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, section, count(*) AS items, sum(length(shown))::BIGINT AS chars FROM items GROUP BY ALL",
+    f"""{_ITEMS} SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, section,
+      md5('{{"section":"' || section || '","item":' || item::VARCHAR || '}}') AS line, count(*) AS lines FROM items GROUP BY ALL""",
     uses=_ITEM_USES,
 )
 def _(t):
-    lines = prof.assemble_profiles(m.merge_scalars(t.records, ["origin"]), _items(t)).withColumn("actor_slug", labels.file_slug(c("actor")))
+    lines = profile_run(t).profile().withColumn("actor_slug", labels.file_slug(c("actor")))
     path = scratch_path(t.spark, "profiles")
     profiles.write_profiles_json(lines, path)
     back = t.spark.read.schema("value string, actor_slug string").text(path)
-    back = back.select("actor_slug", F.get_json_object("value", "$.section").alias("section"), F.get_json_object("value", "$.item").alias("item"))
-    return back.groupBy("actor_slug", "section").agg(F.count("*").alias("items"), F.sum(F.length(_shown("item"))).alias("chars"))
+    section = F.regexp_extract("value", r'^\{"section":"([a-z_]*)"', 1)
+    return back.groupBy("actor_slug", section.alias("section"), F.md5("value").alias("line")).agg(F.count("*").alias("lines"))

@@ -70,20 +70,47 @@ def _families(malware: DataFrame, by) -> DataFrame:
     return keep_first(names, [*by, "family"], ["family_pos"])
 
 
+def value_classes(feed: DataFrame, n: int | None = DEFAULTS.iocs_per_family) -> DataFrame:
+    """The first feed row of each family and value, with the class of its value.
+
+    Values that the same families have are one class; ``class_id`` is a hash of
+    the set of families, taken over one row per family that has the value.
+    """
+    rows = keep_first(cap_per_family(feed, n), ["family", "type", F.lower("value")], ["pos"])
+    held = rows.groupBy("type", F.lower("value").alias("_value")).agg(
+        F.collect_list(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "type"])).alias("_rows")
+    )
+    families = F.array_sort(F.transform("_rows", lambda r: r["family"]))
+    return held.select("type", F.xxhash64(families).alias("class_id"), F.inline("_rows"))
+
+
+def class_owners(malware: DataFrame, classes: DataFrame, *, by=BY) -> DataFrame:
+    """(group, class_id, family, family_pos): the family of a group that its values of a class belong to.
+
+    That is the first of the group's families that the class has.  It is decided
+    between the groups' families and the classes, without any value.
+    """
+    members = classes.select("class_id", "family").distinct()
+    held = _families(malware, by).join(members, "family")
+    owner = F.min(F.struct(F.col("family_pos"), F.col("family"))).alias("_owner")
+    return held.groupBy(*by, "class_id").agg(owner).select(
+        *by, "class_id", F.col("_owner.family").alias("family"), F.col("_owner.family_pos").alias("family_pos")
+    )
+
+
 def family_iocs(malware: DataFrame, feed: DataFrame, n: int | None = DEFAULTS.iocs_per_family, *, by=BY) -> DataFrame:
-    """Feed indicators of a group's malware; a repeated one belongs to the first family.
+    """Feed indicators of a group's malware; a repeated one belongs to the group's first family that has it.
 
-    With a request limit the feed is cut per family before the join.
+    Ownership is decided per group and class of values, so every joined row is a
+    result.  With a request limit the feed is cut per family first.
     """
-    # within a family the first row of a value wins for every group, so the rest need not be joined
-    first = keep_first(cap_per_family(feed, n), ["family", "type", F.lower("value")], ["pos"])
-    # and a value that one family has is that family's for every group: only the others are compared per group
-    key = [F.col("type").alias("_type"), F.lower("value").alias("_value")]
-    held = first.groupBy(*key).agg((F.count("*") > 1).alias("_shared"))
-    marked = first.join(held, (F.col("type") == F.col("_type")) & (F.lower("value") == F.col("_value"))).drop("_type", "_value")
-    rows = _families(malware, by).join(marked, "family").withColumnRenamed("family", "malware_family")
-    own = rows.filter("not _shared").drop("_shared")
-    return own.unionByName(keep_first(rows.filter("_shared").drop("_shared"), [*by, "type", F.lower("value")], ["family_pos", "pos"]))
+    classed = value_classes(feed, n)
+    return owned_iocs(class_owners(malware, classed, by=by), classed)
+
+
+def owned_iocs(owners: DataFrame, classed: DataFrame) -> DataFrame:
+    """The feed rows that belong to each group, from :func:`class_owners` and :func:`value_classes`."""
+    return owners.join(classed, ["class_id", "family"]).drop("class_id").withColumnRenamed("family", "malware_family")
 
 
 def family_hits(malware: DataFrame, feed: DataFrame, n: int | None = DEFAULTS.iocs_per_family, *, by=BY) -> DataFrame:

@@ -159,6 +159,15 @@ def merge_string_fields(df: DataFrame, arrays, *, by=BY, order=ORDER) -> DataFra
     return distinct_values(rows, F.col("item"), by, ["field", *order, "item_pos"])
 
 
+def merge_lists(df: DataFrame, arrays, *, by=BY, order=ORDER, name: str = "section") -> DataFrame:
+    """Ordered distinct strings of several list fields, each field a list of its own, in one pass."""
+    empty = F.array().cast("array<string>")
+    fields = F.explode(F.array(*[F.struct(F.lit(a).alias("n"), F.coalesce(F.col(a), empty).alias("items")) for a in arrays]))
+    rows = df.select(*by, *order, fields.alias("field"))
+    rows = rows.select(*by, *order, F.col("field.n").alias(name), F.posexplode("field.items").alias("item_pos", "item"))
+    return distinct_values(rows, F.col("item"), [*by, name], [*order, "item_pos"])
+
+
 def sources_cited(df: DataFrame, *, by=BY, source="source_id", extra: str | None = None) -> DataFrame:
     """Sorted distinct source ids, with already aggregated lists folded in."""
     ids = F.array(F.col(source))

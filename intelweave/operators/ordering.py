@@ -108,14 +108,14 @@ def positions(df: DataFrame, array: str, item: str = "item", pos: str = "pos") -
 
 
 def order_text(df: DataFrame, name: str) -> Column:
-    """A text that sorts like a column: whole numbers zero-padded, struct fields one after the other."""
+    """A text that sorts like a column: whole numbers as 16 hexadecimal digits, struct fields one after the other."""
 
     def text_of(c: Column, kind) -> list[Column]:
         if isinstance(kind, T.StructType):
             return [x for f in kind for x in text_of(c[f.name], f.dataType)]
         if isinstance(kind, T.IntegralType):
-            # shifted, so that negative numbers sort before the others
-            return [F.coalesce(F.lpad((c.cast("decimal(20,0)") + F.lit(10**18).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit(""))]
+            # the sign bit is turned, so that negative numbers sort before the others
+            return [F.coalesce(F.lpad(F.hex(c.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit(""))]
         return [F.coalesce(c.cast("string"), F.lit(""))]
 
     return F.concat_ws("\u0001", *text_of(F.col(name), df.schema[name].dataType))

@@ -110,11 +110,11 @@ def brief_facts(
 # --- nested export -----------------------------------------------------------
 
 
-def section_items(df: DataFrame, section: str, fields, key: Column, *, by=BY) -> DataFrame:
-    """Rows of one section as (group, section, key, item JSON) for the nested export."""
+def section_items(df: DataFrame, section: str | Column, fields, key: Column, *, by=BY) -> DataFrame:
+    """Rows of one section (or of the one each row names) as (group, section, key, item JSON) for the nested export."""
     return df.select(
         *by,
-        F.lit(section).alias("section"),
+        (F.lit(section) if isinstance(section, str) else section).alias("section"),
         key.cast("string").alias("item_key"),
         F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("item"),
     )
