@@ -44,7 +44,7 @@ from .fim import bytes_of
 SPAN = 200
 GRAMS = (64, 128, 176, 200)
 CROWD = 1000
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 COLLECTION = 4000  # strings of a task's collection, about
 ROWS = 500  # texts passed to a worker at a time
 
