@@ -264,16 +264,18 @@ def _cut_strings(gram: int, span: int):
         schema = arrow_schema(CHILDREN)
         for batch in batches:
             flat, starts = bytes_of(batch.column("bytes"))
-            for owner, start, windows, before, key, mark in cut(flat, starts, gram, span):
-                of = pa.array(owner)
-                yield as_batch(
-                    {
-                        "parent_key": batch.column("key").take(of), "parent_mark": batch.column("mark").take(of), "at": start,
-                        "key": key, "mark": mark, "weight": batch.column("weight").take(of), "before": before,
-                        "bytes": _byte_strings(flat, starts[owner] + start, windows + span - 1),
-                    },
-                    schema,
-                )
+            for arrays in cut(flat, starts, gram, span):
+                for a in range(0, len(arrays[0]), COLLECTION):
+                    owner, start, windows, before, key, mark = (x[a : a + COLLECTION] for x in arrays)
+                    of = pa.array(owner)
+                    yield as_batch(
+                        {
+                            "parent_key": batch.column("key").take(of), "parent_mark": batch.column("mark").take(of), "at": start,
+                            "key": key, "mark": mark, "weight": batch.column("weight").take(of), "before": before,
+                            "bytes": _byte_strings(flat, starts[owner] + start, windows + span - 1),
+                        },
+                        schema,
+                    )
 
     return run
 
