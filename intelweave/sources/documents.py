@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import dates, labels, text
 from ..operators.ordering import latest_by
+from . import rulefiles
 
 EMPTY_STRINGS = "array<string>"
 
@@ -222,62 +223,6 @@ def parse_family_feed(df: DataFrame, keep=("family",)) -> DataFrame:
 # --- rules -------------------------------------------------------------------------
 
 
-def _plain(raw: Column) -> Column:
-    """Value of a one-line scalar: quotes dropped, or the comment behind a bare value."""
-    v = text.strip(raw)
-    single = F.replace(F.regexp_extract(v, r"^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'"))
-    double = F.regexp_replace(F.regexp_extract(v, r'^"((?:[^"\\]|\\.)*)"', 1), r'\\(["\\/])', "$1")
-    bare = text.strip(F.regexp_replace(v, r"(^|[ \t]+)#.*$", ""))
-    return F.when(F.startswith(v, F.lit("'")), single).when(F.startswith(v, F.lit('"')), double).otherwise(bare)
-
-
-def _key(name: str) -> str:
-    """A key as it may be written: bare or quoted."""
-    return rf"(?:{name}|'{name}'|\"{name}\")"
-
-
-def _raw_scalar(content: Column, key: str) -> dict[str, Column]:
-    """What a top-level key may be followed by: its line, a block scalar below it, deeper lines that go on."""
-    name = _key(key)
-    block = rf"(?m)^{name}:[ \t]*[|>][+\-0-9]*[ \t]*(?:#.*)?\n((?:[ \t]+.*\n|[ \t]*\n)*)"
-    more = rf"(?m)^{name}:[ \t]*(\S.*\n(?:[ \t]+[^\s#].*\n)+)"
-    return {
-        f"_{key}": F.regexp_extract(content, rf"(?m)^{name}:[ \t]*(.*?)[ \t]*$", 1),
-        f"_{key}_below": F.coalesce(
-            F.nullif(F.regexp_extract(content, block, 1), F.lit("")), F.regexp_extract(content, more, 1)
-        ),
-    }
-
-
-def _scalar(key: str) -> Column:
-    """Value of a top-level key from :func:`_raw_scalar`.
-
-    Folded and literal lines are joined by a space: the titles, levels and
-    states read here are one line each.
-    """
-    inline, below = F.col(f"_{key}"), F.col(f"_{key}_below")
-    folded = text.strip(F.regexp_replace(below, r"\s*\n\s*", " "))
-    marked = inline.rlike(r"^[|>][+\-0-9]*[ \t]*(#.*)?$")
-    return F.when(marked, folded).otherwise(_plain(F.when(below != "", folded).otherwise(inline)))
-
-
-def _block(content: Column, key: str) -> Column:
-    """The indented (or dashed) lines under a top-level key."""
-    return F.regexp_extract(content, rf"(?m)^{_key(key)}:[ \t]*(?:#.*)?\n((?:[ \t]+.*\n?|-.*\n?|[ \t]*\n)*)", 1)
-
-
-def _dashed_items(block: Column) -> Column:
-    return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1)), _plain)
-
-
-def _alternatives(xs: Column) -> Column:
-    return F.array_join(F.filter(xs, lambda x: x != ""), " | ")
-
-
-#: what the line patterns do not follow: anchors, aliases, tags, merge keys and flow mappings of the used keys
-_UNREAD = r"(?m)^[ \t]*['\"]?(?:title|level|status|tags|logsource|detection|condition)['\"]?:[ \t]*[&*!{]|^[ \t]*<<:"
-
-
 def parse_rules(df: DataFrame, base_url: str = "") -> DataFrame:
     """Rule rows from (path, content) of rule files; those of :func:`unread_rules` are left out."""
     return _rule_rows(df, base_url).filter("reason is null").drop("reason")
@@ -289,49 +234,19 @@ def unread_rules(df: DataFrame) -> DataFrame:
 
 
 def _rule_rows(df: DataFrame, base_url: str) -> DataFrame:
-    """Rule fields and the reason a file gives no rule, in steps: texts cut out once, then read."""
+    """Rule fields and the reason a file gives no rule; each file is read once, line by line (see ``rulefiles``)."""
     c = F.col
-    rows = df.select("path", F.concat(F.regexp_replace("content", "\r\n?", "\n"), F.lit("\n")).alias("_text"))
-    cut = {}
-    for key in ("title", "level", "status"):
-        cut |= _raw_scalar(c("_text"), key)
-    rows = rows.withColumns(
-        cut
-        | {f"_{key}": _block(c("_text"), key) for key in ("tags", "logsource", "detection")}
-        | {
-            "_tag_line": F.regexp_extract("_text", rf"(?ms)^{_key('tags')}:[ \t]*\[([^\]]*)\]", 1),
-            "_odd": c("_text").rlike(_UNREAD),
-        }
-    )
-    name, part = _key("condition"), rf"(?m)^[ \t]+(?:{_key('category')}|{_key('product')}|{_key('service')}):[ \t]*(\S.*?)[ \t]*$"
-    rows = rows.withColumns(
-        {
-            "_title_text": _scalar("title"),
-            "_inline": F.regexp_extract("_detection", rf"(?m)^[ \t]+{name}:[ \t]*(.*?)[ \t]*$", 1),
-            "_below": F.regexp_extract("_detection", rf"(?m)^([ \t]+){name}:[ \t]*[|>][+\-0-9]*[ \t]*\n((?:\1[ \t]+.*\n?|[ \t]*\n)+)", 2),
-            "_list": F.regexp_extract("_detection", rf"(?m)^([ \t]+){name}:[ \t]*\n((?:\1[ \t]*-.*\n?)+)", 2),
-            # tags as a dashed list or as a bracketed one
-            "_tag_list": F.when(c("_tag_line") != "", F.transform(F.split("_tag_line", ","), _plain)).otherwise(_dashed_items(c("_tags"))),
-            "_log": F.transform(F.regexp_extract_all("_logsource", F.lit(part), F.lit(1)), _plain),
-        }
-    )
-    # a condition on its own line, as an indented block, or a list, whose entries are alternatives
-    listed = _alternatives(F.transform(F.split(F.regexp_extract("_inline", r"^\[(.*)\]", 1), ","), _plain))
-    condition = (
-        F.when(c("_below") != "", c("_below")).when(c("_list") != "", _alternatives(_dashed_items(c("_list"))))
-        .when(F.startswith("_inline", F.lit("[")), listed).otherwise(_plain(c("_inline")))
-    )
-    rows = rows.withColumn("_condition", condition)
+    rows = df.select(c("path").cast("string"), c("content").cast("string")).mapInArrow(rulefiles.read_batches, rulefiles.COLUMNS)
     return rows.select(
         "path",
-        c("_title_text").alias("title"),
-        F.lower(_scalar("level")).alias("level"),
-        F.lower(_scalar("status")).alias("status"),
-        F.filter(F.transform("_tag_list", F.lower), lambda t: t != "").alias("tags"),
-        logsource_text(c("_log")).alias("logsource"),
-        text.condition_summary(c("_condition")).alias("condition_summary"),
+        "title",
+        F.lower("level").alias("level"),
+        F.lower("status").alias("status"),
+        F.filter(F.transform("tags", F.lower), lambda t: t != "").alias("tags"),
+        logsource_text(c("parts")).alias("logsource"),
+        text.condition_summary(c("condition")).alias("condition_summary"),
         F.concat(F.lit(base_url), c("path")).alias("url"),
-        F.when(c("_odd"), "yaml").when(c("_title_text") == "", "title").alias("reason"),
+        "reason",
     )
 
 

@@ -1,13 +1,15 @@
 """Readers over landed files."""
 
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from intelweave.operators import graph as g
 from intelweave.sources import documents as doc
-from intelweave.sources import tables
+from intelweave.sources import rulefiles, tables
 from intelweave.sources.registry import Registry
 
 RSS = """<?xml version="1.0"?><rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>
@@ -128,14 +130,51 @@ def test_rule_values_beyond_one_line(spark):
         "quoted": "\"title\": \"Say \\\"hi\\\"\"\n'level': 'low'\n'detection':\n    'condition': [a, 'b']\n\"logsource\":\n    \"product\": linux\n",
         "plain": "title: starts here\n    and goes on\nlevel: low\ndetection:\n  condition: a\n",
         "single": "title: 'It''s'\ndetection:\n  condition: a\n",
-        "anchor": "title: &t x\ndetection:\n  condition: a\n", "merge": "<<: *base\ntitle: x\n", "none": "level: low\n",
+        "none": "level: low\n", "open": "title: 'x\nlevel: low\n", "brackets": "title: x\ntags: [a, {b: c]\n",
     }
     df = spark.createDataFrame(list(files.items()), "path string, content string")
     got = {r.path: r for r in doc.parse_rules(df).collect()}
     assert {p: r.title for p, r in got.items()} == {"folded": "A folded title", "quoted": 'Say "hi"', "plain": "starts here and goes on", "single": "It's"}
     assert got["folded"].condition_summary == "a | b and c" and got["folded"].tags == ["attack.t1003"]
     assert (got["quoted"].level, got["quoted"].condition_summary, got["quoted"].logsource) == ("low", "a | b", "linux")
-    assert {(r.path, r.reason) for r in doc.unread_rules(df).collect()} == {("anchor", "yaml"), ("merge", "yaml"), ("none", "title")}
+    assert {(r.path, r.reason) for r in doc.unread_rules(df).collect()} == {("open", "yaml"), ("brackets", "yaml"), ("none", "title")}
+
+
+def test_rule_anchors_and_flow_mappings(spark):
+    files = {
+        "anchor": "title: &t Odd\nlevel: *t\nstatus: !!str test\ndetection:\n  condition: a\n",
+        "merge": "base: &base\n  product: linux\n  service: cron\nlogsource:\n  <<: *base\n  category: file\n  product: windows\ntitle: x\n",
+        "top": "base: &b\n  level: low\n<<: [*b]\ntitle: x\n",
+        "flow": "title: x: y\nlogsource: {category: a, product: \"b, c\",\n  service: d}  # s\ntags: [a,\n  b, # c\n  'it''s']\ndetection: {sel: {Image: ['*\\a', 2]}, condition: 'sel'}\n",
+        "nested": "title: x\ndetection:\n  sel:\n    - Image|endswith: '\\cmd.exe'\n      b: 2\n    - foo\n  filter:\n    x:\n    - '*'\n    - \"a # b\"\n  condition: sel and not filter\nlevel: low\n",
+        "unknown": "title: x\nlogsource:\n  <<: *gone\n  product: p\n  definition: 'a: b'\n", "two": "---\ntitle: a\n---\ntitle: b\nlevel: low\n...\n",
+        "tabs": "title:\tx\nlogsource:\n\tproduct:\twindows\ndetection:\n\tcondition:\tsel\n",
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, content string")
+    got = {r.path: r for r in doc.parse_rules(df).collect()}
+    assert set(got) == set(files)
+    assert (got["anchor"].title, got["anchor"].level, got["anchor"].status) == ("Odd", "odd", "test")
+    assert got["merge"].logsource == "windows / cron / file" and got["top"].level == "low"
+    flow = got["flow"]
+    assert (flow.title, flow.logsource, flow.tags, flow.condition_summary) == ("x: y", "a / b, c / d", ["a", "b", "it's"], "sel")
+    assert (got["nested"].condition_summary, got["nested"].level) == ("sel and not filter", "low")
+    assert (got["unknown"].logsource, got["two"].title, got["two"].level) == ("p", "a", "low")
+    assert (got["tabs"].title, got["tabs"].logsource, got["tabs"].condition_summary) == ("x", "windows", "sel")
+    empty = spark.createDataFrame([("p", None)], "path string, content string")
+    assert doc.unread_rules(empty).collect()[0].reason == "title" and doc.parse_rules(empty.limit(0)).count() == 0
+
+
+def test_rule_reader_is_linear_and_never_fails():
+    rng = random.Random(1)
+    parts = ["title: ", "level: ", "  ", "- ", "'", '"', "[", "]", "{", "}", ":", " #c", "&a ", "*a ", "x", "\n", "\n", "tags:", "detection:", "condition: ", "<<: ", "|\n", "!t ", "\t"]
+    for _ in range(3000):
+        rulefiles.read_rule("".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))))
+    long = ["[" * 50000, "[a" * 50000, '"' + "x\n" * 20000, "[a,\n" + "b,\n" * 20000, "&a " * 50000, "a" + " " * 50000, "x\n" + "  a:\n" * 50000, "x\n" + "".join(" " * i + "a:\n" for i in range(2000))]
+    for text in long:
+        start = time.perf_counter()
+        rulefiles.read_rule("title: " + text)
+        rulefiles.read_rule("detection:\n  condition: " + text)
+        assert time.perf_counter() - start < 5
 
 
 def test_folders_meet_actors(spark):
