@@ -9,8 +9,10 @@
    partitions whose ends are then joined up, so a host with very many pages is
    not sorted by one task.
 3. The two pages' lines are aligned by longest common subsequence, as hashes,
-   and the shared ones are deleted as the host's template, inside an article
-   too.
+   and the shared ones are deleted as the host's template.  A line of an article
+   goes only if the host shows it to be template: at least ``TEMPLATE_PAGES`` of
+   its pages (all, where it has fewer) and ``TEMPLATE_SHARE`` of them have the
+   line.  A title or a sentence that two articles have in common stays.
 4. Text is put together from what is left, inside an article or not.
 
 Two things differencing cannot decide are read from the mark-up, as the last
@@ -20,14 +22,17 @@ whose lines all come back.
 
 Defined results: null or empty html gives an empty text; a page without host or
 alone on its host has no pair; repeated rows and null ids each keep their own
-row; unclosed elements end with the element around them; extra columns are
-ignored.
+row; unclosed elements end with the element around them, a tag that never ends
+is text, a quote that nothing closes is a character; an empty table gives an
+empty one; extra columns are ignored.  Pages of any length are read whole, in
+time that grows with their length.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from os.path import commonprefix
 
 import numpy as np
@@ -36,7 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, as_batch, materialize, task
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[<>\"']")
 RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -54,6 +60,8 @@ FURNITURE_WORDS = frozenset(
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NEITHER, IN_ARTICLE, IN_FURNITURE = 0, 1, 2
 COPIED = 0.8
+#: an article's line is the host's template if so many of its pages (or all, if it has fewer) have it, and this share of them
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.2
 
 
 def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
@@ -66,6 +74,46 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Markup:
+    """Tags of a page from front to back; every search moves on, so malformed pages take no longer."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, {x: html.rfind(x) for x in (">", '"', "'")}
+
+    def tag_end(self, at: int) -> int:
+        """The place behind the ``>`` that ends the tag whose name ends at ``at``; -1 where a ``<`` or the page's end comes first.
+
+        A quote that nothing closes is a character like any other.
+        """
+        html = self.html
+        while at <= self.last[">"]:
+            m = STOP.search(html, at)
+            ch, at = html[m.start()], m.end()
+            if ch == ">":
+                return at
+            if ch == "<":
+                return -1
+            if m.start() < self.last[ch]:
+                at = html.find(ch, at) + 1
+        return -1
+
+    def next_tag(self, at: int) -> tuple[int, int, bool, str | None, str]:
+        """Begin and end of the next mark-up, whether it closes, its name (None: comment, declaration) and attributes; (-1, ...) if there is none."""
+        html = self.html
+        while (begin := html.find("<", at)) >= 0:
+            if html.startswith("<!--", begin):
+                end = html.find("-->", begin + 4)
+                return begin, len(html) if end < 0 else end + 3, False, None, ""
+            if html[begin + 1 : begin + 2] in ("!", "?") and begin < self.last[">"]:
+                return begin, html.find(">", begin) + 1, False, None, ""
+            if m := NAME.match(html, begin + 1):
+                end = self.tag_end(m.end())
+                if end >= 0:
+                    return begin, end, html[begin + 1] == "/", m[1], html[m.end() : end - 1]
+            at = begin + 1
+        return -1, -1, False, None, ""
+
+
 def page_lines(html: str | None) -> list[tuple[str, int]]:
     """(text, where) of every block of text, in page order; white space inside is one space."""
     if not html:
@@ -73,7 +121,8 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements with where their text stands
-    where, at = NEITHER, 0
+    opened: Counter[str] = Counter()  # and how many of each name
+    where, at, markup = NEITHER, 0, Markup(html)
 
     def flush():
         line = " ".join("".join(text).split())
@@ -82,14 +131,11 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         text.clear()
 
     while at < len(html):
-        m = MARKUP.search(html, at)
-        if m is None:
-            text.append(entities.unescape(html[at:]))
+        begin, end, closing, name, attributes = markup.next_tag(at)
+        text.append(entities.unescape(html[at : begin if begin >= 0 else len(html)]))
+        if begin < 0:
             break
-        if m.start() > at:
-            text.append(entities.unescape(html[at : m.start()]))
-        at = m.end()
-        closing, name, attributes = m.groups()
+        at = end
         if name is None:
             continue
         name = name.lower()
@@ -103,13 +149,15 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             if name in INLINE and all(n != name for n, _ in stack[-8:]):
                 continue
             flush() if name not in INLINE else None
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in INLINE and stack[k][1] != (stack[k - 1][1] if k else NEITHER):
-                        flush()
-                    del stack[k:]
-                    where = stack[-1][1] if stack else NEITHER
-                    break
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if name in INLINE and stack[k][1] != (stack[k - 1][1] if k else NEITHER):
+                    flush()
+                opened.subtract(n for n, _ in stack[k:])
+                del stack[k:]
+                where = stack[-1][1] if stack else NEITHER
             continue
         inner = where
         if where != IN_FURNITURE:
@@ -123,7 +171,9 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()  # a paragraph ends where the next begins
+            opened["p"] -= 1
         stack.append((name, inner))
+        opened[name] += 1
         where = inner
     flush()
     return lines
@@ -226,40 +276,55 @@ def nearest_pages(keyed: DataFrame) -> DataFrame:
 
 
 def line_hashes(keyed: DataFrame) -> DataFrame:
+    """page, host (a hash), and of each line its hash and whether it stands in the article."""
+    columns = "page long, host long, hashes array<long>, inside array<boolean>"
+
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        schema = arrow_schema("page long, hashes array<long>")
+        schema = arrow_schema(columns)
         for batch in batches:
-            hashes = [
-                [xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _ in page_lines(h)]
-                for h in batch.column("html").to_pylist()
-            ]
-            yield as_batch({"page": batch.column("page"), "hashes": hashes}, schema)
+            lines = [page_lines(h) for h in batch.column("html").to_pylist()]
+            hashes = [[xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _ in p] for p in lines]
+            inside = [[w == IN_ARTICLE for _, w in p] for p in lines]
+            yield as_batch({"page": batch.column("page"), "host": batch.column("host"), "hashes": hashes, "inside": inside}, schema)
 
-    return keyed.select("page", "html").mapInArrow(task(run, 1000), "page long, hashes array<long>")
+    return keyed.select("page", F.xxhash64("host").alias("host"), "html").mapInArrow(task(run, 1000), columns)
 
 
 def template_lines(keyed: DataFrame) -> DataFrame:
-    """page and shared: for each line, whether the nearest page has it too."""
+    """page, shared (for each line, whether the nearest page has it too) and common (places of those that are the host's)."""
     hashes = materialize(line_hashes(keyed).dropDuplicates(["page"]), "page-lines")
     pairs = (
         nearest_pages(keyed).join(hashes, "page")
         .join(hashes.select(F.col("page").alias("near"), F.col("hashes").alias("other")), "near")
-        .select("page", "hashes", "other")
+        .select("page", "host", "inside", "hashes", "other")
     )
+    columns = "page long, host long, shared array<boolean>, places array<int>, lines array<long>"
 
     def run(batches):
-        schema = arrow_schema("page long, shared array<boolean>")
+        schema = arrow_schema(columns)
         for batch in batches:
-            shared = []
-            for a, b in zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist()):
+            shared, places, lines = [], [], []
+            for a, b, inside in zip(*(batch.column(c).to_pylist() for c in ("hashes", "other", "inside"))):
                 flags = np.zeros(len(a), bool)
                 flags[shared_lines(a, b)] = True
                 shared.append(flags)
-            yield as_batch({"page": batch.column("page"), "shared": shared}, schema)
-
-    return pairs.mapInArrow(task(run, 1000), "page long, shared array<boolean>").filter(F.array_contains("shared", True))
+                places.append(np.flatnonzero(flags & np.array(inside, bool)))
+                lines.append([a[i] for i in places[-1]])
+            yield as_batch({"page": batch.column("page"), "host": batch.column("host"), "shared": shared, "places": places, "lines": lines}, schema)
+
+    found = pairs.mapInArrow(task(run, 1000), columns).filter(F.array_contains("shared", True))
+    found = materialize(found, "page-shared")
+    # a line that an article shares with the nearest page is the host's if many of its pages have it
+    asked = found.select("page", "host", F.inline(F.arrays_zip("places", "lines"))).withColumnRenamed("lines", "line")
+    each = hashes.select("host", F.explode(F.array_distinct("hashes")).alias("line"))
+    counts = each.groupBy("host", "line").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = hashes.groupBy("host").agg(F.count("*").alias("pages"))
+    enough = F.greatest(F.least(F.lit(TEMPLATE_PAGES), F.col("pages")), TEMPLATE_SHARE * F.col("pages"))
+    often = counts.join(sizes, "host").filter(F.col("n") >= enough).select("host", "line")
+    common = asked.join(often, ["host", "line"]).groupBy("page").agg(F.collect_set("places").alias("common"))
+    return found.select("page", "shared").join(common, "page", "left")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -279,8 +344,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     lines = keyed.select("page", "page_id", "url", "html").mapInArrow(task(read, 1000), columns)
     rows = F.arrays_zip("lines", "wheres", "places")
-    template = lambda x: F.coalesce(F.get("shared", x["places"]), F.lit(False))
     article = lambda x: x["wheres"] == IN_ARTICLE
+    hosts = lambda x: F.coalesce(F.array_contains("common", x["places"]), F.lit(False))
+    template = lambda x: F.coalesce(F.get("shared", x["places"]), F.lit(False)) & (~article(x) | hosts(x))
     chars = lambda of: F.aggregate(
         rows, F.lit(0).cast("long"), lambda n, x: n + F.when(of(x), F.length(x["lines"])).otherwise(0)
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -371,6 +372,25 @@ def test_differencing_decides_for_pages_with_an_article(spark):
     }
 
 
+def test_article_lines_go_only_as_the_hosts_template(spark):
+    page = "<nav>Menu</nav><article><h1>{}</h1><p>Read more on our site</p><p>{} own text that nobody else has</p></article>"
+    rows = [(i, f"https://h.org/a/{i}", page.format("A title that two have" if i < 2 else f"Title {i}", i)) for i in range(8)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{'A title that two have' if i < 2 else f'Title {i}'} {i} own text that nobody else has" for i in range(8)}
+
+
+def test_malformed_pages_take_linear_time():
+    n = 100_000
+    for html in (
+        "<a " * n, '<a "' * n, "<a '" * n, '<a "<a" ' * n, "<! " * n, "<!-- " * n, "<" * n, "<div>" * n + "</x>" * n, "<div>" * n + "</b>" * n,
+        "<script>" + "</script " * n, "<div class=" * n, "<div" + " " * n, "&amp" * n, "<p>" * n, '<a b="x>' * n,
+    ):
+        start = time.perf_counter()
+        pages.page_lines(html)
+        assert time.perf_counter() - start < 6  # below a megabyte each; a second or less on a free core
+    assert [t for t, _ in pages.page_lines("x <a title='1 > 0'>y</a> 5 < 6 <b")] == ["x y 5 < 6 <b"]
+
+
 # personal data
 
 
