@@ -3,42 +3,41 @@
 Substring search of many terms in many texts is a theta join; neither a cross
 join nor a nested loop is used for it.  Exact strategies:
 
-* ``automaton``: while the term list is small (checked by a bounded count) it is
-  sent to the tasks, which scan Arrow batches of texts once for all terms.  No
-  shuffle and no join with the text.
-* ``pattern``: the same inside the JVM, where the automaton library is missing:
-  one prefix-tree pattern yields, for every position, the longest term that
-  starts there; the shorter terms that start there are its prefixes.
+* ``scan``: while the term list is small (checked by a bounded count) it is
+  sent to the tasks, which count all terms of an Arrow batch of texts by array
+  arithmetic (see ``termscan``).  No shuffle and no join with the text.
+* ``pattern``: the same inside the JVM: one prefix-tree pattern yields, for
+  every position, the longest term that starts there; the shorter terms that
+  start there are its prefixes.
 * ``grams``: for any number of terms.  Texts are cut into their distinct
-  character grams, terms are filed under the gram that the fewest terms share,
-  an equi-join brings both together and ``contains`` decides.
+  character grams, terms are filed under the gram that the fewest texts have,
+  an equi-join brings both together and ``contains`` decides.  How many texts
+  have a gram is counted in a sketch of fixed size, which also tells how many
+  parts a frequent gram is dealt into.
 
 Matching on whole words (:func:`token_mentions`) is an equi-join on word grams.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-try:
-    import ahocorasick
-except ImportError:  # the pattern strategy takes over
-    ahocorasick = None
-
 from ..functions.text import occurrences
 from .ordering import top_n
+from .termscan import TermScan
 
 # more terms than this are not sent to the tasks
 SMALL_TERMS = 20_000
 SMALL_CHARS = 4_000_000
 GRAM = 3
-# of the filter that drops grams no term needs
-FILTER_BITS = 1 << 16
+# counters of the sketch of how many texts have a gram
+SKETCH = 1 << 14
+# texts of a gram that are joined in one part
+PART = 50_000
 
 
 def _quote(ch: str) -> str:
@@ -98,7 +97,7 @@ def small_term_list(terms: DataFrame, term: str = "term", limit: int = SMALL_TER
     return sorted(r.t for r in rows.collect())
 
 
-def _automaton(texts: DataFrame, key, field: str, terms: list[str]) -> DataFrame:
+def _scan(texts: DataFrame, key, field: str, terms: list[str]) -> DataFrame:
     """(key..., term, n): occurrences of every mentioned term, one pass per text."""
     low = texts.select(*key, F.lower(field).alias("_t")).filter(F.col("_t") != "")
     if not terms:
@@ -106,25 +105,12 @@ def _automaton(texts: DataFrame, key, field: str, terms: list[str]) -> DataFrame
     shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def scan(batches):
-        known = shared.value
-        machine = ahocorasick.Automaton()
-        for i, term in enumerate(known):
-            machine.add_word(term, (i, len(term)))
-        machine.make_automaton()
+        machine, names = TermScan(shared.value), pa.array(shared.value, pa.string())
         for batch in batches:
-            rows, found, counts = [], [], []
-            for row, value in enumerate(batch.column(len(key)).to_pylist()):
-                n, free = Counter(), {}
-                for end, (i, size) in machine.iter(value):
-                    if end - size >= free.get(i, -1):  # occurrences of a term do not overlap
-                        n[i] += 1
-                        free[i] = end
-                rows.extend([row] * len(n))
-                found.extend(known[i] for i in n)
-                counts.extend(n.values())
-            taken = batch.select(list(range(len(key)))).take(pa.array(rows, pa.int64()))
+            rows, found, counts = machine.count(batch.column(len(key)))
+            taken = batch.select(list(range(len(key)))).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(found, pa.string()), pa.array(counts, pa.int32())],
+                [*taken.columns, names.take(pa.array(found)), pa.array(counts.astype(np.int32))],
                 names=[*taken.schema.names, "term", "n"],
             )
 
@@ -145,47 +131,55 @@ def _pattern(texts: DataFrame, key, field: str, terms: list[str]) -> DataFrame:
     return hits.select(*key, F.inline("_hits"))
 
 
-def _gram_filter(filed: DataFrame):
-    """A test that every filed gram passes, from FILTER_BITS bits set by their hashes."""
-    place = lambda g: F.pmod(F.xxhash64(g), F.lit(FILTER_BITS))
-    words = (
-        filed.select(place(F.col("gram")).alias("p")).distinct()
-        .groupBy(F.floor(F.col("p") / 64).cast("int").alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).collect()
-    )
-    table = [0] * (FILTER_BITS // 64)
-    for r in words:
-        table[r["w"]] = r["bits"]
-    bits = F.lit(table).cast("array<bigint>")
+def _counter(gram) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(SKETCH)).cast("int")
+
+
+def _table(values: dict[int, int]) -> Column:
+    """Whole numbers by counter, four bytes each, as one binary literal."""
+    table = np.zeros(SKETCH, ">u4")
+    for place, value in values.items():
+        table[place] = min(value, 2**31 - 1)
+    return F.lit(table.tobytes())
+
+
+def _entry(table: Column, gram) -> Column:
+    """The hexadecimal digits of a gram's number, which sort like the numbers."""
+    return F.hex(F.substr(table, 4 * _counter(gram) + 1, F.lit(4)))
 
-    def passes(gram):
-        p = place(gram)
-        word = F.get(bits, F.floor(p / 64).cast("int"))
-        return F.shiftrightunsigned(word, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % 64).cast("int"))) != 0
 
-    return passes
+_NONE = "0" * 8
 
 
-def _grams(texts: DataFrame, key, field: str, terms: DataFrame, term: str) -> DataFrame:
+def _grams(texts: DataFrame, key, field: str, terms: DataFrame, term: str, part: int = PART) -> DataFrame:
     """Same result by an equi-join on character grams."""
     wanted = terms.select(F.lower(term).alias("term")).filter("term <> ''").distinct()
     gram_of = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-    # Spread the terms: each is filed under the gram that the fewest terms share.
+    low = texts.select(*key, F.lower(field).alias("_t"))
+    grams = F.flatten(F.array(*[gram_of(F.col("_t"), n) for n in range(1, GRAM + 1)]))
     long_terms = wanted.filter(F.length("term") >= GRAM).select(
         "term", F.explode(gram_of(F.col("term"), GRAM)).alias("gram")
     )
-    shared = long_terms.groupBy("gram").agg(F.count("*").alias("n_terms"))
-    filed = top_n(long_terms.join(shared, "gram"), 1, ["term"], ["n_terms", "gram"]).select("term", "gram")
     short_terms = wanted.filter(F.length("term") < GRAM).select("term", F.col("term").alias("gram"))
-    filed = filed.unionByName(short_terms)
-
-    low = texts.select(*key, F.lower(field).alias("_t"))
-    grams = F.flatten(F.array(*[gram_of(F.col("_t"), n) for n in range(1, GRAM + 1)]))
-    # Grams that no term is filed under go before the exchange; the filter's size is fixed.
-    passing = _gram_filter(filed)
-    low = low.withColumn("_g", F.filter(grams, passing)).filter(F.size("_g") > 0)
-    # The text stays out of the shuffle until a gram has matched.
-    candidates = low.select(*key, F.explode("_g").alias("gram")).join(filed, "gram").drop("gram")
+    # a sketch of how many texts have the grams of terms: one counter for all grams with its hash
+    asked = {r[0]: 1 for r in long_terms.unionByName(short_terms).select(_counter("gram")).distinct().collect()}
+    known = _table(asked)
+    low = low.withColumn("_g", F.filter(grams, lambda g: _entry(known, g) != _NONE)).filter(F.size("_g") > 0)
+    met = low.select(F.explode("_g").alias("g")).groupBy(_counter("g").alias("p")).agg(F.count("*").alias("n")).collect()
+    met = {r["p"]: r["n"] for r in met}
+    texts_with = _table(met)
+    # each term is filed under the gram that the fewest texts have; grams no term is filed under go before the exchange
+    rarest = long_terms.withColumn("n_texts", _entry(texts_with, "gram"))
+    filed = top_n(rarest, 1, ["term"], ["n_texts", "gram"]).select("term", "gram").unionByName(short_terms)
+    used = {r[0] for r in filed.select(_counter("gram")).distinct().collect()}
+    # a frequent gram is dealt into parts: its terms go to all of them, a text to one
+    parts = _table({p: 1 + met.get(p, 0) // part for p in used})
+    n_parts = F.conv(_entry(parts, "gram"), 16, 10).cast("int")
+    filed = filed.withColumn("part", F.explode(F.sequence(F.lit(1), n_parts)))
+    # the text stays out of the shuffle until a gram has matched
+    pairs = low.select(*key, F.explode(F.filter("_g", lambda g: _entry(parts, g) != _NONE)).alias("gram"))
+    pairs = pairs.withColumn("part", (F.pmod(F.xxhash64(*key), n_parts) + 1).cast("int"))
+    candidates = pairs.join(filed, ["gram", "part"]).drop("gram", "part")
     checked = candidates.join(low.drop("_g"), list(key)).filter(F.contains("_t", F.col("term")))
     return checked.select(*key, "term", occurrences(F.col("_t"), F.col("term")).alias("n"))
 
@@ -202,9 +196,7 @@ def term_hits(
     small = small_term_list(terms, term) if strategy != "grams" else None
     if small is None:
         return _grams(texts, key, field, terms, term)
-    if strategy == "pattern" or ahocorasick is None:
-        return _pattern(texts, key, field, small)
-    return _automaton(texts, key, field, small)
+    return (_pattern if strategy == "pattern" else _scan)(texts, key, field, small)
 
 
 def text_mentions(

@@ -1,7 +1,10 @@
 """Operators on small fixtures."""
 
 import random
+import time
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from intelweave.config import DEFAULTS
@@ -16,6 +19,7 @@ from intelweave.operators import profile as prof
 from intelweave.operators import pulses as pul
 from intelweave.operators import repos as rep
 from intelweave.operators import rules as rul
+from intelweave.operators import termscan
 
 TECH = "actor string, source_id string, source_rank int, pos int, technique_id string, name string, tactic string, description string, detection string, detection_recs array<string>"
 
@@ -145,6 +149,40 @@ def test_mentions_equal_brute_force(spark):
         assert got == brute(texts, terms), strategy
 
 
+def test_term_scan_counts_like_text_search():
+    rng = random.Random(3)
+    for _ in range(300):
+        alphabet = rng.choice(["ab", "abc é", "xyzß漢🙂 "])
+        word = lambda n: "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, n)))
+        texts = ["".join(word(30) for _ in range(rng.randrange(0, 3))) for _ in range(rng.randrange(0, 9))]
+        terms = sorted({word(9) for _ in range(rng.randrange(1, 9))} | {"a", "aa", "aba"})
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(termscan, "CHUNK", rng.choice([3, 17, 1 << 20]))
+            row, term, n = termscan.TermScan(terms).count(pa.array(texts, pa.string()))
+        want = {(i, t): x.count(t) for i, x in enumerate(texts) for t in terms if t in x}
+        assert {(i, terms[t]): c for i, t, c in zip(row.tolist(), term.tolist(), n.tolist())} == want
+
+
+def test_term_scan_takes_no_step_per_hit():
+    texts = pa.array(["a" * 200_000, "ab" * 100_000] * 3, pa.string())
+    start = time.perf_counter()
+    row, term, n = termscan.TermScan(["a", "aa", "aba", "b"]).count(texts)
+    assert time.perf_counter() - start < 20
+    assert list(zip(row[:6].tolist(), term[:6].tolist(), n[:6].tolist())) == [(0, 0, 200_000), (0, 1, 100_000), (1, 0, 100_000), (1, 2, 50_000), (1, 3, 100_000), (2, 0, 200_000)]
+
+
+def test_a_term_of_common_grams_is_dealt_out(spark):
+    """Every text holds all grams of the term; its pairs go to many parts of about equal size."""
+    texts = spark.range(4000).select("id", F.concat(F.lit("the and then "), F.col("id").cast("string")).alias("t"))
+    terms = spark.createDataFrame([("x", "the and"), ("y", "then 39")], "actor string, term string")
+    hits = men._grams(texts, ["id"], "t", terms, "term", part=100)
+    assert hits.groupBy("term").count().collect() and hits.filter("term = 'the and'").count() == 4000
+    assert hits.filter("term = 'then 39'").count() == texts.filter("t like '%then 39%'").count()
+    key = F.pmod(F.xxhash64("id"), F.lit(41)) + 1  # as the operator deals 4,000 texts into parts of 100
+    sizes = sorted(r["count"] for r in texts.groupBy(key.alias("part")).count().collect())
+    assert len(sizes) == 41 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def test_many_terms_are_not_collected(spark):
     td = spark.range(50).select(F.lit("x").alias("actor"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"))
     assert men.small_term_list(td, limit=10) is None
