@@ -68,6 +68,21 @@ def _(t):
     return t.spark.read.parquet(refreshed(t, new.select("user_id", "event_type"), "new-iocs"))
 
 
+@query(
+    "stream_append_new",
+    "SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at FROM events GROUP BY user_id, event_type",
+)
+def _(t):
+    """Each indicator once, however often and late it comes again: two refreshes of one target."""
+    rows = landed(t).select("user_id", "event_type", "ts")
+    base = scratch_path(t.spark, "append-new")
+    write = st.append_new_to(["user_id", "event_type"], ["user_id", "event_type"], first=["ts"])
+    for run in (1, 2):  # the second reads everything again, as a new checkpoint starts from the beginning
+        st.refresh_job(rows, f"{base}/data", f"{base}/checkpoint-{run}", write)
+    out = t.spark.read.parquet(f"{base}/data")
+    return out.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
+
+
 @query(
     "stream_readmit",
     """WITH RECURSIVE t AS (SELECT DISTINCT user_id, ts FROM events),

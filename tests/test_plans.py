@@ -208,6 +208,48 @@ def test_stream_drops_known_and_repeated(spark, tmp_path):
     assert [r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["b"]
 
 
+def test_new_rows_stay_new_beyond_the_time_to_live(spark, tmp_path):
+    """What the target has is not appended again, however late it comes; a repeated batch overwrites its own rows."""
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    write = st.append_new_to(["key"], ["key"], first=["ts"])
+    for rows in ([("a", "2024-01-01 05:00:00", "s"), ("a", "2024-01-01 01:00:00", "s"), (None, "2024-01-01 00:00:00", "s")],
+                 [("a", "2025-06-01 00:00:00", "s"), ("b", "2025-06-01 00:00:00", "s"), (None, "2025-06-01 00:00:00", "s")],
+                 [("a", "2026-06-01 00:00:00", "s"), ("b", "2026-06-01 00:00:00", "t")]):
+        land(spark, tmp_path / "in", rows)
+        st.refresh_job(st.read_landed(spark, str(tmp_path / "in"), EVENTS), out, cp, write)
+    rows = lambda: sorted((str(r.key), str(r.ts)) for r in spark.read.parquet(out).collect())
+    want = [("None", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:00:00"), ("b", "2025-06-01 00:00:00")]
+    assert rows() == want
+    st.refresh_job(st.read_landed(spark, str(tmp_path / "in"), EVENTS), out, str(tmp_path / "other"), write)
+    assert rows() == want
+
+
+def test_compaction_writes_only_touched_buckets(spark, tmp_path):
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    run = lambda: st.refresh_job(st.read_landed(spark, str(tmp_path / "in"), EVENTS), out, cp, st.upsert_to)
+    land(spark, tmp_path / "in", [(f"k{i}", "2024-01-01 00:00:00", "s") for i in range(300)])
+    run()
+    assert st.compact(spark, out, ["key"]) == 0
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "out" / "folded").rglob("*.parquet")}
+    before = files()
+    assert len({p.rsplit("/", 2)[1] for p in before}) > 50
+    land(spark, tmp_path / "in", [("k7", "2024-01-02 00:00:00", "new"), ("x", "2024-01-02 00:00:00", "s")])
+    run()
+    assert st.compact(spark, out, ["key"]) == 1 and st.compact(spark, out, ["key"]) == 1
+    after = files()
+    assert all(after[p] == t for p, t in before.items()) and 1 <= len(set(after) - set(before)) <= 2
+    state = lambda: {r.key: r.source_id for r in st.current(spark, out, ["key"]).collect()}
+    want = {f"k{i}": "s" for i in range(300)} | {"k7": "new", "x": "s"}
+    assert state() == want
+    # a fold that dies before its manifest is there: the old one still holds, and the fold is done again
+    land(spark, tmp_path / "in", [("k8", "2024-01-03 00:00:00", "newer")])
+    run()
+    st.compact(spark, out, ["key"])
+    (tmp_path / "out" / "manifests" / "upto=2" / "_SUCCESS").unlink()
+    assert st._manifest(spark, out)[1] == 1 and state() == want | {"k8": "newer"}
+    assert st.compact(spark, out, ["key"]) == 2 and state() == want | {"k8": "newer"}
+
+
 def test_contract(spark):
     queries, sql = contract.queries(), contract.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 150
