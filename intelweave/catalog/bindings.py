@@ -65,6 +65,11 @@ SQL: dict[str, str] = {
                CASE WHEN l_linenumber < 4 THEN ARRAY() ELSE ARRAY('alt ' || p_brand, p_brand) END AS aliases,
                CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE p_size END AS yara_count
         FROM {intel}""",
+    # malware named like the families of the feed, most of them
+    "family_malware": """
+        SELECT actor, source_id, source_rank, pos, CASE WHEN l_linenumber % 2 = 0 THEN upper(p_brand) ELSE p_brand || ' ' END AS name,
+               CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE 'loader' END AS type, CASE WHEN l_quantity < 25 THEN '' ELSE 'seen with ' || p_brand END AS description
+        FROM {intel} WHERE p_brand NOT LIKE '%3'""",
     # the brands an actor uses are its malware families
     "families_used": """
         SELECT actor, p_brand AS name, min(ROW(source_rank, pos)) AS pos FROM {intel} GROUP BY actor, p_brand""",

@@ -184,6 +184,53 @@ def _(t):
     )
 
 
+_RELATION = lambda kind, src, dst, said: f"""'{{"type":"relationship","spec_version":"2.1","id":"' || {_SID('relationship', f"'{kind}'", src, dst)}
+      || '","created":"2024-05-01T00:00:00.000Z","modified":"2024-05-01T00:00:00.000Z","created_by_ref":"' || {_SID('identity', "'intelweave'")} || '","relationship_type":"{kind}","source_ref":"'
+      || {src} || '","target_ref":"' || {dst} || '","description":' || to_json({said}) || '}}'"""
+
+
+@query(
+    "stix_family_links",
+    f""", {k.MERGED_TECHNIQUES}, {PARSED_FEED}, {_FI},
+    fm AS (SELECT actor, lower(trim(name)) AS mk, {_SID('malware', 'actor', 'lower(trim(name))')} AS mid FROM (SELECT DISTINCT actor, lower(trim(name)) AS name FROM family_malware) x),
+    ind AS (SELECT *, {_SID('indicator', 'actor', _PAT)} AS iid, {_SID('intrusion-set', 'actor')} AS aid, {_PAT} AS pat FROM fi),
+    tech AS (SELECT actor, technique_id, {_SID('intrusion-set', 'actor')} AS aid, {_SID('attack-pattern', 'actor', 'technique_id')} AS tid FROM merged_t),
+    mal AS (SELECT *, {_SID('intrusion-set', 'actor')} AS aid FROM fm),
+    lines AS (
+      SELECT actor, 'uses' AS kind, {_RELATION('uses', 'aid', 'tid', "actor || ' uses ' || technique_id")} AS line FROM tech
+      UNION ALL SELECT actor, 'uses', {_RELATION('uses', 'aid', 'mid', "actor || ' uses ' || mk")} FROM mal
+      UNION ALL SELECT actor, 'indicates actor', {_RELATION('indicates', 'iid', 'aid', "'Associated with ' || actor")} FROM ind
+      UNION ALL SELECT i.actor, 'indicates malware', {_RELATION('indicates', 'iid', 'mid', "'Associated with ' || family")} FROM ind i JOIN fm ON i.actor = fm.actor AND lower(family) = mk
+      UNION ALL SELECT actor, 'indicator', '{{"type":"indicator","spec_version":"2.1","id":"' || iid || '","created":"2024-05-01T00:00:00.000Z","modified":"2024-05-01T00:00:00.000Z","created_by_ref":"' || {_SID('identity', "'intelweave'")}
+        || '","name":' || to_json(type || ': ' || value) || ',"description":' || to_json(description) || ',"pattern":' || to_json(pat) || ',"pattern_type":"stix","valid_from":"' || first_seen || 'T00:00:00.000Z","indicator_types":'
+        || CASE threat_label WHEN 'Botnet C2' THEN '["malicious-activity","compromised"]' ELSE '["malicious-activity"]' END || CASE WHEN confidence_score > 0 THEN ',"confidence":' || least(confidence_score, 100) ELSE '' END
+        || ',"x_sources":["family_feed","","x"],"x_malware_family":' || to_json(family) || '}}' FROM ind)
+    SELECT regexp_replace(lower(actor), '[^a-z0-9]', '_', 'g') AS actor_slug, kind, md5(line) AS line FROM lines
+    UNION ALL SELECT '', 'refers to nothing', '0'""",
+    uses=["techniques", "family_malware", *FEED_USES],
+)
+def _(t):
+    """Whole lines of the written graph; indicators lead to the malware of their family, and every reference is there."""
+    run = profile_run(t)
+    tech, iocs = run.techniques, family_indicators(t)
+    mal = m.merge_malware(t.write_once(placed=["o_orderkey"], intel=["l_orderkey", "l_linenumber"]).family_malware)
+    none = k.merged_campaigns(t).limit(0)
+    nodes, edges = stix.stix_nodes(_actors(t), tech, mal, iocs, none, k.NOW), stix.stix_edges(tech, mal, iocs, none, k.NOW)
+    lines = stix.stix_objects(nodes, edges, stix.report_nodes(_actors(t), k.NOW))
+    path = scratch_path(t.spark, "stix-links")
+    stix.write_objects(lines.withColumn("actor_slug", labels.file_slug(c("actor"))), path)
+    files = t.spark.read.schema("body string, actor_slug string").json(path)
+    get = lambda p: F.get_json_object("body", p)
+    found = files.select("actor_slug", "body", get("$.id").alias("id"), get("$.type").alias("type"), get("$.relationship_type").alias("relation"),
+                         get("$.source_ref").alias("source"), get("$.target_ref").alias("target"))
+    towards = F.concat(F.lit("indicates "), F.when(F.startswith("target", F.lit("malware--")), "malware").otherwise("actor"))
+    kind = F.when(c("type") == "indicator", "indicator").when(c("relation") == "indicates", towards).otherwise(c("relation"))
+    shown = found.withColumn("kind", kind).filter("kind is not null").select("actor_slug", "kind", F.md5("body").alias("line"))
+    refs = found.select(F.explode(F.array("source", "target")).alias("id")).filter("id is not null")
+    lost = refs.join(found.select("id"), "id", "left_anti").agg(F.count("*").cast("string").alias("line"))
+    return shown.unionByName(lost.select(F.lit("").alias("actor_slug"), F.lit("refers to nothing").alias("kind"), "line"))
+
+
 _LEAD = "lead AS (SELECT actor, technique_id, max(technique_rules) AS n, first(title ORDER BY rule_rank) AS title FROM hit GROUP BY actor, technique_id)"
 
 

@@ -256,11 +256,25 @@ def _(t):
     uses=["rules"],
 )
 def _(t):
-    # each file once more with a merge key, which the reader does not follow
-    odd = t.rule_files.select(_concat("bad ", c("path")).alias("path"), _concat(c("content"), "<<: *base\n").alias("content"))
+    # each file once more with an anchored text whose quote nothing closes
+    odd = t.rule_files.select(_concat("bad ", c("path")).alias("path"), _concat(c("content"), "base: &base 'open\n").alias("content"))
     return doc.unread_rules(t.rule_files.unionByName(odd))
 
 
+@query(
+    "read_rules_anchored",
+    """SELECT path, title, level, 'sysmon' || CASE WHEN category <> '' THEN ' / ' || category ELSE '' END || CASE WHEN product <> '' THEN ' / ' || product ELSE '' END AS logsource,
+         'a | b' AS condition_summary FROM rules WHERE title <> ''""",
+    uses=["rules"],
+)
+def _(t):
+    """Anchored levels, a merged log source and a braced detection, read through."""
+    content = F.regexp_replace("content", r"(?m)^level: (.*)$", "severity: &level $1\nlevel: *level")
+    content = F.regexp_replace(content, r"(?m)^logsource:$", "base: &base {service: sysmon}\nlogsource:\n    <<: *base")
+    content = F.regexp_replace(content, r"(?s)detection:\n.*?condition: [^\n]*\n", "detection: {sel: {Image: ['x', \"y\"]},\n  condition: [a, 'b']}\n")
+    return doc.parse_rules(t.rule_files.withColumn("content", content)).select("path", "title", "level", "logsource", "condition_summary")
+
+
 @query(
     "folder_reports",
     """SELECT DISTINCT n.actor, r.path FROM (SELECT 'ops of ' || lower(n_name) || ' and others' AS folder, 'reports/ops of ' || lower(n_name) || ' and others/rep_' || doc_id || '-x.md' AS path
