@@ -25,8 +25,9 @@ _FI = "fi AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY acto
 
 
 def family_indicators(t):
-    rows = fam.family_iocs(t.families_used, feed(t))
-    return rows.withColumns({"first_at": F.struct("family_pos", "pos"), "sources": F.array(F.lit("family_feed"), F.lit(""), F.lit("x"))})
+    run = profile_run(t)
+    run.prepare("families", "family_feed")
+    return run.indicators.withColumn("sources", F.array(F.lit("family_feed"), F.lit(""), F.lit("x")))
 
 
 def profile_run(t):
@@ -38,7 +39,7 @@ def profile_run(t):
         "records": lambda: t.records, "techniques": lambda: t.write_once(placed=["o_orderkey"], intel=["l_orderkey", "l_linenumber"]).techniques,
         "malware": lambda: t.write_once(placed=["o_orderkey"], intel=["l_orderkey", "l_linenumber"]).malware,
         "families": lambda: t.write_once(placed=["o_orderkey"], intel=["l_orderkey", "l_linenumber"]).families_used,
-        "family_feed": lambda: feed(t), "campaigns": lambda: t.write_once(placed=["o_orderkey"]).campaigns,
+        "family_feed": lambda: fam.parse_family_ioc(t.write_once(family_feed_raw=["pos"]).family_feed_raw), "campaigns": lambda: t.write_once(placed=["o_orderkey"]).campaigns,
         "cves": lambda: t.write_once(placed=["o_orderkey"]).cves, "advisories": lambda: t.advisories,
         "articles": lambda: actor_articles(t), "rules": lambda: parse_rules(t.rule_files), "repos": lambda: t.repos,
     }

@@ -239,7 +239,9 @@ def _(t):
     uses=FEED_USES,
 )
 def _(t):
-    return fam.family_iocs(t.families_used, feed(t)).select("actor", "type", "value", "malware_family", "threat_label")
+    from .exports import family_indicators
+
+    return family_indicators(t).select("actor", "type", "value", "malware_family", "threat_label")
 
 
 _NEW = """

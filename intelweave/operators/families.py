@@ -91,11 +91,10 @@ def class_owners(malware: DataFrame, classes: DataFrame, *, by=BY) -> DataFrame:
     between the groups' families and the classes, without any value.
     """
     members = classes.select("class_id", "family").distinct()
-    held = _families(malware, by).join(members, "family")
-    owner = F.min(F.struct(F.col("family_pos"), F.col("family"))).alias("_owner")
-    return held.groupBy(*by, "class_id").agg(owner).select(
-        *by, "class_id", F.col("_owner.family").alias("family"), F.col("_owner.family_pos").alias("family_pos")
-    )
+    # a family's place among those of its group is a number, so the first one is a plain minimum
+    ranked = top_n(_families(malware, by), None, by, ["family_pos", "family"], rank="_nth")
+    first = ranked.join(members, "family").groupBy(*by, "class_id").agg(F.min("_nth").alias("_nth"))
+    return first.join(ranked, [*by, "_nth"]).select(*by, "class_id", "family", "family_pos")
 
 
 def family_iocs(malware: DataFrame, feed: DataFrame, n: int | None = DEFAULTS.iocs_per_family, *, by=BY) -> DataFrame:

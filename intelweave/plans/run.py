@@ -99,8 +99,8 @@ class ProfileRun:
 
     @cached_property
     def matched_rules(self) -> DataFrame:
-        best = lambda: rul.top_rules(self.landed["rules"](), self.settings.rules_per_technique)
-        best = self.base.once("rules", best)
+        """The best rules of every technique id, then of every group that uses it."""
+        best = self.base.once("rules", lambda: rul.top_rules(self.landed["rules"](), self.settings.rules_per_technique))
         wanted = self.techniques.select(*self.by, "technique_id")
         return self.base.once("matched_rules", lambda: wanted.join(best, "technique_id"))
 
@@ -129,6 +129,15 @@ class ProfileRun:
         hits = lambda: fam.family_hits(self.families, self.parsed_feed, self.settings.iocs_per_family, by=self.by)
         return self.base.once("family_hits", hits)
 
+    @cached_property
+    def repositories(self) -> DataFrame:
+        def build():
+            sectors = self.listed("sectors").withColumnRenamed("value", "sector")
+            tags = rep.profile_tags(sectors, self.techniques, self.malware, by=self.by)
+            return rep.match_repos(tags, self.landed["repos"](), by=self.by)
+
+        return self.base.once("repositories", build)
+
     @cached_property
     def campaigns(self) -> DataFrame:
         return m.merge_campaigns(self.landed["campaigns"](), by=self.by)
@@ -164,10 +173,13 @@ class ProfileRun:
 
     # --- outputs ---
 
+    def prepare(self, *names: str) -> None:
+        """Write the tables of these names, and what they start from, at the same time where they can be."""
+        self.base.together(*[lambda n=n: getattr(self, n) for n in names])
+
     def report(self) -> DataFrame:
         """All sections of the report as one long table."""
-        sectors = self.listed("sectors").withColumnRenamed("value", "sector")
-        tags = rep.profile_tags(sectors, self.techniques, self.malware, by=self.by)
+        self.prepare("techniques", "malware", "owners", "family_hits", "lists", "matched_rules", "header", "repositories")
         origins = self.header.filter("family_ioc_count > 0")
         origins = origins.select(*self.by, F.lit("family feed").alias("source"), F.col("family_ioc_count").alias("indicators"))
         return reports.report_rows(
@@ -175,7 +187,7 @@ class ProfileRun:
                 "overview": self.header, "motivations": self.listed("motivations"), "aliases": self.listed("aliases"),
                 "sources": self.listed("sources_cited"), "origins": origins,
                 "techniques": self.techniques, "detection": self.matched_rules, "indicators": self.indicators,
-                "families": self.family_hits, "repositories": rep.match_repos(tags, self.landed["repos"](), by=self.by),
+                "families": self.family_hits, "repositories": self.repositories,
                 "sectors": self.listed("sectors"), "cves": self.cves, "advisories": self.advisories,
                 "malware": self.malware, "articles": self.articles, "campaigns": self.campaigns,
             },
@@ -183,10 +195,12 @@ class ProfileRun:
         )
 
     def layer(self) -> DataFrame:
+        self.prepare("techniques", "matched_rules")
         return layers.matrix_layer(self.techniques, self.lead_rules, by=self.by)
 
     def profile(self) -> DataFrame:
         """Nested profiles: a header row, then one JSON item per row, in the order of (section_no, item_key)."""
+        self.prepare("techniques", "malware", "owners", "family_hits", "lists", "matched_rules", "header")
         c = F.col
         one = lambda name: lambda df: order_text(df, name)
         joined = lambda *parts: lambda df: F.concat_ws("\u0001", *[order_text(df, p) for p in parts])

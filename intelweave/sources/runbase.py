@@ -9,7 +9,10 @@ the files: a lost executor costs a reread, not a recomputation.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,21 +22,31 @@ class RunBase:
 
     A table is dealt out by a hash of ``by`` before it is written, its own key
     for instance, so that sections read it with as many tasks as its size asks
-    for, however few splits its input had.
+    for, however few splits its input had.  Tables may be asked for by several
+    threads at once: one writes, the others wait.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._written: dict[str, DataFrame] = {}
+        self._locks: defaultdict[str, Lock] = defaultdict(Lock)
 
     def once(self, name: str, build: Callable[[], DataFrame], by=()) -> DataFrame:
         """The table of this name, built and written on the first ask."""
-        if name not in self._written:
-            df = build()
-            (df.repartition(*by) if by else df).write.parquet(f"{self.path}/{name}")
-            self._written[name] = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        with self._locks[name]:
+            if name not in self._written:
+                df = build()
+                (df.repartition(*by) if by else df).write.parquet(f"{self.path}/{name}")
+                self._written[name] = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
         return self._written[name]
 
+    @staticmethod
+    def together(*asks: Callable[[], object]) -> None:
+        """Ask for several tables at once, so that jobs which do not wait for each other share the cluster."""
+        with ThreadPoolExecutor(len(asks)) as threads:
+            for done in [threads.submit(ask) for ask in asks]:
+                done.result()
+
     def _folder(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path

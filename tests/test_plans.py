@@ -2,6 +2,8 @@
 
 import csv
 import json
+import random
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from intelweave.catalog.bindings import BASE
 from intelweave.functions import labels
+from intelweave.operators import families as fam
 from intelweave.plans import indicators as ind
 from intelweave.plans import layers, reports, stix
+from intelweave.sources.runbase import RunBase
 from intelweave.streaming import feeds as st
 
 SF = "/root/testdata/sf0.001"
@@ -208,6 +212,50 @@ def test_stream_drops_known_and_repeated(spark, tmp_path):
     assert [r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["b"]
 
 
+def test_a_profile_reads_each_table_once(spark):
+    from intelweave.catalog.bindings import Tables
+    from intelweave.catalog.exports import profile_run
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    run = profile_run(Tables(spark, SF))
+    for out, most in ((run.profile(), 14), (run.report(), 40)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan parquet") <= most  # all but a few of tables that the run has written
+        given = re.findall(r"Location: [^\]]*/testdata/sf0\.001/([a-z]+)\.parquet", plan)
+        assert sorted(given) == ["documents", "pages"]
+
+
+def test_a_run_base_writes_once_and_leaves_nothing(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(100).withColumn("k", F.col("id") % 7)
+
+    with RunBase(spark, f"file://{tmp_path}/base") as base:
+        got = []
+        base.together(*[lambda: got.append(base.once("t", build, ["id"])) for _ in range(4)])
+        assert len(built) == 1 and all(df.count() == 100 for df in got) and (tmp_path / "base" / "t").exists()
+        with pytest.raises(ValueError):
+            base.together(lambda: 1, lambda: int("x"))
+    assert not (tmp_path / "base").exists()
+
+
+def test_family_ownership_equals_comparing_every_value(spark):
+    rng = random.Random(4)
+    feed = [(f"f{rng.randrange(6)}", i, rng.choice(["ip", "url"]), rng.choice("aAbBcdEf"), 0) for i in range(120)]
+    used = [(a, f"f{i}", rng.randrange(4)) for a in "XYZ" for i in rng.sample(range(7), 4)]
+    got = fam.family_iocs(spark.createDataFrame(used, "actor string, name string, pos int"),
+                          spark.createDataFrame(feed, "family string, pos int, type string, value string, confidence_score int"))
+    best: dict = {}
+    for actor, name, place in used:
+        for family, pos, kind, value, _ in feed:
+            if family == name:
+                key = (actor, kind, value.lower())
+                best[key] = min(best.get(key, (99, "", 999)), (place, family, pos))
+    assert sorted((r.actor, r.type, r.value.lower(), r.family_pos, r.malware_family, r.pos) for r in got.collect()) == sorted((*k, *v) for k, v in best.items())
+
+
 def test_new_rows_stay_new_beyond_the_time_to_live(spark, tmp_path):
     """What the target has is not appended again, however late it comes; a repeated batch overwrites its own rows."""
     out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
