@@ -28,7 +28,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -439,13 +441,21 @@ def train(docs: DataFrame) -> SemiMarkovField:
 
 def found_spans(text: str, field: SemiMarkovField) -> list[tuple[str, int, int]]:
     """Spans that the field adds to the base ones."""
-    base = base_spans(text)
-    out = []
+    base = sorted(base_spans(text), key=lambda x: x[1])
+    starts = [a for _, a, _ in base]
+    ends = list(accumulate((b for _, _, b in base), max))
+    out: list[tuple[str, int, int]] = []
+
+    def free(a: int, b: int) -> bool:
+        """Whether no base span and no added one, which come in order, overlaps the range."""
+        before = bisect_left(starts, b)
+        return not (before and ends[before - 1] > a) and not (out and out[-1][2] > a)
+
     for tokens in joined(text, clusters(text)):
         if len(tokens) > BLOCK:
             for i, j, k, p in field.read(lambda a, b: candidates_from(text, tokens, a, b), len(tokens), BLOCK):
                 a, b = tokens[i][0], tokens[j - 1][1]
-                if p >= MIN_MARGIN and not any(a < y and x < b for _, x, y in [*base, *out]):
+                if p >= MIN_MARGIN and free(a, b):
                     out.append((KINDS[k], a, b))
             continue
         spans = candidates(text, tokens)
@@ -460,7 +470,7 @@ def found_spans(text: str, field: SemiMarkovField) -> list[tuple[str, int, int]]
         sure = field.marginals(scores, len(tokens))
         for i, j, k in cut:
             a, b = tokens[i][0], tokens[j - 1][1]
-            if sure[i, j][k] >= MIN_MARGIN and not any(a < y and x < b for _, x, y in [*base, *out]):
+            if sure[i, j][k] >= MIN_MARGIN and free(a, b):
                 out.append((KINDS[k], a, b))
     return out
 
