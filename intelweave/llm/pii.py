@@ -2,24 +2,33 @@
 
 The base finds e-mail and IP addresses, card and phone numbers by fixed
 patterns.  The field reads the places that hold a digit, an @ or a written-out
-dot (a *cluster*: such tokens and ``CONTEXT`` more on both sides), scores whole
-candidate spans of up to ``MAX_TOKENS`` tokens by features of the entire span
-(its shape, digits, parts, check sum, what stands beside it), and chooses
-boundaries and kinds together by dynamic programming: a cluster is cut into
-single outside tokens and entities.  Entities of the best cut whose marginal
-probability is ``MIN_MARGIN`` or more and that touch no base span are added.
+or bracketed dot (a *cluster*: such tokens and ``CONTEXT`` more on both sides),
+scores whole candidate spans of up to ``MAX_TOKENS`` tokens and ``MAX_DIGITS``
+digits within a line by features of the entire span (its shape, groups of
+digits, check sum, the words beside a written-out "at", the length of its last
+part, what stands beside it), and chooses boundaries and kinds together by
+dynamic programming: a cluster is cut into single outside tokens and entities.
+Entities of the best cut whose marginal probability is ``MIN_MARGIN`` or more
+and that touch no base span are added.
 
 It is trained by the exact gradient (forward-backward over
 segments) on a bounded sample: TRAIN_CLUSTERS documents with a digit or an @,
 those with the smallest hash, and as many clusters of theirs, labelled by the base patterns, and once more with each base span written
 the ways people hide them (no country code, "at" and "dot", bracketed dots),
-which is what the patterns alone miss.  WRITTEN_OUT made-up lines of words of
-the sample show e-mail addresses without digits or @ and plain words that only
-look like one ("look at that dot there").
+which is what the patterns alone miss.  MADE_UP lines of words of
+the sample show hidden forms of all kinds with random values and host endings,
+and dates, versions, ranges, order numbers, failed check sums and plain words
+that only look like one ("look at that dot there").  No list of host endings is
+used anywhere.
+
+A span's features follow from its shape and a few facts, so they are made once
+per shape and kept (``KEPT`` shapes a worker), and so are their scores: text
+that is all numbers costs a lookup for each candidate.
 
 Offsets are in code points.  Defined results: null and empty texts have no
 spans; repeated rows and null ids each keep their own row; extra columns are
-ignored; texts are read whole.
+ignored; an empty table gives no rows; texts of any length are read whole, in
+time linear in their length; ties between cuts go to the one found first.
 """
 
 from __future__ import annotations
@@ -29,7 +38,8 @@ import math
 import random
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import lru_cache
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -39,12 +49,15 @@ from .common import arrow_schema, as_batch, bounded_sample, task
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 18
+MAX_DIGITS = 20
 CONTEXT = 4
 MIN_MARGIN = 0.95
-BLOCK = 400  # tokens whose candidates are held at a time; a longer cluster is read in two passes over blocks
+BLOCK = 400  # tokens whose candidates are held at a time
+KEPT = 1 << 15  # shapes whose features and scores a worker keeps
 TRAIN_CLUSTERS = 800
-WRITTEN_OUT = 600
-EPOCHS = 4
+MADE_UP = 2400
+EPOCHS = 20
+RARE = 6  # features of fewer training clusters get no weight, so that words never seen are judged by the rest
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -53,11 +66,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|\d")
-#: last parts of written-out hosts, without those that are common words
-TLDS = frozenset("com org net edu gov mil int info biz io dev app ai co uk de fr es eu ch nl se pl ca au nz jp cn br mx ru".split())
-DETERMINER = re.compile(r"\bat (?:the|a|an|this|that|my|your|our|his|her|its|their)\b")
-LOOSE = re.compile(r"\b(?!(?:at|dot)\b)\w+\s+(?!(?:at|dot)\b)\w")  # two plain words side by side
-TRIGGER = re.compile(r"[0-9@]|\b[dD][oO][tT]\b")
+TRIGGER = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[\[(]\.[\])]")
+INNER = frozenset(".-()[]@+_%/")  # signs that may stand inside an entity
+GOES_ON = re.compile(r"[\x20\[(]{1,3}dot\b|\.\w", re.IGNORECASE)  # after a span
+COMES_FROM = re.compile(r"\b(?:dot|at)[\x20\])]{1,3}$", re.IGNORECASE)  # before one
+AT_SIGN, DOT_SIGN = re.compile(r" ?[\[(]? ?[A@] ?[\])]? ?"), re.compile(r" ?[\[(]? ?D ?[\])]? ?|[\[(]\.[\])]")
+LABEL, ADDRESS = re.compile("[a9_%+-]+"), re.compile(r"a(?:\.a)*@a(?:\.a)+")
 
 
 def luhn(digits: str) -> bool:
@@ -125,69 +139,126 @@ def joined(text: str, parts: list[list[tuple[int, int]]]) -> list[list[tuple[int
     return out
 
 
-def _skeleton(s: str) -> str:
-    """Words are a, but "at" and "dot" stay; numbers are 9."""
-    words = r"(?<![^\W\d_])(?!(?:at|dot)(?![^\W\d_]))[^\W\d_]+"
-    return re.sub(r"\s+", " ", re.sub(words, "a", re.sub(r"[0-9]+", "9", s.lower())))
-
+@lru_cache(maxsize=KEPT)
+def span_features(shape: str, before: str, after: str, check: str, words: tuple) -> tuple[str, ...]:
+    """Features of a whole span, from its shape: a word is a, "at" is A, "dot" is D, each digit 9.
 
-def span_features(text: str, start: int, end: int) -> list[str]:
-    s = text[start:end]
-    digits = "".join(DIGIT.findall(s))
-    n, low = len(digits), s.lower()
-    parts = re.findall("[0-9]+", s)
-    before, after = text[start - 1 : start], text[end : end + 1]
-    hidden_at, hidden_dot = bool(re.search(r"[\s(\[]at[\s)\]]", low)), bool(re.search(r"[\s(\[]dot[\s)\]]|\[\.\]", low))
-    letters = sum(c.isalpha() for c in s)
+    ``check`` says whether its digits pass the check sum or are four octets; ``words`` are those
+    beside an "at" and the length of the last part, where there are any.
+    """
+    numbers = re.findall("9+", shape)
+    n, letters = sum(map(len, numbers)), "a" in shape
+    hidden_at, hidden_dot = "A" in shape, "D" in shape or bool(re.search(r"[\[(]\.[\])]", shape))
+    canon = DOT_SIGN.sub(".", AT_SIGN.sub("@", shape))
+    canon = LABEL.sub("a", canon) if letters or "@" in canon else re.sub("9+", "9", canon)
     out = [
-        f"shape={_skeleton(s)[:24]}", f"digits={min(n, 20)}", f"parts={min(len(parts), 6)}",
-        f"at={min(s.count('@') + hidden_at, 2)}", f"dots={min(s.count('.') + len(re.findall(r'\bdot\b', low)), 4)}",
-        f"plus={s[0] == '+'}", f"paren={s[0] == '('}", f"letters={min(letters, 3)}", f"spaces={min(len(re.findall(r'\s', s)), 4)}",
-        f"before={'w' if before.isalnum() else before if before in '.@+-_' else '-'}",
-        f"after={'w' if after.isalnum() else after if after in '@-_' else '-'}",
-        f"last={'w' if s[-1].isalnum() else s[-1]}", f"first={'w' if s[0].isalnum() else s[0]}", f"hidden={hidden_at}{hidden_dot}",
-        f"break={chr(10) in s}",
+        f"shape={canon[:24]}", f"digits={n}", f"parts={min(len(numbers), 6)}", f"at={min(canon.count('@'), 2)}",
+        f"dots={min(canon.count('.'), 4)}", f"plus={shape[0] == '+'}", f"paren={shape[0] == '('}", f"letters={letters}",
+        f"spaces={min(shape.count(' '), 4)}", f"before={before}", f"after={after}", f"last={shape[-1]}", f"first={shape[0]}",
+        f"hidden={hidden_at}{hidden_dot}", f"shape={canon[:24]} hidden={hidden_at or hidden_dot}", f"check={check}",
     ]
-    if hidden_at or hidden_dot:
-        top, goes_on = low.split()[-1] in TLDS, bool(re.match(r"[\s\[(]+dot\b", text[end : end + 8].lower()))
-        determiner, stop = bool(DETERMINER.search(low)), bool(re.search(r"[,;:.!?]\s", s))
-        loose = bool(LOOSE.search(low))
-        out += [
-            f"top={top}", f"goes-on={goes_on}", f"determiner={determiner}", f"stop={stop}", f"loose={loose}",
-            f"written-out={hidden_at and hidden_dot and top and not (goes_on or determiner or stop or loose)}",
-        ]
-    if 13 <= n <= 19 and not letters:
-        out.append(f"luhn={luhn(digits)}")
-    if len(parts) == 4 and not letters:
-        out.append(f"octets={all(len(p) <= 3 and int(p) <= 255 for p in parts)}")
+    if "@" in canon:
+        out.append(f"address={bool(ADDRESS.fullmatch(canon))}")
+        out += [f"{name}={w}" for name, w in zip(("name", "host", "top"), words) if w]
+        out.append(f"address={bool(ADDRESS.fullmatch(canon))} after={after}")
+    if not letters and "@" not in canon:
+        groups = "-".join(str(len(x)) for x in numbers[:6])
+        out += [f"groups={groups}", f"signs={''.join(sorted(set(canon) - {'9'}))}", f"number={shape[:24]}", f"shape={canon[:24]} check={check}"]
     if 9 <= n <= 12 and not letters:
         out.append("phone-length")
-    if re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", s):
+    if re.fullmatch(r"\(?999\)?[ .-]999[ .-]9999", shape):
         out.append("three-three-four")
-    return out
+    return tuple(out)
+
+
+def _sums(number: str) -> tuple[int, int]:
+    """Check sums of a number's digits with every second one doubled, from its first digit and from its second."""
+    plain = [ord(c) - 48 for c in number]
+    doubled = [2 * d - 9 * (d > 4) for d in plain]
+    return sum(doubled[::2]) + sum(plain[1::2]), sum(plain[::2]) + sum(doubled[1::2])
+
+
+def _words(word: list[str], mark: list[str], i: int, j: int) -> tuple:
+    """Short words before and after the span's one "at", and the length of its last part."""
+    ats = [k for k in range(i, j + 1) if mark[k] in "A@"]
+    if len(ats) != 1:
+        return ()
+    around = ([k for k in range(i, ats[0]) if mark[k] == "a"][-1:], [k for k in range(ats[0] + 1, j + 1) if mark[k] == "a"][:1])
+    short = (word[k[0]].lower() if k and len(word[k[0]]) <= 5 else "" for k in around)
+    return (*short, min(len(word[j]), 8))
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
-    """Features of the token ranges that may be entities."""
-    out = {}
+def candidates(text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[str, ...]]:
+    """Features of the token ranges that may be entities.
+
+    These stay within a line, hold no sign that entities are not made of, and are
+    either one "at" with a dot, or no word at all and as many digits as a kind
+    has: four numbers between three dots, or 9 and more with at most three dots.
+    Brackets that they open they close.
+    """
+    out: dict[tuple[int, int], tuple[str, ...]] = {}
     word = [text[a:b] for a, b in tokens]
-    hit = [bool(DIGIT.search(w)) or w == "@" or w.lower() == "dot" for w in word]
-    opens = [w[0].isalnum() or w in "+(" for w in word]
-    closes = [w[-1].isalnum() for w in word]
+    mark, before, after, gap, sums, octet = [], [], [], [], [], []
+    for k, (w, (a, b)) in enumerate(zip(word, tokens)):
+        number = "0" <= w[0] <= "9"
+        mark.append("9" * min(len(w), MAX_DIGITS + 1) if number else {"at": "A", "dot": "D"}.get(w.lower(), "a") if w[0].isalnum() else w)
+        sums.append(_sums(w) if number and len(w) <= MAX_DIGITS else (0, 0))
+        octet.append(number and len(w) <= 3 and int(w) <= 255)
+        left, right = text[a - 1 : a], text[b : b + 1]
+        comes = left in (" ", "]", ")") and COMES_FROM.search(text[max(0, a - 7) : a])
+        before.append("w" if left.isalnum() else left if left and left in ".@+-_/:$#" else "on" if comes else "-")
+        after.append("w" if right.isalnum() else right if right and right in "@-_/:%" else "on" if GOES_ON.match(text, b) else "-")
+        space = text[tokens[k - 1][1] : a] if k else ""
+        gap.append(None if len(space) > 2 or "\n" in space or "\r" in space else " " if space else "")
     for i in range(len(tokens)):
-        if not opens[i]:
+        if not (mark[i] in "a+(" or mark[i][0] == "9"):
             continue
-        any_hit = False
+        shape, digits, numbers, octets, letters, at, dots, even, odd, brackets = "", 0, 0, True, False, False, 0, 0, 0, 0
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            any_hit |= hit[j]
-            if j > i and tokens[j][0] - tokens[j - 1][1] > 2:
-                break  # far apart, as across paragraphs
-            if any_hit and closes[j]:
-                out[i, j + 1] = span_features(text, tokens[i][0], tokens[j][1])
+            m = mark[j]
+            number = m[0] == "9"
+            if j > i:
+                if gap[j] is None or not (number or m in INNER or m in "aAD"):
+                    break  # another line, or a sign that ends every entity
+                shape += gap[j]
+            shape += m
+            if number:
+                x, y = sums[j]
+                even, odd = (even + y, odd + x) if digits % 2 else (even + x, odd + y)
+                digits += len(m)
+                numbers += 1
+                octets &= octet[j]
+                if digits > MAX_DIGITS:
+                    break
+            elif m == "a":
+                letters = True
+            else:  # a sign, written out or not: no entity ends here
+                if m in "A@":
+                    if at:
+                        break  # none has two
+                    at = True
+                elif m in ".D":
+                    dots += 1
+                elif m in "([":
+                    brackets += 1
+                elif m in ")]":
+                    brackets -= 1
+                continue
+            if brackets:
+                continue
+            if (at and dots) or (not letters and not at and dots <= 3 and (digits >= 9 or (dots == 3 and numbers == 4))):
+                check, words = "-", ()
+                if at:
+                    words = _words(word, mark, i, j)
+                elif 13 <= digits <= 19:
+                    check = f"luhn-{(odd if digits % 2 else even) % 10 == 0}"
+                elif numbers == 4:
+                    check = f"octets-{octets}"
+                out[i, j + 1] = span_features(shape, before[i], after[j], check, words)
     return out
 
 
-def candidates_from(text: str, tokens: list[tuple[int, int]], a: int, b: int) -> dict[tuple[int, int], list[str]]:
+def candidates_from(text: str, tokens: list[tuple[int, int]], a: int, b: int) -> dict[tuple[int, int], tuple[str, ...]]:
     """The candidates that start at tokens a to b - 1."""
     found = candidates(text, tokens[a : b + MAX_TOKENS])
     return {(a + i, a + j): features for (i, j), features in found.items() if a + i < b}
@@ -198,18 +269,29 @@ class SemiMarkovField:
 
     def __init__(self, weights: dict[str, list[float]] | None = None):
         self.weights = weights or {}
+        self.known: dict[int, tuple] = {}  # by the identity of a feature list, which is held beside its score
+
+    def score(self, features) -> list[float]:
+        total = [0.0] * len(KINDS)
+        for f in features:
+            w = self.weights.get(f)
+            if w:
+                for k in range(len(KINDS)):
+                    total[k] += w[k]
+        return total
 
     def scores(self, spans) -> dict[tuple[int, int], list[float]]:
-        out = {}
-        for ij, features in spans.items():
-            total = [0.0] * len(KINDS)
-            for f in features:
-                w = self.weights.get(f)
-                if w:
-                    for k in range(len(KINDS)):
-                        total[k] += w[k]
-            out[ij] = total
-        return out
+        return {ij: self.score(features) for ij, features in spans.items()}
+
+    def weighed(self, features) -> tuple:
+        """(features, scores, their log-sum, the best one, its kind); made once for each feature list."""
+        got = self.known.get(id(features))
+        if got is None:
+            s = self.score(features)
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            got = self.known[id(features)] = (features, s, _log_sum(s), max(s), s.index(max(s)))
+        return got
 
     @staticmethod
     def _by_end(scores, n):
@@ -256,30 +338,31 @@ class SemiMarkovField:
         """The entities of the best cut with their marginals: the same as the two above, over blocks.
 
         ``spans_from(a, b)`` gives the features of the ranges that start in [a, b).
-        They are made once for each direction and held for one block, so memory
+        They are held for one block, and made again for the way back, so memory
         beside a few numbers per token does not grow with n.
         """
         alpha, best, back = [0.0] * (n + 1), [0.0] * (n + 1), [None] * (n + 1)
         ahead: dict[int, list] = defaultdict(list)  # ranges that end at a later place
 
-        def arrive(j):
-            alpha[j], best[j] = alpha[j - 1], best[j - 1]
-            terms = [alpha[j - 1]]
-            for i, s in ahead.pop(j, ()):
-                for k, x in enumerate(s):
-                    terms.append(alpha[i] + x)
-                    if best[i] + x > best[j]:
-                        best[j], back[j] = best[i] + x, (i, k)
-            alpha[j] = _log_sum(terms)
+        def by_start(a):
+            starts = defaultdict(list)
+            for (i, j), features in spans_from(a, min(n, a + block)).items():
+                starts[i].append((j, self.weighed(features)))
+            return starts
 
+        starts: dict[int, list] = {}
         for a in range(0, n, block):
-            starts = defaultdict(list)
-            for (i, j), s in self.scores(spans_from(a, min(n, a + block))).items():
-                starts[i].append((j, s))
+            starts = by_start(a)
             for i in range(a, min(n, a + block)):
-                for j, s in starts[i]:
+                for j, s in starts.get(i, ()):
                     ahead[j].append((i, s))
-                arrive(i + 1)
+                j = i + 1
+                best[j], terms = best[i], [alpha[i]]
+                for start, (_, _, total, top, k) in ahead.pop(j, ()):
+                    terms.append(alpha[start] + total)
+                    if best[start] + top > best[j]:
+                        best[j], back[j] = best[start] + top, (start, k)
+                alpha[j] = _log_sum(terms) if len(terms) > 1 else terms[0]
         cut, j = {}, n
         while j:
             if back[j] is None:
@@ -288,22 +371,26 @@ class SemiMarkovField:
                 i, k = back[j]
                 cut[i] = (j, k)
                 j = i
-        beta, out = [0.0] * (n + 1), []
-        for a in range((n - 1) // block * block, -1, -block):
-            starts = defaultdict(list)
-            for (i, j), s in self.scores(spans_from(a, min(n, a + block))).items():
-                starts[i].append((j, s))
+        if not cut:
+            return []
+        beta, out, last = [0.0] * (n + 1), [], (n - 1) // block * block
+        for a in range(last, -1, -block):
+            starts = starts if a == last else by_start(a)
             for i in range(min(n, a + block) - 1, a - 1, -1):
-                beta[i] = _log_sum([beta[i + 1], *(beta[j] + x for j, s in starts[i] for x in s)])
+                here = starts.get(i, ())
+                beta[i] = _log_sum([beta[i + 1], *(beta[j] + s[2] for j, s in here)]) if here else beta[i + 1]
                 if i in cut:
                     j, k = cut[i]
-                    x = dict(starts[i])[j][k]
+                    x = next(s[1][k] for to, s in here if to == j)
                     out.append((i, j, k, math.exp(min(0.0, alpha[i] + x + beta[j] - alpha[n]))))
         return out[::-1]
 
-    def fit(self, examples, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4):
+    def fit(self, examples, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4) -> SemiMarkovField:
         """Stochastic ascent of the log-likelihood with AdaGrad; examples: (spans, n, gold ranges with kinds)."""
         squares: dict[str, list[float]] = defaultdict(lambda: [1e-6] * len(KINDS))
+        seen: Counter = Counter()
+        for spans, _, _ in examples:
+            seen.update({f for features in spans.values() for f in features})
         order = list(range(len(examples)))
         rng = random.Random(11)
         for _ in range(epochs):
@@ -321,6 +408,8 @@ class SemiMarkovField:
                         for k, d in enumerate(delta):
                             g[k] += d
                 for f, g in gradient.items():
+                    if seen[f] < RARE:
+                        continue
                     w, q = self.weights.setdefault(f, [0.0] * len(KINDS)), squares[f]
                     for k, x in enumerate(g):
                         x -= decay * w[k]
@@ -334,16 +423,20 @@ def _log_sum(xs: list[float]) -> float:
     return top + math.log(sum(math.exp(x - top) for x in xs))
 
 
-def hidden_form(kind: str, s: str) -> str | None:
+def hidden_form(kind: str, s: str, rng: random.Random) -> str | None:
     """A base span as people write it to hide it; None where there is no such form."""
     if kind == "email":
+        at, dot = rng.choice(HIDDEN_SIGNS)
         name, _, host = s.partition("@")
-        return f"{name} at {host.replace('.', ' dot ')}"
+        return f"{name}{at}{host.replace('.', dot)}"
     if kind == "ip":
-        return s.replace(".", "[.]")
+        return s.replace(".", rng.choice(HIDDEN_DOTS))
     if kind == "phone":
         short = re.sub(r"^\+[0-9]+[\x20.-]+", "", s)
         return short if short != s and len(DIGIT.findall(short)) >= 9 else None
+    if kind == "card":
+        groups = re.findall("[0-9]+", s)
+        return rng.choice(CARD_SIGNS).join(groups) if len(groups) > 1 else None
     return None
 
 
@@ -364,40 +457,89 @@ def example(text: str, tokens: list[tuple[int, int]], base) -> tuple | None:
     return (spans, len(tokens), gold) if spans else None
 
 
-def written_out_examples(pieces: list[str], n: int = WRITTEN_OUT) -> list[tuple]:
-    """Examples of e-mail addresses without digits or @, and of plain words that only look like one, among words of the pieces."""
-    words = {w for p in pieces for w in re.findall(r"[^\W\d_]{2,}", p) if w.lower() not in TLDS}
-    words = sorted(words - {"at", "dot"}) or ["that"]
-    rng, ends, out = random.Random(12), sorted(TLDS), []
-    word = lambda: rng.choice(words)
+#: how people write signs so that patterns miss them
+HIDDEN_SIGNS = (*[(" at ", " dot ")] * 4, (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("@", " dot "), ("@", "[.]"))
+HIDDEN_DOTS = ("[.]", " dot ", "(.)", " [dot] ", " (dot) ", "[dot]")
+CARD_SIGNS = (".", "/", " - ", ". ")
+PHONE_FORMS = ("{}-{}-{}", "({}) {} {}", "({}) {}-{}", "{}.{}.{}", "{} {} {}", "({}){}-{}")
+#: words that stand before a noun, so that "at" after them names a place and no host
+DETERMINERS = ("the", "a", "an", "this", "that", "my", "your", "our", "his", "her", "its", "their", "each", "every", "one", "some")
+#: things that are nobody's data; {0}, {1}, {2} are words, # any digit and ~ one above 2
+PLAIN_WORDS = ("{0} at {det} dot {1}", "{0} at {det} dot {1}", "{0} at {det} {1} dot {2}", "the dot {0} at {1}", "{0} dot {1}", "{0} at {det} dot {1} at {det} {2} dot")
+PLAIN_NUMBERS = (
+    "####-##-##", "##/##/####", "####.##.## ##:##:##", "####-##-## ##:##", "####-##-##T##:##:##", "#.#.#", "v#.##.#", "# dot #", "# dot # dot #",
+    "~~~ dot # dot ## dot #", "~~~[.]#[.]##[.]#", "###-####", "#####-####", "##-##", "####-####", "978-#-###-#####-#", "#,###,###", "## ### ###",
+    "#### ####", "####", "##########", "###########", "#############", "$#,###.##", "#.## %", "## ## ## ##", "# # # # # #", "{0} {1} ####",
+    "{0}-####-###", "no. #####", "###.###", "###-##-####", "##.####, -##.####", "### ###", "#### - ####", "#-#-#-#", "http://{0}.{1}/###/###",
+    "{0}#{1}##", "#.#.#-##", "{0} at ##:##", "{0} at # dot", "####.####.####", "#### #### #### ####",
+)
+
+
+def card_number(rng: random.Random, good: bool = True) -> str:
+    """Sixteen random digits that pass the check sum, or that do not."""
+    head = f"{rng.randint(3, 6)}" + "".join(rng.choice("0123456789") for _ in range(14))
+    return head + rng.choice([c for c in "0123456789" if luhn(head + c) == good])
+
+
+def made_up_lines(words: list[str], n: int, seed: int, kinds=("email", "ip", "email", "phone", "email", "card")) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Lines of the given words with hidden entities of each kind in turn, every other one with things that only look like one."""
+    rng, plainest = random.Random(seed), [w for w in words if w.lower() not in {*DETERMINERS, "at", "dot"}] or ["node"]
+    word = lambda: rng.choice(plainest)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    ending = lambda: rng.choice((word().lower(), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice((2, 2, 3, 3, 4, 6))))))
     around = lambda: [word() + rng.choice(("", "", "", ",", ".")) for _ in range(rng.randint(0, 6))]
 
-    def address():
-        at, dot = rng.choice(((" at ", " dot "), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) ")))
-        name = rng.choice(("{}", "{}", "{}.{}", "{}" + dot + "{}")).format(word(), word())
-        return name + at + dot.join([*(word() for _ in range(rng.randint(1, 2))), *rng.sample(ends, rng.choice((1, 1, 2)))])
-
-    plain = ("{0} at {1} dot {2}", "{0} at the dot com", "the dot {0} at {1}", "{0} dot com", "{0} at this dot and at that dot")
+    def entity(kind):
+        if kind == "email":
+            at, dot = rng.choice(HIDDEN_SIGNS)
+            name = rng.choice(("{}", "{}", "{}.{}", "{}_{}", "{}" + dot + "{}")).format(word(), word()) + rng.choice(("", "", digits(2)))
+            return name + at + dot.join([*(word() for _ in range(rng.choice((1, 1, 2)))), ending(), *([ending()] if rng.random() < 0.2 else [])])
+        if kind == "ip":
+            return rng.choice(HIDDEN_DOTS).join(str(rng.randint(0, 255)) for _ in range(4))
+        if kind == "phone":
+            return rng.choice(PHONE_FORMS).format(rng.randint(200, 999), digits(3), digits(4))
+        number = card_number(rng)
+        return rng.choice(CARD_SIGNS).join(number[i : i + 4] for i in range(0, 16, 4))
+
+    def plain():
+        if rng.random() < 0.2:
+            number = card_number(rng, good=False)
+            return rng.choice(CARD_SIGNS + (" ", "-")).join(number[i : i + 4] for i in range(0, 16, 4))
+        form = rng.choice(PLAIN_WORDS if rng.random() < 0.4 else PLAIN_NUMBERS).format(word(), word(), word(), det=rng.choice(DETERMINERS))
+        return re.sub("[#~]", lambda m: rng.choice("0123456789" if m.group() == "#" else "3456789"), form)
+
+    out = []
     for i in range(n):
         text, gold = " ".join([*around(), ""]), []
-        for k in range(rng.choice((1, 1, 2)) if i % 3 else 0):
-            form = address()
-            text += rng.choice((", ", " or ", "\n")) if k else ""
-            gold.append(("email", len(text), len(text) + len(form)))
+        for k in range(rng.choice((1, 1, 2))):
+            text += rng.choice((", ", " or ", "\n", "; ")) if k else ""
+            if i % 2:
+                text += plain()
+                continue
+            kind = kinds[i // 2 % len(kinds)]
+            form = entity(kind)
+            gold.append((kind, len(text), len(text) + len(form)))
             text += form
-        if not gold:
-            text += rng.choice(plain).format(word(), word(), word())
-        text += " ".join([rng.choice(("", "", "", ".", ",")), *around()])
-        out.append(example(text, [t.span() for t in TOKEN.finditer(text)], gold))
-    return [x for x in out if x]
+        out.append((text + rng.choice((" ", " ", ". ", ", ")) + " ".join(around()), gold))
+    return out
+
+
+def sample_words(pieces: list[str]) -> list[str]:
+    return sorted({w for p in pieces for w in re.findall(r"[^\W\d_]{2,}", p)})
+
+
+def made_up_examples(pieces: list[str], n: int = MADE_UP) -> list[tuple]:
+    found = [example(t, [m.span() for m in TOKEN.finditer(t)], gold) for t, gold in made_up_lines(sample_words(pieces), n, 12)]
+    return [x for x in found if x]
 
 
 def hidden_example(text: str, base) -> tuple | None:
-    """The same with every base span in its hidden form."""
+    """The same with every base span in a hidden form."""
+    rng = random.Random(text)
     out, at, marks = [], 0, []
     shift = 0
     for kind, a, b in sorted(base, key=lambda x: x[1]):
-        form = hidden_form(kind, text[a:b])
+        form = hidden_form(kind, text[a:b], rng)
         if a < at or form is None:
             return None
         out += [text[at:a], form]
@@ -429,7 +571,7 @@ def training_pieces(docs: DataFrame, clusters_wanted: int = TRAIN_CLUSTERS) -> l
 
 def train(docs: DataFrame) -> SemiMarkovField:
     pieces = training_pieces(docs)
-    examples = written_out_examples(pieces)
+    examples = made_up_examples(pieces)
     for piece in pieces:
         base = base_spans(piece)
         got = [example(piece, [t.span() for t in TOKEN.finditer(piece)], base)]
@@ -452,25 +594,9 @@ def found_spans(text: str, field: SemiMarkovField) -> list[tuple[str, int, int]]
         return not (before and ends[before - 1] > a) and not (out and out[-1][2] > a)
 
     for tokens in joined(text, clusters(text)):
-        if len(tokens) > BLOCK:
-            for i, j, k, p in field.read(lambda a, b: candidates_from(text, tokens, a, b), len(tokens), BLOCK):
-                a, b = tokens[i][0], tokens[j - 1][1]
-                if p >= MIN_MARGIN and free(a, b):
-                    out.append((KINDS[k], a, b))
-            continue
-        spans = candidates(text, tokens)
-        if not spans:
-            continue
-        scores = field.scores(spans)
-        if max(max(s) for s in scores.values()) <= 0:
-            continue  # the best cut is all outside
-        cut = field.best_cut(scores, len(tokens))
-        if not cut:
-            continue
-        sure = field.marginals(scores, len(tokens))
-        for i, j, k in cut:
+        for i, j, k, p in field.read(lambda a, b: candidates_from(text, tokens, a, b), len(tokens), BLOCK):
             a, b = tokens[i][0], tokens[j - 1][1]
-            if sure[i, j][k] >= MIN_MARGIN and free(a, b):
+            if p >= MIN_MARGIN and free(a, b):
                 out.append((KINDS[k], a, b))
     return out
 
