@@ -114,19 +114,20 @@ def merged_techniques(t) -> DataFrame:
     return merge_techniques(t.techniques, settings=settings())
 
 
-def merged_indicators(t) -> DataFrame:
+def merged_indicators(t, **changes) -> DataFrame:
     from ..operators.merge import merge_indicators
     from ..operators.normalize import map_indicators
     from ..functions.ioc import is_canonical
 
     rows = map_indicators(t.indicators).filter(is_canonical(F.col("type"), F.col("value")))
-    return merge_indicators(rows, settings=settings())
+    return merge_indicators(rows, settings=settings(**changes))
 
 
-def settings():
+def settings(**changes):
+    """The settings the bound queries run under, with some of them changed."""
     from ..config import DEFAULTS
 
-    return DEFAULTS.with_(high_provenance=HIGH_SOURCES)
+    return DEFAULTS.with_(**{"high_provenance": HIGH_SOURCES, **changes})
 
 
 def merged_malware(t) -> DataFrame:

@@ -119,6 +119,27 @@ def _(t):
     return fresh.bucket_counts(fresh.with_bucket(k.merged_indicators(t), k.NOW))
 
 
+@query(
+    "tuned_blocks",
+    f""", {k.MERGED_INDICATORS}, {_AGE.replace("<= 30", "<= 12").replace("<= 90", "<= 240").replace("> 90", "> 240")}
+    SELECT actor, bucket, type, value, row_number() OVER (PARTITION BY actor, bucket ORDER BY {_AGE_RANK}, value) AS row_no FROM aged WHERE bucket <> 'STALE' QUALIFY row_no <= 7""",
+    uses=["indicators"],
+)
+def _(t):
+    tuned = k.settings(fresh_days=12, aging_days=240, playbook_rows=7)
+    return fresh.blocklist(k.merged_indicators(t), k.NOW, tuned).select("actor", "bucket", "type", "value", "row_no")
+
+
+@query(
+    "tuned_confidence",
+    f""", {k.MERGED_INDICATORS}
+    SELECT actor, type, value, CASE WHEN len(sources) >= 2 THEN 'HIGH' WHEN list_has_any(sources, ['pages', 'src10']) THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM merged_i""",
+    uses=["indicators"],
+)
+def _(t):
+    return k.merged_indicators(t, high_provenance=("pages", "src10")).select("actor", "type", "value", "confidence")
+
+
 @query(
     "cap_pulses",
     """SELECT actor, pulse_id FROM pulses QUALIFY row_number() OVER (PARTITION BY actor ORDER BY pulse_pos) <= 15""",

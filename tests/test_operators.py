@@ -363,3 +363,22 @@ def test_keep_first_and_latest(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z")], "k string, o int, v string")
     assert rows(od.keep_first(df, ["k"], ["o"])) == [("a", 1, "y"), ("b", 1, "z")]
     assert rows(od.latest_by(df, ["k"], ["o"])) == [("a", 2, "x"), ("b", 1, "z")]
+
+
+def test_changed_settings_reach_the_operators(spark):
+    from dataclasses import FrozenInstanceError
+
+    from intelweave.operators import freshness
+    from intelweave.operators.merge import merge_indicators
+
+    data = [("A", "s1", 0, i, "ip", f"1.1.1.{i}", f"2024-04-{30 - i:02d}", "") for i in range(20)]
+    columns = "actor string, source_id string, source_rank int, pos int, type string, value string, last_seen string, first_seen string"
+    raw = spark.createDataFrame(data, columns)
+    labels = lambda s: {r.confidence for r in merge_indicators(raw, settings=s).collect()}
+    assert labels(DEFAULTS) == {"LOW"} and labels(DEFAULTS.with_(high_provenance=("s1",))) == {"MEDIUM"}
+    tuned = DEFAULTS.with_(fresh_days=5, aging_days=10, playbook_rows=3)
+    got = freshness.blocklist(raw, "2024-05-01", tuned).groupBy("bucket").count()
+    assert sorted(map(tuple, got.collect())) == [("AGING", 3), ("FRESH", 3)]
+    assert sorted(r["count"] for r in freshness.bucket_counts(freshness.with_bucket(raw, "2024-05-01", None, tuned)).withColumnRenamed("indicators", "count").collect()) == [5, 5, 10]
+    with pytest.raises(FrozenInstanceError):
+        DEFAULTS.fresh_days = 1
