@@ -26,6 +26,7 @@ columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -66,6 +67,30 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def check_tokenizer(path: str) -> None:
+    """Raise unless the cuts of ``encoder`` are exact for this tokenizer.
+
+    It must normalise by NFC, white space to one space and lower case, in this
+    order, take runs of letters as words and drop white space, and mark the end
+    of a word in its last token; no token may hold white space.
+    """
+    parts = json.loads(tokenizer(path).to_str())
+    steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+    cuts = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = cuts[0] if cuts and cuts[0]["type"] == "Split" else {}
+    model = parts["model"]
+    held = [
+        steps == ["NFC", "Replace", "Lowercase"],
+        split.get("invert") is True and split.get("behavior") == "Removed" and r"[\p{L}]+" in split["pattern"].get("Regex", ""),
+        model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout"),
+        not any(c.isspace() for t in (*model["vocab"], *(a["content"] for a in parts["added_tokens"])) for c in t),
+        not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in parts["added_tokens"]),
+        parts["truncation"] is None and parts["padding"] is None,
+    ]
+    if not all(held):
+        raise ValueError(f"texts cannot be cut at spaces for the tokenizer at {path}")
+
+
 def encoder(path: str):
     """Texts to ids as little-endian bytes.
 
@@ -74,9 +99,11 @@ def encoder(path: str):
     distinct one is encoded once while the cache holds it.  To have fewer
     distinct ones, ASCII texts are put in lower case, as the tokenizer does,
     and a full stop or comma between a Latin letter and a space is set apart:
-    the tokenizer splits there as well.
+    the tokenizer splits there as well.  A text that holds an added token in
+    other letters keeps its case, as the tokenizer looks for those before.
     """
     tok, known = tokenizer(path), shared_in_stage("ids")
+    added = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or "(?!)")
     mark = np.array(tok.encode(MARK, add_special_tokens=False).ids, "<u4")
     ends_word = np.zeros(tok.get_vocab_size(), bool)
     ends_word[[i for piece, i in tok.get_vocab().items() if piece.endswith("</w>")]] = True
@@ -107,8 +134,12 @@ def encoder(path: str):
             at = np.flatnonzero(hit)
             cut(ids.tobytes(), some, [0, *(at + len(mark))], [*at, len(ids)])
 
+    def lowered(text: str) -> str:
+        low = text.lower() if text.isascii() else text
+        return text if added.search(low) else low
+
     def encode(texts: list[str]) -> list[bytes]:
-        chunks = [APART.sub(r" \1", t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        chunks = [APART.sub(r" \1", lowered(t)).replace("\n", " ").split(" ") for t in texts]
         wanted = set().union(*chunks)
         if len(known) + len(wanted) > CACHE:
             known.clear()
@@ -336,7 +367,9 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, l
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS, salts: int = SALTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    pieces = materialize(cut_pieces(docs, path or model_path(), capacity), "pieces")
+    path = path or model_path()
+    check_tokenizer(path)
+    pieces = materialize(cut_pieces(docs, path, capacity), "pieces")
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)).cast("int"))
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = materialize(counts, "piece-counts")  # at most capacity x salts rows

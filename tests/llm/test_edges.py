@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +138,19 @@ def test_all_queries_are_registered():
     names = [q for q in entry.queries() if q.startswith("op") and q[2:3].isdigit()]
     assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_packing_reads_added_tokens_as_the_tokenizer_does():
+    tok, encode = packing.tokenizer(packing.model_path()), packing.encoder(packing.model_path())
+    rng = random.Random(4)
+    parts = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "a", "B", " ", ".", ",", "\n", "Hello", "don't", "'S", "12", "É", "<|", "|>", "x.", " the"]
+    for _ in range(1000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_refuses_a_tokenizer_that_cannot_be_cut_at_spaces():
+    path = packing.model_path()
+    packing.check_tokenizer(path)
+    with pytest.raises(ValueError, match="cannot be cut"):
+        packing.check_tokenizer(path.replace("word_bpe_49k", "byte_bpe_50k"))
