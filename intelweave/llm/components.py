@@ -5,6 +5,9 @@ star), then its smaller neighbours likewise (small star).  Both are a minimum
 by key, combined on the map side, and a join back, so a node with very many
 links is never gathered.  Each round is written to the shared folder, and the
 links are stars when a round changes nothing.
+
+Defined results: repeated links count once, links to oneself or with a null end
+not at all; no links give no rows.
 """
 
 from __future__ import annotations

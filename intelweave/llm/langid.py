@@ -13,7 +13,9 @@ function; prediction is one pass over the documents without a shuffle.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
 and for all texts if no row is labelled; repeated rows and null ids each keep
-their own row; only text is read in prediction; other columns are ignored.
+their own row; only text is read in prediction; other columns are ignored;
+an empty table gives no rows.  Texts of any length are read whole, in windows
+that each start afresh.
 """
 
 from __future__ import annotations

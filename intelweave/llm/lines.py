@@ -20,7 +20,8 @@ are not compared.  Equal lines are one line from the start (a 64-bit hash).
 Defined results: null and empty texts have no lines; repeated rows (same doc_id
 and text) are one document, whose lines are judged alike; of equal lines the
 one with the smallest doc_id and then the smallest place is kept, null doc_ids
-coming last; extra columns are ignored.
+coming last; extra columns are ignored; an empty table gives no rows.  Lines of
+any length are compared whole.
 """
 
 from __future__ import annotations

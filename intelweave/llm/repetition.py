@@ -16,7 +16,7 @@ words.
 
 Defined results: null and empty texts have no words and fail the base rule;
 repeated rows and null ids each keep their own row; columns other than doc_id
-and text are ignored.  Texts of any length are read whole.
+and text are ignored; an empty table gives no rows.  Texts of any length are read whole.
 """
 
 from __future__ import annotations

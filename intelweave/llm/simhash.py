@@ -19,7 +19,8 @@ are then found in Spark, and documents get the smallest doc_id of theirs.
 Defined results: texts without words (null, empty, only white space) have
 fingerprint zero and are linked like any other; shorter texts than a shingle
 are one shingle; null ids are members but never name a component unless all
-its ids are null; repeated rows and extra columns are kept apart and ignored.
+its ids are null; repeated rows each keep their own row; extra columns are
+ignored; an empty table gives no rows.  Texts of any length are read whole.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ words.  Tiles may come in any order, so reordered passages count in full.
 Words are runs of letters, digits and underscores, in lower case.  Defined
 results: null and empty texts and items with fewer than MIN_MATCH words match
 nothing; repeated rows give one result each; a null id is carried; extra
-columns are ignored; an empty benchmark gives no rows.
+columns are ignored; an empty benchmark or an empty table gives no rows.  Texts
+of any length are read whole.
 """
 
 from __future__ import annotations

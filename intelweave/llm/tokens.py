@@ -18,7 +18,7 @@ of the scan, which a recomputed task repeats.
 
 Defined results: null and empty texts have zero bytes and tokens; repeated rows
 and null ids each keep their own row; columns other than doc_id and text are
-ignored.
+ignored; an empty table gives no rows.  Texts of any length are counted whole.
 """
 
 from __future__ import annotations
