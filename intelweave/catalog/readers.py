@@ -238,6 +238,16 @@ def _(t):
     return tables.read_detection_repos(t.spark, path).withColumn("tags", k.joined("tags"))
 
 
+#: rules of one corpus file; a file is read whole by one task
+RULES_A_FILE = 2000
+
+
+def write_rule_files(files, path, rules_a_file: int = RULES_A_FILE) -> None:
+    """Rule texts as corpus files of bounded size, written by as many tasks as the texts ask for."""
+    dealt = files.repartition(F.xxhash64("path", "content")).select("content")
+    dealt.write.option("maxRecordsPerFile", rules_a_file).text(path)
+
+
 @query(
     "read_rule_corpus",
     "SELECT DISTINCT upper(tag_id) AS technique_id FROM rules",
@@ -245,7 +255,7 @@ def _(t):
 )
 def _(t):
     path = scratch_path(t.spark, "rule-files")
-    t.rule_files.select("content").write.text(path)
+    write_rule_files(t.rule_files, path)
     corpus = doc.read_rule_corpus(t.spark, path, "*.txt")
     return rul.corpus_ids(corpus.withColumn("content", F.lower("content")))
 

@@ -7,7 +7,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from intelweave.catalog.readers import write_rule_files
 from intelweave.operators import graph as g
+from intelweave.operators import rules as rul
 from intelweave.sources import documents as doc
 from intelweave.sources import rulefiles, tables
 from intelweave.sources.registry import Registry
@@ -228,3 +230,19 @@ def test_registry(spark):
         reg.records(spark, ["broken"])
     with pytest.raises(ValueError):
         reg.register("graph", 3, lambda s: s.range(1))
+
+
+def test_rule_tables_are_dealt_out_before_they_are_read(spark):
+    """A table of few splits is read by as many tasks as there are, and written in files of bounded size."""
+    files = spark.range(400).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("path"), F.lit("title: a\nlevel: low\n").alias("content")).coalesce(1)
+    plan = doc.parse_rules(files)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(xxhash64(path" in plan and plan.index("MapInArrow") < plan.index("hashpartitioning(xxhash64(path")
+    assert doc.parse_rules(files).count() == 400
+
+
+def test_corpus_files_are_of_bounded_size(spark, tmp_path):
+    files = spark.range(400).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("path"), F.concat(F.lit("tags: [attack.t"), (1000 + F.col("id")).cast("string"), F.lit("]")).alias("content")).coalesce(1)
+    write_rule_files(files, str(tmp_path / "corpus"), 50)
+    sizes = [len(p.read_text().splitlines()) for p in (tmp_path / "corpus").glob("*.txt")]
+    assert sum(sizes) == 400 and max(sizes) <= 50
+    assert rul.corpus_ids(doc.read_rule_corpus(spark, str(tmp_path / "corpus"), "*.txt")).count() == 400
