@@ -17,6 +17,7 @@ from intelweave.functions import labels
 from intelweave.operators import families as fam
 from intelweave.plans import indicators as ind
 from intelweave.plans import layers, reports, stix
+from intelweave.plans.run import ProfileRun
 from intelweave.sources.runbase import RunBase
 from intelweave.streaming import feeds as st
 
@@ -256,6 +257,29 @@ def test_family_ownership_equals_comparing_every_value(spark):
     assert sorted((r.actor, r.type, r.value.lower(), r.family_pos, r.malware_family, r.pos) for r in got.collect()) == sorted((*k, *v) for k, v in best.items())
 
 
+def test_exports_shape_indicators_before_groups_join(spark, tmp_path):
+    """What an export makes of each group's indicators is the same when made by class and family of the feed."""
+    rng = random.Random(5)
+    feed = [(f"f{rng.randrange(6)}", i, rng.choice(["ip", "domain", "url"]), rng.choice([f"v{rng.randrange(40)}", f"V{rng.randrange(40)}", "it's"]), rng.randrange(3), "cc", "", f"d{i}", None) for i in range(300)]
+    owned = [(f"a{a}", f"f{f}", rng.randrange(9)) for a in range(4) for f in range(6) if rng.random() < 0.6]
+    landed = {
+        "families": lambda: spark.createDataFrame(owned, "actor string, name string, pos int"),
+        "family_feed": lambda: spark.createDataFrame(feed, "family string, pos int, type string, value string, confidence_score int, threat_type string, threat_label string, description string, first_seen string"),
+    }
+    with RunBase(spark, str(tmp_path / "base")) as base:
+        run = ProfileRun(landed, base)
+        for shape, cols in ((ind.ioc_list, ind.COLUMNS), (stix.indicator_rows, ["pattern", "description", "malware_family", "confidence_score"])):
+            named = lambda rows: rows.withColumn("sources", F.array(F.lit("s")))
+            want = shape(named(run.indicators)).select("actor", *cols).collect()
+            made = run.indicators_as(lambda rows, by: shape(named(rows), by=by))
+            got = made.select("actor", *cols).collect()
+            assert len(got) > 50 and sorted(map(str, got)) == sorted(map(str, want))
+            # the pick is made over the feed, below the join that copies it to the groups
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.index("Join") < plan.index("min_by")
+        assert not (tmp_path / "base" / "parsed_feed").exists()  # written only with the families' hits
+
+
 def test_new_rows_stay_new_beyond_the_time_to_live(spark, tmp_path):
     """What the target has is not appended again, however late it comes; a repeated batch overwrites its own rows."""
     out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
