@@ -367,3 +367,17 @@ def test_query_agrees_with_sql(spark, duck, name):
 
     note, _ = compare(spark, duck, SF, contract.queries()[name], contract.oracle_sql()[name])
     assert note.startswith("ok"), note
+
+
+def test_more_order_lines_are_more_tasks(spark, monkeypatch):
+    """A large table is joined and merged by as many tasks as its rows ask for, whatever the session's number."""
+    from intelweave.catalog import bindings
+
+    monkeypatch.setattr(bindings, "TASK_ROWS", 500)
+    tables = bindings.Tables(spark, "unread")
+    lines, orders = (spark.range(0, n).withColumn("l_orderkey", F.col("id") % 1500).drop("id") for n in (6000, 1500))
+    joined = tables._dealt(lines, "l_orderkey").join(orders.hint("merge"), "l_orderkey")
+    sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 12 and max(r["count"] for r in sizes) <= 1000 and joined.count() == 6000
+    few = spark.range(900)
+    assert tables._dealt(few, "id") is few
