@@ -72,7 +72,9 @@ def _(t):
     uses=USES,
 )
 def _(t):
-    return art.unique_articles(relevant_ids(t)).select("actor", "article_id")
+    # a pick carries whole rows through a sort, so only what it decides by and returns goes in
+    rows = relevant_ids(t).select("actor", "article_id", "identity", "feed_pos", "relevance", "pos")
+    return art.unique_articles(rows).select("actor", "article_id")
 
 
 @query(
