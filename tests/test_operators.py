@@ -308,6 +308,17 @@ def test_family_iocs(spark):
     assert rows(fam.family_hits(malware, feed).select("family", "hits")) == [("Yam", 1), ("Zed", 2)]
 
 
+def test_a_feed_that_is_derived_is_not_derived_over_and_over(spark):
+    """Expressions below the parser are in its plan once for the filter and once for the row, not once per mention."""
+    df = spark.createDataFrame([("f", 0, "x", "md5_hash", "odd_kind", 1, "", "", "", "p"), ("f", 1, "x", "ip:port", "cc", 1, "", "", "m", "p"),
+                                ("f", 2, " : 7", "IP:PORT", "cc", 1, "", "", "", ""), ("f", 3, None, "url", "cc", 1, "", "", "", "")], FEED)
+    made = fam.parse_family_ioc(df.withColumn("ioc", F.when(F.col("pos") < 2, F.md5("ioc")).otherwise(F.col("ioc"))))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 2 and plan.count("regexp_extract_all(") == 1
+    got = {(r.type, len(r.value), r.threat_label, r.description) for r in made.collect()}
+    assert got == {("hash_md5", 32, "Odd Kind", "Odd Kind — p"), ("ip", 32, "Command & Control", "Command & Control — m")}
+
+
 def test_pulse_iocs_are_unique_by_value(spark):
     ind = lambda *pairs: [{"type": t, "indicator": v} for t, v in pairs]
     df = spark.createDataFrame(

@@ -280,6 +280,46 @@ def test_exports_shape_indicators_before_groups_join(spark, tmp_path):
         assert not (tmp_path / "base" / "parsed_feed").exists()  # written only with the families' hits
 
 
+def test_report_and_profile_shape_indicators_once_for_all_groups(spark, tmp_path):
+    """Rows and items are made and written by class and family; groups add only their family's place to the key."""
+    from intelweave.operators import profile as prof
+    from intelweave.operators.ordering import order_text
+
+    rng = random.Random(6)
+    feed = [(f"f{rng.randrange(6)}", i - 20, rng.choice(["ip", "domain", "url"]), rng.choice([f"v{rng.randrange(40)}.a", f"https://V{rng.randrange(9)}.b/c.d"]), rng.choice([0, 75, 100]), "cc", rng.choice(["", "C2"]), f"d{i}", rng.choice([None, "2024-01-01"])) for i in range(300)]
+    owned = [(f"a{a}", f"f{f}", rng.randrange(9) - 4) for a in range(4) for f in range(6) if rng.random() < 0.6]
+    landed = {
+        "families": lambda: spark.createDataFrame(owned, "actor string, name string, pos int"),
+        "family_feed": lambda: spark.createDataFrame(feed, "family string, pos int, type string, value string, confidence_score int, threat_type string, threat_label string, description string, first_seen string"),
+    }
+    fields = ["type", "value", "confidence_score", "malware_family", "first_seen", "description", "sources"]
+    key = lambda rows: F.concat_ws("\u0001", *[order_text(rows, n) for n in ("first_at", "type", "value")])
+    items = lambda rows, by: prof.section_items(rows, "indicators", fields, key(rows), by=by)
+    with RunBase(spark, str(tmp_path / "base")) as base:
+        run = ProfileRun(landed, base)
+        shown = run.placed_indicators("shown", lambda rows, by: reports.shown_indicators(rows, by=by), "first_at")
+        for got, want in ((reports.indicator_rows(shown), reports.indicator_rows(run.indicators)),
+                          (run.placed_indicators("items", items, "item_key"), items(run.indicators, ("actor",)))):
+            made = got.select(*want.columns)
+            assert len(made.collect()) > 50 and sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            assert "replace(" not in plan and "to_json" not in plan
+        assert (tmp_path / "base" / "shown").exists() and (tmp_path / "base" / "items").exists()
+
+
+def test_rules_are_parsed_once_for_the_best_and_the_total(spark, tmp_path):
+    rules = [(f"p{i}", f"t{i}", "high", ["attack.t1001"]) for i in range(12)]
+    seen = [("A", "s", 0, 0, "T1001", "n", "", "", "")]
+    landed = {
+        "techniques": lambda: spark.createDataFrame(seen, "actor string, source_id string, source_rank int, pos int, technique_id string, name string, tactic string, description string, detection string"),
+        "rules": lambda: spark.createDataFrame(rules, "path string, title string, level string, tags array<string>"),
+    }
+    with RunBase(spark, str(tmp_path / "base")) as base:
+        matched = ProfileRun(landed, base).matched_rules.collect()
+        assert len(matched) == 10 and {r.technique_rules for r in matched} == {12}
+        assert (tmp_path / "base" / "parsed_rules").exists()
+
+
 def test_new_rows_stay_new_beyond_the_time_to_live(spark, tmp_path):
     """What the target has is not appended again, however late it comes; a repeated batch overwrites its own rows."""
     out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
