@@ -1,6 +1,7 @@
 """Exports, streams and the registered queries."""
 
 import csv
+import gzip
 import json
 import random
 import re
@@ -93,6 +94,49 @@ def test_graph_export(spark, tmp_path):
     assert all("description" in o for o in got if o["type"] == "relationship")
 
 
+def files_in_order(folder):
+    """The lines of a folder's compressed files, by the files' names."""
+    return [line for p in sorted(Path(folder).glob("part-*.gz")) for line in gzip.open(p, "rt", encoding="utf-8", newline="\n").read().splitlines()]
+
+
+def shuffle_files(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+
+
+def test_graph_files_are_compressed_and_spelled_out_behind_the_exchange(spark, tmp_path, monkeypatch):
+    """Folders are written some at a time; none is lost or torn, and every body is the one the objects have."""
+    monkeypatch.setattr(ind, "ROUND_ROWS", 20)
+    actors, tech, mal, ioc, camp = graph_parts(spark)
+    names = spark.createDataFrame([(f"{x}\u0002\"é",) for x in "ABC"] + [(None,)], "_a string")
+    many = lambda df: df.drop("actor").crossJoin(names).withColumnRenamed("_a", "actor")
+    actors, tech, mal, ioc, camp = map(many, (actors, tech, mal, ioc, camp))
+    nodes, edges = stix.stix_nodes(actors, tech, mal, ioc, camp, NOW), stix.stix_edges(tech, mal, ioc, camp, NOW)
+    objects = stix.stix_objects(nodes, edges, stix.report_nodes(actors, NOW)).withColumn("actor_slug", F.left("actor", F.lit(1)))
+    want, objects = {}, spark.createDataFrame(objects.collect(), objects.schema).coalesce(2)
+    for r in objects.collect():
+        want.setdefault(r.actor_slug or "__HIVE_DEFAULT_PARTITION__", []).append((r.place, r.id, r.body))
+    # a folder that the sizes do not name is written, too
+    sizes = spark.createDataFrame([("A", 13), ("C", 13)], "actor_slug string, rows bigint")
+    before = shuffle_files(spark)
+    for how, out in (({}, "counted"), ({"sizes": sizes}, "sized")):
+        stix.write_objects(objects, str(tmp_path / out), **how)
+        for slug, rows in want.items():
+            got = [json.loads(x) for x in files_in_order(tmp_path / out / f"actor_slug={slug}")]
+            assert [(r["place"], r["id"], r["body"]) for r in got] == sorted(rows) and len(rows) > 10
+    assert shuffle_files(spark) <= before
+
+
+def test_a_run_base_frees_shuffles_and_drops_tables(spark, tmp_path):
+    before = shuffle_files(spark)
+    with RunBase(spark, f"file://{tmp_path}/base") as base:
+        build = lambda: spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+        made = base.once("t", build, ["k"])
+        assert shuffle_files(spark) <= before and made.count() == 7 and (tmp_path / "base" / "t").exists()
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+        base.drop("t", "never written")
+        assert not (tmp_path / "base" / "t").exists() and base.once("t", build).count() == 7
+
+
 def test_unscored_indicators_carry_no_confidence(spark):
     rows = [("A", 0, "ip", "1.1.1.1", 0, ""), ("A", 1, "ip", "2.2.2.2", None, ""), ("A", 2, "ip", "3.3.3.3", None, "HIGH"), ("A", 3, "ip", "4.4.4.4", 250, "")]
     df = spark.createDataFrame(rows, "actor string, first_at int, type string, value string, confidence_score int, confidence string")
