@@ -126,6 +126,17 @@ def test_graph_files_are_compressed_and_spelled_out_behind_the_exchange(spark, t
     assert shuffle_files(spark) <= before
 
 
+def test_lost_references_are_counted(spark):
+    from intelweave.catalog.exports import _lost
+
+    sid = lambda kind, i: f"{kind}--{i:08x}-0000-0000-0000-{i:012x}"
+    rows = [(sid("malware", 1), None, None), (sid("indicator", 1), None, None), (sid("relationship", 1), sid("indicator", 1), sid("malware", 1)),
+            (sid("relationship", 2), sid("indicator", 2), sid("malware", 1)), (sid("relationship", 3), sid("indicator", 2), sid("malware", 2)), (None, None, None)]
+    found = lambda rows: spark.createDataFrame(rows, "id string, source_ref string, target_ref string").select(F.struct("id", "source_ref", "target_ref").alias("o"))
+    assert [r.line for r in _lost(found(rows)).collect()] == ["3"]
+    assert [r.line for r in _lost(found(rows[:3])).collect()] == ["0"] and [r.line for r in _lost(found(rows[:0])).collect()] == ["0"]
+
+
 def test_a_run_base_frees_shuffles_and_drops_tables(spark, tmp_path):
     before = shuffle_files(spark)
     with RunBase(spark, f"file://{tmp_path}/base") as base:
