@@ -161,6 +161,11 @@ def test_references_of_indicators_need_no_comparing(spark, tmp_path):
         assert body(iocs) == body(plain) and base.path and (tmp_path / "base" / "graph_indicators").exists()
 
 
+def test_nodes_are_read_once_each(spark):
+    plan = contract.queries()["stix_nodes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object(body" not in plan and "Join" in plan and "merge_techniques" not in plan
+
+
 def test_a_run_base_frees_shuffles_and_drops_tables(spark, tmp_path):
     before = shuffle_files(spark)
     with RunBase(spark, f"file://{tmp_path}/base") as base:
