@@ -166,6 +166,20 @@ def test_nodes_are_read_once_each(spark):
     assert "get_json_object(body" not in plan and "Join" in plan and "merge_techniques" not in plan
 
 
+def test_profiles_are_whole_and_in_order_when_written_in_rounds(spark, tmp_path, monkeypatch):
+    from intelweave.plans import profiles
+
+    monkeypatch.setattr(ind, "ROUND_ROWS", 50)
+    rows = [(f"a{a}", n, f"s{n}", f"{i * 37 % 100:03}", f'{{"v":"{a}-{i}"}}') for a in range(5) for n in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, "actor_slug string, section_no int, section string, item_key string, item string").coalesce(2)
+    before = shuffle_files(spark)
+    profiles.write_profiles_json(df, str(tmp_path / "p"))
+    for a in range(5):
+        want = [f'{{"section":"{s}","item":{item}}}' for x, _, s, _, item in sorted(rows) if x == f"a{a}"]
+        assert files_in_order(tmp_path / "p" / f"actor_slug=a{a}") == want
+    assert shuffle_files(spark) <= before
+
+
 def test_a_run_base_frees_shuffles_and_drops_tables(spark, tmp_path):
     before = shuffle_files(spark)
     with RunBase(spark, f"file://{tmp_path}/base") as base:
