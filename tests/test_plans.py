@@ -180,6 +180,20 @@ def test_profiles_are_whole_and_in_order_when_written_in_rounds(spark, tmp_path,
     assert shuffle_files(spark) <= before
 
 
+def test_indicator_lists_can_be_compressed_and_written_in_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ind, "ROUND_ROWS", 25)
+    rows = [(f"a{a}", "ip" if i % 2 else "domain", f"v{i * 7 % 20:02}", "1", "", "", "", "s") for a in range(4) for i in range(20)]
+    listed = spark.createDataFrame(rows, ["actor_slug", *ind.COLUMNS]).coalesce(2)
+    sizes = spark.createDataFrame([("a0", 20), ("a1", 20)], "actor_slug string, rows bigint")
+    ind.write_ioc_csv(listed, str(tmp_path / "l"), sizes=sizes, compression="gzip")
+    rank = {"ip": 0, "domain": 1}
+    kinds = sorted(rank, key=lambda n: [r.k for r in spark.createDataFrame([(n,)], "type string").select(ind.export_order()[0].alias("k")).collect()])
+    for a in range(4):
+        want = sorted((kinds.index(r[1]), r[2]) for r in rows if r[0] == f"a{a}")
+        got = [x.split(",")[:2] for x in files_in_order(tmp_path / "l" / f"actor_slug=a{a}") if not x.startswith("type,")]
+        assert [(kinds.index(k), v) for k, v in got] == want
+
+
 def test_a_run_base_frees_shuffles_and_drops_tables(spark, tmp_path):
     before = shuffle_files(spark)
     with RunBase(spark, f"file://{tmp_path}/base") as base:
